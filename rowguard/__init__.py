@@ -1 +1,8 @@
 """Data-quality jobs for tables whose id, coordinates and category should agree."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Mean earth radius and the WGS-84 ellipsoid, in metres.
 EARTH_RADIUS_M = 6371008.8
@@ -62,7 +63,7 @@ def ellipsoid_m(lat1, long1, lat2, long2) -> np.ndarray:
     return np.where(good, length, great_circle)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ellipsoid(lat1: pd.Series, long1: pd.Series, lat2: pd.Series, long2: pd.Series) -> pd.Series:
     parts = [s.to_numpy(dtype="float64", na_value=np.nan) for s in (lat1, long1, lat2, long2)]
     usable = np.isfinite(np.vstack(parts)).all(axis=0)
