@@ -64,6 +64,7 @@ CMD_SQL = f"({CMD.format(orders='orders', part='part')})"
 SCORED_SQL = f"({SCORED.format(cmd=CMD_SQL + ' cmd')})"
 
 
-def with_cmd(select: str) -> str:
-    """A DuckDB query that may name ``cmd`` and ``scored``."""
-    return f"WITH RECURSIVE cmd AS {CMD_SQL}, scored AS ({SCORED.format(cmd='cmd')}) {select}"
+def with_cmd(select: str, ctes: str = "") -> str:
+    """A DuckDB query that may name ``cmd`` and ``scored``, and further common table expressions."""
+    extra = f", {ctes}" if ctes else ""
+    return f"WITH RECURSIVE cmd AS {CMD_SQL}, scored AS ({SCORED.format(cmd='cmd')}){extra} {select}"

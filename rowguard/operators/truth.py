@@ -26,7 +26,7 @@ def error_profile(df: DataFrame, flags: Sequence[str] = ERROR_FLAGS) -> DataFram
 
 def _hit(salt: int, one_in: int) -> Column:
     """About one row in ``one_in``, by the id alone."""
-    mixed = F.col(c.ID) * F.lit(2654435761) + F.lit(salt * 40503)
+    mixed = F.pmod(F.col(c.ID), F.lit(1 << 31)) * F.lit(2654435761) + F.lit(salt * 40503)
     return F.pmod(F.shiftright(F.pmod(mixed, F.lit(1 << 32)), 7), F.lit(one_in)) == 0
 
 
