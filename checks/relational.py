@@ -350,7 +350,8 @@ def fn_regex(spark, folder):
     return cmd(spark, folder).select(c.ID, F.col(c.CITY).contains("?").alias("has_mark"))
 
 
-@check("fn_abs_round", with_cmd("SELECT id__cmd, round(abs(S_Score_city), 2) AS size FROM scored"))
+# Rounding half away from zero acts on the written decimal of a double, so SQL rounds that decimal.
+@check("fn_abs_round", with_cmd("SELECT id__cmd, CAST(round(CAST(CAST(abs(S_Score_city) AS VARCHAR) AS DECIMAL(24, 20)), 2) AS DOUBLE) AS size FROM scored"))
 def fn_abs_round(spark, folder):
     return scored(spark, folder).select(c.ID, F.round(F.abs(c.SCORE_CITY), 2).alias("size"))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from rowguard import config as c
 from rowguard.functions.geo import haversine_m
 from rowguard.functions.predicates import any_null
+from rowguard.operators.joins import lookup_join
 
 
 def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
@@ -41,6 +44,7 @@ class PlaceClusters:
     max_n_clusters: int = 11
     seed: int = 1
     default_cluster: int = 99
+    parallelism: int = 4
     costs: dict[int, float] = field(default_factory=dict, init=False)
     k: int | None = field(default=None, init=False)
 
@@ -63,12 +67,17 @@ class PlaceClusters:
             distinct = points.limit(self.max_n_clusters).count()
             if distinct == 0:
                 return df.withColumn(self.output_col, F.lit(self.default_cluster))
-            ks = [k for k in range(2, self.max_n_clusters) if k <= distinct]
-            models = {}
-            for k in ks or [1]:
-                model = KMeans(k=max(k, 2), seed=self.seed, featuresCol="_features", weightCol="_weight", predictionCol=self.output_col).fit(points)
-                models[k], self.costs[k] = model, model.summary.trainingCost
-            self.k = elbow(ks, [self.costs[k] for k in ks]) if ks else 1
+            ks = [k for k in range(2, self.max_n_clusters) if k <= distinct] or [2]
+
+            def trial(k: int):
+                estimator = KMeans(k=k, seed=self.seed, featuresCol="_features", weightCol="_weight", predictionCol=self.output_col)
+                return estimator.fit(points)
+
+            # The trials do not depend on each other: their jobs share the cluster.
+            with ThreadPoolExecutor(self.parallelism) as pool:
+                models = dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(trial), ks)))
+            self.costs = {k: model.summary.trainingCost for k, model in models.items()}
+            self.k = elbow(ks, [self.costs[k] for k in ks])
         finally:
             points.unpersist()
         ready = df.withColumns({f"_{g}": F.col(g).cast("double") for g in self.geo_cols})
@@ -102,7 +111,7 @@ def with_common_cluster(df: DataFrame, category: str = c.STANDARD, cluster: str
     """Give each record its category's cluster; a record without category keeps its own."""
     common = f"most_common_{cluster}"
     modes = modal_clusters(df.filter(F.col(category).isNotNull()), category, cluster)
-    joined = df.join(modes, category, "left")
+    joined = lookup_join(df, modes, category)
     return joined.withColumn(common, F.coalesce(common, cluster)).select(*df.columns, common)
 
 
@@ -148,5 +157,5 @@ def merge_small(
     """
     moves = nearest_large(centroids(df, cluster, geo_cols), cluster, size_threshold)
     moves = moves.select(F.col("small_cluster_id").alias(cluster), "nearest_large_cluster")
-    joined = df.join(moves, cluster, "left")
+    joined = lookup_join(df, moves, cluster)
     return joined.withColumn(cluster, F.coalesce("nearest_large_cluster", cluster)).select(*df.columns)

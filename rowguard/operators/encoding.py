@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowguard import config as c
+from rowguard.operators.joins import lookup_join
 
 BLOCK = 1024
 
@@ -82,5 +83,6 @@ def encode(
     df: DataFrame, category: str = c.STANDARD, partition: str = c.COMMON_CLUSTER, output: str = c.CODE, block: int = BLOCK
 ) -> DataFrame:
     """Records with their category's code and the word it stands for; no category, no code."""
-    codes = encode_dictionary(df, category, partition, output, block).select("word", output)
-    return df.join(codes, df[category] == codes["word"], "left")
+    codes = encode_dictionary(df, category, partition, output, block)
+    codes = codes.select(F.col("word").alias(category), "word", output)
+    return lookup_join(df, codes, category).select(*df.columns, output, "word")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowguard import config as c
+from rowguard.operators.joins import lookup_join
 from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
@@ -114,18 +115,29 @@ class IsolationForest:
         cells = [F.col(x).cast("double").alias(f"f{i}") for i, x in enumerate(self.input_cols)]
         return self._with_group(df).select(F.col(self._group).alias("grp"), F.col(self.id_col).alias("id"), *cells).dropna()
 
+    def _sizes(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int] | None]:
+        """Rows per group, and the same as a dict when there are at most ``broadcast_groups`` groups."""
+        sizes = cut_lineage(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")))
+        few = sizes.limit(self.broadcast_groups + 1).collect()
+        return sizes, ({r["grp"]: r["size"] for r in few} if len(few) <= self.broadcast_groups else None)
+
     def samples(self, df: DataFrame) -> DataFrame:
         """``max_samples`` rows of each group for each tree, drawn by hashes of the id.
 
         A first hash keeps of each group a pool of about twice what all its trees need, so the
-        table is passed once with one hash per row; trees then draw from the pools. The draw
-        depends on ids and seed alone, not on partitions.
+        table is passed once with one hash per row, and not moved when the groups are few; trees
+        then draw from the pools. The draw depends on ids and seed alone, not on partitions.
         """
         rows = self._features(df)
         need = 2 * self.n_trees * self.max_samples
-        sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+        sizes, few = self._sizes(rows)
+        if few:
+            known = F.create_map(*[F.lit(x) for pair in few.items() for x in pair])
+            sized = rows.withColumn("size", known[F.col("grp")])
+        else:
+            sized = lookup_join(rows, sizes, "grp", "inner")
         chance = F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(_SCALE))
-        pool = rows.join(sizes, "grp").filter(chance < F.least(F.lit(1.0), F.lit(need) / F.col("size")) * _SCALE)
+        pool = sized.filter(chance < F.least(F.lit(1.0), F.lit(need) / F.col("size")) * _SCALE)
         pool = pool.withColumn("held", F.least("size", F.lit(need)))
         drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))))
         drawn = drawn.withColumn("h", F.pmod(F.xxhash64("id", "tree", F.lit(self.seed + 1)), F.lit(_SCALE)))
@@ -149,10 +161,6 @@ class IsolationForest:
         picked = self.samples(df).select("grp", "tree", "id", *names)
         return cut_lineage(picked.groupBy("grp", "tree").applyInPandas(grow, TREE_SCHEMA))
 
-    def _sample_sizes(self, df: DataFrame) -> DataFrame:
-        rows = self._features(df).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-        return rows.select("grp", F.least("size", F.lit(self.max_samples)).cast("int").alias("sample"))
-
     def transform(self, df: DataFrame, forest: DataFrame) -> DataFrame:
         """Add the score column.
 
@@ -160,11 +168,10 @@ class IsolationForest:
         ``broadcast_groups`` groups go to every task as arrays; beyond that rows and trees meet
         by group, a large group spread over slices of about 100,000 rows.
         """
-        # Trees of a group are grown from min(max_samples, rows) rows.
-        sizes = self._sample_sizes(df)
-        groups = sizes.limit(self.broadcast_groups + 1).collect()
-        if len(groups) <= self.broadcast_groups:
-            return self._score_broadcast(df, forest.toPandas(), {r["grp"]: r["sample"] for r in groups})
+        sizes, few = self._sizes(self._features(df))
+        if few is not None:
+            # Trees of a group were grown from min(max_samples, rows) rows.
+            return self._score_broadcast(df, forest.toPandas(), {g: min(n, self.max_samples) for g, n in few.items()})
         return self._score_joined(df, forest, sizes)
 
     def _score_broadcast(self, df: DataFrame, nodes: pd.DataFrame, samples: dict[str, int]) -> DataFrame:
@@ -192,9 +199,12 @@ class IsolationForest:
     def _score_joined(self, df: DataFrame, forest: DataFrame, sizes: DataFrame) -> DataFrame:
         names = [f"f{i}" for i in range(len(self.input_cols))]
         rows = self._features(df)
-        counts = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-        slices = counts.join(sizes, "grp").withColumn("slices", F.ceil(F.col("size") / ROWS_PER_SLICE).cast("int"))
-        placed = rows.join(slices, "grp").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
+        slices = sizes.select(
+            "grp",
+            F.least("size", F.lit(self.max_samples)).cast("int").alias("sample"),
+            F.ceil(F.col("size") / ROWS_PER_SLICE).cast("int").alias("slices"),
+        )
+        placed = lookup_join(rows, slices, "grp", "inner").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
         placed = placed.select("grp", "slice", "id", "sample", *names)
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - F.lit(1).cast("long"))).alias("slice")
         trees = forest.join(slices.select("grp", "slices"), "grp").select(*forest.columns, every)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rowguard import config as c
 from rowguard.functions.geo import EARTH_RADIUS_M, haversine_m
 from rowguard.functions.predicates import is_valid_point
+from rowguard.operators.joins import lookup_join
 from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
@@ -157,7 +158,7 @@ def within_radius(spots: DataFrame, radius_m: float, tile_limit: int = TILE_LIMI
         edge = judged.filter(F.col("far") > radius_m)
         heavy = (F.col("a_sites") * F.col("b_sites") > tile_limit) & F.lit(depth < MAX_DEPTH)
         bulk = whole.groupBy(F.col("a_ti").alias("ti"), F.col("a_tj").alias("tj")).agg(F.sum("b_n").alias("inside"))
-        from_bulk = placed.join(bulk, ["ti", "tj"]).select("site", "inside")
+        from_bulk = lookup_join(placed, bulk, ["ti", "tj"], "inner").select("site", "inside")
         links = edge.filter(~heavy).select("a_ti", "a_tj", "b_ti", "b_tj")
         a = placed.select(F.col("ti").alias("a_ti"), F.col("tj").alias("a_tj"), "site", F.col("lat").alias("lat_a"), F.col("long").alias("long_a"))
         b = placed.select(F.col("ti").alias("b_ti"), F.col("tj").alias("b_tj"), "n", F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))

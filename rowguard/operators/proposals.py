@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowguard import config as c
 from rowguard.functions.predicates import is_invalid_name, marked
+from rowguard.operators.joins import lookup_join
 
 
 def frequencies(records: DataFrame, column: str = c.CITY) -> DataFrame:
@@ -40,7 +41,7 @@ def propose(stacked: DataFrame, column: str = c.CITY) -> DataFrame:
 
 def details(records: DataFrame, stacked: DataFrame, column: str = c.CITY) -> DataFrame:
     """Per record: 1 replace the value, 0 it is the proposal, null a person decides."""
-    joined = records.join(stacked, column)
+    joined = lookup_join(records, stacked, column, "inner")
     change = F.when(F.col("proposed_city") == c.MANUAL, None).otherwise((F.col(column) != F.col("proposed_city")).cast("int"))
     return joined.withColumn("apply_changes", change)
 
@@ -55,5 +56,5 @@ def standard_names(stacked: DataFrame, column: str = c.CITY) -> DataFrame:
 
 def standardise(records: DataFrame, stacked: DataFrame, column: str = c.CITY) -> DataFrame:
     """Add the standardised value; values outside all clusters keep their own."""
-    joined = records.join(standard_names(stacked, column), column, "left")
+    joined = lookup_join(records, standard_names(stacked, column), column)
     return joined.withColumn(c.STANDARD, F.coalesce(F.col(c.STANDARD), F.col(column))).select(*records.columns, c.STANDARD)
