@@ -30,31 +30,42 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes ``(node, feature, cut, child, value)``; children are ``child`` and ``child + 1``, a leaf has feature -1.
+def grow_tree(points: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Node arrays of one tree, grown level by level for all its nodes at once.
 
-    ``value`` of a leaf is the depth at which its points count as isolated.
+    A node with ``feature`` -1 is a leaf and ``value`` the depth at which its points count as
+    isolated; the children of another are ``child`` and, above the cut, ``child + 1``.
     """
     limit = math.ceil(math.log2(max(len(points), 2)))
-    nodes: list[tuple] = []
-    waiting = [(0, np.arange(len(points)), 0)]
+    size = 2 * len(points)
+    feature, child = np.full(size, -1), np.full(size, -1)
+    cut, value = np.zeros(size), np.zeros(size)
+    at = np.zeros(len(points), dtype=np.int64)
+    rows = np.arange(len(points))
     used = 1
-    while waiting:
-        node, rows, depth = waiting.pop()
-        low, high = points[rows].min(axis=0), points[rows].max(axis=0)
-        open_features = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(open_features):
-            nodes.append((node, -1, 0.0, -1, depth + float(average_path(len(rows)))))
-            continue
-        feature = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        if not low[feature] <= cut < high[feature]:
-            cut = float(low[feature])
-        left = points[rows, feature] <= cut
-        nodes.append((node, feature, cut, used, 0.0))
-        waiting += [(used, rows[left], depth + 1), (used + 1, rows[~left], depth + 1)]
-        used += 2
-    return nodes
+    for depth in range(limit + 1):
+        rows = rows[np.argsort(at[rows], kind="stable")]
+        nodes, starts, counts = np.unique(at[rows], return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(points[rows], starts), np.maximum.reduceat(points[rows], starts)
+        can_split = high > low
+        grows = can_split.any(axis=1) & (depth < limit)
+        value[nodes[~grows]] = depth + average_path(counts[~grows])
+        if not grows.any():
+            break
+        nodes, low, high, can_split = nodes[grows], low[grows], high[grows], can_split[grows]
+        # One of the features that vary in the node, then a cut between its ends.
+        pick = np.floor(rng.random(len(nodes)) * can_split.sum(axis=1)).astype(np.int64)
+        chosen = np.argmax(np.cumsum(can_split, axis=1) > pick[:, None], axis=1)
+        ends = np.arange(len(nodes)), chosen
+        cuts = low[ends] + rng.random(len(nodes)) * (high[ends] - low[ends])
+        cuts = np.where(cuts < high[ends], cuts, low[ends])
+        feature[nodes], cut[nodes] = chosen, cuts
+        child[nodes] = used + 2 * np.arange(len(nodes))
+        used += 2 * len(nodes)
+        rows = rows[np.repeat(grows, counts)]
+        node = at[rows]
+        at[rows] = child[node] + (points[rows, feature[node]] > cut[node])
+    return {"node": np.arange(used), "feature": feature[:used], "cut": cut[:used], "child": child[:used], "value": value[:used]}
 
 
 def pack(nodes: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
@@ -124,12 +135,12 @@ class IsolationForest:
     def samples(self, df: DataFrame) -> DataFrame:
         """``max_samples`` rows of each group for each tree, drawn by hashes of the id.
 
-        A first hash keeps of each group a pool of about twice what all its trees need, so the
+        A first hash keeps of each group a pool of about what all its trees need, so the
         table is passed once with one hash per row, and not moved when the groups are few; trees
         then draw from the pools. The draw depends on ids and seed alone, not on partitions.
         """
         rows = self._features(df)
-        need = 2 * self.n_trees * self.max_samples
+        need = max(self.n_trees, 16) * self.max_samples
         sizes, few = self._sizes(rows)
         if few:
             known = F.create_map(*[F.lit(x) for pair in few.items() for x in pair])
@@ -153,7 +164,7 @@ class IsolationForest:
             grp, tree = key
             ordered = group.sort_values("id")
             rng = np.random.default_rng([seed, int(tree), *grp.encode()])
-            nodes = pd.DataFrame(grow_tree(ordered[names].to_numpy(), rng), columns=["node", "feature", "cut", "child", "value"])
+            nodes = pd.DataFrame(grow_tree(ordered[names].to_numpy(), rng))
             nodes.insert(0, "tree", tree)
             nodes.insert(0, "grp", grp)
             return nodes

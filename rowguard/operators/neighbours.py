@@ -90,14 +90,6 @@ def _bounds(a: str, b: str) -> tuple[Column, Column]:
     def f(tile: str, name: str) -> Column:
         return F.col(f"{tile}_{name}")
 
-    def top_cos(tile: str) -> Column:
-        return F.when((f(tile, "lat0") <= 0) & (f(tile, "lat1") >= 0), 1.0).otherwise(
-            F.greatest(F.cos(F.radians(f(tile, "lat0"))), F.cos(F.radians(f(tile, "lat1"))))
-        )
-
-    def low_cos(tile: str) -> Column:
-        return F.least(F.cos(F.radians(f(tile, "lat0"))), F.cos(F.radians(f(tile, "lat1"))))
-
     def arc(dy: Column, dx: Column, cosines: Column) -> Column:
         sy, sx = F.sin(F.radians(dy) / 2), F.sin(F.radians(dx) / 2)
         return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(sy * sy + cosines * sx * sx)))
@@ -109,11 +101,13 @@ def _bounds(a: str, b: str) -> tuple[Column, Column]:
     # Round the back of the globe the gap is 360 minus the span.
     long_gap = F.greatest(F.lit(0.0), F.least(straight, 360 - long_span))
     across = F.when(long_span <= 180, long_span).when(straight >= 180, 360 - straight).otherwise(F.lit(180.0))
-    return arc(lat_gap, long_gap, low_cos(a) * low_cos(b)), arc(lat_span, across, top_cos(a) * top_cos(b))
+    low, top = f(a, "low_cos") * f(b, "low_cos"), f(a, "top_cos") * f(b, "top_cos")
+    return arc(lat_gap, long_gap, low), arc(lat_span, across, top)
 
 
 def _extents(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("ti", "tj").agg(
+    """Tiles with their counts, the extents of their contents and the range of the latitude cosine."""
+    boxes = placed.groupBy("ti", "tj").agg(
         F.count(F.lit(1)).alias("sites"),
         F.sum("n").alias("n"),
         F.min("lat").alias("lat0"),
@@ -121,6 +115,9 @@ def _extents(placed: DataFrame) -> DataFrame:
         F.min("long").alias("long0"),
         F.max("long").alias("long1"),
     )
+    ends = F.cos(F.radians("lat0")), F.cos(F.radians("lat1"))
+    top = F.when((F.col("lat0") <= 0) & (F.col("lat1") >= 0), 1.0).otherwise(F.greatest(*ends))
+    return boxes.withColumns({"low_cos": F.least(*ends), "top_cos": top})
 
 
 def _named(tiles: DataFrame, side: str) -> DataFrame:
@@ -182,34 +179,36 @@ def within_radius(spots: DataFrame, radius_m: float, tile_limit: int = TILE_LIMI
 # -- nearest site --------------------------------------------------------------------------
 
 
-def _band_cells(far: Column, step: float) -> Column:
-    """Cells round the globe in a latitude band whose farthest latitude is ``far``; each spans at least the step there."""
+def _ring(band: Column, step: float) -> Column:
+    """Cells round the globe in a latitude band; each is at least a step wide anywhere in the band or beside it."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * step - 90), F.abs((band + 2) * step - 90)))
     half = F.sin(F.lit(math.radians(step) / 2)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
     reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), half)))
     return F.greatest(F.lit(1), F.floor(F.lit(360.0) / reach).cast("int"))
 
 
-def _band_far(band: Column, step: float) -> Column:
-    """Largest absolute latitude of a band and its two neighbours, for a safe cell width."""
-    low, high = (band - 1) * step - 90, (band + 2) * step - 90
-    return F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(high)))
+def _with_band(points: DataFrame, step: float) -> DataFrame:
+    return points.withColumn("band", F.floor((F.col("lat") + 90) / F.lit(step)).cast("int"))
 
 
-def _cell(step: float) -> tuple[Column, Column]:
-    band = F.floor((F.col("lat") + 90) / F.lit(step)).cast("int")
-    cells = _band_cells(_band_far(band, step), step)
-    return band, F.pmod(F.floor((F.col("long") + 180) / 360 * cells).cast("int"), cells)
+def _in_cells(points: DataFrame, step: float) -> DataFrame:
+    """Each point with its band and cell."""
+    ringed = _with_band(points, step).withColumn("ring", _ring(F.col("band"), step))
+    return ringed.withColumn("cell", F.pmod(F.floor((F.col("long") + 180) / 360 * F.col("ring")).cast("int"), F.col("ring"))).drop("ring")
 
 
-def _cells_around(step: float) -> Column:
-    """The cells of the three bands around a point that hold everything within the step."""
-    band = F.floor((F.col("lat") + 90) / F.lit(step)).cast("int")
-    rings = []
-    for d in (-1, 0, 1):
-        cells = _band_cells(_band_far(band + d, step), step)
-        mid = F.floor((F.col("long") + 180) / 360 * cells).cast("int")
-        rings.append(F.array(*[F.struct((band + d).alias("band"), F.pmod(mid + k, cells).alias("cell")) for k in (-1, 0, 1)]))
-    return F.array_distinct(F.concat(*rings))
+def _around(points: DataFrame, step: float) -> DataFrame:
+    """Each point once for every cell, in its band and the two beside it, that may hold points within the step."""
+    bands = _with_band(points, step).withColumnRenamed("band", "own")
+    ringed = bands.withColumns({f"ring{d + 1}": _ring(F.col("own") + d, step) for d in (-1, 0, 1)})
+    turn = (F.col("long") + 180) / 360
+    mids = ringed.withColumns({f"mid{i}": F.floor(turn * F.col(f"ring{i}")).cast("int") for i in range(3)})
+    cells = [
+        F.struct((F.col("own") + i - 1).alias("band"), F.pmod(F.col(f"mid{i}") + k, F.col(f"ring{i}")).alias("cell"))
+        for i in range(3)
+        for k in (-1, 0, 1)
+    ]
+    return mids.select(*points.columns, F.explode(F.array_distinct(F.array(*cells))).alias("at")).select(*points.columns, "at.band", "at.cell")
 
 
 def _steps(reach_m: float) -> list[float]:
@@ -220,8 +219,17 @@ def _steps(reach_m: float) -> list[float]:
 
 
 def _first_step(points: DataFrame, steps: list[float]) -> int:
-    """The largest step whose fullest cell is small enough to be compared member by member."""
-    placed = [F.struct(F.lit(i).alias("s"), *[x.alias(n) for x, n in zip(_cell(_degrees(m)), ("band", "cell"))]) for i, m in enumerate(steps)]
+    """The largest step at which no cell is too full to be compared member by member.
+
+    Only a starting point, so plain squares do for the cells.
+    """
+
+    def square(i: int, metres: float) -> Column:
+        side = F.lit(_degrees(metres))
+        across = F.col("long") * F.cos(F.radians("lat"))
+        return F.struct(F.lit(i).alias("s"), F.floor(F.col("lat") / side).alias("i"), F.floor(across / side).alias("j"))
+
+    placed = [square(i, metres) for i, metres in enumerate(steps)]
     spread = points.select(F.explode(F.array(*placed)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     full = {r["s"]: r["n"] for r in spread.groupBy("p.s").agg(F.max("n").alias("n")).collect()}
     fit = [i for i in range(len(steps)) if full.get(i, 0) <= CELL_LIMIT]
@@ -242,9 +250,8 @@ def nearest_site(spots: DataFrame, reach_m: float) -> DataFrame:
     done: DataFrame | None = None
     for i in range(start, len(steps)):
         step = _degrees(steps[i]) * 1.0001
-        band, cell = _cell(step)
-        stock = points.select(F.col("site").alias("other"), F.col("lat").alias("lat_o"), F.col("long").alias("long_o"), band.alias("band"), cell.alias("cell"))
-        probes = seekers.select("*", F.explode(_cells_around(step)).alias("at")).select("site", "lat", "long", "at.band", "at.cell")
+        stock = _in_cells(points.select(F.col("site").alias("other"), "lat", "long"), step).withColumnsRenamed({"lat": "lat_o", "long": "long_o"})
+        probes = _around(seekers.select("site", "lat", "long"), step)
         met = probes.join(stock, ["band", "cell"]).filter(F.col("site") != F.col("other"))
         metres = F.round(haversine_m("lat", "long", "lat_o", "long_o"), 2)
         best = met.groupBy("site").agg(F.min(F.struct(metres.alias("distance"), F.col("other").alias("closest_site"))).alias("m"))

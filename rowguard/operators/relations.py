@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowguard.operators.ranking import dense_index
+from rowguard.session import cut_lineage, shared_folder
 
 MI_BINS = 32
 KENDALL_BLOCK = 4096
+RADIX = 8
 
 
 def _matrix(pairs: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
@@ -98,73 +102,78 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = MI_BIN
     return _matrix(scored, columns, "nmi")
 
 
-def _pairs_of(n: Column) -> Column:
-    return F.sum(n * (n - 1) / 2)
+def _ranked_values(points: DataFrame, column: str, out: str) -> DataFrame:
+    """The distinct values of a column with their weight and dense 0-based rank."""
+    return dense_index(points.groupBy(column).agg(F.sum("w").alias("n")), [column], out)
 
 
-def _with_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Dense 0-based rank of a column's values, numbered over its distinct values."""
-    values = dense_index(df.select(column).distinct(), [column], out)
-    return df.join(values, column)
+def _tied(values: DataFrame, weight: str) -> tuple[float, int]:
+    """Pairs of equal members, and the number of distinct ones."""
+    row = values.agg(F.sum(F.col(weight) * (F.col(weight) - 1) / 2), F.count(F.lit(1))).first()
+    return row[0] or 0.0, row[1]
 
 
-def _discordant(points: DataFrame) -> float:
+def _discordant(points: DataFrame, x_values: int, y_values: int) -> float:
     """Pairs ordered one way by x and the other way by y, from weighted ranked points (x, y, w).
 
-    Two y ranks first differ at one binary digit. For each digit, the points that agree on all
-    higher digits form a family; in it, points with a 1 left of points with a 0 are discordant.
-    Each family is summed per x, then per block of x ranks, so a family that holds all rows is
-    still spread over its blocks: whole blocks are paired by running block sums, and points
-    within a block by running sums over the x values of that block.
+    Two y ranks first differ at one digit of base RADIX. For each digit, the points that agree on
+    all higher digits form a family; in it, a point is discordant with those to its left that have
+    a larger digit. Each family is summed per x, then per block of x ranks, so a family that holds
+    all rows is still spread over its blocks: whole blocks are paired by running block sums, and
+    points within a block by running sums over the x values of that block.
     """
-    top = points.agg(F.max("y")).first()[0]
-    if top is None or top == 0:
-        return 0.0
-    digits = int(top).bit_length()
-    x_values = points.agg(F.max("x")).first()[0] + 1
+    digits = 1
+    while RADIX**digits < y_values:
+        digits += 1
     block = max(KENDALL_BLOCK, int(x_values**0.5) + 1)
+    names = [f"s{v}" for v in range(RADIX)]
     digit = F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("d")
+    shift = RADIX.bit_length() - 1
     parts = points.select("x", "y", "w", digit).select(
-        "x",
-        "d",
-        F.expr("shiftright(y, d + 1)").alias("family"),
-        F.expr("CASE WHEN shiftright(y, d) & 1 = 1 THEN w ELSE 0 END").alias("ones"),
-        F.expr("CASE WHEN shiftright(y, d) & 1 = 0 THEN w ELSE 0 END").alias("zeros"),
+        "x", "w", "d", F.expr(f"shiftright(y, (d + 1) * {shift})").alias("family"), F.expr(f"shiftright(y, d * {shift}) & {RADIX - 1}").alias("v")
     )
-    per_x = parts.groupBy("d", "family", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    per_x = per_x.withColumn("block", F.floor(F.col("x") / block))
-    inside = Window.partitionBy("d", "family", "block").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    within = per_x.select((F.col("zeros").cast("double") * F.coalesce(F.sum("ones").over(inside), F.lit(0))).alias("hits"))
-    per_block = per_x.groupBy("d", "family", "block").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    before = Window.partitionBy("d", "family").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    across = per_block.select((F.col("zeros").cast("double") * F.coalesce(F.sum("ones").over(before), F.lit(0))).alias("hits"))
+    sums = [F.sum(F.when(F.col("v") == v, F.col("w")).otherwise(F.lit(0))).alias(n) for v, n in enumerate(names)]
+    per_x = parts.groupBy("d", "family", "x").agg(*sums).withColumn("block", F.floor(F.col("x") / block))
+    per_block = per_x.groupBy("d", "family", "block").agg(*[F.sum(n).alias(n) for n in names])
+
+    def hits(df: DataFrame, window: Window) -> DataFrame:
+        left = [F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"l{v}") for v, n in enumerate(names)]
+        larger = [sum((F.col(f"l{u}") for u in range(v + 1, RADIX)), F.lit(0)) for v in range(RADIX - 1)]
+        total = sum((F.col(names[v]).cast("double") * larger[v] for v in range(RADIX - 1)), F.lit(0.0))
+        return df.select(*names, *left).select(total.alias("hits"))
+
+    within = hits(per_x, Window.partitionBy("d", "family", "block").orderBy("x"))
+    across = hits(per_block, Window.partitionBy("d", "family").orderBy("block"))
     return within.unionAll(across).agg(F.coalesce(F.sum("hits"), F.lit(0.0))).first()[0]
 
 
 def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
     """Exact tau-b of two columns over the rows where both are known; null when one is constant."""
-    points = (
-        df.select(F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))
-        .dropna()
-        .groupBy("u", "v")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
+    known = df.select(F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v")).dropna()
+    points = cut_lineage(known.groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
     total = points.agg(F.sum("w")).first()[0] or 0
-    ties = [points.groupBy(k).agg(F.sum("w").alias("n")).agg(_pairs_of(F.col("n"))).first()[0] or 0.0 for k in ("u", "v")]
-    both = points.agg(_pairs_of(F.col("w"))).first()[0] or 0.0
+    xs, ys = _ranked_values(points, "u", "x"), _ranked_values(points, "v", "y")
+    (tied_x, x_values), (tied_y, y_values) = _tied(xs, "n"), _tied(ys, "n")
     pairs = total * (total - 1) / 2
-    if pairs == ties[0] or pairs == ties[1]:
+    if pairs in (tied_x, tied_y):
         return None
-    ranked = _with_rank(_with_rank(points, "u", "x"), "v", "y").select("x", "y", "w")
-    discordant = _discordant(ranked)
-    concordant = pairs - ties[0] - ties[1] + both - discordant
-    return (concordant - discordant) / ((pairs - ties[0]) * (pairs - ties[1])) ** 0.5
+    both, _ = _tied(points, "w")
+    ranked = points.join(xs.select("u", "x"), "u").join(ys.select("v", "y"), "v").select("x", "y", "w")
+    discordant = _discordant(ranked, x_values, y_values)
+    concordant = pairs - tied_x - tied_y + both - discordant
+    return (concordant - discordant) / ((pairs - tied_x) * (pairs - tied_y)) ** 0.5
 
 
-def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def kendall(df: DataFrame, columns: Sequence[str], parallelism: int = 4) -> DataFrame:
     """Kendall tau-b of every pair; only the finished coefficients pass through the driver."""
     spark = df.sparkSession
-    rows = [(a, b, kendall_pair(df, a, b)) for a, b in combinations(columns, 2)]
+    shared_folder(spark)
+
+    def one(pair: tuple[str, str]) -> tuple[str, str, float | None]:
+        return (*pair, kendall_pair(df, *pair))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(one), combinations(columns, 2)))
     return _matrix(spark.createDataFrame(rows, "column_1 string, column_2 string, kendall double"), columns, "kendall")
 
 
