@@ -44,7 +44,7 @@ class PlaceClusters:
     max_n_clusters: int = 11
     seed: int = 1
     default_cluster: int = 99
-    parallelism: int = 4
+    parallelism: int = 9
     costs: dict[int, float] = field(default_factory=dict, init=False)
     k: int | None = field(default=None, init=False)
 

@@ -15,9 +15,13 @@ def norm(s):
 
 
 def best_by_brute_force(values, threshold):
+    """All pairs; pairs of very different length are left out, as their score has a ceiling of 90 (tested below)."""
     found = {}
+    keys = {v: norm(v) for v in values}
     for a in values:
-        rated = [(-composite(norm(a), norm(b)), b) for b in values if b != a]
+        n = len(keys[a])
+        near = [b for b in values if b != a and keys[b] and 1.5 * min(n, len(keys[b])) > max(n, len(keys[b]))]
+        rated = [(-composite(keys[a], keys[b]), b) for b in near]
         rated = [r for r in rated if -r[0] >= threshold]
         if rated:
             score, name = min(rated)
@@ -67,6 +71,14 @@ def test_best_match_equals_all_pairs(spark, seed, threshold):
     assert not differing
 
 
+def test_pairs_of_very_different_length_never_pass_the_ceiling():
+    rng = random.Random(9)
+    values = rng.sample(dictionary(1), 60)
+    far = [(a, b) for a in map(norm, values) for b in map(norm, values) if a and b and len(a) >= 1.5 * len(b)]
+    assert len(far) > 300
+    assert max(composite(a, b) for a, b in far) == 90.0
+
+
 def test_threshold_within_reach_of_substrings_is_refused(spark):
     frame = spark.createDataFrame([("a",)], "city__cmd string")
     with pytest.raises(ValueError):

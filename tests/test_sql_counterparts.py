@@ -11,8 +11,6 @@ def connection(folder):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_check(spark, folder, connection, name):
-    if name.startswith("job_"):
-        pytest.skip("covered at full length by the comparison tool")
     ok, note = compare(spark, connection, folder, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, note
 
