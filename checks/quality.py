@@ -128,7 +128,21 @@ def ml_cluster(spark, folder):
     return _clusterer().fit(_records(spark, folder))
 
 
-@check("ml_similarity_encode")
+@check(
+    "ml_similarity_encode",
+    with_cmd(
+        """SELECT id__cmd, scored.city__cmd, scored.cluster, before + step AS index, word FROM scored
+        LEFT JOIN walked ON word = scored.city__cmd LEFT JOIN starts ON starts.part = walked.part""",
+        """words AS (SELECT city__cmd AS w, min(cluster) AS part FROM scored GROUP BY city__cmd),
+        starts AS (SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+                   FROM (SELECT part, count(*) AS n FROM words GROUP BY part)),
+        walked AS (SELECT part, 1::BIGINT AS step, min(w) AS word, [min(w)] AS used FROM words GROUP BY part
+                   UNION ALL
+                   SELECT part, step + 1, next.w, list_append(used, next.w) FROM
+                   (SELECT t.part, t.step, t.used, min(struct_pack(d := -levenshtein(t.word, v.w), w := v.w)) AS next
+                    FROM walked t JOIN words v ON v.part = t.part AND NOT list_contains(t.used, v.w) GROUP BY t.part, t.step, t.used))""",
+    ),
+)
 def ml_similarity_encode(spark, folder):
     return encoding.encode(scored(spark, folder).select(c.ID, c.CITY, "cluster"), c.CITY, "cluster")
 

@@ -51,6 +51,44 @@ STANDARD = (
 )
 
 
+
+
+def norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'))"
+
+
+def words_sql(key: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({key}, ' '), lambda w: w <> '')))"
+
+
+def common_sql(a: str, b: str) -> str:
+    """Longest common subsequence: one table row per character of ``a``, each a running maximum."""
+    cell = f"greatest(line[q], CASE WHEN {b}[q] = ch THEN coalesce(line[q - 1], 0) + 1 ELSE 0 END)"
+    row = f"list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda q: {cell})))"
+    start = f"list_transform(range(1, length({b}) + 1), lambda z: 0::BIGINT)"
+    folded = f"list_reduce(list_concat([{start}], list_transform(string_split({a}, ''), lambda c: [ascii(c)::BIGINT])), lambda line, c: "
+    return folded + row.replace("= ch", "= chr(c[1]::INT)") + ")[-1]"
+
+
+def score_sql(source: str) -> str:
+    """``l, r, score`` of pairs ``l, r, ka, kb`` whose lengths are comparable."""
+    ratio = "floor(200e0 * {n} / ({x} + {y}) + 0.5e0)"
+    plain = ratio.format(n=common_sql("ka", "kb"), x="length(ka)", y="length(kb)")
+    ordered = ratio.format(n=common_sql("sa", "sb"), x="length(sa)", y="length(sb)")
+    shared = "greatest({}, {})".format(*[ratio.format(n="length(s0)", x="length(s0)", y=f"length({s})") for s in ("sa", "sb")])
+    return f"""SELECT l, r, floor(greatest({plain}, 0.95e0 * {ordered}, CASE WHEN s0 = '' THEN 0e0 ELSE 0.95e0 * {shared} END) + 0.5e0) AS score
+    FROM (SELECT *, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb, array_to_string(list_intersect(ta, tb), ' ') AS s0
+          FROM (SELECT *, {words_sql('ka')} AS ta, {words_sql('kb')} AS tb FROM {source}))
+    WHERE greatest(length(ka), length(kb)) < 1.5e0 * least(length(ka), length(kb))"""
+
+
+SIMILAR = f"""names AS (SELECT DISTINCT city__cmd AS v, {norm_sql('city__cmd')} AS k FROM cmd WHERE city__cmd IS NOT NULL),
+name_pairs AS (SELECT a.v AS l, b.v AS r, a.k AS ka, b.k AS kb FROM names a JOIN names b ON a.v < b.v WHERE a.k <> '' AND b.k <> ''),
+rated_pairs AS ({score_sql('name_pairs')}),
+best AS (SELECT value, matched, score FROM (SELECT value, matched, score, row_number() OVER (PARTITION BY value ORDER BY score DESC, matched) AS rn
+         FROM (SELECT l AS value, r AS matched, score FROM rated_pairs UNION ALL SELECT r, l, score FROM rated_pairs) WHERE score >= 92) WHERE rn = 1)"""
+
+
 def _members(records):
     return cut_lineage(components.numbered_components(matching.spelling_edges(records)))
 
@@ -98,17 +136,35 @@ def jn_best_match_spelling(spark, folder):
     return best.withColumn("similarity_score_jellyfish", F.round("similarity_score_jellyfish", 6))
 
 
-@check("jn_best_match")
+@check("jn_best_match", with_cmd("SELECT value, matched, score AS similarity_score_fuzzy FROM best", SIMILAR))
 def jn_best_match(spark, folder):
     return matching.best_matches(cmd(spark, folder))
 
 
-@check("dq_match_pairs")
+@check(
+    "dq_match_pairs",
+    with_cmd(
+        """SELECT value AS city__cmd, matched AS matched_city, score AS similarity_score_fuzzy,
+        round(jaro_winkler_similarity(value, matched) * 100, 6) AS similarity_score_jellyfish FROM best
+        WHERE jaro_winkler_similarity(value, matched) * 100 >= 85""",
+        SIMILAR,
+    ),
+)
 def dq_match_pairs(spark, folder):
-    return matching.match_pairs(cmd(spark, folder))
+    pairs = matching.match_pairs(cmd(spark, folder))
+    return pairs.withColumn("similarity_score_jellyfish", F.round("similarity_score_jellyfish", 6))
 
 
-@check("jn_fuzzy_theta")
+@check(
+    "jn_fuzzy_theta",
+    with_cmd(
+        "SELECT l AS city__cmd, city_count, r AS p_name, parts FROM theta JOIN observed ON city__cmd = l JOIN named_parts ON p_name = r WHERE score >= 92",
+        f"""observed AS (SELECT city__cmd, count(*) AS city_count FROM cmd GROUP BY city__cmd),
+        named_parts AS (SELECT p_name, count(*) AS parts FROM part GROUP BY p_name),
+        theta_pairs AS (SELECT city__cmd AS l, p_name AS r, {norm_sql('city__cmd')} AS ka, {norm_sql('p_name')} AS kb FROM observed, named_parts),
+        theta AS ({score_sql('theta_pairs')})""",
+    ),
+)
 def jn_fuzzy_theta(spark, folder):
     observed = cmd(spark, folder).groupBy(c.CITY).agg(F.count(F.lit(1)).alias("city_count"))
     names = read_parquet(spark, folder, "part", ["p_name"]).groupBy("p_name").agg(F.count(F.lit(1)).alias("parts"))

@@ -77,6 +77,12 @@ def jn_nearest(spark, folder):
     return rounded(clusters.nearest_large(centers, "cluster", 400), 1, "distance_m")
 
 
+@check("win_nearest", with_cmd("SELECT small AS small_cluster_id, large AS nearest_large_cluster FROM nearest", NEAREST))
+def win_nearest(spark, folder):
+    centers = clusters.centroids(scored(spark, folder), "cluster")
+    return clusters.nearest_large(centers, "cluster", 400).select("small_cluster_id", "nearest_large_cluster")
+
+
 _MERGED = "SELECT id__cmd, cluster AS original, coalesce(large, cluster) AS cluster FROM scored LEFT JOIN nearest ON small = cluster"
 
 
