@@ -346,7 +346,32 @@ def job_pair_scores_composite(spark, folder):
     return pairs.withColumn("score", composite_score(c.CITY, "true_city"))
 
 
-@check("job_pair_distance")
+# Vincenty's inverse formula, one row per pair and iteration; these pairs settle within a few.
+_GEODESIC = """consts AS (SELECT 6378137e0 AS a, 1 / 298.257223563e0 AS f, 6378137e0 * (1 - 1 / 298.257223563e0) AS b),
+centers AS (SELECT post_code__cmd, avg(lat__cmd) AS clat, avg(long__cmd) AS clong FROM cmd GROUP BY post_code__cmd),
+reduced AS (SELECT id__cmd, f, atan((1 - f) * tan(radians(lat__cmd))) AS u1, atan((1 - f) * tan(radians(clat))) AS u2,
+            radians(clong - long__cmd) AS span FROM cmd JOIN centers USING (post_code__cmd), consts WHERE lat__cmd IS NOT NULL),
+turns AS (SELECT id__cmd, f, u1, u2, span, span AS lam, 0 AS n FROM reduced
+          UNION ALL
+          SELECT id__cmd, f, u1, u2, span, span + (1 - k) * f * sa * (sig + k * ss * (mid + k * cs * (2 * mid * mid - 1))), n + 1 FROM
+          (SELECT *, f / 16 * ca2 * (4 + f * (4 - 3 * ca2)) AS k FROM
+           (SELECT *, CASE WHEN ca2 > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / ca2 ELSE 0e0 END AS mid FROM
+            (SELECT *, atan2(ss, cs) AS sig, 1 - sa * sa AS ca2 FROM
+             (SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0e0 END AS sa FROM
+              (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+                      sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM turns WHERE n < 12))))) WHERE n < 12),
+lengths AS (SELECT id__cmd, b * big_a * (sig - big_b * ss * (mid + big_b / 4 * (cs * (2 * mid * mid - 1)
+              - big_b / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))) AS d FROM
+           (SELECT *, 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))) AS big_a,
+                   usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))) AS big_b FROM
+            (SELECT *, CASE WHEN ca2 > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / ca2 ELSE 0e0 END AS mid, ca2 * (a * a - b * b) / (b * b) AS usq FROM
+             (SELECT *, atan2(ss, cs) AS sig, 1 - sa * sa AS ca2 FROM
+              (SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0e0 END AS sa FROM
+               (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+                       sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM turns WHERE n = 12))), consts)))"""
+
+
+@check("job_pair_distance", with_cmd("SELECT id__cmd, round(d, 2) AS distance_m FROM cmd LEFT JOIN lengths USING (id__cmd)", _GEODESIC))
 def job_pair_distance(spark, folder):
     base = cmd(spark, folder).select(c.ID, c.POST_CODE, c.LAT, c.LONG)
     pairs = base.join(clusters.centroids(base, c.POST_CODE), c.POST_CODE)

@@ -286,7 +286,8 @@ def neighbours(
     told = spots.join(counted, "site", "left").join(near.join(names, "closest_site"), "site", "left")
     own = F.col("first.id") == F.col("id")
     crowded = F.col("n") > 1
-    per_record = point.join(told, ["lat", "long"]).select(
+    # A coordinate pair may hold a large share of the records.
+    per_record = lookup_join(point, told, ["lat", "long"], "inner").select(
         "id",
         (F.coalesce("inside", "n") - 1).alias("neighbors_count"),
         F.when(crowded & own, F.col("second.city")).when(crowded, F.col("first.city")).otherwise(F.col("closest_city")).alias("closest_city__cmd"),
