@@ -19,22 +19,22 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, (left[k].eqNullSafe(right["_hot_" + k]) for k in keys))
 
 
-def hot_keys(records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that hold more than one row in HOT_KEYS; there are fewer than HOT_KEYS of them.
+def hot_keys(records: DataFrame, keys: Sequence[str], most: int = HOT_KEYS) -> DataFrame:
+    """Keys that hold more than one row in ``most``; there are fewer than ``most`` of them.
 
     Counting is partial in every task before anything is shuffled; null is a key like any other.
     """
     counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = records.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(F.col("_n") * HOT_KEYS > total).select(*[F.col(k).alias("_hot_" + k) for k in keys], F.lit(True).alias("_is_hot"))
+    return counts.filter(F.col("_n") * most > total).select(*[F.col(k).alias("_hot_" + k) for k in keys], F.lit(True).alias("_is_hot"))
 
 
-def salted_join(records: DataFrame, dictionary: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Shuffle join in which the rows of a hot key go to SALTS places, each with a copy of its entry."""
-    hot = cut_lineage(hot_keys(records, keys))
+def salted_join(records: DataFrame, dictionary: DataFrame, keys: Sequence[str], how: str, most: int = HOT_KEYS) -> DataFrame:
+    """Shuffle join in which the records of a hot key go to SALTS places, each with a copy of its entries."""
+    hot = cut_lineage(hot_keys(records, keys, most))
 
     def marked(df: DataFrame) -> DataFrame:
-        # Fewer than HOT_KEYS rows, so it may go to every task.
+        # Fewer than ``most`` rows, so it may go to every task.
         return df.join(F.broadcast(hot), _same(df, hot, keys), "left").drop(*["_hot_" + k for k in keys])
 
     spread = F.pmod(F.xxhash64(*records.columns), F.lit(SALTS)).cast("int")

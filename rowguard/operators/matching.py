@@ -10,12 +10,14 @@ so a search loses no match and has no cap.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowguard import config as c
 from rowguard.functions.text import composite_score, jaro_winkler_score, normalised, tokens_of
+from rowguard.operators.joins import lookup_join, salted_join
 from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
@@ -61,7 +63,7 @@ def edit_neighbours(values: DataFrame, column: str, distance: int = 1, group: st
     marks = base.select(*keys, "v", F.explode(every).alias("mark"))
     left = marks.select(*keys, "mark", F.col("v").alias("left"))
     right = marks.select(*keys, "mark", F.col("v").alias("right"))
-    close = (F.col("left") < F.col("right")) & (F.levenshtein("left", "right") <= distance)
+    close = (F.col("left") < F.col("right")) & (F.levenshtein("left", "right", distance) >= 0)
     pairs = left.join(right, [*keys, "mark"]).filter(close).select(*keys, "left", "right").distinct()
     return pairs.withColumn("distance", F.levenshtein("left", "right"))
 
@@ -183,15 +185,22 @@ def _long_pairs(left: DataFrame, right: DataFrame, text: str, rate: float) -> Da
 
     # The edit distance never exceeds the insertions and deletions, so it rejects most meetings
     # inside the join, before anything is emitted.
-    near = (F.levenshtein("text", "other_text", 1 << 20) <= F.col("edits")) & (F.col("key") != F.col("other"))
+    near = F.expr("levenshtein(text, other_text, edits) >= 0") & (F.col("key") != F.col("other"))
     comparable = F.greatest("size", "other_size") < 1.5 * F.least("size", "other_size")
 
     def meet(stock: DataFrame, probes: DataFrame) -> DataFrame:
-        return segments(stock).join(windows(probes), ["n", "no", "mark"]).filter(near & comparable).select("key", "other")
+        # A segment that very many texts share is split over many tasks.
+        met = salted_join(segments(stock), windows(probes), ["n", "no", "mark"], "inner", most=10_000)
+        return met.filter(near & comparable).select("key", "other")
 
+    return _either_way(left, right, meet)
+
+
+def _either_way(left: DataFrame, right: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Pairs met with either side as the stock; of one table with itself the second is the mirror of the first."""
     forth = meet(left, right)
-    back = meet(right, left).select(F.col("other").alias("key"), F.col("key").alias("other"))
-    return forth.unionByName(back).distinct()
+    back = forth if left is right else meet(right, left)
+    return forth.unionByName(back.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
 
 
 def _word_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
@@ -205,7 +214,8 @@ def _word_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
     rarity = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
 
     def filed(df: DataFrame) -> DataFrame:
-        single = df.select("key", "size", "words", "sorted_text", F.explode("words").alias("word")).join(rarity, "word")
+        single = df.select("key", "size", "words", "sorted_text", F.explode("words").alias("word"))
+        single = lookup_join(single, rarity, "word", "inner")
         ranked = single.groupBy("key").agg(
             F.first("size").alias("size"),
             F.first("words").alias("words"),
@@ -224,12 +234,10 @@ def _word_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
         )
         inside = F.size(F.array_except("words", "other_words")) <= F.col("own")
         comparable = F.greatest("size", "other_size") < 1.5 * F.least("size", "other_size")
-        met = filed(stock).join(asked, "word").filter((F.col("key") != F.col("other")) & inside & comparable)
-        return met.select("key", "other")
+        met = salted_join(asked, filed(stock), ["word"], "inner")
+        return met.filter((F.col("key") != F.col("other")) & inside & comparable).select("key", "other")
 
-    forth = meet(left, right)
-    back = meet(right, left).select(F.col("other").alias("key"), F.col("key").alias("other"))
-    return forth.unionByName(back).distinct()
+    return _either_way(left, right, meet)
 
 
 def _keys(values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
