@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,17 +31,31 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFr
     return numbered.withColumn(out, F.col("_start") + F.col("_offset")).drop("_place", "_part", "_offset", "_start")
 
 
+def _known_values(df: DataFrame, column: str) -> DataFrame:
+    values = df.select(F.col(column).cast("double").alias("v"))
+    return values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def _ends(values: DataFrame) -> tuple[float, float, int]:
+    return tuple(values.agg(F.min("v"), F.max("v"), F.count("v")).first())
+
+
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
-    """Exact values at 0-based ``ranks`` among the non-null values of a numeric column.
+    """Exact values at 0-based ``ranks`` among the non-null values of a numeric column."""
+    values = _known_values(df, column)
+    return _at_ranks(values, _ends(values), ranks)
+
+
+def _at_ranks(values: DataFrame, ends: tuple[float, float, int], ranks: Sequence[int]) -> list[float]:
+    """Values at the ranks, by narrowing intervals.
 
     Each pass counts the values of the intervals that still hold a wanted rank in 4096 equal
     bins and keeps one bin per rank, until that bin is a single value. A pass returns at most
     ``len(ranks) * 4096`` counts, a hot value is one row of them, and no value list is built.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    low, high, total = ends
     if any(r < 0 or r >= total for r in ranks):
-        raise ValueError(f"rank outside the {total} values of {column}")
+        raise ValueError(f"rank outside the {total} values")
     found: dict[int, float] = {}
     open_spans = {(low, high): (0, sorted(set(ranks)))}
     while open_spans:
@@ -48,7 +63,11 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> list[f
         hits = []
         for i, ((lo, hi), _) in enumerate(spans):
             width = (hi - lo) / BINS
-            bin_no = F.least(F.floor((F.col("v") - lo) / F.lit(width)), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+            if 0 < width < math.inf:
+                bin_no = F.least(F.floor((F.col("v") - lo) / F.lit(width)), F.lit(BINS - 1))
+            else:
+                # One value, or ends that cannot be divided: set the ends apart from what lies between.
+                bin_no = F.when(F.col("v") == lo, 0).when(F.col("v") == hi, 2).otherwise(1)
             hits.append(F.when(F.col("v").between(lo, hi), F.struct(F.lit(i).alias("s"), bin_no.cast("int").alias("b"))))
         binned = values.select("v", F.explode(F.array_compact(F.array(*hits))).alias("k"))
         rows = binned.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
@@ -69,16 +88,15 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> list[f
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], interpolate: bool = False) -> list[float | None]:
     """Exact quantiles: by rank, the smallest value whose share of rows reaches ``p``, or interpolated."""
-    import math
-
-    count = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    values = _known_values(df, column)
+    ends = _ends(values)
+    count = ends[2]
     if not count:
         return [None] * len(probs)
     if not interpolate:
-        return order_statistics(df, column, [min(max(math.ceil(p * count) - 1, 0), count - 1) for p in probs])
+        return _at_ranks(values, ends, [min(max(math.ceil(p * count) - 1, 0), count - 1) for p in probs])
     spots = [p * (count - 1) for p in probs]
-    ranks = [r for s in spots for r in (math.floor(s), math.ceil(s))]
-    at = order_statistics(df, column, ranks)
+    at = _at_ranks(values, ends, [r for s in spots for r in (math.floor(s), math.ceil(s))])
     return [at[2 * i] + (at[2 * i + 1] - at[2 * i]) * (s - math.floor(s)) for i, s in enumerate(spots)]
 
 

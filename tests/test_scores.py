@@ -66,6 +66,11 @@ def test_order_statistics_and_quantiles(spark):
     assert ranking.quantiles(frame.filter("v is null"), "v", [0.5]) == [None]
     with pytest.raises(ValueError):
         ranking.order_statistics(frame, "v", [10**6])
+    wide = [float("-inf"), -1.7e308, 0.0, 5e-324, 1e-323, 1.7e308, float("inf")]
+    extreme = spark.createDataFrame([(v,) for v in wide], "v double")
+    assert ranking.order_statistics(extreme, "v", list(range(7))) == wide
+    tiny = spark.createDataFrame([(0.0,), (5e-324,), (1e-323,)], "v double")
+    assert ranking.order_statistics(tiny, "v", [0, 1, 2]) == [0.0, 5e-324, 1e-323]
 
 
 def test_dense_index_numbers_in_order(spark):
