@@ -17,6 +17,7 @@ from rowguard import config as c
 from rowguard.functions.geo import haversine_m
 from rowguard.functions.predicates import any_null
 from rowguard.operators.joins import lookup_join
+from rowguard.session import cut_lineage
 
 
 def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
@@ -61,7 +62,8 @@ class PlaceClusters:
         geo = [F.col(g).cast("double").alias(g) for g in self.geo_cols]
         places = df.dropna(subset=list(self.geo_cols)).select(*geo).groupBy(*self.geo_cols)
         assembler = VectorAssembler(inputCols=list(self.geo_cols), outputCol="_features")
-        weighted = places.agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+        # Written once: the many passes read few, even partitions, and a lost executor repeats no grouping.
+        weighted = cut_lineage(places.agg(F.count(F.lit(1)).cast("double").alias("_weight")))
         points = assembler.transform(weighted).select("_features", "_weight").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             distinct = points.limit(self.max_n_clusters).count()
