@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowguard.llm import exact_dedup, mixing, packing, simhash, toxicity
+from rowguard.llm import exact_dedup, hashing_index, kneser_ney, mixing, packing, pseudonyms, simhash, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -90,8 +90,27 @@ def packing_gga(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def quality_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    judged = kneser_ney.judged(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return judged.withColumnRenamed("id", "doc_id")
+
+
+def nearest_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return hashing_index.nearest(_read(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+def pseudonyms_feistel(spark: SparkSession, folder: str) -> DataFrame:
+    changed = pseudonyms.pseudonymised(_read(spark, folder, "documents"), pseudonyms.SAMPLE_KEY)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return changed.select(F.col("id").alias("doc_id"), *counts, "spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES = {
+    "op2_quality_kneser_ney": quality_kneser_ney,
     "op3_mixing_ipf": mixing_ipf,
+    "op4_nearest_multi_index": nearest_multi_index,
+    "op6_pseudonyms_feistel": pseudonyms_feistel,
     "op7_simhash_ball": simhash_ball,
     "op8_toxicity_subwords": toxicity_subwords,
     "op9_exact_refinement": exact_refinement,

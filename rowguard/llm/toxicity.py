@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowguard.llm.tables import restored, shielded
-from rowguard.llm.words import Words, mix, prefix_sums, range_hash, slices, words
+from rowguard.llm.words import Words, prefix_sums, range_hash, slices, word_hashes, words
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
 WINDOW = 3
-MOST_DOCS = 6000
+MOST_DOCS = 4000
 MOST_CHARS = 30_000  # longer documents are left out of training, never of scoring
 EPOCHS = 12
 RATE = 1.5
@@ -90,8 +90,7 @@ def worst_windows(values: np.ndarray, first: np.ndarray, window: int) -> np.ndar
 
 
 def word_pulls(model: Model, found: Words) -> np.ndarray:
-    hashes = range_hash(prefix_sums(found.data), found.starts, found.ends)
-    _, keep, back = np.unique(hashes, return_index=True, return_inverse=True)
+    _, keep, back = np.unique(word_hashes(found), return_index=True, return_inverse=True)
     slots, starts = subwords(found, keep)
     if not len(keep):
         return np.zeros(0)
@@ -104,13 +103,40 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
+class _Sample(NamedTuple):
+    first: np.ndarray  # words of text i are first[i] to first[i + 1]
+    vocab: np.ndarray  # place of every word's subwords
+    slots: np.ndarray
+    starts: np.ndarray
+
+
+def _sample(texts: list[str]) -> _Sample:
+    """Words and subwords of all texts, slice by slice; subwords once per different word."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["body"])
+    known, firsts, hashes, slots, widths = np.zeros(0, np.uint64), [np.zeros(1, np.int64)], [], [], []
+    names = []
+    for part in slices(batch, "body", 1 << 20):
+        found = words(part.column("body"))
+        own = word_hashes(found)
+        different, at = np.unique(own, return_index=True)
+        new = ~np.isin(different, known)
+        known = np.union1d(known, different)
+        part_slots, part_starts = subwords(found, at[new])
+        slots.append(part_slots.astype(np.int32))
+        widths.append(np.diff(part_starts))
+        names.append(different[new])
+        hashes.append(own)
+        firsts.append(found.first[1:] + firsts[-1][-1])
+    if not names:
+        return _Sample(np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.int32) for _ in range(2)), np.zeros(1, np.int64))
+    order = np.argsort(np.concatenate(names))
+    vocab = order[np.searchsorted(np.concatenate(names)[order], np.concatenate(hashes))].astype(np.int32)
+    return _Sample(np.concatenate(firsts), vocab, np.concatenate(slots), np.concatenate([[0], np.cumsum(np.concatenate(widths))]))
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     """Fit embeddings and softmax on the windows that stand for each document, by Adagrad."""
-    found = words(pa.array(texts, pa.large_string()))
-    first = found.first
-    hashes = range_hash(prefix_sums(found.data), found.starts, found.ends)
-    _, keep, vocab = np.unique(hashes, return_index=True, return_inverse=True)
-    slots, starts = subwords(found, keep)
+    first, vocab, slots, starts = _sample(texts)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     soft = rng.uniform(-1, 1, DIMENSIONS) / DIMENSIONS
@@ -120,9 +146,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     if not len(docs) or labels.min() == labels.max():
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))), WINDOW)
-    n_words = np.diff(first)
     for epoch in range(EPOCHS):
-        pull = table @ soft
+        pull = (table @ soft).astype(np.float32)
         values = (np.add.reduceat(pull[slots], starts[:-1]) / np.diff(starts))[vocab]
         means, count = _window_means(values, first, WINDOW)
         edges = np.concatenate([[0], np.cumsum(count)])
