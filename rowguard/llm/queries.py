@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowguard.llm import exact_dedup, hashing_index, kneser_ney, mixing, packing, pseudonyms, simhash, toxicity
+from rowguard.llm import exact_dedup, hashing_index, kneser_ney, mixing, packing, pseudonyms, simhash, toxicity, trie_scores
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -106,7 +106,14 @@ def pseudonyms_feistel(spark: SparkSession, folder: str) -> DataFrame:
     return changed.select(F.col("id").alias("doc_id"), *counts, "spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def scores_trie(spark: SparkSession, folder: str) -> DataFrame:
+    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
+    scored, _ = trie_scores.trie_scores(_read(spark, folder, "documents"), training)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op1_scores_trie": scores_trie,
     "op2_quality_kneser_ney": quality_kneser_ney,
     "op3_mixing_ipf": mixing_ipf,
     "op4_nearest_multi_index": nearest_multi_index,
