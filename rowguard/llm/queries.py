@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowguard.llm import exact_dedup, hashing_index, kneser_ney, mixing, packing, pseudonyms, simhash, toxicity, trie_scores
+from rowguard.llm import exact_dedup, hashing_index, kneser_ney, mixing, packing, pseudonyms, simhash, suffix_dedup, toxicity, trie_scores
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -112,11 +112,16 @@ def scores_trie(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id")
 
 
+def suffix_two_stage(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_read(spark, folder, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_scores_trie": scores_trie,
     "op2_quality_kneser_ney": quality_kneser_ney,
     "op3_mixing_ipf": mixing_ipf,
     "op4_nearest_multi_index": nearest_multi_index,
+    "op5_suffix_two_stage": suffix_two_stage,
     "op6_pseudonyms_feistel": pseudonyms_feistel,
     "op7_simhash_ball": simhash_ball,
     "op8_toxicity_subwords": toxicity_subwords,
