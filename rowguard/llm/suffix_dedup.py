@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowguard.llm.trie_scores import _batch, _ranges, packed, unpacked
-from rowguard.llm.words import _STEP_BACK, _powers, _room, flat, mix, prefix_sums, range_hash, slices
+from rowguard.llm.words import back_powers, flat, mix, prefix_sums, range_hash, slices
 from rowguard.session import cut_lineage
 
 LENGTH = 200
@@ -116,7 +116,7 @@ def _direct_sort(data: np.ndarray, some: np.ndarray, depth: int) -> np.ndarray:
     tied = np.zeros(len(some), bool)
     tied[1:] = lead[1:] == lead[:-1]
     sums = prefix_sums(data)
-    back = _powers(_STEP_BACK, _room(len(sums)))
+    back = back_powers(sums)
     group = np.cumsum(~tied) - 1
     first = np.flatnonzero(~tied)
     active = np.flatnonzero(np.bincount(group)[group] > 1)

@@ -7,13 +7,13 @@ are. Null texts are empty. Nothing here looks at more than one batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+KEPT_POWERS = 1 << 24
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,24 +76,37 @@ def words(texts: pa.Array) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
-@lru_cache(4)
+_held: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """``size`` powers at least; one array per base is kept and grown, up to ``KEPT_POWERS``."""
+    out = _held.get(base)
+    if out is None or len(out) < size:
+        out = np.full(_room(size), base, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if len(out) <= KEPT_POWERS:
+            _held[base] = out
+    return out
 
 
 def prefix_sums(data: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
     """Sums of value * power up to every byte, modulo 2^64; see ``range_hash``."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _powers(_STEP, _room(len(data)))[: len(data)], out=sums[1:])
-    return sums
+    np.multiply(values[data], _powers(_STEP, len(data))[: len(data)], out=sums[1:])
+    return np.cumsum(sums, out=sums)
 
 
 def _room(n: int) -> int:
     return 1 << max(20, int(n).bit_length())
 
 
+def back_powers(sums: np.ndarray) -> np.ndarray:
+    """What makes sums of equal bytes equal wherever they begin."""
+    return _powers(_STEP_BACK, len(sums))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -102,7 +115,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes from each start to its end; equal bytes have equal hashes anywhere."""
-    back = _powers(_STEP_BACK, _room(len(sums)))
+    back = back_powers(sums)
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
