@@ -34,9 +34,10 @@ from rowguard.session import cut_lineage
 
 LENGTH = 200
 WINDOW = 64
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
+PIECE_BYTES = 1 << 20
 LEAST_SHARDS = 48
-CHUNKS_PER_SHARD = 2
+CHUNKS_PER_SHARD = 3
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -49,10 +50,22 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, window: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, window: int, piece: int = PIECE_BYTES) -> tuple[np.ndarray, ...]:
     """``key, content, begin, count, periodic`` of the segments of all documents.
 
-    ``periodic`` marks segments in which the smallest hash occurs twice: only they can hold a string twice.
+    Documents are taken in groups of about ``piece`` bytes, so memory does not follow the chunk.
+    """
+    part = offsets[:-1] // piece
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(offsets) - 1]
+    found = []
+    for a, b in zip(cuts, cuts[1:]):
+        key, content, begin, count, periodic = _segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, window)
+        found.append((key, content, begin + offsets[a], count, periodic))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray, length: int, window: int) -> tuple[np.ndarray, ...]:
+    """``periodic`` marks segments in which the smallest hash occurs twice: only they can hold a string twice.
     """
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool))
     if len(data) < length:
@@ -161,23 +174,26 @@ def two_stage_order(data: np.ndarray, begin: np.ndarray, count: np.ndarray, dept
     ``data`` has ``depth`` + 8 spare zero bytes or more after the last range.
     """
     n = len(data)
-    step = np.sign(np.diff(data.astype(np.int16), append=-1))
-    change = np.where(step != 0, np.arange(n), n - 1)
+    step = np.sign(np.diff(data.astype(np.int16), append=-1)).astype(np.int8)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    places = np.arange(n, dtype=kind)
+    change = np.where(step != 0, places, kind(n - 1))
     change = np.minimum.accumulate(change[::-1])[::-1]  # where the run of equal bytes ends
     smaller = step[change] > 0
-    next_direct = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
+    next_direct = np.minimum.accumulate(np.where(smaller, places, kind(n - 1))[::-1])[::-1]
     # A suffix that is not sorted directly follows from its successors up to the next one that is.
     reach = next_direct[begin + count - 1] + 1
     mark = np.zeros(n + 1, np.int32)
     np.add.at(mark, begin, 1)
     np.add.at(mark, np.minimum(reach, n), -1)
-    needed = np.cumsum(mark[:n]) > 0
+    needed = np.cumsum(mark[:n], dtype=np.int32) > 0
+    del places, next_direct, mark
     direct = _direct_sort(data, np.flatnonzero(needed & smaller), depth)
     follow = np.flatnonzero(needed & ~smaller)
     follow = follow[np.argsort(data[follow], kind="stable")]
     lead_direct = np.searchsorted(data[direct], np.arange(257))
     lead_follow = np.searchsorted(data[follow], np.arange(257))
-    rank = np.zeros(n + 1, np.int64)
+    rank = np.zeros(n + 1, kind)
     order = np.empty(len(direct) + len(follow), np.int64)
     top = 0
     for c in range(256):
@@ -386,11 +402,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             begin, count = (unpacked(marked.column(c)[i].as_py()) for c in ("begin", "count"))
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + count - 1 + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        del cover
         ends = np.cumsum(sizes)
-        edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
-        heads = np.flatnonzero((edge == 1) | (gone & np.isin(np.arange(len(gone)), ends)))
-        tails = np.flatnonzero(gone & ~np.append(gone[1:], False) | gone & np.isin(np.arange(1, len(gone) + 1), ends)) + 1
+        # Runs end with their document.
+        before, after = np.zeros(len(gone), bool), np.zeros(len(gone), bool)
+        before[1:], after[:-1] = gone[:-1], gone[1:]
+        before[(ends - sizes)[sizes > 0]] = False
+        after[ends[sizes > 0] - 1] = False
+        heads, tails = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
         doc = np.searchsorted(ends, heads, "right")
         removed = np.bincount(doc, tails - heads, len(sizes)).astype(np.int64)
         n_spans = np.bincount(doc, minlength=len(sizes))

@@ -32,9 +32,9 @@ from rowguard.llm.elias_fano import SCALE, Trie, quantise, restore
 from rowguard.llm.words import mix, slices, word_hashes, words
 from rowguard.session import cut_lineage
 
-CHUNK_BYTES = 12 << 20
-LEAST_SHARDS = 24
-CHUNKS_PER_SHARD = 12
+CHUNK_BYTES = 8 << 20
+LEAST_SHARDS = 32
+CHUNKS_PER_SHARD = 8
 SPLIT = 1 << 22
 PRIOR = 300.0
 END = np.uint64(2)

@@ -119,6 +119,18 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(found: Words) -> np.ndarray:
-    """64-bit hash per word; at 10^8 different words the chance that any two meet is about 3 in 10^4."""
-    return range_hash(prefix_sums(found.data), found.starts, found.ends)
+def word_hashes(found: Words, piece: int = 1 << 20) -> np.ndarray:
+    """64-bit hash per word; at 10^8 different words the chance that any two meet is about 3 in 10^4.
+
+    Sums are held for about ``piece`` bytes at a time, so memory does not follow the batch.
+    """
+    starts, ends = found.starts, found.ends
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, a + piece)))
+        sums = prefix_sums(found.data[a : ends[j - 1]])
+        out[i:j] = range_hash(sums, starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
