@@ -8,8 +8,8 @@ from rowguard.sources.tables import read_parquet
 
 CMD = """
 WITH base AS (
-  SELECT o.o_orderkey AS id, o.o_custkey % 100 AS k, p.p_name AS true_city
-  FROM {orders} o JOIN {part} p ON p.p_partkey = o.o_custkey % 100
+  SELECT o.o_orderkey AS id, o.o_custkey AS k, p.p_name AS true_city
+  FROM {orders} o JOIN {part} p ON p.p_partkey = o.o_custkey
 ), clean AS (
   SELECT id, k, true_city,
          CAST(35 + (k % 7) * 3 AS DOUBLE) + CAST((id * 7919) % 1000 AS DOUBLE) / 1e4 AS lat0,

@@ -289,7 +289,8 @@ def agg_kendall(spark, folder):
 
 
 def _nmi_sql(a: str, b: str) -> str:
-    return f"""WITH j AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM (SELECT least(floor({a} * 32), 31) AS x, least(floor({b} * 32), 31) AS y FROM scaled) GROUP BY x, y),
+    return f"""WITH j AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM
+    (SELECT len(list_filter(cuts_{a}, lambda q: q < {a})) AS x, len(list_filter(cuts_{b}, lambda q: q < {b})) AS y FROM complete, cuts) GROUP BY x, y),
     t AS (SELECT n, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS total FROM j)
     SELECT round(sum(n / total * log2(n * total / (nx * ny))) / (SELECT greatest(log2(count(DISTINCT {a})), log2(count(DISTINCT {b}))) FROM complete), 6) FROM t"""
 
@@ -297,13 +298,11 @@ def _nmi_sql(a: str, b: str) -> str:
 _COMPLETE = "complete AS (SELECT {cols} FROM scored WHERE {known})".format(
     cols=", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in FEATURES), known=" AND ".join(f"{x} IS NOT NULL" for x in FEATURES)
 )
-_SCALED = "scaled AS (SELECT {cols} FROM complete, (SELECT {ends} FROM complete))".format(
-    cols=", ".join(f"({x} - lo_{i}) / (hi_{i} - lo_{i}) AS {x}" for i, x in enumerate(FEATURES)),
-    ends=", ".join(f"min({x}) AS lo_{i}, max({x}) AS hi_{i}" for i, x in enumerate(FEATURES)),
-)
+_SHARES = ", ".join(f"{k}::DOUBLE / 32" for k in range(1, 32))
+_CUTS = "cuts AS (SELECT {cols} FROM complete)".format(cols=", ".join(f"quantile_disc({x}, [{_SHARES}]) AS cuts_{x}" for x in FEATURES))
 
 
-@check("agg_nmi", with_cmd(matrix_sql(FEATURES, _nmi_sql, "nmi", "scored"), f"{_COMPLETE}, {_SCALED}"))
+@check("agg_nmi", with_cmd(matrix_sql(FEATURES, _nmi_sql, "nmi", "scored"), f"{_COMPLETE}, {_CUTS}"))
 def agg_nmi(spark, folder):
     return rounded(relations.mutual_information(scored(spark, folder), FEATURES), 6, "nmi")
 
@@ -338,7 +337,7 @@ def agg_nunique(spark, folder):
         ({matrix_sql(KENDALL_COLUMNS, lambda a, b: f"SELECT round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) FROM complete", "pearson", "scored")})
         JOIN ({matrix_sql(KENDALL_COLUMNS, lambda a, b: _kendall_sql(a, b).replace("FROM scored", "FROM complete"), "kendall", "scored")}) USING (column_1, column_2)
         JOIN ({matrix_sql(KENDALL_COLUMNS, _nmi_sql, "nmi", "scored")}) USING (column_1, column_2)""",
-        f"{_COMPLETE}, {_SCALED}",
+        f"{_COMPLETE}, {_CUTS}",
     ),
 )
 def dq_relations(spark, folder):

@@ -82,12 +82,14 @@ class PlaceClusters:
             self.k = elbow(ks, [self.costs[k] for k in ks])
         finally:
             points.unpersist()
-        ready = df.withColumns({f"_{g}": F.col(g).cast("double") for g in self.geo_cols})
-        present = ready.filter(~any_null(self.geo_cols))
-        final = VectorAssembler(inputCols=[f"_{g}" for g in self.geo_cols], outputCol="_features").transform(present)
-        clustered = models[self.k].transform(final).select(*df.columns, self.output_col)
-        missing = df.filter(any_null(self.geo_cols)).withColumn(self.output_col, F.lit(self.default_cluster))
-        return missing.unionByName(clustered, allowMissingColumns=True)
+        # One pass: rows without a place are predicted at 0, 0 and the prediction is not used.
+        unplaced = any_null(self.geo_cols)
+        for g in self.geo_cols:
+            unplaced = unplaced | F.isnan(F.col(g).cast("double"))
+        ready = df.withColumns({f"_{g}": F.when(unplaced, F.lit(0.0)).otherwise(F.col(g).cast("double")) for g in self.geo_cols})
+        final = VectorAssembler(inputCols=[f"_{g}" for g in self.geo_cols], outputCol="_features").transform(ready)
+        placed = models[self.k].transform(final)
+        return placed.withColumn(self.output_col, F.when(unplaced, self.default_cluster).otherwise(F.col(self.output_col))).select(*df.columns, self.output_col)
 
     def unify(self, df: DataFrame) -> DataFrame:
         return with_common_cluster(df, self.cat_col, self.output_col)

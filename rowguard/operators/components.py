@@ -5,40 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowguard.operators.joins import salted_join
 from rowguard.operators.ranking import dense_index
 from rowguard.session import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# Edges of one node from which joins on nodes are salted.
+HOT_NODE = 1_000_000
+
+
+def _by_node(edges: DataFrame, least: DataFrame, hot: bool) -> DataFrame:
+    return salted_join(edges, least, ["a"], "inner") if hot else edges.join(least, "a")
+
+
+def _large_star(edges: DataFrame, hot: bool = False) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _by_node(both.filter(F.col("b") > F.col("a")), least, hot).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: bool = False) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _by_node(edges, least, hot).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
+def components(edges: DataFrame, left: str = "left", right: str = "right", hot_node: int = HOT_NODE) -> DataFrame:
     """``value, component``: the component is named by its smallest member.
 
     Alternating star contraction (Kiveris et al., 2014): every round is two aggregates and two
-    joins on unique keys, and rounds go on until no edge changes. Each round is written to the
-    shared folder, so the plan does not grow and a lost executor costs one round.
+    joins of edges to one row per node, and rounds go on until no edge changes. Once a node has
+    ``hot_node`` edges, the joins are salted, so the head of a large component is no hot key. Each
+    round is written to the shared folder, so the plan does not grow and a lost executor costs one round.
     """
     pairs = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
     current = cut_lineage(pairs.filter(F.col("a") != F.col("b")).distinct())
-    mark = None
+    degrees = current.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count()
+    mark, hot = None, (degrees.agg(F.max("count")).first()[0] or 0) >= hot_node
     while True:
-        current = cut_lineage(_small_star(_large_star(current)).filter(F.col("a") != F.col("b")).distinct())
-        seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        current = cut_lineage(_small_star(_large_star(current, hot), hot).filter(F.col("a") != F.col("b")).distinct())
+        heads = current.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        *seen, most = heads.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark, hot = seen, (most or 0) >= hot_node
     heads = current.select(F.col("b").alias("value")).distinct().withColumn("component", F.col("value"))
     return current.select(F.col("a").alias("value"), F.col("b").alias("component")).unionByName(heads)
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from rowguard import config as c
 from rowguard.operators.joins import lookup_join
 
-BLOCK = 1024
-
 
 def distances_to(word: str, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Edit distance of one word to every row of a padded letter table."""
@@ -28,39 +26,59 @@ def distances_to(word: str, letters: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 def walk(words: list[str]) -> list[str]:
-    """From the smallest word on, always to the farthest unused word; ties to the smallest."""
+    """From the smallest word on, always to the farthest unused word; ties to the smallest.
+
+    No word is farther than the longer of the two lengths, so words are tried from the longest down
+    and those too short to beat the best one found are not compared.
+    """
     words = sorted(words)
-    sizes = np.array([len(w) for w in words])
-    letters = np.full((len(words), max(int(sizes.max()), 1)), -1, dtype=np.int64)
+    by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        letters[i, : len(w)] = [ord(ch) for ch in w]
+        by_length.setdefault(len(w), []).append(i)
+    lengths = sorted(by_length, reverse=True)
+    places = {n: np.array(by_length[n]) for n in lengths}
+    letters = {n: np.array([[ord(ch) for ch in words[i]] for i in by_length[n]], dtype=np.int64).reshape(len(by_length[n]), n) for n in lengths}
     free = np.ones(len(words), dtype=bool)
     order = [0]
     free[0] = False
     for _ in range(len(words) - 1):
-        far = distances_to(words[order[-1]], letters, sizes)
-        nxt = int(np.argmax(np.where(free, far, -1)))
-        order.append(nxt)
-        free[nxt] = False
+        here = words[order[-1]]
+        best, at = -1, 0
+        for n in lengths:
+            if max(n, len(here)) < best:
+                break
+            open_ = np.flatnonzero(free[places[n]])
+            if len(open_) * 2 < len(places[n]):
+                places[n], letters[n] = places[n][open_], letters[n][open_]
+                open_ = np.arange(len(open_))
+            if not len(open_):
+                continue
+            far = distances_to(here, letters[n][open_], np.full(len(open_), n))
+            k = int(np.argmax(far))
+            found = int(places[n][open_[k]])
+            if far[k] > best or (far[k] == best and found < at):
+                best, at = int(far[k]), found
+        order.append(at)
+        free[at] = False
     return [words[i] for i in order]
 
 
 def encode_dictionary(
-    df: DataFrame, category: str = c.STANDARD, partition: str = c.COMMON_CLUSTER, output: str = c.CODE, block: int = BLOCK
+    df: DataFrame, category: str = c.STANDARD, partition: str = c.COMMON_CLUSTER, output: str = c.CODE, block: int | None = None
 ) -> DataFrame:
     """``<partition>, word, <output>``: codes 1, 2, ... running on across clusters.
 
-    The walk is sequential, so it runs on distinct words only and on at most about ``block`` of
-    them per task: a cluster with more words is spread over hashed blocks, walked side by side
-    and numbered one after the other. Every word gets a code; only which word follows which is
-    decided within a block. A cluster of up to ``block`` words is walked as a whole.
+    The walk is sequential, so it runs on distinct words only, one task per cluster, at any size.
+    A caller with very large clusters can set ``block``: then every cluster, whatever its size, is
+    dealt by hash to blocks of about that many words, walked side by side and numbered one after
+    the other, so which word follows which is decided within a block.
     """
     distinct = df.select(F.col(partition).alias("part"), F.col(category).alias("word")).dropna().distinct()
     # A word is keyed to one cluster, the smallest, so that the dictionary never multiplies records.
     words = distinct.groupBy("word").agg(F.min("part").alias("part"))
     sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    # Half-filled on average, so that chance does not overfill a block.
-    blocks = F.when(F.col("size") <= block, 1).otherwise(F.ceil(F.col("size") * 2 / block)).cast("long")
+    blocks = F.lit(1) if block is None else F.ceil(F.col("size") / block)
+    blocks = blocks.cast("long")
     placed = words.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("word"), blocks))
 
     def number(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +89,7 @@ def encode_dictionary(
     walked = placed.select("part", "block", "word").groupBy("part", "block").applyInPandas(
         number, f"part {part_type}, block long, word string, place long"
     )
-    # One row per block: the words divided by half a block.
+    # One row per block.
     filled = placed.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = filled.select("part", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
@@ -80,7 +98,7 @@ def encode_dictionary(
 
 
 def encode(
-    df: DataFrame, category: str = c.STANDARD, partition: str = c.COMMON_CLUSTER, output: str = c.CODE, block: int = BLOCK
+    df: DataFrame, category: str = c.STANDARD, partition: str = c.COMMON_CLUSTER, output: str = c.CODE, block: int | None = None
 ) -> DataFrame:
     """Records with their category's code and the word it stands for; no category, no code."""
     codes = encode_dictionary(df, category, partition, output, block)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowguard import config as c
-from rowguard.operators.ranking import quantiles, within_top_k
+from rowguard.operators.ranking import several_quantiles, within_top_k
 
 
 def not_isolated() -> Column:
@@ -29,17 +29,17 @@ def flag_percentile(
     df: DataFrame, share_coords: float = c.SHARE_COORDS, share_city: float = c.SHARE_CITY
 ) -> DataFrame:
     """Flags by exact quantile: coordinates over all rows, category scores over rows that are not isolated."""
-    dense = df.filter(not_isolated())
+    dense = [F.when(not_isolated(), F.col(x)) for x in (c.SCORE_CITY, c.SCORE_CITY_CLUSTER)]
+    cuts = several_quantiles(df, [F.col(c.SCORE_COORDS), *dense], [[share_coords], [share_city], [share_city]])
 
     def at_most(cut: float | None, column: str) -> Column:
         return F.lit(False) if cut is None else F.coalesce(F.col(column) <= F.lit(cut), F.lit(False))
 
     return df.withColumns(
         {
-            "is_anomaly_coords": at_most(quantiles(df, c.SCORE_COORDS, [share_coords])[0], c.SCORE_COORDS),
-            "is_anomaly_city": at_most(quantiles(dense, c.SCORE_CITY, [share_city])[0], c.SCORE_CITY) & not_isolated(),
-            "is_anomaly_city_cluster": at_most(quantiles(dense, c.SCORE_CITY_CLUSTER, [share_city])[0], c.SCORE_CITY_CLUSTER)
-            & not_isolated(),
+            "is_anomaly_coords": at_most(cuts[0][0], c.SCORE_COORDS),
+            "is_anomaly_city": at_most(cuts[1][0], c.SCORE_CITY) & not_isolated(),
+            "is_anomaly_city_cluster": at_most(cuts[2][0], c.SCORE_CITY_CLUSTER) & not_isolated(),
         }
     )
 

@@ -8,15 +8,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rowguard import config as c
 from rowguard.operators.joins import lookup_join
 from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
-TREE_SCHEMA = "grp string, tree int, node int, feature int, cut double, child int, value double"
+TREE_SCHEMA = "grp string, tree int, sample int, node int, feature int, cut double, child int, value double"
 BROADCAST_GROUPS = 64
 ROWS_PER_SLICE = 100_000
 _SCALE = 1 << 30
@@ -99,13 +101,28 @@ def anomaly_score(trees: list, sample: int, points: np.ndarray) -> np.ndarray:
     return -np.power(2.0, -mean_depth(trees, points) / norm)
 
 
+def trees_of(nodes: pd.DataFrame) -> tuple[list, int]:
+    """The packed trees of one group and the rows each was grown from."""
+    return pack(nodes), int(nodes["sample"].iloc[0])
+
+
+def usable_scores(forest: tuple[list, int] | None, points: np.ndarray) -> np.ndarray:
+    """Scores of the finite points, NaN for the others and for a group without a forest."""
+    out = np.full(len(points), np.nan)
+    ready = np.isfinite(points).all(axis=1)
+    if forest is not None and ready.any():
+        out[ready] = anomaly_score(*forest, points[ready])
+    return out
+
+
 @dataclass
 class IsolationForest:
     """Scores records by how early random splits isolate them; lower is more anomalous.
 
     One forest over the table, or one per value of ``partition_col``. Columns that are constant
-    in a group cannot be split and so play no part. Rows with a null feature are neither used
-    nor scored.
+    in a group cannot be split and so play no part. Rows with a null, NaN or infinite feature are
+    neither used nor scored, nor are rows of a group that the forest does not know. A fitted forest
+    holds the sample size of every group, so other tables can be scored with it.
     """
 
     input_cols: Sequence[str]
@@ -124,7 +141,10 @@ class IsolationForest:
 
     def _features(self, df: DataFrame) -> DataFrame:
         cells = [F.col(x).cast("double").alias(f"f{i}") for i, x in enumerate(self.input_cols)]
-        return self._with_group(df).select(F.col(self._group).alias("grp"), F.col(self.id_col).alias("id"), *cells).dropna()
+        rows = self._with_group(df).select(F.col(self._group).alias("grp"), F.col(self.id_col).alias("id"), *cells)
+        for i in range(len(cells)):
+            rows = rows.filter(F.abs(f"f{i}") < F.lit(math.inf))
+        return rows.dropna()
 
     def _sizes(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int] | None]:
         """Rows per group, and the same as a dict when there are at most ``broadcast_groups`` groups."""
@@ -165,6 +185,7 @@ class IsolationForest:
             ordered = group.sort_values("id")
             rng = np.random.default_rng([seed, int(tree), *grp.encode()])
             nodes = pd.DataFrame(grow_tree(ordered[names].to_numpy(), rng))
+            nodes.insert(0, "sample", len(ordered))
             nodes.insert(0, "tree", tree)
             nodes.insert(0, "grp", grp)
             return nodes
@@ -177,16 +198,14 @@ class IsolationForest:
 
         A forest has at most ``n_trees * (2 * max_samples - 1)`` nodes per group. Up to
         ``broadcast_groups`` groups go to every task as arrays; beyond that rows and trees meet
-        by group, a large group spread over slices of about 100,000 rows.
+        by group, a large group spread over slices of about 100,000 rows. Both give the same rows.
         """
-        sizes, few = self._sizes(self._features(df))
-        if few is not None:
-            # Trees of a group were grown from min(max_samples, rows) rows.
-            return self._score_broadcast(df, forest.toPandas(), {g: min(n, self.max_samples) for g, n in few.items()})
-        return self._score_joined(df, forest, sizes)
-
-    def _score_broadcast(self, df: DataFrame, nodes: pd.DataFrame, samples: dict[str, int]) -> DataFrame:
-        packed = {grp: (pack(part), samples[grp]) for grp, part in nodes.groupby("grp")}
+        groups = forest.select("grp").distinct().limit(self.broadcast_groups + 1).count()
+        score = self._score_broadcast if groups <= self.broadcast_groups else self._score_joined
+        return score(df, forest)
+
+    def _score_broadcast(self, df: DataFrame, forest: DataFrame) -> DataFrame:
+        packed = {grp: trees_of(part) for grp, part in forest.toPandas().groupby("grp")}
         shared = df.sparkSession.sparkContext.broadcast(packed)
 
         @F.pandas_udf("double")
@@ -194,44 +213,37 @@ class IsolationForest:
             forests = shared.value
             for grp, *columns in batches:
                 points = np.column_stack([col.to_numpy(dtype="float64", na_value=np.nan) for col in columns])
-                ready = np.isfinite(points).all(axis=1)
                 out = np.full(len(points), np.nan)
                 for name in grp.unique():
-                    mine = ready & (grp == name).to_numpy()
-                    if name in forests and mine.any():
-                        trees, sample = forests[name]
-                        out[mine] = anomaly_score(trees, sample, points[mine])
+                    mine = (grp == name).to_numpy()
+                    out[mine] = usable_scores(forests.get(name), points[mine])
                 yield pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)
 
         features = [F.col(x).cast("double") for x in self.input_cols]
         scored = self._with_group(df)
         return scored.withColumn(self.output_col, score(F.col(self._group), *features)).drop(self._group)
 
-    def _score_joined(self, df: DataFrame, forest: DataFrame, sizes: DataFrame) -> DataFrame:
-        names = [f"f{i}" for i in range(len(self.input_cols))]
-        rows = self._features(df)
-        slices = sizes.select(
-            "grp",
-            F.least("size", F.lit(self.max_samples)).cast("int").alias("sample"),
-            F.ceil(F.col("size") / ROWS_PER_SLICE).cast("int").alias("slices"),
-        )
-        placed = lookup_join(rows, slices, "grp", "inner").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
-        placed = placed.select("grp", "slice", "id", "sample", *names)
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - F.lit(1).cast("long"))).alias("slice")
-        trees = forest.join(slices.select("grp", "slices"), "grp").select(*forest.columns, every)
-        id_type = df.schema[self.id_col].dataType.simpleString()
-        output = self.output_col
-
-        def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"id": [], "score": []})
-            values = anomaly_score(pack(right), int(left["sample"].iloc[0]), left[names].to_numpy())
-            return pd.DataFrame({"id": left["id"], "score": values})
-
-        met = placed.groupBy("grp", "slice").cogroup(trees.groupBy("grp", "slice"))
-        scores = met.applyInPandas(score, f"id {id_type}, score double")
-        scores = scores.select(F.col("id").alias(self.id_col), F.col("score").alias(output))
-        return df.join(scores, self.id_col, "left").select(*df.columns, output)
+    def _score_joined(self, df: DataFrame, forest: DataFrame) -> DataFrame:
+        """Rows carry all their columns to the trees and back, so ids need not be unique."""
+        names = [f"c{i}" for i in range(len(df.columns))]
+        features = [names[df.columns.index(x)] for x in self.input_cols]
+        grouped = self._with_group(df).select(F.col(self._group).alias("grp"), *[F.col(x).alias(n) for x, n in zip(df.columns, names)])
+        sizes = cut_lineage(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")))
+        slices = sizes.select("grp", F.ceil(F.col("size") / ROWS_PER_SLICE).cast("int").alias("slices"))
+        spread = F.pmod(F.xxhash64(*names), F.col("slices")).cast("int")
+        placed = lookup_join(grouped, slices, "grp", "inner").withColumn("slice", spread).select("grp", "slice", *names)
+        every = F.explode(F.sequence(F.lit(0), F.col("slices") - F.lit(1))).alias("slice")
+        trees = forest.join(slices, "grp").select(*forest.columns, every)
+        layout = StructType([*[StructField(n, f.dataType) for n, f in zip(names, df.schema.fields)], StructField("score", DoubleType())])
+
+        def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            columns = [left.column(x).cast(pa.float64()).to_numpy().astype("float64") for x in features]
+            values = usable_scores(trees_of(right.to_pandas()) if right.num_rows else None, np.column_stack(columns))
+            out = left.select(names)
+            return out.append_column("score", pa.array(values, pa.float64(), mask=np.isnan(values)))
+
+        met = placed.groupBy("grp", "slice").cogroup(trees.groupBy("grp", "slice")).applyInArrow(score, layout)
+        return met.toDF(*df.columns, self.output_col)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.transform(df, self.fit(df))

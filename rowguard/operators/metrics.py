@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rowguard.session import cut_lineage
 from rowguard.operators.ranking import quantiles
 
 # The sweep runs over 101 evenly spaced cuts from -0.9 to -0.4.
@@ -79,31 +80,41 @@ def _cuts_at_or_below(score: Column) -> Column:
     return F.greatest(F.lit(0), F.least(guess - 1, F.lit(SWEEP_CUTS))) + near[0] + near[1] + near[2]
 
 
-def _sweep_cells(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """Distinct scores with their counts, positives and sweep cell."""
-    known = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
-    scores = known.groupBy(F.col(score).alias("score")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth)).alias("pos")
-    )
-    return scores.withColumn("cell", _cuts_at_or_below(F.col("score")))
+def _placed(df: DataFrame, score: str, truth: str) -> DataFrame:
+    """Rows with a score and a truth, and the sweep cell of the score."""
+    known = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull()).select(F.col(score).alias("score"), F.col(truth).alias("truth"))
+    return known.withColumn("cell", _cuts_at_or_below(F.col("score")))
+
+
+def _tally() -> tuple[Column, Column]:
+    return F.count(F.lit(1)).alias("n"), F.count_if(F.col("truth")).alias("pos")
+
+
+def _sweep_cells(placed: DataFrame) -> DataFrame:
+    """Rows and positives of each of the 102 cells, added up in the tasks first."""
+    return placed.groupBy("cell").agg(*_tally(), F.min("score").alias("lowest"), F.max("score").alias("top"))
+
+
+def _with_ties(placed: DataFrame) -> DataFrame:
+    """Cells with the rows and positives at their highest score: a second pass, against 102 values."""
+    cells = cut_lineage(_sweep_cells(placed))
+    tops = F.broadcast(cells.select("cell", "top"))  # at most one row per cell
+    ties = placed.join(tops, "cell").filter(F.col("score") == F.col("top")).groupBy("cell").agg(*_tally())
+    ties = ties.select("cell", F.col("n").alias("n_top"), F.col("pos").alias("pos_top"))
+    highest = F.struct(F.col("top").alias("score"), F.col("n_top").alias("n"), F.col("pos_top").alias("pos"))
+    return cells.join(F.broadcast(ties), "cell").select("cell", "n", "pos", "lowest", highest.alias("highest"))
 
 
 def _sweep_cuts(spark: SparkSession) -> DataFrame:
     return spark.range(SWEEP_CUTS).select(F.col("id").cast("int").alias("i"), _cut(F.col("id")).alias("threshold"))
 
 
-def _running(cells: DataFrame, spark: SparkSession) -> DataFrame:
+def _running(known: DataFrame, spark: SparkSession) -> DataFrame:
     """Cuts with the rows and positives below each, the lowest score at or above it and the highest below it.
 
     A score is below cut i exactly when at most i cuts are <= it. The window runs over the
     fixed 101 cuts.
     """
-    known = cells.groupBy("cell").agg(
-        F.sum("n").alias("n"),
-        F.sum("pos").alias("pos"),
-        F.min("score").alias("lowest"),
-        F.max(F.struct("score", "n", "pos")).alias("highest"),
-    )
     grid = spark.range(SWEEP_CUTS + 1).select(F.col("id").cast("int").alias("i")).join(known, F.col("i") == F.col("cell"), "left")
     upto = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(1, Window.unboundedFollowing)
@@ -115,7 +126,7 @@ def _running(cells: DataFrame, spark: SparkSession) -> DataFrame:
         F.coalesce(F.sum("pos").over(upto), F.lit(0)).alias("below_pos"),
         F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("total"),
         F.coalesce(F.sum("pos").over(whole), F.lit(0)).alias("total_pos"),
-        F.max("highest").over(upto).alias("left_point"),
+        *([F.max("highest").over(upto).alias("left_point")] if "highest" in known.columns else []),
         F.min("lowest").over(after).alias("right_point"),
     )
     return run.filter(F.col("i") < SWEEP_CUTS)
@@ -123,7 +134,7 @@ def _running(cells: DataFrame, spark: SparkSession) -> DataFrame:
 
 def sweep(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Confusion counts and F1 of ``score < threshold`` at each of the 101 cuts."""
-    run = _running(_sweep_cells(df, score, truth), df.sparkSession)
+    run = _running(_sweep_cells(_placed(df, score, truth)), df.sparkSession)
     counts = run.select(
         "threshold",
         F.col("below_pos").alias("tp"),
@@ -148,7 +159,7 @@ def precision_recall(df: DataFrame, score: str, truth: str) -> DataFrame:
     lowest at or above it (the lower one when equally near), so the curve itself is never
     gathered: it stays a per-cell minimum and maximum.
     """
-    run = _running(_sweep_cells(df, score, truth), df.sparkSession)
+    run = _running(_with_ties(_placed(df, score, truth)), df.sparkSession)
     left, right = F.col("left_point.score"), F.col("right_point")
     use_left = right.isNull() | (F.col("threshold") - left <= right - F.col("threshold"))
     rows = F.when(use_left, F.col("below") - F.col("left_point.n")).otherwise(F.col("below"))

@@ -31,78 +31,109 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFr
     return numbered.withColumn(out, F.col("_start") + F.col("_offset")).drop("_place", "_part", "_offset", "_start")
 
 
-def _known_values(df: DataFrame, column: str) -> DataFrame:
-    values = df.select(F.col(column).cast("double").alias("v"))
-    return values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+def _requested(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """``k, v``: the non-null values of each column (NaN counts as null), written once for the passes over them."""
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), col.cast("double").alias("v")) for k, col in enumerate(columns)])
+    return cut_lineage(df.select(F.inline(cells)).filter(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _ends(values: DataFrame) -> tuple[float, float, int]:
-    return tuple(values.agg(F.min("v"), F.max("v"), F.count("v")).first())
+def _ends(values: DataFrame) -> dict[int, tuple[float, float, int]]:
+    rows = values.groupBy("k").agg(F.min("v"), F.max("v"), F.count("v")).collect()
+    return {r[0]: tuple(r)[1:] for r in rows}
 
 
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
     """Exact values at 0-based ``ranks`` among the non-null values of a numeric column."""
-    values = _known_values(df, column)
-    return _at_ranks(values, _ends(values), ranks)
+    values = _requested(df, [F.col(column)])
+    return _at_ranks(values, _ends(values), {0: ranks})[0]
 
 
-def _at_ranks(values: DataFrame, ends: tuple[float, float, int], ranks: Sequence[int]) -> list[float]:
-    """Values at the ranks, by narrowing intervals.
+def _at_ranks(values: DataFrame, ends: dict[int, tuple[float, float, int]], ranks: dict[int, Sequence[int]]) -> dict[int, list[float]]:
+    """Values of each column at its ranks, by narrowing intervals of all columns together.
 
     Each pass counts the values of the intervals that still hold a wanted rank in 4096 equal
     bins and keeps one bin per rank, until that bin is a single value. A pass returns at most
-    ``len(ranks) * 4096`` counts, a hot value is one row of them, and no value list is built.
+    4096 counts per wanted rank, a hot value is one row of them, and no value list is built.
     """
-    low, high, total = ends
-    if any(r < 0 or r >= total for r in ranks):
-        raise ValueError(f"rank outside the {total} values")
-    found: dict[int, float] = {}
-    open_spans = {(low, high): (0, sorted(set(ranks)))}
+    found: dict[tuple[int, int], float] = {}
+    open_spans = {}
+    for k, wanted in ranks.items():
+        low, high, total = ends.get(k, (0.0, 0.0, 0))
+        if any(r < 0 or r >= total for r in wanted):
+            raise ValueError(f"rank outside the {total} values")
+        if wanted:
+            open_spans[(k, low, high)] = (0, sorted(set(wanted)))
     while open_spans:
         spans = list(open_spans.items())
         hits = []
-        for i, ((lo, hi), _) in enumerate(spans):
+        for i, ((k, lo, hi), _) in enumerate(spans):
             width = (hi - lo) / BINS
             if 0 < width < math.inf:
                 bin_no = F.least(F.floor((F.col("v") - lo) / F.lit(width)), F.lit(BINS - 1))
             else:
                 # One value, or ends that cannot be divided: set the ends apart from what lies between.
                 bin_no = F.when(F.col("v") == lo, 0).when(F.col("v") == hi, 2).otherwise(1)
-            hits.append(F.when(F.col("v").between(lo, hi), F.struct(F.lit(i).alias("s"), bin_no.cast("int").alias("b"))))
-        binned = values.select("v", F.explode(F.array_compact(F.array(*hits))).alias("k"))
-        rows = binned.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            inside = (F.col("k") == k) & F.col("v").between(lo, hi)
+            hits.append(F.when(inside, F.struct(F.lit(i).alias("s"), bin_no.cast("int").alias("b"))))
+        binned = values.select("v", F.explode(F.array_compact(F.array(*hits))).alias("at"))
+        rows = binned.groupBy("at").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         by_span: dict[int, list] = {}
         for row in rows:
-            by_span.setdefault(row["k"]["s"], []).append((row["lo"], row["hi"], row["n"]))
+            by_span.setdefault(row["at"]["s"], []).append((row["lo"], row["hi"], row["n"]))
         open_spans = {}
-        for i, (_, (before, wanted)) in enumerate(spans):
+        for i, ((k, _, _), (before, wanted)) in enumerate(spans):
             for lo, hi, n in sorted(by_span[i]):
                 inside = [r for r in wanted if before <= r < before + n]
                 if inside and lo == hi:
-                    found.update(dict.fromkeys(inside, lo))
+                    found.update({(k, r): lo for r in inside})
                 elif inside:
-                    open_spans[(lo, hi)] = (before, inside)
+                    open_spans[(k, lo, hi)] = (before, inside)
                 before += n
-    return [found[r] for r in ranks]
+    return {k: [found[k, r] for r in wanted] for k, wanted in ranks.items()}
 
 
-def quantiles(df: DataFrame, column: str, probs: Sequence[float], interpolate: bool = False) -> list[float | None]:
-    """Exact quantiles: by rank, the smallest value whose share of rows reaches ``p``, or interpolated."""
-    values = _known_values(df, column)
+def several_quantiles(
+    df: DataFrame, columns: Sequence[Column], probs: Sequence[Sequence[float]], interpolate: bool = False
+) -> list[list[float | None]]:
+    """Exact quantiles of several columns in the same passes.
+
+    By rank, the smallest value whose share of the column's rows reaches ``p``, or interpolated.
+    """
+    values = _requested(df, columns)
     ends = _ends(values)
-    count = ends[2]
-    if not count:
-        return [None] * len(probs)
-    if not interpolate:
-        return _at_ranks(values, ends, [min(max(math.ceil(p * count) - 1, 0), count - 1) for p in probs])
-    spots = [p * (count - 1) for p in probs]
-    at = _at_ranks(values, ends, [r for s in spots for r in (math.floor(s), math.ceil(s))])
-    return [at[2 * i] + (at[2 * i + 1] - at[2 * i]) * (s - math.floor(s)) for i, s in enumerate(spots)]
+    wanted: dict[int, list[int]] = {}
+    for k, own in enumerate(probs):
+        count = ends.get(k, (0.0, 0.0, 0))[2]
+        if not count:
+            continue
+        if interpolate:
+            wanted[k] = [r for p in own for r in (math.floor(p * (count - 1)), math.ceil(p * (count - 1)))]
+        else:
+            wanted[k] = [min(max(math.ceil(p * count) - 1, 0), count - 1) for p in own]
+    at = _at_ranks(values, ends, wanted)
+    out: list[list[float | None]] = []
+    for k, own in enumerate(probs):
+        if k not in at:
+            out.append([None] * len(own))
+        elif interpolate:
+            spots = [p * (ends[k][2] - 1) for p in own]
+            out.append([at[k][2 * i] + (at[k][2 * i + 1] - at[k][2 * i]) * (s - math.floor(s)) for i, s in enumerate(spots)])
+        else:
+            out.append(at[k])
+    return out
+
+
+def quantiles(df: DataFrame, column: str, probs: Sequence[float], interpolate: bool = False) -> list[float | None]:
+    """Exact quantiles of one column; see ``several_quantiles``."""
+    return several_quantiles(df, [F.col(column)], [probs], interpolate)[0]
 
 
 def kth_smallest(df: DataFrame, column: str, k: int) -> Column:
-    """The k-th smallest non-null value (or the largest when there are fewer), as a column usable on ``df``."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    """The k-th smallest value (or the largest when there are fewer), as a column usable on ``df``.
+
+    Null and NaN are no values, however many are asked for.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     if k <= TAKE_LIMIT:
         # Every task keeps its k smallest values, so no task sees more than k rows of each other task.
         return values.orderBy("v").limit(k).agg(F.max("v")).scalar()

@@ -7,10 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowguard.operators.ranking import dense_index
+from rowguard.operators.ranking import dense_index, several_quantiles
 from rowguard.session import cut_lineage, shared_folder
 
 MI_BINS = 32
@@ -67,14 +67,21 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = MI_BINS) -> DataFrame:
-    """Mutual information, in bits, of each pair over ``bins`` equal bins of the scaled columns,
+    """Mutual information, in bits, of each pair over ``bins`` quantile bins of the columns,
     divided by the larger log2 of the two distinct counts.
 
-    Rows collapse to at most ``bins * bins`` counts per pair before anything is compared.
+    A value's bin is the number of cuts below it, the cuts being the k / ``bins`` quantiles; equal values share
+    a bin. Rows collapse to at most ``bins * bins`` counts per pair before anything is compared.
     """
     complete = df.select(*columns).dropna()
-    scaled = min_max_scale(complete, columns)
-    binned = scaled.select(*[F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int").alias(c) for c in columns])
+    shares = [k / bins for k in range(1, bins)]
+    cuts = several_quantiles(complete, [F.col(x) for x in columns], [shares] * len(columns))
+
+    def bin_of(name: str, own: list[float | None]) -> Column:
+        value = F.col(name).cast("double")
+        return F.size(F.filter(F.array(*[F.lit(x) for x in own]), lambda cut: cut < value)).alias(name)
+
+    binned = complete.select(*[bin_of(x, own) for x, own in zip(columns, cuts)])
     cells = F.array(
         *[
             F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(a).alias("x"), F.col(b).alias("y"))
@@ -92,7 +99,9 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = MI_BIN
         F.sum("n").over(Window.partitionBy(*pair, "y")).alias("ny"),
         F.sum("n").over(Window.partitionBy(*pair)).alias("total"),
     )
-    bits = F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny"))))
+    # Doubles: products of counts leave the range of a long at a few billion rows.
+    n, total, nx, ny = (F.col(x).cast("double") for x in ("n", "total", "nx", "ny"))
+    bits = F.sum(n / total * F.log2((n / nx) * (total / ny)))
     mi = spread.groupBy(*pair).agg(bits.alias("mi"))
     sizes = distinct_counts(complete, columns).select("column_name", F.log2("n_distinct").alias("h"))
     first = sizes.select(F.col("column_name").alias("column_1"), F.col("h").alias("h1"))
@@ -107,10 +116,11 @@ def _ranked_values(points: DataFrame, column: str, out: str) -> DataFrame:
     return dense_index(points.groupBy(column).agg(F.sum("w").alias("n")), [column], out)
 
 
-def _tied(values: DataFrame, weight: str) -> tuple[float, int]:
-    """Pairs of equal members, and the number of distinct ones."""
-    row = values.agg(F.sum(F.col(weight) * (F.col(weight) - 1) / 2), F.count(F.lit(1))).first()
-    return row[0] or 0.0, row[1]
+def _tied(values: DataFrame, weight: str) -> tuple[int, int]:
+    """Pairs of equal members, and the number of distinct ones; exact, in decimals of 38 digits."""
+    n = F.col(weight).cast("decimal(18,0)")
+    row = values.agg(F.sum((n * (n - F.lit(1).cast("decimal(1,0)"))).cast("decimal(38,0)")), F.count(F.lit(1))).first()
+    return int(row[0] or 0) // 2, row[1]
 
 
 def _discordant(points: DataFrame, x_values: int, y_values: int) -> float:
@@ -154,7 +164,7 @@ def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
     total = points.agg(F.sum("w")).first()[0] or 0
     xs, ys = _ranked_values(points, "u", "x"), _ranked_values(points, "v", "y")
     (tied_x, x_values), (tied_y, y_values) = _tied(xs, "n"), _tied(ys, "n")
-    pairs = total * (total - 1) / 2
+    pairs = total * (total - 1) // 2
     if pairs in (tied_x, tied_y):
         return None
     both, _ = _tied(points, "w")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from rowguard import config as c
 from rowguard.operators.metrics import auto_threshold, confusion_at, precision_recall, sweep
+from rowguard.session import cut_lineage
 
 # The two cuts shown beside the estimated one.
 SHOWN_CUTS = (-0.56, -0.53)
@@ -23,7 +24,7 @@ class Evaluation:
 
 def evaluate_scores(scores: DataFrame, truth: DataFrame, score: str = c.SCORE_CITY_CLUSTER, flag: str = "is_error") -> Evaluation:
     """Join the truth by id, then estimated and best cut, the sweep, the curve and the shown cuts."""
-    known = scores.drop(flag).join(truth.select(c.ID, flag), c.ID, "left").select(score, flag)
+    known = cut_lineage(scores.drop(flag).join(truth.select(c.ID, flag), c.ID, "left").select(score, flag))
     return Evaluation(
         auto_threshold(known, score, flag),
         sweep(known, score, flag),

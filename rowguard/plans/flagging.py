@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from rowguard import config as c
 from rowguard.operators.feedback import AnomalyClassifier, retag, split
-from rowguard.operators.flags import alerts, flag_percentile, flag_top_k, tag
+from rowguard.operators.flags import flag_percentile, flag_top_k, tag
 from rowguard.operators.neighbours import with_neighbours
+from rowguard.session import cut_lineage
 
 
 def results(scores: DataFrame, neighbour_stats: DataFrame, by_rank: bool = True) -> DataFrame:
     """Scores with neighbours, flags and tag, one row per record."""
-    joined = with_neighbours(scores, neighbour_stats)
+    joined = cut_lineage(with_neighbours(scores, neighbour_stats))
     return tag(flag_top_k(joined) if by_rank else flag_percentile(joined))
 
 
@@ -24,5 +25,3 @@ def reviewed_results(feedback: DataFrame, classifier: AnomalyClassifier | None =
     predicted = model.predict(parted).fillna({c.LABEL: 0, "prediction": 0.0})
     return predicted, retag(predicted)
 
-
-__all__ = ["alerts", "results", "reviewed_results"]

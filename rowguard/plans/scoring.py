@@ -11,17 +11,14 @@ from rowguard.session import cut_lineage
 
 
 def features(standardised: DataFrame, clusters: PlaceClusters | None = None) -> DataFrame:
-    """Clusters and category codes; written once, since three scoring passes read it."""
-    placed = cut_lineage((clusters or PlaceClusters()).fit(standardised))
-    return cut_lineage(encode(placed))
+    """Clusters and category codes."""
+    return encode(cut_lineage((clusters or PlaceClusters()).fit(standardised)))
 
 
 def scores(encoded: DataFrame, **params) -> DataFrame:
     """The three scores: coordinates, coordinates with category, the same within each cluster."""
-    ready = cut_lineage(forest.prepare(encoded))
+    ready = cut_lineage(forest.prepare(encoded))  # written once: three scoring passes read it
     out = forest.score_coordinates(ready, **params)
     out = forest.score_city(out, **params)
     return forest.score_city_cluster(out, **params)
 
-
-__all__ = ["features", "scores"]

@@ -93,6 +93,48 @@ def test_top_k_beyond_the_take_limit_gives_the_same_cut(spark, monkeypatch):
     assert frame.filter(ranking.within_top_k(frame, "s", 300)).count() == few
 
 
+def test_top_k_counts_nan_as_no_value_on_both_sides_of_the_take_limit(spark, monkeypatch):
+    values = [float(i) for i in range(10)] + [float("nan")] * 3 + [None] * 2
+    frame = spark.createDataFrame(list(enumerate(values)), "id int, s double")
+    for limit in (10_000, 3):
+        monkeypatch.setattr(ranking, "TAKE_LIMIT", limit)
+        for k in (2, 4, 12, 100):
+            assert frame.filter(ranking.within_top_k(frame, "s", k)).count() == min(k, 10)
+
+
+def test_several_quantiles_are_those_of_each_column(spark):
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(700, 2)).round(2)
+    frame = spark.createDataFrame([(float(a), float(b) if i % 5 else None) for i, (a, b) in enumerate(data)], "a double, b double").withColumn("n", F.lit(None).cast("double"))
+    probs = [0.0, 0.05, 0.5, 0.93, 1.0]
+    got = ranking.several_quantiles(frame, [F.col("a"), F.col("b"), F.col("n")], [probs] * 3, interpolate=True)
+    kept = data[[i % 5 != 0 for i in range(700)], 1]
+    assert np.allclose(got[0], np.quantile(data[:, 0], probs)) and np.allclose(got[1], np.quantile(kept, probs)) and got[2] == [None] * 5
+
+
+def test_a_forest_scores_other_tables_as_its_own(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(rng.normal()), float(rng.normal()), f"g{i % 3}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "id__cmd int, a double, b double, k string")
+    for limit in (64, 0):
+        model = IsolationForest(["a", "b"], "s", "k", n_trees=8, broadcast_groups=limit)
+        forest = model.fit(frame)
+        whole = {r["id__cmd"]: r["s"] for r in model.transform(frame, forest).collect()}
+        odd = spark.createDataFrame([(5000, 0.0, 0.0, "unknown"), (5001, float("inf"), 0.0, "g0"), (5002, None, 0.0, "g0"), (5003, float("nan"), 0.0, "g1")], frame.schema)
+        batch = frame.filter("id__cmd < 20 and k <> 'g2'")
+        got = model.transform(batch.unionByName(batch).unionByName(odd), forest).collect()
+        assert len(got) == 2 * batch.count() + 4
+        assert all(r["s"] is None if r["id__cmd"] >= 5000 else abs(r["s"] - whole[r["id__cmd"]]) < 1e-12 for r in got)
+        if limit == 64:
+            broadcast = whole
+    assert all(abs(whole[i] - broadcast[i]) < 1e-12 for i in whole)
+
+
+def test_counts_beyond_a_long_do_not_overflow(spark):
+    frame = spark.createDataFrame([(4 * 10**9,), (3 * 10**9,), (1,)], "n long")
+    assert relations._tied(frame, "n") == (sum(n * (n - 1) // 2 for n in (4 * 10**9, 3 * 10**9, 1)), 3)
+
+
 def test_metrics_without_positives_or_rows(spark):
     frame = spark.createDataFrame([(False, -0.5)], "t boolean, s double")
     row = metrics.metrics(metrics.confusion(frame, F.col("t"), F.col("s") < -0.6)).first()
@@ -144,7 +186,7 @@ def test_salted_join_equals_plain_join(spark, how):
     entries = spark.createDataFrame([("hot", 1), ("unused", 2)] + [(f"k{i}", i) for i in range(6000, 6400)], "key string, v int")
     plain = sorted(map(str, records.join(entries, "key", how).select("id", "key", "v").collect()))
     for limit in (0, 10**6):
-        joined = joins.lookup_join(records, entries, "key", how, broadcast_rows=limit)
+        joined = joins.lookup_join(records, entries, "key", how, broadcast_bytes=limit)
         assert sorted(map(str, joined.select("id", "key", "v").collect())) == plain
     assert {r["_hot_key"] for r in joins.hot_keys(records, ["key"]).collect()} == {"hot", None}
 
