@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowguard.llm.elias_fano import SCALE, Trie, quantise, restore
+from rowguard.llm.elias_fano import Trie, quantise, restore
 from rowguard.llm.words import mix, slices, word_hashes, words
 from rowguard.session import cut_lineage
 
@@ -60,7 +61,11 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_CHUNK = "chunk long, ids binary, missing binary, held binary, lengths binary, stream binary, words binary, counts binary"
+_CHUNK = "chunk long, ids binary, missing binary, held binary, lengths binary, stream binary, end long, words binary, counts binary"
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts, kind="stable")
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -85,6 +90,9 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Da
                 different, stream = np.unique(line, return_inverse=True)
                 trained = int(n[~held].sum())
                 counts = np.bincount(stream[:trained], minlength=len(different))
+                # Places by falling count take fewer bytes; the order follows from the counts.
+                ranked = np.empty(len(different), np.int64)
+                ranked[_by_count(counts)] = np.arange(len(different))
                 ids = part.column("id")
                 yield _batch(
                     {
@@ -93,7 +101,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Da
                         "missing": ids.is_null().to_numpy(zero_copy_only=False).tobytes(),
                         "held": held.tobytes(),
                         "lengths": packed(n),
-                        "stream": packed(stream),
+                        "stream": packed(ranked[stream]),
+                        "end": int(np.searchsorted(different, END)),
                         "words": different.tobytes(),
                         "counts": packed(counts),
                     }
@@ -123,7 +132,9 @@ def _vocabulary(chunks: DataFrame, shards: int) -> DataFrame:
         names, back = np.unique(np.concatenate(lists), return_inverse=True)
         counts = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
         total = np.bincount(back, counts, len(names)).astype(np.int64)
-        place = np.where(total > 0, np.cumsum(total > 0), 0)
+        place = np.zeros(len(names), np.int64)
+        known = np.flatnonzero(total)
+        place[known[_by_count(total[known])]] = np.arange(1, len(known) + 1)
         edges = np.cumsum([len(x) for x in lists])[:-1]
         replies = [(packed(total[b]), packed(place[b])) for b in np.split(back, edges)]
         shard = key[0].as_py()
@@ -142,32 +153,41 @@ def _vocabulary(chunks: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(meet, "shard long, chunk long, size long, tokens long, total binary, place binary")
 
 
-_MESSAGE = ["contexts", "words", "occurrences", "documents", "context_counts", "base"]
-_SENT = "shard long, chunk long, trained long, docs long, " + ", ".join(f"{c} binary" for c in _MESSAGE) + ", ids binary, missing binary, held binary, lengths binary, known binary, base_score binary, direct binary"
+_MESSAGE = ["contexts", "words", "occurrences", "documents", "context_counts", "word_counts"]
+_SENT = "shard long, chunk long, trained long, own boolean, " + ", ".join(f"{c} binary" for c in _MESSAGE) + ", ids binary, missing binary, held binary, lengths binary, known binary, base_score binary, direct binary"
+
 
+def _floor(size: int, tokens: int) -> float:
+    """log10 of what unigram counts are divided by."""
+    return float(np.log10(tokens + 0.5 * (size + 1)))
 
-def _pairs(chunks: DataFrame, vocabulary: DataFrame, offsets: list[int], tokens: int, prior: float, shards: int) -> DataFrame:
-    """What chunks know by themselves (shard -1) and their messages to the shards of the contexts."""
-    size = offsets[-1]
-    floor = np.log10(tokens + 0.5 * (size + 1)) if tokens else np.log10(0.5)
+
+def _pairs(chunks: DataFrame, vocabulary: DataFrame, floor: float, prior: float, shards: int) -> DataFrame:
+    """Messages of the chunks to the shards of the contexts, and what chunks know by themselves (``own``)."""
 
     def work(key: tuple, held_chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = {c: held_chunk.column(c)[0].as_py() for c in held_chunk.column_names}
         replies = replies.sort_by("shard")
         total = np.concatenate([unpacked(x.as_py()) for x in replies.column("total")])
-        name = np.concatenate([unpacked(p.as_py()) - 1 + offsets[s.as_py()] for s, p in zip(replies.column("shard"), replies.column("place"))])
+        # Words are named by place in their shard, then shard: frequent words have small names.
+        name = np.concatenate([(unpacked(p.as_py()) - 1) * shards + s.as_py() for s, p in zip(replies.column("shard"), replies.column("place"))])
         held = np.frombuffer(row["held"], bool)
         n = unpacked(row["lengths"])
-        stream = unpacked(row["stream"])
         doc = np.repeat(np.arange(len(n)), n)
-        base = np.log10(total + 0.5) - floor
         edges = np.cumsum(n) - n
+        # Words of the chunk in order of their names, so that sorted pairs are in order of names too.
+        by_name = np.argsort(name, kind="stable")
+        relabel = np.empty(len(name), np.int64)
+        relabel[by_name] = np.arange(len(name))
+        stream = relabel[_by_count(unpacked(row["counts"]))][unpacked(row["stream"])]
+        total, name = total[by_name], name[by_name]
+        base = np.log10(total + 0.5) - floor
         base_score = np.add.reduceat(base[stream], edges)
-        known = np.add.reduceat((total[stream] > 0).astype(np.int64), edges)
-        end = int(np.searchsorted(np.frombuffer(row["words"], np.uint64), END))
-        before = np.concatenate([[end], stream[:-1]])
-        pair = before * len(total) + stream
-        order = np.argsort(pair, kind="stable")
+        known = np.add.reduceat((total > 0)[stream].astype(np.int64), edges)
+        pair = np.empty(len(stream), np.int64)
+        pair[0], pair[1:] = relabel[row["end"]], stream[:-1]
+        pair = pair * len(total) + stream
+        order = np.argsort(pair)
         pair = pair[order]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         runs = np.diff(np.append(first, len(pair)))
@@ -181,7 +201,7 @@ def _pairs(chunks: DataFrame, vocabulary: DataFrame, offsets: list[int], tokens:
         parts = total[h] // SPLIT + 1
         spread = mix(name[w].astype(np.uint64)) % parts.astype(np.uint64)
         shard = (mix(name[h].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
-        put = np.lexsort((name[w], name[h], shard))
+        put = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
         cuts = np.searchsorted(shard[put], np.arange(shards + 1))
         out = {c: [] for c in [x.split()[0] for x in _SENT.split(", ")]}
 
@@ -189,75 +209,75 @@ def _pairs(chunks: DataFrame, vocabulary: DataFrame, offsets: list[int], tokens:
             for c in out:
                 out[c].append(values.get(c))
 
-        common = {"chunk": row["chunk"], "trained": int((~held).sum()), "docs": len(n)}
-        own = {"known": packed(known), "base_score": base_score.tobytes(), "direct": direct.tobytes()}
-        add(shard=-1, **common, **own, **{c: row[c] for c in ("ids", "missing", "held", "lengths")})
+        common = {"chunk": row["chunk"], "trained": int((~held).sum())}
+        known_here = {"known": packed(known), "base_score": base_score.tobytes(), "direct": direct.tobytes()}
+        # What the chunk knows passes through a shard's task too, so that nothing is written in between.
+        add(shard=row["chunk"] % shards, own=True, **common, **known_here, **{c: row[c] for c in ("ids", "missing", "held", "lengths")})
         for s in range(shards):
             some = put[cuts[s] : cuts[s + 1]]
             if len(some):
-                where = order[_ranges(first[some], runs[some])]
-                parts_out = (np.diff(name[h[some]], prepend=0), name[w[some]], runs[some], doc[where], total[h[some]], quantise(base[w[some]]))
-                add(shard=s, **common, **{c: packed(v) for c, v in zip(_MESSAGE, parts_out)})
-        kinds = {"long": pa.int64(), "binary": pa.binary()}
+                where = doc[order[_ranges(first[some], runs[some])]]
+                parts_out = (np.diff(name[h[some]], prepend=0), name[w[some]], runs[some], where, total[h[some]], total[w[some]])
+                add(shard=s, own=False, **common, **{c: packed(v) for c, v in zip(_MESSAGE, parts_out)})
+        kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
         return pa.table({c: pa.array(out[c], kinds[k]) for c, k in (x.split() for x in _SENT.split(", "))})
 
     answers = vocabulary.filter("chunk >= 0").select("chunk", "shard", "total", "place")
-    return chunks.drop("counts").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, _SENT)
+    return chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, _SENT)
 
 
-_SCORED = "shard long, chunk long, trie binary, documents binary, sums binary"
+_OWN = ["ids", "missing", "held", "lengths", "known", "base_score", "direct"]
+_SCORED = "kind int, shard long, chunk long, trie binary, documents binary, sums binary, " + ", ".join(f"{c} binary" for c in _OWN)
 
 
-def _shards(sent: DataFrame, prior: float) -> DataFrame:
-    """Each shard's trie (chunk -1) and the sums it found per chunk: places of documents and log10 sums."""
+def _shards(sent: DataFrame, floor: float, prior: float) -> DataFrame:
+    """Kind 0: sums of a shard for a chunk (places of documents, log10 sums). Kind 1: tries. Kind 2: ``own`` rows."""
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
+        own = table.filter(table.column("own"))
+        table = table.filter(pa.compute.invert(table.column("own")))
 
         def message(i: int) -> tuple[np.ndarray, ...]:
             contexts, *rest = (unpacked(table.column(c)[i].as_py()) for c in _MESSAGE)
             return np.cumsum(contexts), *rest
 
-        seen = []
+        seen = [np.zeros((5, 0), np.int64)]
         for i in range(table.num_rows):
-            contexts, names, runs, docs, context_counts, base = message(i)
+            contexts, names, runs, docs, context_counts, word_counts = message(i)
             ends = np.cumsum(runs)
             inside = np.concatenate([[0], np.cumsum(docs < table.column("trained")[i].as_py())])
             count = inside[ends] - inside[ends - runs]
             there = count > 0
-            seen.append(np.stack([contexts, names, count, context_counts, base])[:, there])
+            seen.append(np.stack([contexts, names, count, context_counts, word_counts])[:, there])
         joined = np.concatenate(seen, axis=1)
         del seen
-        joined = joined[:, np.lexsort((joined[1], joined[0]))]
-        first = np.flatnonzero((np.diff(joined[0], prepend=-1) != 0) | (np.diff(joined[1], prepend=-1) != 0))
-        count = np.add.reduceat(joined[2], first) if len(first) else first
-        contexts, names, _, context_counts, base = joined[:, first]
-        codes = quantise(np.log10((count + prior * 10 ** restore(base)) / (context_counts + prior)))
+        order = np.lexsort((joined[1], joined[0]))
+        new = np.flatnonzero((np.diff(joined[0][order], prepend=-1) != 0) | (np.diff(joined[1][order], prepend=-1) != 0))
+        count = np.add.reduceat(joined[2][order], new) if len(new) else new
+        contexts, names, _, context_counts, word_counts = joined[:, order[new]]
+        del joined, order
+        unigram = 10 ** (np.log10(word_counts + 0.5) - floor)
+        codes = quantise(np.log10((count + prior * unigram) / (context_counts + prior)))
         blob = Trie.build(contexts, names, codes)
-        del joined
         trie = Trie.open(blob)
-        places, sums = [], []
+        rows = [(1, shard, -1, blob, None, None)]
         for i in range(table.num_rows):
-            contexts, names, runs, docs, context_counts, base = message(i)
+            contexts, names, runs, docs, context_counts, word_counts = message(i)
             at = trie.find(contexts, names)
-            backed = np.log10(prior / (context_counts + prior)) + restore(base)
-            score = np.where(at >= 0, restore(trie.codes[at]) if len(trie.codes) else 0.0, backed)
+            score = np.log10(prior / (context_counts + prior)) + np.log10(word_counts + 0.5) - floor
+            score[at >= 0] = restore(trie.codes[at[at >= 0]])
             by_doc = np.bincount(docs, np.repeat(score, runs))
             place = np.flatnonzero(by_doc)
-            places.append(packed(place))
-            sums.append(by_doc[place].tobytes())
-        n = table.num_rows
-        return pa.table(
-            {
-                "shard": pa.array([shard] * (n + 1), pa.int64()),
-                "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()),
-                "trie": pa.array([None] * n + [blob], pa.binary()),
-                "documents": pa.array([*places, None], pa.binary()),
-                "sums": pa.array([*sums, None], pa.binary()),
-            }
-        )
+            rows.append((0, shard, table.column("chunk")[i].as_py(), None, packed(place), by_doc[place].tobytes()))
+        rows = [(*r, *[None] * len(_OWN)) for r in rows]
+        for r in own.to_pylist():
+            rows.append((2, shard, r["chunk"], None, None, None, *[r[c] for c in _OWN]))
+        kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+        fields = [x.split() for x in _SCORED.split(", ")]
+        return pa.table({c: pa.array([r[i] for r in rows], kinds[k]) for i, (c, k) in enumerate(fields)})
 
-    return sent.filter("shard >= 0").groupBy("shard").applyInArrow(meet, _SCORED)
+    return sent.groupBy("shard").applyInArrow(meet, _SCORED)
 
 
 def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
@@ -272,10 +292,9 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     shards = max(LEAST_SHARDS, -(-chunks.count() // CHUNKS_PER_SHARD))
     vocabulary = cut_lineage(_vocabulary(chunks, shards))
     sizes = {r["shard"]: (r["size"], r["tokens"]) for r in vocabulary.filter("chunk < 0").select("shard", "size", "tokens").collect()}
-    offsets = np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(shards)])]).tolist()
     tokens = sum(n for _, n in sizes.values())
-    sent = cut_lineage(_pairs(chunks, vocabulary, offsets, tokens, prior, shards))
-    scored = cut_lineage(_shards(sent, prior))
+    floor = _floor(sum(n for n, _ in sizes.values()), tokens)
+    scored = cut_lineage(_shards(_pairs(chunks, vocabulary, floor, prior, shards), floor, prior))
 
     def total(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
         row = {c: own.column(c)[0].as_py() for c in own.column_names}
@@ -296,8 +315,8 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
             }
         )
 
-    own = sent.filter("shard < 0").select("chunk", "ids", "missing", "held", "lengths", "known", "base_score", "direct")
-    sums = scored.filter("chunk >= 0").select("chunk", "shard", "documents", "sums")
+    own = scored.filter("kind = 2").select("chunk", *_OWN)
+    sums = scored.filter("kind = 0").select("chunk", "shard", "documents", "sums")
     layout = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = own.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(total, layout)
-    return out, scored.filter("chunk < 0").select("shard", "trie")
+    return out, scored.filter("kind = 1").select("shard", "trie")
