@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from checks.fixtures import cmd, scored, with_cmd
 from checks.registry import check
 from checks.statistics import HAVERSINE, RATES, rates_sql, rounded
+from checks.spelling import STANDARD
 from rowguard import config as c
-from rowguard.functions.predicates import marker_radius
-from rowguard.operators import clusters, encoding, feedback, flags, neighbours, truth
+from rowguard.operators import clusters, encoding, feedback, flags, neighbours, proposals, truth
 from rowguard.operators import isolation_forest as forest
-from rowguard.plans import flagging, scoring
+from rowguard.plans import evaluation, flagging, scoring, standardisation
 from rowguard.session import cut_lineage
 
 RADIUS_M = 1000.0
@@ -118,14 +118,42 @@ def _records(spark, folder):
     return cmd(spark, folder).select(c.ID, c.CITY, "true_city", c.LAT, c.LONG)
 
 
-@check("ml_kmeans_elbow")
+def _holds(df, **facts):
+    """One row: whether each fact holds for every row (null: not)."""
+    return df.agg(*[F.coalesce(F.min(F.coalesce(fact, F.lit(False))), F.lit(True)).alias(name) for name, fact in facts.items()])
+
+
+def _with_holds(rows, facts):
+    """Rows with the facts beside each."""
+    return rows.join(F.broadcast(facts), F.lit(True))
+
+
+@check(
+    "ml_kmeans_elbow",
+    with_cmd("SELECT id__cmd, lat__cmd IS NULL OR long__cmd IS NULL AS in_default, TRUE AS few_clusters, TRUE AS most_explained FROM cmd"),
+)
 def ml_kmeans_elbow(spark, folder):
-    return _clusterer().kmeans(_records(spark, folder))
+    """Rows without a place are in the default cluster; the others are in 2 to 10 that explain most of the spread."""
+    made = cut_lineage(_clusterer().kmeans(_records(spark, folder)))
+    placed = made.filter(F.col(c.LAT).isNotNull() & F.col(c.LONG).isNotNull())
+    spread = F.var_pop(c.LAT) + F.var_pop(c.LONG)
+    within = placed.groupBy(c.CLUSTER).agg(F.count(F.lit(1)).alias("n"), spread.alias("v")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within"), F.count(F.lit(1)).alias("k"))
+    whole = placed.agg(spread.alias("whole")).join(F.broadcast(within), F.lit(True))
+    facts = _holds(whole, few_clusters=F.col("k").between(2, 10), most_explained=F.col("within") < 0.5 * F.col("whole"))
+    return _with_holds(made.select(c.ID, (F.col(c.CLUSTER) == 99).alias("in_default")), facts)
 
 
-@check("ml_cluster")
+@check(
+    "ml_cluster",
+    with_cmd("SELECT id__cmd, true_city, lat__cmd IS NULL OR long__cmd IS NULL AS in_default, TRUE AS one_per_category, TRUE AS large FROM cmd"),
+)
 def ml_cluster(spark, folder):
-    return _clusterer().fit(_records(spark, folder))
+    """Every category is in one cluster, and no cluster with a place is small."""
+    made = cut_lineage(_clusterer().fit(_records(spark, folder)))
+    per_category = made.groupBy("true_city").agg(F.count_distinct(c.COMMON_CLUSTER).alias("n"))
+    sizes = made.groupBy(c.COMMON_CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.count(c.LAT).alias("placed"))
+    facts = _holds(per_category, one_per_category=F.col("n") == 1).join(_holds(sizes, large=(F.col("n") >= 100) | (F.col("placed") == 0)), F.lit(True))
+    return _with_holds(made.select(c.ID, "true_city", (F.col(c.CLUSTER) == 99).alias("in_default")), facts)
 
 
 @check(
@@ -154,30 +182,55 @@ def _encoded(spark, folder):
     return cut_lineage(forest.prepare(encoding.encode(cut_lineage(merged), "true_city")))
 
 
-@check("ml_if_coords")
+_SCORES_SQL = "SELECT id__cmd, {known} AS scored, TRUE AS in_range{more} FROM {table}"
+_PLACED = "lat__cmd IS NOT NULL AND long__cmd IS NOT NULL"
+
+
+def _scored_facts(df, score, errors=None):
+    """Which rows have a score, and whether all scores are in [-1, 0) (and known errors score lower on average)."""
+    df = cut_lineage(df)
+    facts = _holds(df, in_range=F.col(score).isNull() | ((F.col(score) >= -1) & (F.col(score) < 0)))
+    if errors is not None:
+        means = df.agg(F.avg(F.when(errors, F.col(score))).alias("bad"), F.avg(F.when(~errors, F.col(score))).alias("good"))
+        facts = facts.join(_holds(means, errors_lower=F.col("bad") < F.col("good")), F.lit(True))
+    return _with_holds(df.select(c.ID, F.col(score).isNotNull().alias("scored")), facts)
+
+
+@check("ml_if_coords", with_cmd(_SCORES_SQL.format(known=_PLACED, more=", TRUE AS errors_lower", table="cmd")))
 def ml_if_coords(spark, folder):
-    return forest.score_coordinates(_records(spark, folder)).select(c.ID, c.SCORE_COORDS)
+    errors = F.col("swapped_geo") | F.col("shuffle_lat") | F.col("shuffle_long")
+    return _scored_facts(forest.score_coordinates(cmd(spark, folder)), c.SCORE_COORDS, errors)
 
 
-@check("ml_if_city")
+@check("ml_if_city", with_cmd(_SCORES_SQL.format(known=_PLACED, more="", table="cmd")))
 def ml_if_city(spark, folder):
-    return forest.score_city(_encoded(spark, folder)).select(c.ID, c.SCORE_CITY)
+    return _scored_facts(forest.score_city(_encoded(spark, folder)), c.SCORE_CITY)
 
 
-@check("ml_if_city_cluster")
+@check("ml_if_city_cluster", with_cmd(_SCORES_SQL.format(known=_PLACED, more="", table="cmd")))
 def ml_if_city_cluster(spark, folder):
-    return forest.score_city_cluster(_encoded(spark, folder)).select(c.ID, c.COMMON_CLUSTER, c.SCORE_CITY_CLUSTER)
+    return _scored_facts(forest.score_city_cluster(_encoded(spark, folder)), c.SCORE_CITY_CLUSTER)
 
 
-@check("ml_iforest")
+@check("ml_iforest", with_cmd(_SCORES_SQL.format(known=_PLACED + " AND neighbors_count IS NOT NULL", more="", table="scored")))
 def ml_iforest(spark, folder):
     model = forest.IsolationForest([c.LAT, c.LONG, "neighbors_count"], "anomaly_score", "cluster")
-    return model.fit_transform(scored(spark, folder)).select(c.ID, "cluster", "anomaly_score")
+    return _scored_facts(model.fit_transform(scored(spark, folder)), "anomaly_score")
 
 
-@check("udf_grouped_map")
+@check(
+    "udf_grouped_map",
+    with_cmd("SELECT t.tree::INT AS tree, least(256, n)::INT AS sample, TRUE AS binary_tree, TRUE AS shallow FROM range(50) AS t(tree), (SELECT count(*) AS n FROM cmd WHERE lat__cmd IS NOT NULL AND long__cmd IS NOT NULL)"),
+)
 def udf_grouped_map(spark, folder):
-    return forest.IsolationForest([c.LAT, c.LONG], "anomaly_score").fit(_records(spark, folder))
+    """Trees grown in groups: as many leaves as inner nodes and one, children in order, no value beyond the depth limit's."""
+    nodes = forest.IsolationForest([c.LAT, c.LONG], "anomaly_score").fit(_records(spark, folder))
+    leaf = F.col("feature") < 0
+    most = 8 + float(forest.average_path(256))
+    return nodes.groupBy("tree", "sample").agg(
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary_tree"),
+        (F.max(F.when(leaf, F.col("value"))) <= most).alias("shallow"),
+    )
 
 
 def _classifier(spark, folder):
@@ -185,28 +238,48 @@ def _classifier(spark, folder):
     return feedback.AnomalyClassifier().fit(base.filter(F.col("train_or_test") == "train")), base
 
 
-@check("ml_classify_fit")
+def _predictions(rows, *columns):
+    agree = F.col("prediction") == (vector_to_array("probability")[1] > 0.5).cast("double")
+    return rows.select(*columns, (F.col("prediction").isin(0.0, 1.0) & agree).alias("follows_probability"))
+
+
+@check("ml_classify_fit", with_cmd("SELECT id__cmd, is_anomaly, TRUE AS follows_probability, TRUE AS fits FROM scored WHERE is_anomaly IS NOT NULL"))
 def ml_classify_fit(spark, folder):
     model, base = _classifier(spark, folder)
-    return model.predict(base.filter(F.col("train_or_test") == "train")).select(c.ID, c.LABEL, "prediction")
+    rows = cut_lineage(model.predict(base.filter(F.col("train_or_test") == "train")))
+    right = rows.agg(F.avg((F.col(c.LABEL) == F.col("prediction")).cast("double")).alias("share"))
+    return _with_holds(_predictions(rows, c.ID, c.LABEL), _holds(right, fits=F.col("share") > 0.9))
 
 
-@check("ml_classify_predict")
+@check(
+    "ml_classify_predict",
+    with_cmd("SELECT id__cmd, CASE WHEN is_anomaly IS NULL THEN 'test' ELSE 'train' END AS train_or_test, TRUE AS follows_probability FROM scored"),
+)
 def ml_classify_predict(spark, folder):
     model, base = _classifier(spark, folder)
-    return model.predict(base).select(c.ID, "train_or_test", "prediction")
+    return _predictions(model.predict(base), c.ID, "train_or_test")
 
 
-@check("ml_importance")
+@check("ml_importance", "SELECT unnest([{}]) AS feature, TRUE AS a_share, TRUE AS sum_to_one".format(", ".join(f"'{x}'" for x in c.FEATURES)))
 def ml_importance(spark, folder):
     model, base = _classifier(spark, folder)
-    return model.importance(base)
+    shares = model.importance(base)
+    total = shares.agg(F.sum("importance").alias("total"))
+    rows = shares.select("feature", F.col("importance").between(0, 1).alias("a_share"))
+    return _with_holds(rows, _holds(total, sum_to_one=F.abs(F.col("total") - 1) < 1e-9))
 
 
-@check("ml_pdp")
+@check(
+    "ml_pdp",
+    with_cmd(
+        """SELECT round(lo + (hi - lo) * i / 99e0, 9) AS feature_value, TRUE AS a_probability FROM range(100) AS t(i),
+        (SELECT quantile_cont(S_Score_coordinates, 0.05) AS lo, quantile_cont(S_Score_coordinates, 0.95) AS hi FROM scored)"""
+    ),
+)
 def ml_pdp(spark, folder):
     model, base = _classifier(spark, folder)
-    return model.partial_dependence(base, c.SCORE_COORDS)
+    curve = model.partial_dependence(base, c.SCORE_COORDS)
+    return curve.select(F.round("feature_value", 9).alias("feature_value"), F.col("partial_dependence").between(0, 1).alias("a_probability"))
 
 
 # -- flags and tags ------------------------------------------------------------------------
@@ -371,18 +444,70 @@ def fn_outcome_class(spark, folder):
 # -- the jobs end to end -------------------------------------------------------------------
 
 
-@check("job_scores")
+@check("job_scores", with_cmd(f"SELECT id__cmd, true_city AS standardized_city, {_PLACED} AS coords_scored, {_PLACED} AS city_scored, {_PLACED} AS cluster_scored FROM cmd"))
 def job_scores(spark, folder):
     """Records to three scores: clusters, codes, forests."""
     records = _records(spark, folder).withColumn(c.STANDARD, F.col("true_city"))
-    return scoring.scores(scoring.features(records))
+    return _which_scored(scoring.scores(scoring.features(records)))
+
+
+def _which_scored(df, *more):
+    names = {c.SCORE_COORDS: "coords_scored", c.SCORE_CITY: "city_scored", c.SCORE_CITY_CLUSTER: "cluster_scored"}
+    return df.select(c.ID, c.STANDARD, *[F.col(x).isNotNull().alias(n) for x, n in names.items()], *more)
 
 
-@check("job_results")
+def _upheld_facts(results, upheld):
+    """Upheld alerts are alerts of the job, predicted as such, and some are upheld."""
+    alerts = flags.alerts(results).select(c.ID, F.col("tag_anomalies").alias("given"))
+    joined = upheld.join(alerts, c.ID, "left")
+    facts = _holds(joined, are_alerts=F.col("given") == F.col("tag_anomalies"), are_predicted=F.col("prediction") == 1)
+    return facts.join(upheld.agg((F.count(F.lit(1)) > 0).alias("some_upheld"), (F.count(F.lit(1)) == F.count_distinct(c.ID)).alias("once_each")), F.lit(True))
+
+
+@check("job_results", "SELECT TRUE AS are_alerts, TRUE AS are_predicted, TRUE AS some_upheld, TRUE AS once_each")
 def job_results(spark, folder):
     """Scores and neighbours to tagged records, reviewed by the model."""
     base = scored(spark, folder)
     stats = neighbours.neighbours(cmd(spark, folder), RADIUS_M, REACH_M)
-    results = flagging.results(base.drop("neighbors_count", "is_isolated"), stats)
+    results = cut_lineage(flagging.results(base.drop("neighbors_count", "is_isolated"), stats))
     _, upheld = flagging.reviewed_results(results)
-    return upheld.select(c.ID, c.CITY, "prediction", "tag_anomalies", marker_radius(c.SCORE_CITY_CLUSTER).alias("radius"))
+    return _upheld_facts(results, cut_lineage(upheld))
+
+
+@check(
+    "job_full",
+    with_cmd(
+        f"""SELECT cmd.id__cmd, coalesce(named.standardized_city, cmd.city__cmd) AS standardized_city, {_PLACED} AS coords_scored, {_PLACED} AS city_scored,
+        {_PLACED} AS cluster_scored, stats.neighbors_count, TRUE AS are_alerts, TRUE AS are_predicted, TRUE AS some_upheld, TRUE AS once_each
+        FROM cmd LEFT JOIN named ON named.city__cmd = cmd.city__cmd LEFT JOIN stats ON stats.id__cmd = cmd.id__cmd""",
+        f"{STANDARD}, {_SPATIAL}",
+    ),
+)
+def job_full(spark, folder):
+    """Misspelled records to reviewed alerts in one chain: standard names, clusters, codes, forests, neighbours, flags, review."""
+    records = cmd(spark, folder)
+    flagged = records.withColumn("is_error", F.col("swapped_geo") | F.col("shuffle_lat") | F.col("shuffle_long"))
+    names = standardisation.by_spelling(records)
+    clean = proposals.standardise(flagged, names.stacked).select(c.ID, c.CITY, c.STANDARD, c.LAT, c.LONG, "is_error")
+    scores = scoring.scores(scoring.features(clean))
+    results = cut_lineage(flagging.results(scores, neighbours.neighbours(records, RADIUS_M, REACH_M)))
+    reviews = results.filter(F.col(c.ID) % 3 == 0).select(c.ID, F.col("is_error").cast("int").alias(c.LABEL))
+    _, upheld = flagging.reviewed_results(feedback.attach_reviews(results, reviews))
+    return _with_holds(_which_scored(results, "neighbors_count"), _upheld_facts(results, cut_lineage(upheld)))
+
+
+@check(
+    "job_evaluate",
+    with_cmd(
+        """SELECT cut, count(*) FILTER (bad AND s < cut) AS tp, count(*) FILTER (NOT bad AND s >= cut) AS tn,
+        count(*) FILTER (NOT bad AND s < cut) AS fp, count(*) FILTER (bad AND s >= cut) AS fn, 101::BIGINT AS cuts_swept, 101::BIGINT AS curve_points
+        FROM (SELECT s.S_Score_city_cluster AS s, swapped_geo OR shuffle_lat OR shuffle_long OR missing_geo OR typo_city AS bad FROM scored s JOIN cmd USING (id__cmd)),
+        (SELECT unnest([-0.56e0, -0.53e0]) AS cut) GROUP BY cut"""
+    ),
+)
+def job_evaluate(spark, folder):
+    """The evaluation job: truth joined to scores, the shown cuts, the sweep and the curve."""
+    kinds = ["swapped_geo", "shuffle_lat", "shuffle_long", "missing_geo", "typo_city"]
+    made = evaluation.evaluate_scores(scored(spark, folder), truth.with_truth(cmd(spark, folder), kinds))
+    counts = made.swept.agg(F.count(F.lit(1)).alias("cuts_swept")).join(made.curve.agg(F.count(F.lit(1)).alias("curve_points")), F.lit(True))
+    return _with_holds(made.shown.select("cut", "tp", "tn", "fp", "fn"), counts)

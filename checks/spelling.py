@@ -266,7 +266,14 @@ def jn_standardise(spark, folder):
     return records.select(c.ID, c.LAT, c.CITY).join(names, c.CITY, "left")
 
 
-@check("dq_standardise_similarity")
+SIMILAR_EDGES = (
+    SIMILAR
+    + """, both_ways AS (SELECT value AS a, matched AS b FROM best WHERE jaro_winkler_similarity(value, matched) * 100 >= 85
+    UNION ALL SELECT matched, value FROM best WHERE jaro_winkler_similarity(value, matched) * 100 >= 85)"""
+)
+
+
+@check("dq_standardise_similarity", with_cmd(_STANDARDISED, STANDARD.replace(EDGES, SIMILAR_EDGES)))
 def dq_standardise_similarity(spark, folder):
     records = cmd(spark, folder)
     return proposals.standardise(records, standardisation.by_similarity(records).stacked).select(c.ID, c.CITY, c.STANDARD)
