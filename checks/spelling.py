@@ -155,20 +155,31 @@ def dq_match_pairs(spark, folder):
     return pairs.withColumn("similarity_score_jellyfish", F.round("similarity_score_jellyfish", 6))
 
 
-@check(
-    "jn_fuzzy_theta",
-    with_cmd(
-        "SELECT l AS city__cmd, city_count, r AS p_name, parts FROM theta JOIN observed ON city__cmd = l JOIN named_parts ON p_name = r WHERE score >= 92",
+def _theta(spark, folder, rate):
+    observed = cmd(spark, folder).groupBy(c.CITY).agg(F.count(F.lit(1)).alias("city_count"))
+    names = read_parquet(spark, folder, "part", ["p_name"]).groupBy("p_name").agg(F.count(F.lit(1)).alias("parts"))
+    return matching.fuzzy_join(observed, names, {c.CITY: ["p_name"]}, rate)
+
+
+def _theta_sql(rate: int) -> str:
+    return with_cmd(
+        f"SELECT l AS city__cmd, city_count, r AS p_name, parts FROM theta JOIN observed ON city__cmd = l JOIN named_parts ON p_name = r WHERE score >= {rate}",
         f"""observed AS (SELECT city__cmd, count(*) AS city_count FROM cmd GROUP BY city__cmd),
         named_parts AS (SELECT p_name, count(*) AS parts FROM part GROUP BY p_name),
         theta_pairs AS (SELECT city__cmd AS l, p_name AS r, {norm_sql('city__cmd')} AS ka, {norm_sql('p_name')} AS kb FROM observed, named_parts),
         theta AS ({score_sql('theta_pairs')})""",
-    ),
-)
+    )
+
+
+@check("jn_fuzzy_theta", _theta_sql(92))
 def jn_fuzzy_theta(spark, folder):
-    observed = cmd(spark, folder).groupBy(c.CITY).agg(F.count(F.lit(1)).alias("city_count"))
-    names = read_parquet(spark, folder, "part", ["p_name"]).groupBy("p_name").agg(F.count(F.lit(1)).alias("parts"))
-    return matching.fuzzy_join(observed, names, {c.CITY: ["p_name"]}, c.FUZZY_THRESHOLD)
+    return _theta(spark, folder, c.FUZZY_THRESHOLD)
+
+
+@check("jn_fuzzy_theta_85", _theta_sql(85))
+def jn_fuzzy_theta_85(spark, folder):
+    """A rate within reach of substrings; names of the fixture differ less than 1.5 to 1 in length."""
+    return _theta(spark, folder, 85.0)
 
 
 @check("agg_components", with_cmd("SELECT v AS value, head AS component FROM labels", MEMBERS))

@@ -3,8 +3,9 @@
 Inputs are *distinct values*, never records. Two strings that keep a common subsequence of
 given length share the string left after deleting the other characters, so short strings
 meet on their deletion signatures; long ones meet on an untouched segment; strings whose
-words contain one another meet on the rarest word. Each rule is complete for the threshold,
-so a search loses no match and has no cap.
+words contain one another meet on the rarest word; where a threshold lets substrings match, a
+segment of the shorter string meets any place of the longer one. Each rule is complete for the
+threshold, so a search loses no match and has no cap.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
 MAX_DELETIONS = 2
-# Fixed value: above this score no partial (substring) form of the composite can count.
-PARTIAL_CEILING = 90.0
+# What the composite gives its partial (substring) forms, by how many times longer one string is.
+PARTIAL_SCALES = ((0.9, 1.5, 8.0), (0.6, 8.0, math.inf))
 
 
 def deletions(text: Column, count: int) -> Column:
@@ -96,8 +97,8 @@ def _limits(threshold: float) -> tuple[float, float | None]:
 
     Scores are rounded, so a match may lie half a point lower.
     """
-    if threshold <= PARTIAL_CEILING:
-        raise ValueError(f"a search needs a threshold above {PARTIAL_CEILING}: below it any substring may match")
+    if threshold <= 0:
+        raise ValueError("a search needs a threshold above 0: every pair reaches 0")
     plain = (threshold - 0.5) / 100 - 1e-9
     word_points = math.ceil((threshold - 0.5) / 0.95 - 1e-9)
     return plain, ((word_points - 0.5) / 100 - 1e-9) if word_points <= 100 else None
@@ -121,10 +122,15 @@ def _deletion_marks(keys: DataFrame, text: str, rate: float) -> DataFrame:
     return short.select("key", "name", "size", size.alias("text_size"), F.explode(marks).alias("mark"))
 
 
+def _comparable(rate: float) -> Column:
+    """Lengths under 1.5 to 1; a ratio of 0.8 or less is also within reach of other lengths."""
+    return F.lit(rate <= 0.8) | (F.greatest("size", "other_size") < 1.5 * F.least("size", "other_size"))
+
+
 def _sizes_allow(rate: float) -> Column:
     """The shared mark is long enough for both texts, and both keys are of comparable length."""
     enough = 2 * F.length("mark") >= rate * (F.col("text_size") + F.col("other_text_size"))
-    return enough & (F.greatest("size", "other_size") < 1.5 * F.least("size", "other_size"))
+    return enough & _comparable(rate)
 
 
 def _short_pairs(left: DataFrame, right: DataFrame, text: str, rate: float, best_only: bool) -> DataFrame:
@@ -186,7 +192,7 @@ def _long_pairs(left: DataFrame, right: DataFrame, text: str, rate: float) -> Da
     # The edit distance never exceeds the insertions and deletions, so it rejects most meetings
     # inside the join, before anything is emitted.
     near = F.expr("levenshtein(text, other_text, edits) >= 0") & (F.col("key") != F.col("other"))
-    comparable = F.greatest("size", "other_size") < 1.5 * F.least("size", "other_size")
+    comparable = _comparable(rate)
 
     def meet(stock: DataFrame, probes: DataFrame) -> DataFrame:
         # A segment that very many texts share is split over many tasks.
@@ -240,6 +246,49 @@ def _word_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
     return _either_way(left, right, meet)
 
 
+def _partial_pairs(keys: DataFrame, others: DataFrame, text: str, rate: float, low: float, high: float) -> DataFrame:
+    """Pairs of lengths ``low`` to ``high`` to one whose shorter text may be like a window of the longer one.
+
+    A window has at most ``2 * (1 - rate)`` edits per character of the shorter text. Cut into one segment
+    more than that, it has a segment that stands somewhere in the longer text as it is. A lower rate
+    means shorter segments, more meetings and a dearer search, never a refused one.
+    """
+    per_char = 2 * (1 - rate)
+    widest = int(1 / per_char) + 1 if per_char > 0 else 1 << 20
+
+    def segments(df: DataFrame) -> DataFrame:
+        sized = df.select("key", "size", F.length(text).alias("n"), F.col(text).alias("text")).filter(F.col("n") > 0)
+        count = F.least(F.col("n"), (F.floor(F.col("n") * per_char + 1e-9) + 1).cast("int"))
+        cut = sized.withColumn("count", count).select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("no"))
+        start = F.floor(F.col("no") * F.col("n") / F.col("count")).cast("int")
+        stop = F.floor((F.col("no") + 1) * F.col("n") / F.col("count")).cast("int")
+        return cut.select("key", "size", "n", F.col("text").substr(start + 1, stop - start).alias("mark")).distinct()
+
+    def windows(df: DataFrame) -> DataFrame:
+        sized = df.select(F.col("key").alias("other"), F.col("size").alias("other_size"), F.length(text).alias("m"), F.col(text).alias("text"))
+        widths = sized.filter(F.col("m") > 0).select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(widest)))).alias("width"))
+        spots = widths.select("*", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("width") + 1)).alias("at"))
+        return spots.select("other", "other_size", "m", F.col("text").substr(F.col("at"), F.col("width")).alias("mark")).distinct()
+
+    spread = F.greatest("size", "other_size") / F.least("size", "other_size")
+    apart = (spread >= low) & ((spread <= high) if high < math.inf else F.lit(True)) & (F.col("key") != F.col("other"))
+
+    def meet(stock: DataFrame, probes: DataFrame) -> DataFrame:
+        met = salted_join(segments(stock), windows(probes), ["mark"], "inner", most=10_000)
+        return met.filter(apart & (F.col("n") <= F.col("m"))).select("key", "other").distinct()
+
+    return _either_way(keys, others, meet)
+
+
+def _shared_word_pairs(left: DataFrame, right: DataFrame, low: float, high: float) -> DataFrame:
+    """Pairs of lengths ``low`` to ``high`` to one with a word in common: the shared words are a window of either."""
+    single = left.select("key", "size", F.explode("words").alias("word"))
+    asked = right.select(F.col("key").alias("other"), F.col("size").alias("other_size"), F.explode("words").alias("word"))
+    spread = F.greatest("size", "other_size") / F.least("size", "other_size")
+    apart = (spread >= low) & ((spread <= high) if high < math.inf else F.lit(True)) & (F.col("key") != F.col("other"))
+    return salted_join(single, asked, ["word"], "inner").filter(apart).select("key", "other").distinct()
+
+
 def _keys(values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Distinct values with their normalised key, and one row per key named by its smallest value."""
     named = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
@@ -259,6 +308,13 @@ def candidate_keys(left: DataFrame, right: DataFrame, threshold: float, best_onl
             .unionByName(_long_pairs(left, right, "sorted_text", word))
             .unionByName(_word_pairs(left, right, word))
         )
+    for scale, low, high in PARTIAL_SCALES:
+        for text, share in (("key", scale), ("sorted_text", 0.95 * scale)):
+            points = math.ceil((threshold - 0.5) / share - 1e-9)
+            if points <= 100:
+                found = found.unionByName(_partial_pairs(left, right, text, (points - 0.5) / 100 - 1e-9, low, high))
+        if threshold - 0.5 <= 95 * scale:
+            found = found.unionByName(_shared_word_pairs(left, right, low, high))
     return found.distinct()
 
 

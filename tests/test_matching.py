@@ -79,10 +79,20 @@ def test_pairs_of_very_different_length_never_pass_the_ceiling():
     assert max(composite(a, b) for a, b in far) == 90.0
 
 
-def test_threshold_within_reach_of_substrings_is_refused(spark):
-    frame = spark.createDataFrame([("a",)], "city__cmd string")
-    with pytest.raises(ValueError):
-        matching.best_matches(frame, threshold=80)
+@pytest.mark.parametrize("threshold", [55, 78, 80, 85, 86, 90])
+def test_best_match_within_reach_of_substrings_equals_all_pairs(spark, threshold):
+    rng = random.Random(threshold)
+    values = rng.sample(sorted(v for v in dictionary(3) if norm(v)), 70) + ["york", "yrk", "new", "ob", "rotond river", "sur mer river ober unter stadt bad new york", "x"]
+    keys = {v: norm(v) for v in values}
+    want = {}
+    for a in set(values):
+        rated = [(-composite(keys[a], keys[b]), b) for b in set(values) if b != a]
+        rated = [r for r in rated if -r[0] >= threshold]
+        if rated:
+            want[a] = (min(rated)[1], -min(rated)[0])
+    frame = spark.createDataFrame([(v,) for v in values], "city__cmd string")
+    got = {r["value"]: (r["matched"], r["similarity_score_fuzzy"]) for r in matching.best_matches(frame, threshold=threshold).collect()}
+    assert got == want
 
 
 def test_no_pairs_and_null_category(spark):
