@@ -183,7 +183,7 @@ def test_toxicity_finds_spellings_it_has_not_seen(spark, awkward, nothing):
 def test_long_texts_do_not_dilute_a_few_words():
     rng = random.Random(10)
     texts = [insults(rng, 20) if i % 3 == 0 else prose(rng, 40) for i in range(300)]
-    model = toxicity.train(texts, np.array([int(i % 3 == 0) for i in range(300)]))
+    model = toxicity.train(pa.array(texts), np.array([int(i % 3 == 0) for i in range(300)]))
     long = prose(rng, 20_000)
     scores = toxicity.score_texts(model, pa.array([long, long + " snorkwiter " + long]))
     assert scores[0] < 0.3 <= scores[1]
