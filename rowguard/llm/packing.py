@@ -30,8 +30,8 @@ END = 2
 BLOCK = 32_768
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 3
-POPULATION = 3
+GENERATIONS = 8
+POPULATION = 4
 INJECTED = 0.04
 
 
@@ -126,6 +126,56 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, into: np.ndarr
     return np.unique(out, return_inverse=True)[1]
 
 
+def exact_fill(sizes: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> np.ndarray:
+    """A packing that closes one bin after the other: the largest item left, then one or two that fill it exactly.
+
+    Sizes at hand are bits of a number, so a pair that adds up to the room left is found by one shift.
+    Without an exact filling the largest item that fits goes in. ``rng`` varies which pair is taken.
+    """
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, s in enumerate(sizes.tolist()):
+        held[s].append(i)
+    have = mirror = 0  # bit s, and bit capacity - s, for every size at hand
+    for s, items in enumerate(held):
+        if items:
+            have |= 1 << s
+            mirror |= 1 << (capacity - s)
+    out = np.empty(len(sizes), np.int64)
+    number = 0
+
+    def take(size: int) -> int:
+        nonlocal have, mirror
+        out[held[size].pop()] = number
+        if not held[size]:
+            have ^= 1 << size
+            mirror ^= 1 << (capacity - size)
+        return size
+
+    while have:
+        left = capacity - take(have.bit_length() - 1)
+        while left:
+            if have >> left & 1:
+                take(left)
+                break
+            pairs = have & (mirror >> (capacity - left)) & ((1 << left) - 1)
+            if left % 2 == 0 and len(held[left // 2]) == 1:
+                pairs &= ~(1 << (left // 2))
+            if pairs:
+                size = pairs.bit_length() - 1
+                if rng is not None and rng.random() < 0.5:
+                    below = pairs & ((1 << int(rng.integers(1, size + 1))) - 1)
+                    size = below.bit_length() - 1 if below else size
+                take(size)
+                take(left - size)
+                break
+            fitting = have & ((1 << (left + 1)) - 1)
+            if not fitting:
+                break
+            left -= take(fitting.bit_length() - 1)
+        number += 1
+    return out
+
+
 def fitness(sizes: np.ndarray, bin_of: np.ndarray, capacity: int) -> tuple[int, float]:
     """Larger is better: fewer bins, then the mean square of their filling."""
     fill = np.bincount(bin_of, sizes)
@@ -163,7 +213,9 @@ def evolve(sizes: np.ndarray, migrants: list[np.ndarray], capacity: int, seed: i
     rng = np.random.default_rng(seed)
     people = [m for m in migrants if len(m) == len(sizes)]
     if not people:
+        # The first generation: best fit of falling sizes, exactly filled bins, and noisy orders.
         people.append(best_fit(sizes, np.argsort(-sizes, kind="stable"), capacity))
+    people.append(exact_fill(sizes, capacity, None if seed % 2 else rng))
     while len(people) < population:
         noise = sizes * rng.uniform(0.9, 1.1, len(sizes))
         people.append(best_fit(sizes, np.argsort(-noise, kind="stable"), capacity))

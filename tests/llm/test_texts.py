@@ -185,6 +185,9 @@ def test_generations_never_lose_items_or_get_worse():
     best = packing.evolve(sizes, [], 1024, 1, generations=8, population=4)
     assert np.bincount(best, sizes).max() <= 1024 and len(best) == 2000
     assert packing.fitness(sizes, best, 1024) >= packing.fitness(sizes, first, 1024)
+    for filled in (packing.exact_fill(sizes, 1024), packing.exact_fill(sizes, 1024, rng)):
+        assert np.bincount(filled, sizes).max() <= 1024 and np.bincount(filled).min() > 0
+        assert filled.max() + 1 <= 1.01 * sizes.sum() / 1024 + 1
     other = packing.best_fit(sizes, rng.permutation(2000), 1024)
     child = packing.crossover(sizes, first, other, 1024, rng)
     assert (child >= 0).all() and np.bincount(child, sizes).max() <= 1024
