@@ -23,6 +23,7 @@ from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
 MAX_DELETIONS = 2
+DELETION_LENGTH = 24  # longer strings meet on segments, which are few at any length
 # What the composite gives its partial (substring) forms, by how many times longer one string is.
 PARTIAL_SCALES = ((0.9, 1.5, 8.0), (0.6, 8.0, math.inf))
 
@@ -54,21 +55,40 @@ def deletions(text: Column, count: int) -> Column:
 def edit_neighbours(values: DataFrame, column: str, distance: int = 1, group: str | None = None) -> DataFrame:
     """Pairs of distinct values (``left < right``) within an edit distance, within a group if given.
 
-    Strings at distance d or less share a string reached by at most d deletions from each side.
+    Strings at distance d or less share a string reached by at most d deletions from each side, or,
+    when they are long, a segment.
     """
     if distance < 0:
         raise ValueError("distance must not be negative")
     keys = [group] if group else []
     base = values.select(*keys, F.col(column).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    close = (F.col("left") < F.col("right")) & (F.levenshtein("left", "right", distance) >= 0)
     every = F.array_distinct(F.concat(*[deletions(F.col("v"), i) for i in range(distance + 1)]))
-    marks = base.select(*keys, "v", F.explode(every).alias("mark"))
+    marks = base.filter(F.length("v") <= DELETION_LENGTH).select(*keys, "v", F.explode(every).alias("mark"))
     left = marks.select(*keys, "mark", F.col("v").alias("left"))
     right = marks.select(*keys, "mark", F.col("v").alias("right"))
-    close = (F.col("left") < F.col("right")) & (F.levenshtein("left", "right", distance) >= 0)
-    pairs = left.join(right, [*keys, "mark"]).filter(close).select(*keys, "left", "right").distinct()
+    short = left.join(right, [*keys, "mark"]).filter(close).select(*keys, "left", "right")
+    # Longer strings: of distance + 1 segments one stays whole, at most ``distance`` places away.
+    long = base.filter(F.length("v") > DELETION_LENGTH - distance)
+    stock = _cut_up(long, F.length("v"), distance).select(*keys, "n", "no", F.col("v").alias("a"), F.col("v").substr(F.col("start") + 1, F.col("width")).alias("mark"))
+    sizes = long.select("*", F.explode(F.sequence(F.length("v") - distance, F.length("v") + distance)).alias("size"))
+    probes = _cut_up(sizes, F.col("size"), distance).select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - distance), F.col("start") + distance)).alias("at"))
+    probes = probes.select(*keys, "n", "no", F.col("v").alias("b"), F.col("v").substr(F.col("at") + 1, F.col("width")).alias("mark")).distinct()
+    met = salted_join(stock, probes, [*keys, "n", "no", "mark"], "inner", most=10_000).filter(F.col("a") != F.col("b"))
+    met = met.select(*keys, F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).filter(close)
+    pairs = short.unionByName(met).distinct()
     return pairs.withColumn("distance", F.levenshtein("left", "right"))
 
 
+def _cut_up(df: DataFrame, size: Column, distance: int) -> DataFrame:
+    """Rows once per segment of a string of ``size``: its number, start and width."""
+    count = distance + 1
+    sized = df.select("*", size.alias("n")).filter(F.col("n") >= count)
+    cut = sized.select("*", F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("no"))
+    start, stop = (F.floor((F.col("no") + i) * F.col("n") / count).cast("int") for i in (0, 1))
+    return cut.select("*", start.alias("start"), (stop - start).alias("width"))
+
+
 def spelling_edges(values: DataFrame, column: str = c.CITY, distance: int = 1, threshold: float = 97.0) -> DataFrame:
     """Pairs within an edit distance whose Jaro-Winkler similarity x 100 reaches ``threshold``."""
     near = edit_neighbours(values, column, distance)
@@ -170,11 +190,12 @@ def _long_pairs(left: DataFrame, right: DataFrame, text: str, rate: float) -> Da
         stop = F.floor((F.col("no") + 1) * F.col("n") / F.col("count")).cast("int")
         return cut.select("key", "size", "text", "n", "no", F.col("text").substr(start + 1, stop - start).alias("mark"))
 
-    def windows(df: DataFrame) -> DataFrame:
+    def windows(df: DataFrame, occurring: DataFrame) -> DataFrame:
         sized = df.select(F.col("key").alias("other"), F.col("size").alias("other_size"), F.col(text).alias("other_text"))
         sized = sized.withColumn("m", F.length("other_text")).filter(F.col("m") > limit)
         shortest = F.greatest(F.lit(1), F.ceil(F.col("m") / stretch - 1e-9).cast("int"))
-        lengths = sized.select("*", F.explode(F.sequence(shortest, F.col("m"))).alias("n"))
+        # Lengths that no text of the stock has are left out; there are at most as many as the longest text has characters.
+        lengths = sized.select("*", F.explode(F.sequence(shortest, F.col("m"))).alias("n")).join(F.broadcast(occurring), "n")
         count = F.least(F.col("n"), (F.floor(F.col("n") * (2 * (1 - rate) / rate) + 1e-9) + 1).cast("int"))
         edits = F.floor((F.col("n") + F.col("m")) * (1 - rate) + 1e-9).cast("int")
         cut = lengths.select("*", count.alias("count"), edits.alias("edits"), F.explode(F.sequence(F.lit(0), count - 1)).alias("no"))
@@ -196,7 +217,8 @@ def _long_pairs(left: DataFrame, right: DataFrame, text: str, rate: float) -> Da
 
     def meet(stock: DataFrame, probes: DataFrame) -> DataFrame:
         # A segment that very many texts share is split over many tasks.
-        met = salted_join(segments(stock), windows(probes), ["n", "no", "mark"], "inner", most=10_000)
+        occurring = stock.select(F.length(text).alias("n")).distinct()
+        met = salted_join(segments(stock), windows(probes, occurring), ["n", "no", "mark"], "inner", most=10_000)
         return met.filter(near & comparable).select("key", "other")
 
     return _either_way(left, right, meet)

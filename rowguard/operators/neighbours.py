@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rowguard import config as c
 from rowguard.functions.geo import EARTH_RADIUS_M, haversine_m
 from rowguard.functions.predicates import is_valid_point
-from rowguard.operators.joins import lookup_join
+from rowguard.operators.joins import lookup_join, salted_join
 from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
@@ -56,24 +56,39 @@ def sites(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- counting within the radius ------------------------------------------------------------
 
 
-def _tiles(df: DataFrame, step: float, rows: int) -> DataFrame:
-    """Tile of a plain grid; ``rows`` tiles go round the globe so that the last one meets the first."""
-    return df.withColumns(
-        {
-            "ti": F.floor((F.col("lat") + 90) / F.lit(step)),
-            "tj": F.least(F.floor((F.col("long") + 180) / F.lit(360.0 / rows)), F.lit(rows - 1)),
-        }
-    )
+def _tiles(df: DataFrame, step: float) -> DataFrame:
+    """Tile of a grid whose rows have as many tiles as fit at a step's width: fewer near the poles, one at them."""
+    rows = df.withColumn("ti", F.floor((F.col("lat") + 90) / F.lit(step))).withColumn("ring", _ring(F.col("ti"), step).cast("long"))
+    return rows.withColumn("tj", F.least(F.floor((F.col("long") + 180) / 360 * F.col("ring")), F.col("ring") - 1))
 
 
-def _cut(df: DataFrame, step: float, rows: int) -> DataFrame:
+def _cut(df: DataFrame, step: float) -> DataFrame:
     """Tiles of ``step`` cut in SPLIT x SPLIT; the small tile's number names its parent, whatever the rounding."""
 
-    def part(value: Column, tile: str, width: float) -> Column:
-        inner = F.floor((value - F.col(tile) * F.lit(width)) / F.lit(width / SPLIT))
+    def part(value: Column, tile: str, width: Column) -> Column:
+        inner = F.floor((value - F.col(tile) * width) / (width / SPLIT))
         return F.col(tile) * SPLIT + F.greatest(F.lit(0), F.least(inner, F.lit(SPLIT - 1)))
 
-    return df.withColumns({"ti": part(F.col("lat") + 90, "ti", step), "tj": part(F.col("long") + 180, "tj", 360.0 / rows)})
+    cut = {"ti": part(F.col("lat") + 90, "ti", F.lit(step)), "tj": part(F.col("long") + 180, "tj", F.lit(360.0) / F.col("ring"))}
+    return df.withColumns(cut | {"ring": F.col("ring") * SPLIT})
+
+
+def _touched(d: int, ring: Column):
+    return lambda j: F.struct((F.col("ti") + d).alias("oi"), F.pmod(j, ring).alias("oj"))
+
+
+def _beside(tiles: DataFrame, step: float) -> DataFrame:
+    """Each tile once for every tile, in its row and the two beside it, that the radius can touch."""
+    turn = F.col("tj") / F.col("ring"), (F.col("tj") + 1) / F.col("ring")
+    rows = []
+    for d in (-1, 0, 1):
+        ring = _ring(F.col("ti") + d, step).cast("long")
+        low, high = (F.floor(turn[0] * ring) - 1).cast("long"), (F.floor(turn[1] * ring) + 1).cast("long")
+        # All the row if the reach goes round it.
+        low, high = F.when(high - low >= ring, F.lit(0).cast("long")).otherwise(low), F.when(high - low >= ring, ring - 1).otherwise(high)
+        rows.append(F.transform(F.sequence(low, high), _touched(d, ring)))
+    spread = tiles.select("*", F.explode(F.array_distinct(F.concat(*rows))).alias("at"))
+    return spread.select(*tiles.columns, "at.oi", "at.oj")
 
 
 def _gap(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
@@ -108,6 +123,7 @@ def _bounds(a: str, b: str) -> tuple[Column, Column]:
 def _extents(placed: DataFrame) -> DataFrame:
     """Tiles with their counts, the extents of their contents and the range of the latitude cosine."""
     boxes = placed.groupBy("ti", "tj").agg(
+        F.first("ring").alias("ring"),
         F.count(F.lit(1)).alias("sites"),
         F.sum("n").alias("n"),
         F.min("lat").alias("lat0"),
@@ -131,17 +147,10 @@ def within_radius(spots: DataFrame, radius_m: float, tile_limit: int = TILE_LIMI
     product of its site counts is small, else both tiles are cut in ``SPLIT`` x ``SPLIT``.
     """
     step = _degrees(radius_m) * 1.0001
-    around = max(1, int(360 / step))
     points = spots.select("site", "lat", "long", "n")
-    placed = _tiles(points, step, around)
+    placed = _tiles(points, step)
     tiles = cut_lineage(_extents(placed))
-    # Tiles to the side that the radius can touch: more of them near the poles.
-    far_lat = F.least(F.lit(90.0), F.greatest(F.abs("lat0"), F.abs("lat1")) + step)
-    half = F.sin(F.lit(radius_m / (2 * EARTH_RADIUS_M))) / F.greatest(F.cos(F.radians(far_lat)), F.lit(1e-9))
-    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), half)))
-    side = F.least(F.ceil(reach / (360.0 / around)).cast("long") + 1, F.lit(around // 2).cast("long"))
-    beside = F.array_distinct(F.transform(F.sequence(-side, side), lambda d: F.pmod(F.col("tj") + d, F.lit(around))))
-    seek = tiles.withColumn("oi", F.explode(F.array(*[F.col("ti") + d for d in (-1, 0, 1)]))).withColumn("oj", F.explode(beside))
+    seek = _beside(tiles, step)
     left = _named(seek, "a")
     pairs = left.join(_named(tiles, "b"), (F.col("a_oi") == F.col("b_ti")) & (F.col("a_oj") == F.col("b_tj"))).drop("a_oi", "a_oj")
 
@@ -167,8 +176,10 @@ def within_radius(spots: DataFrame, radius_m: float, tile_limit: int = TILE_LIMI
         rest = edge.filter(heavy).select("a_ti", "a_tj", "b_ti", "b_tj")
         if rest.isEmpty():
             break
-        placed = _cut(placed, step, around)
-        step, around = step / SPLIT, around * SPLIT
+        # Only the tiles still open are cut.
+        open_ = rest.select(F.col("a_ti").alias("ti"), F.col("a_tj").alias("tj")).union(rest.select("b_ti", "b_tj")).distinct()
+        placed = cut_lineage(_cut(placed.join(open_, ["ti", "tj"], "left_semi"), step))
+        step = step / SPLIT
         small = _extents(placed)
         over = {s: _named(small, s).withColumns({f"p{s}_{x}": F.floor(F.col(f"{s}_{x}") / SPLIT) for x in ("ti", "tj")}) for s in "ab"}
         parents = rest.select([F.col(x).alias("p" + x) for x in rest.columns])
@@ -252,7 +263,9 @@ def nearest_site(spots: DataFrame, reach_m: float) -> DataFrame:
         step = _degrees(steps[i]) * 1.0001
         stock = _in_cells(points.select(F.col("site").alias("other"), "lat", "long"), step).withColumnsRenamed({"lat": "lat_o", "long": "long_o"})
         probes = _around(seekers.select("site", "lat", "long"), step)
-        met = probes.join(stock, ["band", "cell"]).filter(F.col("site") != F.col("other"))
+        # Cells that nobody asks about drop out; the sites of a crowded one are split, the few that ask are copied.
+        asked = stock.join(probes.select("band", "cell").distinct(), ["band", "cell"], "left_semi")
+        met = salted_join(asked, probes, ["band", "cell"], "inner").filter(F.col("site") != F.col("other"))
         metres = F.round(haversine_m("lat", "long", "lat_o", "long_o"), 2)
         best = met.groupBy("site").agg(F.min(F.struct(metres.alias("distance"), F.col("other").alias("closest_site"))).alias("m"))
         # What lies beyond the step may have a nearer rival outside the cells.
@@ -294,7 +307,10 @@ def neighbours(
         F.when(crowded, F.lit(0.0)).otherwise(F.col("distance")).alias("closest_distance_m"),
         F.when(crowded & own, F.col("second.id")).when(crowded, F.col("first.id")).otherwise(F.col("closest_site")).alias("closest_id__cmd"),
     )
-    joined = records.select(c.ID).join(per_record.withColumnRenamed("id", c.ID), c.ID, "left")
+    placed = per_record.withColumnRenamed("id", c.ID)
+    unplaced = records.filter(~F.coalesce(is_valid_point(c.LAT, c.LONG), F.lit(False)))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in placed.schema.fields if f.name != c.ID]
+    joined = placed.unionByName(unplaced.select(c.ID, *nulls))
     isolated = F.coalesce(F.col("neighbors_count") < min_neighbours, F.lit(True))
     return joined.select(c.ID, isolated.alias("is_isolated"), "neighbors_count", "closest_city__cmd", "closest_distance_m", "closest_id__cmd")
 

@@ -113,6 +113,21 @@ def test_edit_neighbours_equal_all_pairs(spark, distance):
     assert got == want
 
 
+def test_long_values_meet_on_segments(spark):
+    rng = random.Random(4)
+    values = set()
+    for size in (22, 24, 25, 27, 60, 1000):
+        base = "".join(rng.choice("abcdef ") for _ in range(size))
+        values |= {base, base[1:], base[:-2], base[: size // 2] + "x" + base[size // 2 :], base[:3] + base[5:] + "zz", "q" + base[1:-1] + "q"}
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {(r["left"], r["right"], r["distance"]) for r in matching.edit_neighbours(frame, "v", 2).collect()}
+    from tests.test_places import plain_distance
+
+    ordered = sorted(values)
+    near = [(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if abs(len(a) - len(b)) <= 2]
+    assert got == {(a, b, d) for a, b in near if (d := plain_distance(a, b)) <= 2}
+
+
 def test_fuzzy_join_equals_all_pairs(spark):
     left = ["New York", "san giovanni rotondo", "Oslo", "new-york", "santa maria"]
     right = ["new york", "san giovani rotondo", "maria santa", "lima"]
