@@ -189,6 +189,30 @@ def agg_components(spark, folder):
     return components.components(matching.spelling_edges(cmd(spark, folder)))
 
 
+NAME_EDGES = """names AS (SELECT c_name AS v FROM customer),
+near AS (SELECT a.v AS l, b.v AS r, levenshtein(a.v, b.v) AS d FROM names a JOIN names b ON a.v < b.v WHERE levenshtein(a.v, b.v) <= 1),
+ends AS (SELECT l AS a, r AS b FROM near UNION ALL SELECT r, l FROM near)"""
+
+
+@check("jn_self_distance_names", with_cmd('SELECT l AS "left", r AS "right", CAST(d AS INT) AS distance FROM near', NAME_EDGES))
+def jn_self_distance_names(spark, folder):
+    """Neighbours in a dictionary that grows with the data."""
+    return matching.edit_neighbours(read_parquet(spark, folder, "customer", ["c_name"]), "c_name", 1)
+
+
+@check(
+    "agg_components_names",
+    with_cmd(
+        "SELECT v AS value, min(head) AS component FROM walk GROUP BY v",
+        NAME_EDGES + ", walk AS (SELECT v, v AS head FROM (SELECT min(a) AS v FROM ends) UNION SELECT ends.b, walk.head FROM walk JOIN ends ON walk.v = ends.a)",
+    ),
+)
+def agg_components_names(spark, folder):
+    """One component of all names: whoever has a neighbour is reached from the smallest."""
+    names = read_parquet(spark, folder, "customer", ["c_name"])
+    return components.components(matching.edit_neighbours(names, "c_name", 1))
+
+
 @check("dq_clusters", with_cmd("SELECT city__cmd, cluster, city_count FROM counted", COUNTED))
 def dq_clusters(spark, folder):
     return _counted(cmd(spark, folder)).select(c.CITY, c.CLUSTER, "city_count")
