@@ -36,6 +36,16 @@ def test_sequences_give_back_and_find_their_values(n, top):
     assert held.find(asked).tolist() == [place.get(v, -1) for v in asked.tolist()]
 
 
+def test_values_in_one_long_bucket_are_found():
+    values = np.concatenate([np.arange(0, 60_000, 3), np.random.default_rng(3).integers(10**9, 10**12, 3000)])
+    values = np.unique(values)
+    held, _ = Sequence.open(memoryview(Sequence.encode(values)))
+    asked = np.arange(0, 70_000)
+    place = {v: i for i, v in enumerate(values.tolist())}
+    assert held.find(asked).tolist() == [place.get(v, -1) for v in asked.tolist()]
+    assert (held[np.arange(len(values))] == values).all()
+
+
 def test_a_trie_is_read_from_a_mapped_file_and_compact(tmp_path):
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 3000, (40_000, 2)) * [3, 5], axis=0)
