@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowguard.llm.tables import restored, shielded
+from rowguard.llm.tables import only_rows
 
 PREFIX_CHARS = 64
 SLOTS = 1 << 18
@@ -62,7 +62,4 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; repeated rows of one id and text count once."""
-    renamed, at = shielded(docs)
-    kept = exact_groups(renamed, at[id_col], at[text_col]).filter("kept").select(F.col("id").alias("_kept_id")).distinct()
-    stay = renamed.join(kept, F.col(at[id_col]).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([at[id_col]])
-    return restored(stay, docs)
+    return only_rows(docs, id_col, exact_groups(docs, id_col, text_col).filter("kept"))

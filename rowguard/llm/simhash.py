@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowguard.llm.tables import restored, shielded
+from rowguard.llm.tables import only_rows
 from rowguard.llm.words import slices, words
 from rowguard.operators.components import components
 from rowguard.session import cut_lineage
@@ -196,7 +196,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every component, the one with the smallest id, with the columns of ``docs``."""
-    renamed, at = shielded(docs)
-    kept = near_groups(renamed, at[id_col], at[text_col]).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    stay = renamed.join(kept, F.col(at[id_col]).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([at[id_col]])
-    return restored(stay, docs)
+    return only_rows(docs, id_col, near_groups(docs, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id"))))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -14,3 +15,19 @@ def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` again, in their order, under their names."""
     return df.select(*[f"_in_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def _named(key: Column) -> Column:
+    """The id as text that null and the empty text do not share."""
+    return F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key.cast("string")))
+
+
+def only_rows(docs: DataFrame, id_col: str, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each id in ``kept`` (column ``id``), with the columns of ``docs``.
+
+    Semi-join and dropping of repeated rows share one key, so texts are shuffled once.
+    """
+    renamed, at = shielded(docs)
+    named = renamed.withColumn("_key", _named(F.col(at[id_col])))
+    ids = kept.select(_named(F.col("id")).alias("_key")).distinct()
+    return restored(named.join(ids, "_key", "left_semi").dropDuplicates(["_key"]), docs)
