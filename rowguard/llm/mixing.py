@@ -19,6 +19,8 @@ from rowguard.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 40
 EXPONENT = 0.8
+#: The token budget of a mix: the expected share of all tokens that stays.
+SHARE = 0.5
 SEED = "mix"
 
 
@@ -80,11 +82,30 @@ def draw(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def probabilities(docs: DataFrame, margins: Sequence[str], tokens_col: str, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``probability``: proportional to raked weight over tokens, the largest being 1.
+def _factor(rated: DataFrame, share: float) -> float:
+    """The factor c at which tokens x min(1, c x rate) add up to ``share`` of all tokens of ``rated`` cells.
 
-    So the expected tokens of a sample follow the targets. Without ``targets`` a margin aims at its
-    tempered shares. Documents of no tokens get probability 0.
+    Cells that reach 1 are taken whole and c is found again for the rest of the budget. It only grows, so
+    every round has more whole cells, and it is exact once their number stays. If the cells with a rate
+    hold less than the budget, all of them end whole.
+    """
+    budget = share * (rated.agg(F.sum("tokens").cast("double")).first()[0] or 0.0)
+    factor, before = 0.0, -1
+    while True:
+        whole = F.col("_rate") * F.lit(factor) >= 1
+        held, rest, count = rated.filter("_rate > 0").agg(F.sum(F.when(whole, F.col("tokens").cast("double"))), F.sum(F.when(~whole, F.col("weight"))), F.count_if(whole)).first()
+        if count == before or not rest:
+            return factor
+        factor, before = max(factor, (budget - (held or 0.0)) / rest), count
+
+
+def probabilities(docs: DataFrame, margins: Sequence[str], tokens_col: str, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """``docs`` with ``probability``: proportional to raked weight over tokens.
+
+    With ``share`` it is scaled to a token budget: the expected tokens of a sample are that share of all
+    tokens, cells that would pass 1 stay whole, and the others follow the targets. Without it the largest
+    probability is 1, so the sample follows the targets everywhere and the rarest cell decides its size.
+    Without ``targets`` a margin aims at its tempered shares. Documents of no tokens get probability 0.
     """
     cells = docs.groupBy(*margins).agg(F.sum(tokens_col).alias("tokens"))
     cells = cut_lineage(cells)
@@ -92,7 +113,8 @@ def probabilities(docs: DataFrame, margins: Sequence[str], tokens_col: str, targ
     aims = {m: tempered(cells, m) if t is None else t for m, t in aims.items()}
     raked = rake(cells, aims, rounds).withColumn("_rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     raked = cut_lineage(raked)
-    rated = raked.withColumn("probability", F.when(F.col("_rate") > 0, F.col("_rate") / raked.agg(F.max("_rate")).scalar()).otherwise(0.0))
+    scaled = F.col("_rate") / raked.agg(F.max("_rate")).scalar() if share is None else F.least(F.lit(1.0), F.col("_rate") * F.lit(_factor(raked, share)))
+    rated = raked.withColumn("probability", F.when(F.col("_rate") > 0, scaled).otherwise(0.0))
     keys = [F.struct(F.coalesce(F.col(m).cast("string"), F.lit("")).alias("v"), F.col(m).isNull().alias("n")) for m in margins]
     cell = F.to_json(F.struct(*keys)).alias("_cell")
     # Documents of no tokens keep what their cell has; a rate of 0 is theirs by the last step.
@@ -100,17 +122,17 @@ def probabilities(docs: DataFrame, margins: Sequence[str], tokens_col: str, targ
     return joined.withColumn("probability", F.when(F.col(tokens_col) > 0, F.col("probability")).otherwise(0.0))
 
 
-def rated_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def rated_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", share: float | None = SHARE) -> DataFrame:
     """``docs`` with every column renamed (``tables.shielded``), ``_tokens``, ``_topic`` and ``probability``."""
     renamed, at = shielded(docs)
     body = F.coalesce(F.col(at[text_col]).cast("string"), F.lit(""))
     counted = renamed.withColumn("_tokens", token_count(body))
     topics = counted.withColumn("_topic", topic(body, F.col("_tokens")))
-    return probabilities(topics, [at[source_col], at[lang_col], "_topic"], "_tokens")
+    return probabilities(topics, [at[source_col], at[lang_col], "_topic"], "_tokens", share=share)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The sampled rows of ``docs`` with their columns; a null id draws as an empty one would."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", share: float | None = SHARE) -> DataFrame:
+    """The sampled rows of ``docs``, some ``share`` of their tokens, with their columns; a null id draws as an empty one would."""
     _, at = shielded(docs)
-    rated = rated_documents(docs, text_col, source_col, lang_col)
+    rated = rated_documents(docs, text_col, source_col, lang_col, share)
     return restored(rated.filter(draw(F.col(at[id_col])) < F.round("probability", 9)), docs)

@@ -14,7 +14,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def mixing_ipf(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    rated = mixing.rated_documents(docs)
+    rated = mixing.rated_documents(docs, share=None)
     probability = F.round("probability", 9)
     return rated.select(
         F.col("_in_0").alias("doc_id"),

@@ -130,6 +130,23 @@ def test_a_sample_follows_its_targets(spark):
     assert drawn == pytest.approx(sum(r.probability for r in rated), rel=0.1)
 
 
+def test_a_rare_cell_does_not_decide_what_stays(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(20, 200)), rng.choice(["en", "fr"]), "hot" if i % 3 else f"s{i % 5}") for i in range(1000)]
+    rated = mixing.rated_documents(documents(spark, [*rows, (5000, prose(rng, 5), "en", "stray")])).collect()
+    assert sum(r._tokens * r.probability for r in rated) == pytest.approx(0.5 * sum(r._tokens for r in rated), rel=1e-9)
+    assert max(r.probability for r in rated) == 1 == [r.probability for r in rated if r._in_0 == 5000][0]
+
+
+def test_a_budget_is_met_over_cells(spark):
+    cells = [(t, r, t * r) for t, r in ((1000, 1.0), (500, 2.0), (10, 50.0), (1, 900.0), (7, 0.0))]
+    rated = spark.createDataFrame(cells, "tokens long, _rate double, weight double")
+    for share in (0.001, 0.3, 0.5, 0.9, 0.99, 1.0):
+        factor = mixing._factor(rated, share)
+        assert sum(t * min(1, factor * r) for t, r, _ in cells) == pytest.approx(min(share * 1518, 1511))
+    assert mixing._factor(rated.limit(0), 0.5) == 0
+
+
 def checked(rows, texts, capacity):
     by_sequence = defaultdict(list)
     encode = packing.public_encoding().encode_ordinary
