@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +33,8 @@ ROUNDS = 2
 GENERATIONS = 8
 POPULATION = 4
 INJECTED = 0.04
+#: The added token of the tokenizers file; it is one id wherever a text holds it.
+ADDED = {"<|endoftext|>": 50256}
 
 
 @lru_cache(1)
@@ -42,7 +44,7 @@ def _encoding(ranks_file: str, pattern: str):
 
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def public_encoding():
@@ -63,7 +65,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """``uid, id, piece, start, length, ids_crc32``; a null or empty text is the end token alone."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = public_encoding().encode_ordinary
+        encode = partial(public_encoding().encode, allowed_special="all")
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "body"):

@@ -195,6 +195,18 @@ def test_ids_are_those_of_the_tokenizers_file(awkward):
         assert encode(text) == public.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_are_those_of_the_tokenizers_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    public = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one page<|endoftext|>next page", "<|endoftext|>", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|> ", "<|endoftext |> it's", "plain"]
+    got = {r.id: (r.length, r.ids_crc32) for r in packing.pieces(documents(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*public.encode(text, add_special_tokens=False).ids, packing.END], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_generations_never_lose_items_or_get_worse():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 1024, 2000)
