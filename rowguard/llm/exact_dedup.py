@@ -62,4 +62,5 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; repeated rows of one id and text count once."""
-    return only_rows(docs, id_col, exact_groups(docs, id_col, text_col).filter("kept"))
+    kept = exact_groups(docs, id_col, text_col, hash_all=True).filter("kept")
+    return only_rows(docs, id_col, text_col, kept.select("id", F.col("sha256").alias("digest")))

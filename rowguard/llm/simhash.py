@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowguard.llm.tables import only_rows
+from rowguard.llm.tables import only_rows, text_digest
 from rowguard.llm.words import slices, words
 from rowguard.operators.components import components
 from rowguard.session import cut_lineage
@@ -76,17 +76,22 @@ def _runs(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp``: the fingerprint of every row as a signed long; null text is empty, its fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """``id, fp``: the fingerprint of every row as a signed long; null text is empty, its fingerprint 0.
+
+    With ``digests`` also ``digest``, the SHA-256 of the text.
+    """
+    more = ["digest"] if digests else []
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "body"):
                 fps = text_fingerprints(part.column("body")).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps)], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps), *[part.column(c) for c in more]], names=["id", "fp", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    return rows.mapInArrow(each, "id long, fp long")
+    digest = [text_digest(F.col(text_col)).alias("digest")] if digests else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"), *digest)
+    return rows.mapInArrow(each, "id long, fp long" + (", digest string" if digests else ""))
 
 
 def _bucket_bits(count: int, per_bucket: int) -> list[int]:
@@ -177,6 +182,17 @@ def links(distinct: DataFrame, count: int, per_bucket: int = PER_BUCKET) -> Data
     return met.filter(F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= RADIUS)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digests: bool = False) -> DataFrame:
+    """The rows of ``fingerprints`` with ``component``, a fingerprint, and ``component_id``."""
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, digests))
+    heads = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    found = links(heads.select("fp"), heads.count())
+    members = components(found, "left", "right").select(F.col("value").alias("fp"), "component")
+    joined = heads.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(joined.join(names, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp, component_id`` per row; a component is named by its smallest id.
 
@@ -184,16 +200,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts without words share fingerprint 0 and link to it and each other. Rows of a null id keep their
     place in a component, which they name only if it has no other id. An empty table gives no rows.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col))
-    heads = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = links(heads.select("fp"), heads.count())
-    members = components(found, "left", "right").select(F.col("value").alias("fp"), "component")
-    joined = heads.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col).select("id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every component, the one with the smallest id, with the columns of ``docs``."""
-    return only_rows(docs, id_col, near_groups(docs, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id"))))
+    """One row of every component, with the columns of ``docs``: the smallest id, of its texts the smallest SHA-256."""
+    first = _grouped(docs, id_col, text_col, digests=True).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("component").agg(F.min("id").alias("id"), F.min("digest").alias("digest"))
+    return only_rows(docs, id_col, text_col, kept)

@@ -22,12 +22,18 @@ def _named(key: Column) -> Column:
     return F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key.cast("string")))
 
 
-def only_rows(docs: DataFrame, id_col: str, kept: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each id in ``kept`` (column ``id``), with the columns of ``docs``.
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
-    Semi-join and dropping of repeated rows share one key, so texts are shuffled once.
+
+def only_rows(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each id and text in ``kept`` (``id``, ``digest``), with the columns of ``docs``.
+
+    The text decides beside the id, since a null id, or one that occurs twice, stands for several texts.
+    Semi-join and dropping of repeated rows share their keys, so texts are shuffled once.
     """
     renamed, at = shielded(docs)
-    named = renamed.withColumn("_key", _named(F.col(at[id_col])))
-    ids = kept.select(_named(F.col("id")).alias("_key")).distinct()
-    return restored(named.join(ids, "_key", "left_semi").dropDuplicates(["_key"]), docs)
+    named = renamed.withColumn("_key", _named(F.col(at[id_col]))).withColumn("_digest", text_digest(F.col(at[text_col])))
+    ids = kept.select(_named(F.col("id")).alias("_key"), F.col("digest").alias("_digest")).distinct()
+    return restored(named.join(ids, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]), docs)

@@ -112,6 +112,26 @@ def test_near_groups_of_awkward_rows(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == len(set(tops))
 
 
+def test_rows_of_null_and_repeated_ids_stay_by_their_text(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, 60) for _ in range(8)]
+    near = texts[4] + " end"
+    while (plain_fingerprint(near) ^ plain_fingerprint(texts[4])).bit_count() > 3:
+        texts[4] = prose(rng, 300)
+        near = texts[4] + " end"
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (7, texts[3]), (8, texts[3]), (7, texts[5]), (9, texts[6]), (9, texts[7]), (None, texts[4]), (None, near)]
+    docs = documents(spark, rows)
+    exact = {(r.doc_id, r.text) for r in exact_dedup.drop_exact_copies(docs).collect()}
+    assert exact_dedup.drop_exact_copies(docs).count() == len(exact)
+    assert exact == set(rows) - {(7, texts[3])}
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()]
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    tops = plain_components([plain_fingerprint(t) for _, t in order])
+    assert len(kept) == len(set(tops)) == len(set(texts)) and set(kept) <= set(rows)
+    of = dict(zip(order, tops))
+    assert {of[k] for k in kept} == set(tops) and (8, texts[3]) not in kept
+
+
 def plain_removal(texts, length):
     seen = {}
     for t in texts:
