@@ -6,14 +6,19 @@ an index into the set of all valid values of that format, the index is permuted
 The permutation depends on key and format alone, so equal values stay equal across documents however they
 are punctuated, different ones stay different, and the holder of the key can turn them back. Texts are
 changed where they lie; nothing is shuffled.
+
+Cards are sought in whole runs of digit groups: unbroken ones first, then the usual groupings, then whatever
+begins or ends the run. IBANs end at their country's length, or else at the last space where their remainder fits. Where a pseudonym would let
+another reading of the same digits come first, it is walked on, so that it can always be turned back.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -30,18 +35,30 @@ SAMPLE_KEY = b"sample key, not a secret"
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
-_PATTERN = re.compile(
-    r"(?<![\w.+/-])(?:"
+_BEFORE, _AFTER = r"(?<![\w.+/-])", r"(?![\w/-]|\.\d)"
+_REST = (
     r"(?P<date>\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<phone>(?:\+1[ .-]?)?(?:\([2-9]\d{2}\)[ ]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?\d){10,30})"
-    r")(?![\w/-]|\.\d)",
-    re.ASCII,
+    r"|(?P<phone>(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d(?:[ ./-]?\(?\d\)?){7,14})"
 )
+_PATTERN = re.compile(_BEFORE + "(?:" + _REST + r"|(?P<card>\d(?:[ -]?\d){12,})|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z\d]){10,30}))" + _AFTER, re.ASCII)
+_IN_RUN = re.compile(_BEFORE + "(?:" + _REST + ")" + _AFTER, re.ASCII)
+#: Longer than any match of ``_IN_RUN``.
+_REACH = 80
+_GROUPINGS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4))
+#: Country calling codes; no code begins another.
+_CODE = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 KINDS = tuple(_PATTERN.groupindex)
+#: Length of an IBAN by country.
+_IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+        "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 
 
 class Span(NamedTuple):
@@ -93,20 +110,32 @@ def _card(digits: str, move: Callable[[int, int, str], int]) -> str | None:
             return digits
 
 
-def _iban(country: str, digits: str, move: Callable[[int, int, str], int]) -> str | None:
-    tail = "".join(str(ord(c) - 55) for c in country)
-    if int(digits[2:] + tail + digits[:2]) % 97 != 1:
-        return None
-    n = len(digits) - 2
-    body = str(move(int(digits[2:]), 10**n, f"iban{country}{n}")).zfill(n)
-    return f"{98 - int(body + tail + '00') % 97:02d}" + body
+def _remainder(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def _phone(digits: str, move: Callable[[int, int, str], int]) -> str | None:
-    head, local = digits[:-10], digits[-10:]
-    area, exchange, line = int(local[:3]) - 200, int(local[3:6]) - 200, int(local[6:])
-    value = move((area * 800 + exchange) * 10**4 + line, 800 * 800 * 10**4, "phone")
-    return head + f"{value // (800 * 10**4) + 200:03d}{value // 10**4 % 800 + 200:03d}{value % 10**4:04d}"
+def _iban(old: str, move: Callable[[int, int, str], int]) -> str | None:
+    country, check, body = old[:2], old[2:4], old[4:]
+    if _remainder(body + country + check) != 1:
+        return None
+    sizes = [10 if c.isdigit() else 26 for c in body]
+    value = 0
+    for c, n in zip(body, sizes):
+        value = value * n + (int(c) if n == 10 else ord(c) - 65)
+    shape = str(len(body)) if set(sizes) == {10} else "".join("9" if n == 10 else "A" for n in sizes)
+    value, new = move(value, math.prod(sizes), f"iban{country}{shape}"), ""
+    for n in reversed(sizes):
+        value, at = divmod(value, n)
+        new = (str(at) if n == 10 else chr(at + 65)) + new
+    return country + f"{98 - _remainder(new + country + '00'):02d}" + new
+
+
+def _phone(old: str, digits: str, move: Callable[[int, int, str], int]) -> str:
+    """The digits after the country code, which stays; without a code or with +1 a number is the same."""
+    head = _CODE.match(digits).group() if old[0] == "+" else digits[:-10]
+    n = len(digits) - len(head)
+    label = "phone" if n == 10 and head in ("", "1") else f"phone{head}:{n}"
+    return head + str(move(int(digits[len(head) :]), 10**n, label)).zfill(n)
 
 
 def _ssn(digits: str, move: Callable[[int, int, str], int]) -> str | None:
@@ -120,11 +149,17 @@ def _ssn(digits: str, move: Callable[[int, int, str], int]) -> str | None:
 
 
 def _date(day: int, month: int, year: int, move: Callable[[int, int, str], int]) -> datetime.date | None:
+    """Days up to 12 stay among each other, so that a date reads in the same order again."""
     try:
         at = datetime.date(year, month, day).toordinal() - FIRST_DAY
     except ValueError:
         return None
-    return datetime.date.fromordinal(move(at, DAYS, "date") + FIRST_DAY) if 0 <= at < DAYS else None
+    while 0 <= at < DAYS:
+        at = move(at, DAYS, "date")
+        new = datetime.date.fromordinal(at + FIRST_DAY)
+        if (new.day > 12) == (day > 12):
+            return new
+    return None
 
 
 def _rewritten(kind: str, old: str, move: Callable[[int, int, str], int]) -> str | None:
@@ -139,17 +174,21 @@ def _rewritten(kind: str, old: str, move: Callable[[int, int, str], int]) -> str
         if old[4] == "-":
             new = _date(int(old[8:]), int(old[5:7]), int(old[:4]), move)
             return new and new.isoformat()
-        new = _date(int(old[:2]), int(old[3:5]), int(old[6:]), move)
+        first, second, year = int(old[:2]), int(old[3:5]), int(old[6:])
+        if first <= 12 < second:  # only the month can stand first
+            new = _date(second, first, year, move)
+            return new and f"{new.month:02d}{old[2]}{new.day:02d}{old[5]}{new.year:04d}"
+        new = _date(first, second, year, move)
         return new and f"{new.day:02d}{old[2]}{new.month:02d}{old[5]}{new.year:04d}"
-    digits = re.sub(r"\D", "", old)
     if kind == "iban":
-        new = _iban(old[:2], digits, move)
+        new = _iban(old.replace(" ", ""), move)
     else:
-        new = {"card": _card, "phone": _phone, "ssn": _ssn}[kind](digits, move)
+        digits = re.sub(r"\D", "", old)
+        new = _phone(old, digits, move) if kind == "phone" else {"card": _card, "ssn": _ssn}[kind](digits, move)
     if new is None:
         return None
     left = iter(new)
-    return "".join(next(left) if c.isdigit() else c for c in old)
+    return "".join(next(left) if c.isalnum() else c for c in old)
 
 
 @lru_cache(1 << 16)
@@ -157,12 +196,75 @@ def pseudonym(kind: str, old: str, key: bytes, back: bool = False) -> str | None
     return _rewritten(kind, old, lambda value, size, label: permute(value, size, key, label, back))
 
 
-def spans(text: str, key: bytes, back: bool = False) -> list[Span]:
-    found = []
-    for match in _PATTERN.finditer(text):
+def _valid(kind: str, old: str) -> bool:
+    return _rewritten(kind, old, lambda value, size, label: value) is not None
+
+
+def _first_fits(text: str, offset: int, kind: str, readings: Iterable[tuple[int, int]], key: bytes, back: bool) -> list[Span]:
+    """Readings of ``text`` that pass their check and meet no earlier one; ``offset`` is where it begins."""
+    found, failed = [], []
+    for a, b in readings:
+        if any(a < s.end - offset and s.start - offset < b for s in found):
+            continue
+        new = pseudonym(kind, text[a:b], key, back)
+        if new is None:
+            failed.append((a, b))
+            continue
+        rivals = [(c, d) for c, d in failed if c < b and a < d]
+        while any(_valid(kind, (text[:a] + new + text[b:])[c:d]) for c, d in rivals):
+            new = pseudonym(kind, new, key, back)
+        text = text[:a] + new + text[b:]
+        found.append(Span(offset + a, offset + b, kind, new))
+    return found
+
+
+def _card_readings(run: str) -> Iterator[tuple[int, int]]:
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    size = [b - a for a, b in groups]
+    last = len(groups) - 1
+    yield from (g for g, n in zip(groups, size) if 13 <= n <= 19)
+    for shape in _GROUPINGS:
+        for i in range(len(groups) - len(shape) + 1):
+            if tuple(size[i : i + len(shape)]) == shape:
+                yield groups[i][0], groups[i + len(shape) - 1][1]
+    ends = [(0, j) for j in range(min(last, 18), -1, -1)] + [(i, last) for i in range(max(1, last - 18), last + 1)]
+    yield from ((groups[i][0], groups[j][1]) for i, j in ends if j > i and 13 <= sum(size[i : j + 1]) <= 19)
+
+
+def _in_run(text: str, start: int, end: int, key: bytes, back: bool) -> tuple[list[Span], int]:
+    """What a run of digit groups holds, other kinds before cards, and where to go on."""
+    others, at = [], start
+    while at < end and (match := _IN_RUN.search(text, at, end + _REACH)) and match.start() < end:
         new = pseudonym(match.lastgroup, match.group(), key, back)
+        if new is not None and match.end() > end:
+            end = match.start()
+            break
         if new is not None:
-            found.append(Span(match.start(), match.end(), match.lastgroup, new))
+            others.append(Span(match.start(), match.end(), match.lastgroup, new))
+        at = match.start() + 1 if new is None else match.end()
+    found = list(others)
+    for a, b in zip([start, *[s.end for s in others]], [*[s.start for s in others], end]):
+        found += _first_fits(text[a:b], a, "card", _card_readings(text[a:b]), key, back)
+    return sorted(found), end
+
+
+def spans(text: str, key: bytes, back: bool = False) -> list[Span]:
+    found, at = [], 0
+    while match := _PATTERN.search(text, at):
+        kind, old = match.lastgroup, match.group()
+        if kind == "card":
+            new, at = _in_run(text, match.start(), match.end(), key, back)
+        elif kind == "iban":
+            ends = [len(old), *[i for i in range(len(old) - 1, 0, -1) if old[i] == " "]]
+            sizes = {e: e - old[:e].count(" ") for e in ends}
+            readings = [(0, e) for e in sorted(ends, key=lambda e: (sizes[e] != _IBAN_LENGTHS.get(old[:2]), -e)) if sizes[e] >= 14]
+            new = _first_fits(old, match.start(), kind, readings, key, back)
+            at = new[0].end if new else match.start() + 1
+        else:
+            moved = pseudonym(kind, old, key, back)
+            new = [Span(match.start(), match.end(), kind, moved)] if moved is not None else []
+            at = match.end() if new else match.start() + 1
+        found += new
     return found
 
 

@@ -66,6 +66,46 @@ def test_pseudonyms_are_valid_linked_and_undone():
     assert pseudonyms.spans(INVALID, KEY) == []
 
 
+FORMS = [
+    ("+1 (017) 555-7713", "phone"), ("1-988-555-2485", "phone"), ("(123) 055-2485", "phone"), ("+44 20 7946 0958", "phone"), ("+49 (0)30 1234567", "phone"), ("+33123456789", "phone"),
+    ("GB82 WEST 1234 5698 7654 32", "iban"), ("NL91ABNA0417164300", "iban"), ("FR1420041010050500013M02606", "iban"), ("IT60 X054 2811 1010 0000 0123 456", "iban"),
+    ("12/25/2020", "date"), ("12.25.2020", "date"), ("4041 8949 7460 8795", "card"),
+]
+
+
+def test_every_form_is_found_and_undone():
+    for old, kind in FORMS:
+        for text in (f"see {old}, and", f"see {old} Then", old):
+            found = pseudonyms.spans(text, KEY)
+            assert [(s.kind, text[s.start : s.end]) for s in found] == [(kind, old)]
+            new = pseudonyms.replaced(text, found)
+            assert new != text and re.sub("[A-Z]", "A", re.sub(r"\d", "9", new)) == re.sub("[A-Z]", "A", re.sub(r"\d", "9", text))
+            assert pseudonyms.replaced(new, pseudonyms.spans(new, KEY, back=True)) == text
+    paid = pseudonyms.spans("to GB82 WEST 1234 5698 7654 32 USD 100", KEY)
+    assert [s.pseudonym for s in paid] == [pseudonyms.pseudonym("iban", "GB82 WEST 1234 5698 7654 32", KEY)]
+    assert pseudonyms.pseudonym("date", "12/25/2020", KEY)[:5].split("/")[::-1] == pseudonyms.pseudonym("date", "25/12/2020", KEY)[:5].split("/")
+
+
+def test_cards_beside_other_numbers_are_found_and_undone():
+    rng = random.Random(4)
+    plain = "4041894974608795"
+    for before, after in (("", " 123"), ("12 ", ""), ("123 ", " 4"), ("", "-1234"), ("7-", ""), ("", " 123-45-6789"), ("1 2 3 4 5 6 7 8 9 10 11 ", " 12 13"), ("", " 5500005555555559")):
+        text = f"x {before}{plain}{after} y"
+        found = [s for s in pseudonyms.spans(text, KEY) if text[s.start : s.end] == plain]
+        assert [s.pseudonym for s in found] == [pseudonyms.pseudonym("card", plain, KEY)]
+    for _ in range(1500):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        card = body + str(pseudonyms.luhn_digit(body))
+        if rng.random() < 0.7:
+            card = rng.choice(" -").join(card[i : i + 4] for i in range(0, 16, 4))
+        near = ["".join(rng.choice("0123456789") for _ in range(rng.randint(1, 4))) for _ in range(2)]
+        text = rng.choice([f"{near[0]} {card}", f"{card} {near[1]}", f"{near[0]} {card} {near[1]}"])
+        found = pseudonyms.spans(text, KEY)
+        new = pseudonyms.replaced(text, found)
+        assert found and pseudonyms.replaced(new, pseudonyms.spans(new, KEY, back=True)) == text
+        assert card not in new
+
+
 def test_different_values_stay_different():
     rng = random.Random(1)
     cards = set()
