@@ -24,6 +24,14 @@ def haversine_m(lat1, long1, lat2, long2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def haversine_between(lat1: np.ndarray, long1: np.ndarray, lat2: np.ndarray, long2: np.ndarray) -> np.ndarray:
+    """The same distance as ``haversine_m`` over arrays."""
+    half_y = np.sin(np.radians(lat2 - lat1) / 2)
+    half_x = np.sin(np.radians(long2 - long1) / 2)
+    h = half_y * half_y + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * half_x * half_x
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
 def ellipsoid_m(lat1, long1, lat2, long2) -> np.ndarray:
     """Geodesic length in metres on WGS-84 by Vincenty's inverse formula (1975), over arrays.
 

@@ -1,35 +1,44 @@
 """Neighbours of each record on the globe: how many within a radius, and the nearest one.
 
-No step pairs all records of a place. Records at equal coordinates are one *site* with a
-count. Sites within the radius are counted tile against tile: two tiles that lie wholly
-within the radius add up their counts, tiles out of reach drop out, and only tiles the
-circle's edge runs through are looked into, crowded ones after being cut smaller. The
-nearest site is sought in growing cells, and only by sites that found none in smaller ones.
+No step pairs all records of a place. Records at equal coordinates are one *site* with a count. Sites are
+range-partitioned once, in the order of a curve through the cube around the globe, so a part is a compact
+region with about as many sites as any other. Two passes follow:
+
+1. Every part builds a tree of boxes over its sites, answers its own, and puts down which of them lie so close to
+   a box of another part that this part may hold a neighbour within the radius, or one nearer than their own.
+   The boxes of all parts (a bounded number each) are what parts know of one another.
+2. The sites put down are shuffled to the parts they ask, and the answers are added up per site.
+
+A circle's count takes whole boxes by their sum and opens only those at its edge, so a crowded place costs the
+length of the edge, not its area.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowguard import config as c
-from rowguard.functions.geo import EARTH_RADIUS_M, haversine_m
+from rowguard.functions.geo import EARTH_RADIUS_M, haversine_between
 from rowguard.functions.predicates import is_valid_point
-from rowguard.operators.joins import lookup_join, salted_join
+from rowguard.operators.joins import lookup_join
 from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
-SPLIT = 4
-TILE_LIMIT = 4096
-CELL_LIMIT = 64
-GROWTH = 8
-MAX_DEPTH = 12
-
-
-def _degrees(metres: float) -> float:
-    return math.degrees(metres / EARTH_RADIUS_M)
+PART_SITES = 1 << 15
+MOST_PARTS = 1 << 12
+PART_BOXES = 64
+LEAF = 8
+FAN = 8
+QUERIES = 4096
+SLACK_M = 0.02  # keeps rounding out of bounds; the test of a pair is exact
 
 
 # -- sites -------------------------------------------------------------------------------
@@ -53,230 +62,266 @@ def sites(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return point, counts.join(ends, ["lat", "long"]).withColumn("site", F.col("first.id"))
 
 
-# -- counting within the radius ------------------------------------------------------------
-
-
-def _tiles(df: DataFrame, step: float) -> DataFrame:
-    """Tile of a grid whose rows have as many tiles as fit at a step's width: fewer near the poles, one at them."""
-    rows = df.withColumn("ti", F.floor((F.col("lat") + 90) / F.lit(step))).withColumn("ring", _ring(F.col("ti"), step).cast("long"))
-    return rows.withColumn("tj", F.least(F.floor((F.col("long") + 180) / 360 * F.col("ring")), F.col("ring") - 1))
-
-
-def _cut(df: DataFrame, step: float) -> DataFrame:
-    """Tiles of ``step`` cut in SPLIT x SPLIT; the small tile's number names its parent, whatever the rounding."""
-
-    def part(value: Column, tile: str, width: Column) -> Column:
-        inner = F.floor((value - F.col(tile) * width) / (width / SPLIT))
-        return F.col(tile) * SPLIT + F.greatest(F.lit(0), F.least(inner, F.lit(SPLIT - 1)))
-
-    cut = {"ti": part(F.col("lat") + 90, "ti", F.lit(step)), "tj": part(F.col("long") + 180, "tj", F.lit(360.0) / F.col("ring"))}
-    return df.withColumns(cut | {"ring": F.col("ring") * SPLIT})
-
-
-def _touched(d: int, ring: Column):
-    return lambda j: F.struct((F.col("ti") + d).alias("oi"), F.pmod(j, ring).alias("oj"))
-
-
-def _beside(tiles: DataFrame, step: float) -> DataFrame:
-    """Each tile once for every tile, in its row and the two beside it, that the radius can touch."""
-    turn = F.col("tj") / F.col("ring"), (F.col("tj") + 1) / F.col("ring")
-    rows = []
-    for d in (-1, 0, 1):
-        ring = _ring(F.col("ti") + d, step).cast("long")
-        low, high = (F.floor(turn[0] * ring) - 1).cast("long"), (F.floor(turn[1] * ring) + 1).cast("long")
-        # All the row if the reach goes round it.
-        low, high = F.when(high - low >= ring, F.lit(0).cast("long")).otherwise(low), F.when(high - low >= ring, ring - 1).otherwise(high)
-        rows.append(F.transform(F.sequence(low, high), _touched(d, ring)))
-    spread = tiles.select("*", F.explode(F.array_distinct(F.concat(*rows))).alias("at"))
-    return spread.select(*tiles.columns, "at.oi", "at.oj")
-
-
-def _gap(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
-    return F.greatest(F.lit(0.0), low1 - high2, low2 - high1)
-
-
-def _bounds(a: str, b: str) -> tuple[Column, Column]:
-    """Least and greatest great-circle distance of two tiles' contents, from their extents.
-
-    The haversine grows with the latitude gap, with the longitude gap up to half the globe, and
-    with the cosines of the latitudes; each is taken at its own extreme.
-    """
-
-    def f(tile: str, name: str) -> Column:
-        return F.col(f"{tile}_{name}")
-
-    def arc(dy: Column, dx: Column, cosines: Column) -> Column:
-        sy, sx = F.sin(F.radians(dy) / 2), F.sin(F.radians(dx) / 2)
-        return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(sy * sy + cosines * sx * sx)))
-
-    lat_gap = _gap(f(a, "lat0"), f(a, "lat1"), f(b, "lat0"), f(b, "lat1"))
-    lat_span = F.greatest(f(a, "lat1") - f(b, "lat0"), f(b, "lat1") - f(a, "lat0"))
-    straight = _gap(f(a, "long0"), f(a, "long1"), f(b, "long0"), f(b, "long1"))
-    long_span = F.greatest(f(a, "long1") - f(b, "long0"), f(b, "long1") - f(a, "long0"))
-    # Round the back of the globe the gap is 360 minus the span.
-    long_gap = F.greatest(F.lit(0.0), F.least(straight, 360 - long_span))
-    across = F.when(long_span <= 180, long_span).when(straight >= 180, 360 - straight).otherwise(F.lit(180.0))
-    low, top = f(a, "low_cos") * f(b, "low_cos"), f(a, "top_cos") * f(b, "top_cos")
-    return arc(lat_gap, long_gap, low), arc(lat_span, across, top)
-
-
-def _extents(placed: DataFrame) -> DataFrame:
-    """Tiles with their counts, the extents of their contents and the range of the latitude cosine."""
-    boxes = placed.groupBy("ti", "tj").agg(
-        F.first("ring").alias("ring"),
-        F.count(F.lit(1)).alias("sites"),
-        F.sum("n").alias("n"),
-        F.min("lat").alias("lat0"),
-        F.max("lat").alias("lat1"),
-        F.min("long").alias("long0"),
-        F.max("long").alias("long1"),
-    )
-    ends = F.cos(F.radians("lat0")), F.cos(F.radians("lat1"))
-    top = F.when((F.col("lat0") <= 0) & (F.col("lat1") >= 0), 1.0).otherwise(F.greatest(*ends))
-    return boxes.withColumns({"low_cos": F.least(*ends), "top_cos": top})
-
-
-def _named(tiles: DataFrame, side: str) -> DataFrame:
-    return tiles.select([F.col(x).alias(f"{side}_{x}") for x in tiles.columns])
-
-
-def within_radius(spots: DataFrame, radius_m: float, tile_limit: int = TILE_LIMIT) -> DataFrame:
-    """``site, inside``: records within ``radius_m`` of each site, its own included.
-
-    Exact. A tile pair the circle's edge runs through is resolved point by point when the
-    product of its site counts is small, else both tiles are cut in ``SPLIT`` x ``SPLIT``.
-    """
-    step = _degrees(radius_m) * 1.0001
-    points = spots.select("site", "lat", "long", "n")
-    placed = _tiles(points, step)
-    tiles = cut_lineage(_extents(placed))
-    seek = _beside(tiles, step)
-    left = _named(seek, "a")
-    pairs = left.join(_named(tiles, "b"), (F.col("a_oi") == F.col("b_ti")) & (F.col("a_oj") == F.col("b_tj"))).drop("a_oi", "a_oj")
-
-    found: DataFrame | None = None
-    for depth in range(MAX_DEPTH + 1):
-        nearest, farthest = _bounds("a", "b")
-        # A centimetre of slack keeps rounding out of the two bounds; the point test is exact.
-        judged = pairs.withColumns({"near": nearest - 0.01, "far": farthest + 0.01}).filter(F.col("near") <= radius_m)
-        judged = cut_lineage(judged)
-        whole = judged.filter(F.col("far") <= radius_m)
-        edge = judged.filter(F.col("far") > radius_m)
-        heavy = (F.col("a_sites") * F.col("b_sites") > tile_limit) & F.lit(depth < MAX_DEPTH)
-        bulk = whole.groupBy(F.col("a_ti").alias("ti"), F.col("a_tj").alias("tj")).agg(F.sum("b_n").alias("inside"))
-        from_bulk = lookup_join(placed, bulk, ["ti", "tj"], "inner").select("site", "inside")
-        links = edge.filter(~heavy).select("a_ti", "a_tj", "b_ti", "b_tj")
-        a = placed.select(F.col("ti").alias("a_ti"), F.col("tj").alias("a_tj"), "site", F.col("lat").alias("lat_a"), F.col("long").alias("long_a"))
-        b = placed.select(F.col("ti").alias("b_ti"), F.col("tj").alias("b_tj"), "n", F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
-        close = haversine_m("lat_a", "long_a", "lat_b", "long_b") <= radius_m
-        met = links.join(a, ["a_ti", "a_tj"]).join(b, ["b_ti", "b_tj"]).filter(close)
-        from_edge = met.groupBy("site").agg(F.sum("n").alias("inside"))
-        part = from_bulk.unionByName(from_edge)
-        found = part if found is None else found.unionByName(part)
-        rest = edge.filter(heavy).select("a_ti", "a_tj", "b_ti", "b_tj")
-        if rest.isEmpty():
-            break
-        # Only the tiles still open are cut.
-        open_ = rest.select(F.col("a_ti").alias("ti"), F.col("a_tj").alias("tj")).union(rest.select("b_ti", "b_tj")).distinct()
-        placed = cut_lineage(_cut(placed.join(open_, ["ti", "tj"], "left_semi"), step))
-        step = step / SPLIT
-        small = _extents(placed)
-        over = {s: _named(small, s).withColumns({f"p{s}_{x}": F.floor(F.col(f"{s}_{x}") / SPLIT) for x in ("ti", "tj")}) for s in "ab"}
-        parents = rest.select([F.col(x).alias("p" + x) for x in rest.columns])
-        pairs = parents.join(over["a"], ["pa_ti", "pa_tj"]).join(over["b"], ["pb_ti", "pb_tj"]).drop(*parents.columns)
-    return found.groupBy("site").agg(F.sum("inside").alias("inside"))
-
-
-# -- nearest site --------------------------------------------------------------------------
-
-
-def _ring(band: Column, step: float) -> Column:
-    """Cells round the globe in a latitude band; each is at least a step wide anywhere in the band or beside it."""
-    far = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * step - 90), F.abs((band + 2) * step - 90)))
-    half = F.sin(F.lit(math.radians(step) / 2)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
-    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), half)))
-    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / reach).cast("int"))
-
-
-def _with_band(points: DataFrame, step: float) -> DataFrame:
-    return points.withColumn("band", F.floor((F.col("lat") + 90) / F.lit(step)).cast("int"))
-
-
-def _in_cells(points: DataFrame, step: float) -> DataFrame:
-    """Each point with its band and cell."""
-    ringed = _with_band(points, step).withColumn("ring", _ring(F.col("band"), step))
-    return ringed.withColumn("cell", F.pmod(F.floor((F.col("long") + 180) / 360 * F.col("ring")).cast("int"), F.col("ring"))).drop("ring")
-
-
-def _around(points: DataFrame, step: float) -> DataFrame:
-    """Each point once for every cell, in its band and the two beside it, that may hold points within the step."""
-    bands = _with_band(points, step).withColumnRenamed("band", "own")
-    ringed = bands.withColumns({f"ring{d + 1}": _ring(F.col("own") + d, step) for d in (-1, 0, 1)})
-    turn = (F.col("long") + 180) / 360
-    mids = ringed.withColumns({f"mid{i}": F.floor(turn * F.col(f"ring{i}")).cast("int") for i in range(3)})
-    cells = [
-        F.struct((F.col("own") + i - 1).alias("band"), F.pmod(F.col(f"mid{i}") + k, F.col(f"ring{i}")).alias("cell"))
-        for i in range(3)
-        for k in (-1, 0, 1)
-    ]
-    return mids.select(*points.columns, F.explode(F.array_distinct(F.array(*cells))).alias("at")).select(*points.columns, "at.band", "at.cell")
-
-
-def _steps(reach_m: float) -> list[float]:
-    steps = [reach_m]
-    while steps[0] > 4:
-        steps.insert(0, steps[0] / GROWTH)
-    return steps
-
-
-def _first_step(points: DataFrame, steps: list[float]) -> int:
-    """The largest step at which no cell is too full to be compared member by member.
-
-    Only a starting point, so plain squares do for the cells.
-    """
-
-    def square(i: int, metres: float) -> Column:
-        side = F.lit(_degrees(metres))
-        across = F.col("long") * F.cos(F.radians("lat"))
-        return F.struct(F.lit(i).alias("s"), F.floor(F.col("lat") / side).alias("i"), F.floor(across / side).alias("j"))
+# -- order along a curve ---------------------------------------------------------------------
 
-    placed = [square(i, metres) for i, metres in enumerate(steps)]
-    spread = points.select(F.explode(F.array(*placed)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    full = {r["s"]: r["n"] for r in spread.groupBy("p.s").agg(F.max("n").alias("n")).collect()}
-    fit = [i for i in range(len(steps)) if full.get(i, 0) <= CELL_LIMIT]
-    return max(fit) if fit else 0
 
+def _spread(cell: Column) -> Column:
+    """The 20 bits of a number set three apart."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        cell = cell.bitwiseOR(F.shiftleft(cell, shift)).bitwiseAND(F.lit(mask))
+    return cell
 
-def nearest_site(spots: DataFrame, reach_m: float) -> DataFrame:
-    """``site, closest_site, distance``: nearest other site within ``reach_m``, for sites with one record.
 
-    Distances are compared to the centimetre, equal ones go to the smallest id. A site found
-    nothing within a step has no other within it, so few such sites fit into a cell of the next
-    step: the work per step stays in proportion to the sites.
+def curve(lat: str, long: str) -> Column:
+    """Place on a Morton curve through the cube around the globe; it knows neither poles nor a date line."""
+    y, x = F.radians(lat), F.radians(long)
+    axes = (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))
+    cells = [F.least(F.floor((v + 1) * (1 << 19)), F.lit((1 << 20) - 1)).cast("long") for v in axes]
+    first, second, third = (_spread(v) for v in cells)
+    return first.bitwiseOR(F.shiftleft(second, 1)).bitwiseOR(F.shiftleft(third, 2))
+
+
+def in_parts(spots: DataFrame, part_sites: int = PART_SITES) -> DataFrame:
+    """Sites range-partitioned along the curve, sorted and written once; ``part`` is the partition."""
+    count = spots.count()
+    # A small table still has a part for every core.
+    parts = min(MOST_PARTS, max(-(-count // part_sites), min(count // LEAF**2, spots.sparkSession.sparkContext.defaultParallelism), 1))
+    coded = spots.select("site", "lat", "long", "n", curve("lat", "long").alias("code"))
+    ranged = coded.repartitionByRange(parts, "code", "lat", "long").sortWithinPartitions("code", "lat", "long")
+    return cut_lineage(ranged.select("site", "lat", "long", "n", F.spark_partition_id().alias("part")))
+
+
+# -- a tree of boxes over the sites of a part --------------------------------------------------
+
+
+def _on_globe(lat: np.ndarray, long: np.ndarray) -> np.ndarray:
+    y, x = np.radians(lat), np.radians(long)
+    return np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], axis=1)
+
+
+def _chord(metres: np.ndarray | float) -> np.ndarray:
+    """Length through the unit globe of a great-circle distance; 2 from the other side on."""
+    return 2 * np.sin(np.minimum(np.maximum(metres, 0.0) / (2 * EARTH_RADIUS_M), np.pi / 2))
+
+
+def _least(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.sqrt((np.maximum(np.maximum(low - points, points - high), 0.0) ** 2).sum(-1))
+
+
+def _most(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.sqrt((np.maximum(np.abs(points - low), np.abs(high - points)) ** 2).sum(-1))
+
+
+class Level(NamedTuple):
+    starts: np.ndarray  # first member one level below (or site); the last entry closes the level
+    low: np.ndarray
+    high: np.ndarray
+    n: np.ndarray  # records
+    sites: np.ndarray
+
+
+class Tree:
+    """Boxes over runs of ``LEAF`` sites in curve order, then over runs of ``FAN`` boxes, up to a few."""
+
+    def __init__(self, lat: np.ndarray, long: np.ndarray, n: np.ndarray, rank: np.ndarray):
+        self.lat, self.long, self.n, self.rank = lat, long, n, rank
+        self.points = _on_globe(lat, long)
+        self.levels: list[Level] = []
+        low = high = self.points
+        width, sites = LEAF, np.ones(len(lat), np.int64)
+        while not self.levels or len(low) > FAN:
+            starts = np.arange(0, len(low), width)
+            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            n, sites = np.add.reduceat(n, starts), np.add.reduceat(sites, starts)
+            self.levels.append(Level(np.append(starts, self.levels[-1].starts.size - 1 if self.levels else len(lat)), low, high, n, sites))
+            width = FAN
+
+    def boxes(self, most: int) -> Level:
+        """The finest level of at most ``most`` boxes."""
+        return next((level for level in self.levels if len(level.low) <= most), self.levels[-1])
+
+    def _opened(self, k: int, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = self.levels[k].starts[node]
+        size = self.levels[k].starts[node + 1] - first
+        ends = np.cumsum(size)
+        inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        return np.repeat(query, size), np.repeat(first, size) + inner
+
+    def _top(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        nodes = len(self.levels[-1].low)
+        return np.repeat(np.arange(count), nodes), np.tile(np.arange(nodes), count)
+
+    def inside(self, lat: np.ndarray, long: np.ndarray, radius: float) -> np.ndarray:
+        """Records within ``radius`` metres of each query: whole boxes by their sum, only those at the edge are opened."""
+        points = _on_globe(lat, long)
+        total = np.zeros(len(lat), np.int64)
+        query, node = self._top(len(lat))
+        for k in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[k]
+            near = _least(points[query], level.low[node], level.high[node]) <= _chord(radius + SLACK_M)
+            query, node = query[near], node[near]
+            whole = _most(points[query], level.low[node], level.high[node]) <= _chord(radius - SLACK_M)
+            np.add.at(total, query[whole], level.n[node[whole]])
+            query, node = self._opened(k, query[~whole], node[~whole])
+        close = haversine_between(lat[query], long[query], self.lat[node], self.long[node]) <= radius
+        np.add.at(total, query[close], self.n[node[close]])
+        return total
+
+    def nearest(self, lat: np.ndarray, long: np.ndarray, reach: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest site other than ``skip`` within each query's reach: place (-1 for none) and metres to the centimetre."""
+        points = _on_globe(lat, long)
+        bound = _chord(reach + SLACK_M)
+        query, node = self._top(len(lat))
+        for k in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[k]
+            near = _least(points[query], level.low[node], level.high[node]) <= bound[query]
+            query, node = query[near], node[near]
+            # The farthest point of a box of two sites or more is a bound for all others.
+            sure = _most(points[query], level.low[node], level.high[node])
+            several = level.sites[node] > 1
+            np.minimum.at(bound, query[several], sure[several] + _chord(2 * SLACK_M))
+            query, node = self._opened(k, query, node)
+        if skip is not None:
+            other = node != skip[query]
+            query, node = query[other], node[other]
+        metres = haversine_between(lat[query], long[query], self.lat[node], self.long[node])
+        close = metres <= reach[query]
+        query, node, metres = query[close], node[close], np.round(metres[close], 2)
+        by = np.lexsort((self.rank[node], metres, query))
+        query, node, metres = query[by], node[by], metres[by]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+        place, distance = np.full(len(lat), -1), np.full(len(lat), np.inf)
+        place[query[first]], distance[query[first]] = node[first], metres[first]
+        return place, distance
+
+
+def _tree(part: pa.Table) -> Tree:
+    ids = part.column("site").combine_chunks()
+    rank = np.empty(len(ids), np.int64)
+    rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return Tree(*(part.column(x).to_numpy() for x in ("lat", "long", "n")), rank)
+
+
+# -- two passes --------------------------------------------------------------------------------
+
+
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    part = pa.Table.from_batches(held)
+    level = _tree(part).boxes(PART_BOXES)
+    sides = {f"{side}{k}": pa.array(np.ascontiguousarray(box[:, k])) for side, box in (("low", level.low), ("high", level.high)) for k in range(3)}
+    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(level.low), part.column("part")[0].as_py(), np.int32)), **sides})
+
+
+class Boxes(NamedTuple):
+    part: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def _within_part(batches: Iterator[pa.RecordBatch], boxes: Boxes, radius: float, reach: float) -> Iterator[pa.RecordBatch]:
+    """Counts and nearest sites among the part's own, and the questions its sites have for other parts."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    part = pa.Table.from_batches(held).combine_chunks()
+    tree, ids = _tree(part), part.column("site").combine_chunks()
+    own = part.column("part")[0].as_py()
+    elsewhere = boxes.part != own
+    other = Boxes(*(x[elsewhere] for x in boxes))
+    for a in range(0, len(ids), QUERIES):
+        b = min(len(ids), a + QUERIES)
+        lat, long = tree.lat[a:b], tree.long[a:b]
+        inside = tree.inside(lat, long, radius)
+        alone = tree.n[a:b] == 1
+        place, metres = np.full(b - a, -1), np.full(b - a, -1.0)
+        place[alone], metres[alone] = tree.nearest(lat[alone], long[alone], np.full(alone.sum(), reach), np.arange(a, b)[alone])
+        # Another part must be as near, to the centimetre; crowded sites only count.
+        still = np.where(alone, np.minimum(metres + SLACK_M, reach), -1.0)
+        yield _answers(ids.slice(a, b - a), inside, ids.take(pa.array(place, mask=place < 0)), np.where(place < 0, np.inf, metres), None)
+        query, target = _asked(tree.points[a:b], np.maximum(still, radius), other)
+        if len(query):
+            yield _answers(ids.slice(a, b - a).take(pa.array(query)), None, None, still[query], target, lat[query], long[query])
+
+
+def _asked(points: np.ndarray, metres: np.ndarray, boxes: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """Which query has to ask which part: runs of queries by their box first, then one by one."""
+    queries, targets = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    reach = _chord(metres + SLACK_M)
+    for a in range(0, len(points), 64):
+        run = points[a : a + 64]
+        low, high = run.min(0), run.max(0)
+        gap = np.sqrt((np.maximum(np.maximum(boxes.low - high, low - boxes.high), 0.0) ** 2).sum(1))
+        near = np.flatnonzero(gap <= reach[a : a + 64].max())
+        if len(near):
+            q, k = np.nonzero(_least(run[:, None], boxes.low[near], boxes.high[near]) <= reach[a : a + 64, None])
+            both = np.unique(np.stack([q + a, boxes.part[near[k]]]), axis=1)
+            queries.append(both[0])
+            targets.append(both[1].astype(np.int32))
+    return np.concatenate(queries), np.concatenate(targets)
+
+
+def _answers(site, inside, closest, metres, target, lat=None, long=None) -> pa.RecordBatch:
+    """Answers have counts, and a nearest site and its distance or none; questions a target, a place and how far to look."""
+    size = len(site)
+    empty = partial(pa.nulls, size)
+    far = ~np.isfinite(metres)
+    columns = {
+        "target": empty(pa.int32()) if target is None else pa.array(target),
+        "site": site,
+        "lat": empty(pa.float64()) if lat is None else pa.array(lat),
+        "long": empty(pa.float64()) if long is None else pa.array(long),
+        "inside": empty(pa.int64()) if inside is None else pa.array(inside),
+        "distance": pa.array(metres, mask=far),
+        "closest_site": empty(site.type) if closest is None else closest,
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _answered(asked: pa.Table, part: pa.Table, radius: float) -> pa.Table:
+    """What a part has for the sites that ask it."""
+    columns = ["site", "inside", "distance", "closest_site"]
+    if not asked.num_rows or not part.num_rows:
+        return _answers(asked.column("site").combine_chunks().slice(0, 0), np.zeros(0, np.int64), None, np.zeros(0), None).select(columns)
+    # Shuffled rows come in any order; the curve's order makes the boxes small.
+    tree = _tree(part.sort_by("at"))
+    ids = part.sort_by("at").column("site").combine_chunks()
+    out = []
+    for batch in asked.to_batches(max_chunksize=QUERIES):
+        lat, long, still = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("lat", "long", "distance"))
+        place, metres = np.full(len(lat), -1), np.full(len(lat), np.inf)
+        seek = still >= 0
+        place[seek], metres[seek] = tree.nearest(lat[seek], long[seek], still[seek])
+        out.append(_answers(batch.column("site"), tree.inside(lat, long, radius), ids.take(pa.array(place, mask=place < 0)), metres, None).select(columns))
+    return pa.Table.from_batches(out)
+
+
+def site_neighbours(spots: DataFrame, radius_m: float, reach_m: float, part_sites: int = PART_SITES) -> DataFrame:
+    """``site, inside, distance, closest_site``: records within ``radius_m``, the site's own included, and for
+    sites with one record the nearest other site within ``reach_m``.
+
+    Exact. Distances are compared to the centimetre, equal ones go to the smallest id. A site asks another
+    part only if one of that part's boxes is within the radius, or nearer than what it found in its own.
     """
-    points = spots.select("site", "lat", "long")
-    seekers = spots.filter(F.col("n") == 1).select("site", "lat", "long")
-    steps = _steps(reach_m)
-    start = _first_step(points, steps)
-    done: DataFrame | None = None
-    for i in range(start, len(steps)):
-        step = _degrees(steps[i]) * 1.0001
-        stock = _in_cells(points.select(F.col("site").alias("other"), "lat", "long"), step).withColumnsRenamed({"lat": "lat_o", "long": "long_o"})
-        probes = _around(seekers.select("site", "lat", "long"), step)
-        # Cells that nobody asks about drop out; the sites of a crowded one are split, the few that ask are copied.
-        asked = stock.join(probes.select("band", "cell").distinct(), ["band", "cell"], "left_semi")
-        met = salted_join(asked, probes, ["band", "cell"], "inner").filter(F.col("site") != F.col("other"))
-        metres = F.round(haversine_m("lat", "long", "lat_o", "long_o"), 2)
-        best = met.groupBy("site").agg(F.min(F.struct(metres.alias("distance"), F.col("other").alias("closest_site"))).alias("m"))
-        # What lies beyond the step may have a nearer rival outside the cells.
-        sure = best.filter(F.col("m.distance") < steps[i] - 0.01 if i < len(steps) - 1 else F.col("m.distance") <= steps[i])
-        sure = cut_lineage(sure.select("site", "m.closest_site", "m.distance"))
-        done = sure if done is None else done.unionByName(sure)
-        if i < len(steps) - 1:
-            seekers = cut_lineage(seekers.join(sure, "site", "left_anti"))
-            if seekers.isEmpty():
-                break
-    return done
+    placed = in_parts(spots.select("site", "lat", "long", "n"), part_sites)
+    kind = placed.schema["site"].dataType.simpleString()
+    corners = [f"{side}{k}" for side in ("low", "high") for k in range(3)]
+    # At most MOST_PARTS x PART_BOXES boxes, 15 MB, however many sites.
+    found = placed.mapInArrow(_boxed, "part int, " + ", ".join(f"{x} double" for x in corners)).toArrow()
+    sides = np.stack([found.column(x).to_numpy() for x in corners], axis=1)
+    boxes = Boxes(found.column("part").to_numpy(), sides[:, :3], sides[:, 3:])
+    answer = f"site {kind}, inside long, distance double, closest_site {kind}"
+    own = partial(_within_part, boxes=boxes, radius=radius_m, reach=reach_m)
+    told = cut_lineage(placed.mapInArrow(own, f"target int, site {kind}, lat double, long double, inside long, distance double, closest_site {kind}"))
+    asked = told.filter(F.col("target").isNotNull()).select(F.col("target").alias("part"), "site", "lat", "long", "distance")
+    wanted = placed.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(asked.select("part").distinct()), "part", "left_semi")
+    others = asked.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(partial(_answered, radius=radius_m), answer)
+    first = told.filter(F.col("target").isNull()).select("site", "inside", "distance", "closest_site")
+    best = F.min(F.when(F.col("closest_site").isNotNull(), F.struct("distance", "closest_site")))
+    both = first.unionByName(others).groupBy("site").agg(F.sum("inside").alias("inside"), best.alias("best"))
+    return both.select("site", "inside", "best.distance", "best.closest_site")
 
 
 # -- the operator --------------------------------------------------------------------------
@@ -293,10 +338,9 @@ def neighbours(
     """
     point, spots = sites(records)
     spots = cut_lineage(spots)
-    counted = within_radius(spots, radius_m)
-    near = nearest_site(spots, reach_m)
+    found = cut_lineage(site_neighbours(spots, radius_m, reach_m))
     names = spots.select(F.col("site").alias("closest_site"), F.col("first.city").alias("closest_city"))
-    told = spots.join(counted, "site", "left").join(near.join(names, "closest_site"), "site", "left")
+    told = spots.join(lookup_join(found, names, "closest_site"), "site", "left")
     own = F.col("first.id") == F.col("id")
     crowded = F.col("n") > 1
     # A coordinate pair may hold a large share of the records.

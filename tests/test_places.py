@@ -68,15 +68,42 @@ def test_neighbours_equal_all_pairs(spark):
     check_neighbours(spark, scattered(1), 1000.0, 65536.0)
 
 
-def test_crowded_tiles_are_cut_and_stay_exact(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_LIMIT", 2)
+@pytest.mark.parametrize("part_sites", [6, 40, 10_000])
+def test_any_number_of_parts_gives_the_same(spark, part_sites):
     rng = random.Random(8)
     rows = [(i, "x", 45 + rng.uniform(0, 0.012), 9 + rng.uniform(0, 0.012)) for i in range(250)]
+    rows += [(i, "x", 45 + rng.choice([0.02, 0.021]), 9 + rng.choice([0.02, 0.021])) for i in range(250, 300)]
+    rows += [(i, "x", 90 - rng.uniform(0, 0.004), rng.uniform(-180, 180)) for i in range(300, 350)]
     frame = spark.createDataFrame(rows, SCHEMA)
     _, spots = neighbours.sites(frame)
-    got = {r["site"]: r["inside"] - 1 for r in neighbours.within_radius(spots, 500.0, tile_limit=16).collect()}
-    assert got == {i: v[0] for i, v in brute_force(rows, 500.0, 1e6).items()}
-    check_neighbours(spark, rows, 500.0, 4096.0)
+    got = {r["site"]: r for r in neighbours.site_neighbours(spots, 500.0, 4096.0, part_sites).collect()}
+    want = brute_force(rows, 500.0, 4096.0)
+    alone = {r["site"] for r in spots.filter("n = 1").collect()}
+    for site, r in got.items():
+        assert r["inside"] - 1 == want[site][0]
+        assert (r["distance"], r["closest_site"]) == (want[site][1:] if site in alone else (None, None))
+    assert spots.count() == len(got)
+
+
+def test_trees_of_many_levels_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    lat, long = 45 + rng.normal(0, 0.05, 3000), 9 + rng.normal(0, 0.05, 3000)
+    lat[:500], long[:500] = 45.001, 9 + 1e-6 * np.arange(500)
+    n, rank = rng.integers(1, 4, 3000), rng.permutation(3000)
+    tree = neighbours.Tree(lat, long, n, rank)
+    assert len(tree.levels) > 2
+    q = rng.choice(3000, 200, replace=False)
+    far = neighbours.haversine_between(lat[q][:, None], long[q][:, None], lat[None], long[None])
+    for radius in (3.0, 900.0, 1e7):
+        assert tree.inside(lat[q], long[q], radius).tolist() == (n[None] * (far <= radius)).sum(1).tolist()
+    cents = np.round(far, 2)
+    cents[np.arange(200), q] = np.inf
+    for reach in (0.05, 300.0, 1e7):
+        place, metres = tree.nearest(lat[q], long[q], np.full(200, reach), q)
+        for i in range(200):
+            near = np.flatnonzero((far[i] <= reach) & (np.arange(3000) != q[i]))
+            best = min(((cents[i, k], rank[k], k) for k in near), default=(np.inf, 0, -1))
+            assert (metres[i], place[i]) == (best[0], best[2])
 
 
 def test_no_records(spark):
