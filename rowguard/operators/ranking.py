@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowguard.session import cut_lineage
 
-BINS = 4096
+ACCURACY = 10_000
 TAKE_LIMIT = 10_000
 
 
@@ -31,92 +32,158 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFr
     return numbered.withColumn(out, F.col("_start") + F.col("_offset")).drop("_place", "_part", "_offset", "_start")
 
 
+def steps_below(value: Column, cuts: Sequence[float], reached: bool = False, leaf: Callable[[int], Column] = F.lit) -> Column:
+    """How many of the ascending ``cuts`` are under ``value`` (or, ``reached``, at most it), by halving.
+
+    ``leaf`` makes the answer of the number; a value takes as many comparisons as the number has binary digits.
+    """
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return leaf(low)
+        mid = (low + high) // 2
+        cut = F.lit(float(cuts[mid]))
+        passed = value >= cut if reached else value > cut
+        return F.when(passed, part(mid + 1, high)).otherwise(part(low, mid))
+
+    return part(0, len(cuts))
+
+
+class _Known(NamedTuple):
+    """What one pass of sketches says of a column: its ends, its count, and values either side of each wanted share."""
+
+    low: float
+    high: float
+    count: int
+    around: list[tuple[float, float]]
+
+
 def _requested(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """``k, v``: the non-null values of each column (NaN counts as null), written once for the passes over them."""
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), col.cast("double").alias("v")) for k, col in enumerate(columns)])
-    return cut_lineage(df.select(F.inline(cells)).filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    """``v0, v1, ...``: the columns as doubles, NaN as null, written once for the passes over them."""
+    cells = [col.cast("double") + F.lit(0.0) for col in columns]
+    return cut_lineage(df.select(*[F.when(~F.isnan(v), v).alias(f"v{k}") for k, v in enumerate(cells)]))
+
+
+def _sketched(values: DataFrame, shares: Sequence[Sequence[float]]) -> list[_Known]:
+    """All columns in one pass; quantile summaries are merged from task to task and have a size of their own."""
+    cells = []
+    for k, own in enumerate(shares):
+        v = F.col(f"v{k}")
+        near = [min(max(p + d / ACCURACY, 0.0), 1.0) for p in own for d in (-2, 2)] or [0.5]
+        cells += [F.min(v), F.max(v), F.count(v), F.percentile_approx(v, near, ACCURACY)]
+    row = values.agg(*[x.alias(f"x{i}") for i, x in enumerate(cells)]).first()
+    out = []
+    for k, own in enumerate(shares):
+        low, high, count, near = row[4 * k : 4 * k + 4]
+        # So few values need no sketch: all of them are counted one by one.
+        few = count <= ACCURACY
+        out.append(_Known(low, high, count, [(low, high) if few else (near[2 * i], near[2 * i + 1]) for i in range(len(own))]))
+    return out
 
 
-def _ends(values: DataFrame) -> dict[int, tuple[float, float, int]]:
-    rows = values.groupBy("k").agg(F.min("v"), F.max("v"), F.count("v")).collect()
-    return {r[0]: tuple(r)[1:] for r in rows}
+def _counted(values: DataFrame, brackets: dict[int, list[tuple[float, float]]]) -> DataFrame:
+    """``k, slot, v, n``: the exact pass. Values inside a bracket are counted one by one, those between by their gap.
 
+    Of the brackets of a column, ascending and apart, slot 2 j + 1 is bracket j and slot 2 j the gap before it.
+    """
+    cells = []
+    for k, own in brackets.items():
+        v = F.col(f"v{k}")
 
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
-    """Exact values at 0-based ``ranks`` among the non-null values of a numeric column."""
-    values = _requested(df, [F.col(column)])
-    return _at_ranks(values, _ends(values), {0: ranks})[0]
+        def leaf(j: int, v: Column = v, own: list[tuple[float, float]] = own) -> Column:
+            return F.lit(0) if j == 0 else F.when(v <= F.lit(float(own[j - 1][1])), 2 * j - 1).otherwise(2 * j)
+
+        slot = steps_below(v, [low for low, _ in own], reached=True, leaf=leaf)
+        cells.append(F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), slot.alias("slot"), v.alias("v"))))
+    spread = values.select(F.explode(F.array_compact(F.array(*cells))).alias("at")).select("at.k", "at.slot", F.when(F.col("at.slot") % 2 == 1, F.col("at.v")).alias("v"))
+    return cut_lineage(spread.groupBy("k", "slot", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _apart(brackets: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
 
 
-def _at_ranks(values: DataFrame, ends: dict[int, tuple[float, float, int]], ranks: dict[int, Sequence[int]]) -> dict[int, list[float]]:
-    """Values of each column at its ranks, by narrowing intervals of all columns together.
+def _at_ranks(values: DataFrame, known: Sequence[_Known], ranks: dict[int, Sequence[int]]) -> dict[int, list[float]]:
+    """Values of each column at its ranks, from one exact pass over all columns.
 
-    Each pass counts the values of the intervals that still hold a wanted rank in 4096 equal
-    bins and keeps one bin per rank, until that bin is a single value. A pass returns at most
-    4096 counts per wanted rank, a hot value is one row of them, and no value list is built.
+    The sketch brackets every rank, so that a few values in ``ACCURACY`` per rank are counted one by one and
+    summed up in order, bracket by bracket. A rank that its bracket does not hold after all takes the gap it
+    fell into for a bracket in one more pass, so a poor sketch costs time, never a value.
     """
     found: dict[tuple[int, int], float] = {}
-    open_spans = {}
-    for k, wanted in ranks.items():
-        low, high, total = ends.get(k, (0.0, 0.0, 0))
-        if any(r < 0 or r >= total for r in wanted):
-            raise ValueError(f"rank outside the {total} values")
-        if wanted:
-            open_spans[(k, low, high)] = (0, sorted(set(wanted)))
-    while open_spans:
-        spans = list(open_spans.items())
-        hits = []
-        for i, ((k, lo, hi), _) in enumerate(spans):
-            width = (hi - lo) / BINS
-            if 0 < width < math.inf:
-                bin_no = F.least(F.floor((F.col("v") - lo) / F.lit(width)), F.lit(BINS - 1))
-            else:
-                # One value, or ends that cannot be divided: set the ends apart from what lies between.
-                bin_no = F.when(F.col("v") == lo, 0).when(F.col("v") == hi, 2).otherwise(1)
-            inside = (F.col("k") == k) & F.col("v").between(lo, hi)
-            hits.append(F.when(inside, F.struct(F.lit(i).alias("s"), bin_no.cast("int").alias("b"))))
-        binned = values.select("v", F.explode(F.array_compact(F.array(*hits))).alias("at"))
-        rows = binned.groupBy("at").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        by_span: dict[int, list] = {}
-        for row in rows:
-            by_span.setdefault(row["at"]["s"], []).append((row["lo"], row["hi"], row["n"]))
-        open_spans = {}
-        for i, ((k, _, _), (before, wanted)) in enumerate(spans):
-            for lo, hi, n in sorted(by_span[i]):
-                inside = [r for r in wanted if before <= r < before + n]
-                if inside and lo == hi:
-                    found.update({(k, r): lo for r in inside})
-                elif inside:
-                    open_spans[(k, lo, hi)] = (before, inside)
-                before += n
+    open_ = {k: sorted(set(wanted)) for k, wanted in ranks.items() if wanted}
+    brackets = {k: _apart(known[k].around) for k in open_}
+    while open_:
+        counts = _counted(values, brackets)
+        totals: dict[int, dict[int, int]] = {k: {} for k in open_}
+        for row in counts.groupBy("k", "slot").agg(F.sum("n").alias("n")).collect():
+            totals[row.k][row.slot] = row.n
+        asked, missed = [], {}
+        for k, wanted in open_.items():
+            own, before = brackets[k], 0
+            for slot in range(2 * len(own) + 1):
+                here = [r for r in wanted if before <= r < before + totals[k].get(slot, 0)]
+                if slot % 2:
+                    asked += [(k, slot, r, r - before) for r in here]
+                elif here:
+                    ends = (known[k].low if slot == 0 else own[slot // 2 - 1][1], known[k].high if slot == 2 * len(own) else own[slot // 2][0])
+                    missed.setdefault(k, []).append((ends, here))
+                before += totals[k].get(slot, 0)
+        if asked:
+            # A row for every wanted rank.
+            places = values.sparkSession.createDataFrame(asked, "k int, slot int, rank long, place long")
+            inside = counts.join(F.broadcast(places.select("k", "slot").distinct()), ["k", "slot"], "left_semi")
+            till = F.sum("n").over(Window.partitionBy("k", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            summed = inside.select("k", "slot", "v", "n", till.alias("till"))
+            hit = summed.join(F.broadcast(places), ["k", "slot"]).filter((F.col("place") < F.col("till")) & (F.col("place") >= F.col("till") - F.col("n")))
+            found |= {(row.k, row.rank): row.v for row in hit.select("k", "rank", "v").collect()}
+        brackets = {k: _apart([ends for ends, _ in gaps]) for k, gaps in missed.items()}
+        open_ = {k: [r for _, here in gaps for r in here] for k, gaps in missed.items()}
     return {k: [found[k, r] for r in wanted] for k, wanted in ranks.items()}
 
 
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
+    """Exact values at 0-based ``ranks`` among the non-null values of a numeric column."""
+    values = _requested(df, [F.col(column)])
+    total = values.agg(F.count("v0")).first()[0]
+    if any(r < 0 or r >= total for r in ranks):
+        raise ValueError(f"rank outside the {total} values")
+    if not ranks:
+        return []
+    return _at_ranks(values, _sketched(values, [[(r + 0.5) / total for r in ranks]]), {0: ranks})[0]
+
+
 def several_quantiles(
     df: DataFrame, columns: Sequence[Column], probs: Sequence[Sequence[float]], interpolate: bool = False
 ) -> list[list[float | None]]:
-    """Exact quantiles of several columns in the same passes.
+    """Exact quantiles of several columns in two passes: one of sketches, one that counts near the wanted ranks.
 
     By rank, the smallest value whose share of the column's rows reaches ``p``, or interpolated.
     """
     values = _requested(df, columns)
-    ends = _ends(values)
+    known = _sketched(values, probs)
     wanted: dict[int, list[int]] = {}
     for k, own in enumerate(probs):
-        count = ends.get(k, (0.0, 0.0, 0))[2]
+        count = known[k].count
         if not count:
             continue
         if interpolate:
             wanted[k] = [r for p in own for r in (math.floor(p * (count - 1)), math.ceil(p * (count - 1)))]
         else:
             wanted[k] = [min(max(math.ceil(p * count) - 1, 0), count - 1) for p in own]
-    at = _at_ranks(values, ends, wanted)
+    at = _at_ranks(values, known, wanted)
     out: list[list[float | None]] = []
     for k, own in enumerate(probs):
         if k not in at:
             out.append([None] * len(own))
         elif interpolate:
-            spots = [p * (ends[k][2] - 1) for p in own]
+            spots = [p * (known[k].count - 1) for p in own]
             out.append([at[k][2 * i] + (at[k][2 * i + 1] - at[k][2 * i]) * (s - math.floor(s)) for i, s in enumerate(spots)])
         else:
             out.append(at[k])

@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowguard.operators.ranking import dense_index, several_quantiles
+from rowguard.operators.ranking import dense_index, several_quantiles, steps_below
 from rowguard.session import cut_lineage, shared_folder
 
 MI_BINS = 32
@@ -77,11 +77,8 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = MI_BIN
     shares = [k / bins for k in range(1, bins)]
     cuts = several_quantiles(complete, [F.col(x) for x in columns], [shares] * len(columns))
 
-    def bin_of(name: str, own: list[float | None]) -> Column:
-        value = F.col(name).cast("double")
-        return F.size(F.filter(F.array(*[F.lit(x) for x in own]), lambda cut: cut < value)).alias(name)
-
-    binned = complete.select(*[bin_of(x, own) for x, own in zip(columns, cuts)])
+    known = [[x for x in own if x is not None] for own in cuts]
+    binned = complete.select(*[steps_below(F.col(x).cast("double"), own).alias(x) for x, own in zip(columns, known)])
     cells = F.array(
         *[
             F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(a).alias("x"), F.col(b).alias("y"))

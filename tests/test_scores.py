@@ -73,6 +73,44 @@ def test_order_statistics_and_quantiles(spark):
     assert ranking.order_statistics(tiny, "v", [0, 1, 2]) == [0.0, 5e-324, 1e-323]
 
 
+def counted_passes(monkeypatch):
+    passes = []
+    whole = ranking._counted
+    monkeypatch.setattr(ranking, "_counted", lambda values, brackets: passes.append(brackets) or whole(values, brackets))
+    return passes
+
+
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
+def test_quantiles_take_one_exact_pass(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+    passes = counted_passes(monkeypatch)
+    rng = np.random.default_rng(accuracy)
+    data = [rng.normal(size=3000), np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 50, 3000).astype(float)), np.full(3000, 2.5)]
+    frame = spark.createDataFrame([tuple(map(float, row)) for row in zip(*data)], "a double, b double, c double").repartition(4)
+    probs = [k / 32 for k in range(1, 32)]
+    for interpolate in (False, True):
+        got = ranking.several_quantiles(frame, [F.col(x) for x in "abc"], [probs] * 3, interpolate)
+        want = [np.quantile(v, probs, method="linear" if interpolate else "inverted_cdf") for v in data]
+        assert np.allclose(got, want, rtol=1e-12)
+    assert len(passes) == 2
+
+
+def test_a_sketch_that_is_off_costs_a_pass_and_no_value(spark, monkeypatch):
+    passes = counted_passes(monkeypatch)
+    frame = spark.createDataFrame([(float(i),) for i in range(900)], "v double")
+    wrong = [ranking._Known(0.0, 899.0, 900, [(3.0, 5.0), (400.0, 400.0)])]
+    values = ranking._requested(frame, [F.col("v")])
+    assert ranking._at_ranks(values, wrong, {0: [0, 4, 300, 400, 401, 899]}) == {0: [0.0, 4.0, 300.0, 400.0, 401.0, 899.0]}
+    assert len(passes) == 2
+
+
+def test_a_value_finds_its_bin_by_halving(spark):
+    cuts = [1.0, 2.0, 2.0, 5.0]
+    frame = spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 6.0)], "v double")
+    both = frame.select(ranking.steps_below(F.col("v"), cuts).alias("a"), ranking.steps_below(F.col("v"), cuts, reached=True).alias("b")).collect()
+    assert [r.a for r in both] == [0, 0, 1, 1, 3, 3, 4] and [r.b for r in both] == [0, 1, 1, 3, 3, 4, 4]
+
+
 def test_dense_index_numbers_in_order(spark):
     frame = spark.createDataFrame([(f"{(i * 7919) % 1000:04d}",) for i in range(1000)], "v string").repartition(6)
     rows = ranking.dense_index(frame, ["v"]).collect()
