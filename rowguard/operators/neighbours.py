@@ -22,14 +22,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowguard import config as c
 from rowguard.functions.geo import EARTH_RADIUS_M, haversine_between
 from rowguard.functions.predicates import is_valid_point
 from rowguard.operators.joins import lookup_join
-from rowguard.operators.ranking import first_per_group
 from rowguard.session import cut_lineage
 
 PART_SITES = 1 << 15
@@ -54,10 +53,10 @@ def sites(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.when(F.col(c.LONG).cast("double") == 180, -180.0).otherwise(F.col(c.LONG).cast("double")) + F.lit(0.0)).alias("long"),
     )
     point = point.withColumn("lat", F.col("lat") + F.lit(0.0))
-    two = first_per_group(point, ["lat", "long"], [F.col("id")], 2)
-    ends = two.groupBy("lat", "long").agg(
-        F.min(F.struct("id", "city")).alias("first"), F.max(F.struct("id", "city")).alias("second")
-    )
+    # Tasks keep two rows a place before the shuffle; both windows share it.
+    by_id = Window.partitionBy("lat", "long").orderBy("id", "city")
+    two = point.withColumn("rn", F.row_number().over(by_id)).filter("rn <= 2").withColumn("own", F.struct("id", "city"))
+    ends = two.select("lat", "long", "rn", F.col("own").alias("first"), F.coalesce(F.lead("own").over(by_id), "own").alias("second")).filter("rn = 1").drop("rn")
     counts = point.groupBy("lat", "long").agg(F.count(F.lit(1)).alias("n"))
     return point, counts.join(ends, ["lat", "long"]).withColumn("site", F.col("first.id"))
 
