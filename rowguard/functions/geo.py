@@ -32,10 +32,66 @@ def haversine_between(lat1: np.ndarray, long1: np.ndarray, lat2: np.ndarray, lon
     return 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(32)
+
+
+def nearly_opposite_m(lat1, long1, lat2, long2, rounds: int = 80) -> np.ndarray:
+    """Geodesic length for any two points by Newton's method on the first azimuth (Karney, 2013), over arrays in degrees.
+
+    With the point farther from the equator first and south, the longitude reached at the second latitude
+    grows with the azimuth from 0 at north to half a turn at south, so the azimuth is kept between bounds
+    and a step that leaves them halves them instead. Integrals along the arc are Gauss sums: the integrands
+    are so nearly constant that 32 nodes leave nothing but rounding.
+    """
+    y1, x1, y2, x2 = (np.radians(np.asarray(v, dtype="float64")) for v in (lat1, long1, lat2, long2))
+    f, b = WGS84_F, WGS84_A * (1 - WGS84_F)
+    second = f * (2 - f) / (1 - f) ** 2  # second eccentricity, squared
+    span = np.abs((x2 - x1 + np.pi) % (2 * np.pi) - np.pi)
+    beta = np.stack([np.arctan((1 - f) * np.tan(y)) for y in (y1, y2)])
+    far = np.abs(beta[1]) > np.abs(beta[0])
+    first, last = np.where(far, beta[1], beta[0]), np.where(far, beta[0], beta[1])
+    turned = np.where(first > 0, -1.0, 1.0)
+    first, last = np.minimum(first * turned, -1e-150), last * turned
+    s1, c1, s2, c2 = np.sin(first), np.cos(first), np.sin(last), np.cos(last)
+
+    def path(azimuth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longitude reached, its derivative by the azimuth, and length."""
+        sa, ca = np.sin(azimuth), np.cos(azimuth)
+        sa0, ca0 = sa * c1, np.hypot(ca, sa * s1)
+        ca2 = np.sqrt(np.maximum((ca * c1) ** 2 + (c2 - c1) * (c2 + c1), 0.0)) / c2
+        arcs = np.arctan2(s1, ca * c1), np.arctan2(s2, ca2 * c2)
+        turns = [np.arctan2(sa0 * np.sin(arc), np.cos(arc)) for arc in arcs]
+        k2 = second * ca0**2
+        half = (arcs[1] - arcs[0]) / 2
+        spots = (arcs[0] + half)[..., None] + half[..., None] * _NODES
+        bulge = k2[..., None] * np.sin(spots) ** 2
+        root = np.sqrt(1 + bulge)
+        east = (turns[1] - turns[0]) - f * sa0 * half * (((2 - f) / (1 + (1 - f) * root)) @ _WEIGHTS)
+        swell = half * ((bulge / root) @ _WEIGHTS)
+        (sin1, cos1), (sin2, cos2) = [(np.sin(arc), np.cos(arc)) for arc in arcs]
+        reduced = np.sqrt(1 + k2 * sin2**2) * cos1 * sin2 - np.sqrt(1 + k2 * sin1**2) * sin1 * cos2 - cos1 * cos2 * swell
+        return east, (1 - f) * reduced / (ca2 * c2), b * half * (root @ _WEIGHTS)
+
+    low, high = np.zeros(span.shape), np.full(span.shape, np.pi)
+    azimuth = np.full(span.shape, np.pi / 2 + 0.1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(rounds):
+            east, slope, length = path(azimuth)
+            over = east > span
+            low, high = np.where(over, low, azimuth), np.where(over, azimuth, high)
+            step = azimuth - (east - span) / slope
+            halved = ~(np.isfinite(step) & (step > low) & (step < high))
+            moved = np.where(halved, (low + high) / 2, step)
+            if np.all(np.abs(moved - azimuth) < 1e-15):
+                break
+            azimuth = moved
+    return length
+
+
 def ellipsoid_m(lat1, long1, lat2, long2) -> np.ndarray:
     """Geodesic length in metres on WGS-84 by Vincenty's inverse formula (1975), over arrays.
 
-    Nearly opposite points, where the iteration does not settle, get the great-circle length.
+    Nearly opposite points, where that iteration does not settle, are solved by Newton's method.
     """
     y1, x1, y2, x2 = (np.radians(np.asarray(v, dtype="float64")) for v in (lat1, long1, lat2, long2))
     b = WGS84_A * (1 - WGS84_F)
@@ -65,10 +121,12 @@ def ellipsoid_m(lat1, long1, lat2, long2) -> np.ndarray:
         big_b = u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
         inner = c_sig * (2 * c_mid**2 - 1) - big_b / 6 * c_mid * (4 * s_sig**2 - 3) * (4 * c_mid**2 - 3)
         length = b * big_a * (sig - big_b * s_sig * (c_mid + big_b / 4 * inner))
-    sphere = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin(span / 2) ** 2
-    great_circle = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(sphere)))
     good = settled & (np.abs(lam) <= np.pi) & np.isfinite(length)
-    return np.where(good, length, great_circle)
+    if not good.all():
+        parts = [np.broadcast_to(np.asarray(v, dtype="float64"), length.shape)[~good] for v in (lat1, long1, lat2, long2)]
+        length = np.array(length, dtype="float64")
+        length[~good] = nearly_opposite_m(*parts)
+    return length
 
 
 @F.pandas_udf(DoubleType())

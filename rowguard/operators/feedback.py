@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowguard import config as c
 from rowguard.functions.predicates import cast_double, outcome
-from rowguard.operators.metrics import alert_precision, confusion, metrics, profile
+from rowguard.operators.metrics import confusion, metrics, profile
 from rowguard.operators.ranking import quantiles
+from rowguard.session import shared_folder
 
 
 def attach_reviews(results: DataFrame, reviews: DataFrame, label: str = c.LABEL) -> DataFrame:
@@ -80,7 +83,8 @@ class AnomalyClassifier:
         """Mean probability of an anomaly with one feature set to each grid value in turn.
 
         The grid is the observed values when they are few, else even steps between the 5 % and
-        95 % quantiles. Rows equal in all other features are scored once, with their count.
+        95 % quantiles. No row meets the grid: with the feature left open a row reaches a few leaves
+        of each tree, which are counted in one pass, and a grid value picks those whose range holds it.
         """
         ready = self.prepare(df).select(*self.input_columns)
         few = [r[0] for r in ready.select(feature).distinct().limit(grid_size).collect()]
@@ -89,14 +93,72 @@ class AnomalyClassifier:
         else:
             low, high = quantiles(ready, feature, [0.05, 0.95], interpolate=True)
             grid = [low + (high - low) * i / (grid_size - 1) for i in range(grid_size)]
-        others = [x for x in self.input_columns if x != feature]
-        rows = ready.groupBy(*others).agg(F.count(F.lit(1)).alias("_weight"))
-        swept = rows.withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-        scored = self.model.transform(swept).select(
-            F.col(feature).alias("feature_value"), "_weight", vector_to_array("probability")[1].alias("p")
-        )
-        mean = F.sum(F.col("p") * F.col("_weight")) / F.sum("_weight")
-        return scored.groupBy("feature_value").agg(mean.alias("partial_dependence"))
+        roots = forest_nodes(df.sparkSession, self.model.stages[-1])
+        open_feature = self.input_columns.index(feature)
+        reached = F.flatten(F.array(*[_reached(root, open_feature, self.input_columns) for root in roots]))
+        # A row for every leaf of the forest, at most.
+        counts = dict(ready.select(F.explode(reached).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1))).collect())
+        sums, weights = np.zeros(len(grid)), np.zeros(len(grid))
+        for root in roots:
+            for leaf, above, until in _ranges(root, open_feature):
+                holds = (np.array(grid) > above) & (np.array(grid) <= until)
+                sums += holds * leaf.probability * counts.get(leaf.number, 0)
+                weights += holds * counts.get(leaf.number, 0)
+        curve = [(float(g), float(p)) for g, p in zip(grid, sums / np.maximum(weights, 1))]
+        return df.sparkSession.createDataFrame(curve, "feature_value double, partial_dependence double")
+
+
+@dataclass
+class Node:
+    """A node of a forest, numbered over all trees; a leaf has no children. Values up to ``threshold`` go left."""
+
+    number: int
+    probability: float
+    feature: int = -1
+    threshold: float = 0.0
+    left: "Node | None" = None
+    right: "Node | None" = None
+
+
+def forest_nodes(spark: SparkSession, forest: RandomForestClassificationModel) -> list[Node]:
+    """The trees of a binary forest on continuous features, from its saved form; probabilities are of class 1."""
+    place = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    forest.save(place)
+    # At most trees x 2^(depth + 1) rows, whatever the data.
+    rows = spark.read.parquet(f"{place}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+    by_place = {(r.treeID, r.id): k for k, r in enumerate(rows)}
+
+    def node(tree: int, at: int) -> Node:
+        k = by_place[tree, at]
+        row = rows[k]
+        share = row.impurityStats[1] / max(sum(row.impurityStats), 1e-300)
+        if row.leftChild < 0:
+            return Node(k, share)
+        return Node(k, share, row.split.featureIndex, row.split.leftCategoriesOrThreshold[0], node(tree, row.leftChild), node(tree, row.rightChild))
+
+    return [node(tree, 0) for tree in sorted({r.treeID for r in rows})]
+
+
+def _reached(node: Node, open_feature: int, names: Sequence[str]) -> Column:
+    """The leaves a row can reach while one feature may have any value."""
+    if node.left is None:
+        return F.array(F.lit(node.number))
+    left, right = _reached(node.left, open_feature, names), _reached(node.right, open_feature, names)
+    if node.feature == open_feature:
+        return F.concat(left, right)
+    return F.when(F.col(names[node.feature]) <= F.lit(node.threshold), left).otherwise(right)
+
+
+def _ranges(node: Node, open_feature: int, above: float = -math.inf, until: float = math.inf) -> Iterator[tuple[Node, float, float]]:
+    """Leaves with the values of the open feature, over ``above`` and up to ``until``, that lead to them."""
+    if node.left is None:
+        yield node, above, until
+    elif node.feature == open_feature:
+        yield from _ranges(node.left, open_feature, above, min(until, node.threshold))
+        yield from _ranges(node.right, open_feature, max(above, node.threshold), until)
+    else:
+        yield from _ranges(node.left, open_feature, above, until)
+        yield from _ranges(node.right, open_feature, above, until)
 
 
 def retag(predicted: DataFrame) -> DataFrame:
@@ -127,16 +189,3 @@ def with_outcome(predicted: DataFrame, truth: str = "is_error") -> DataFrame:
             "border": F.when(F.col("train_or_test") == "train", "red").otherwise("black"),
         }
     )
-
-
-__all__ = [
-    "AnomalyClassifier",
-    "alert_precision",
-    "attach_reviews",
-    "evaluate",
-    "report",
-    "retag",
-    "split",
-    "split_counts",
-    "with_outcome",
-]

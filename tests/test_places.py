@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowguard import config as c
-from rowguard.functions.geo import EARTH_RADIUS_M, ellipsoid_m, with_distance
+from rowguard.functions.geo import EARTH_RADIUS_M, ellipsoid_m, nearly_opposite_m, with_distance
 from rowguard.operators import clusters, encoding, neighbours
 from rowguard.operators.clusters import PlaceClusters, elbow
 
@@ -110,6 +110,32 @@ def test_no_records(spark):
     assert neighbours.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "pair, metres",
+    [
+        ((0.0, 0.0, 0.5, 179.5), 19936288.579),
+        ((0.0, 0.0, 0.5, 179.7), 19944127.421),
+        ((0.0, 0.0, 0.0, 180.0), 20003931.459),
+        ((90.0, 0.0, -90.0, 33.0), 20003931.459),
+        ((30.0, 0.0, -30.0, 180.0), 20003931.459),
+        ((0.0, 10.0, 90.0, 0.0), 10001965.729),
+    ],
+)
+def test_nearly_opposite_points_to_the_millimetre(pair, metres):
+    for y1, x1, y2, x2 in (pair, (pair[2], pair[3], pair[0], pair[1]), (-pair[0], pair[1], -pair[2], pair[3])):
+        assert abs(ellipsoid_m([y1], [x1], [y2], [x2])[0] - metres) < 0.001
+        assert abs(nearly_opposite_m([y1], [x1], [y2], [x2])[0] - metres) < 0.001
+
+
+def test_both_solutions_of_the_geodesic_agree():
+    rng = np.random.default_rng(6)
+    ends = rng.uniform(-89, 89, 2000), rng.uniform(-180, 180, 2000), rng.uniform(-89, 89, 2000), rng.uniform(-180, 180, 2000)
+    assert np.abs(ellipsoid_m(*ends) - nearly_opposite_m(*ends)).max() < 0.0002
+    opposite = ends[0], ends[1], -ends[0] + rng.normal(0, 0.3, 2000), ends[1] + 180 + rng.normal(0, 0.3, 2000)
+    length = ellipsoid_m(*opposite)
+    assert np.isfinite(length).all() and length.max() <= 20003931.459 and length.min() > 1.98e7
+
+
 def test_ellipsoidal_distance(spark):
     assert abs(ellipsoid_m([0.0], [0.0], [0.0], [1.0])[0] - 111319.491) < 0.001
     assert abs(ellipsoid_m([0.0], [0.0], [90.0], [0.0])[0] - 10001965.729) < 0.001

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rowguard import config as c
@@ -254,6 +255,20 @@ def test_classifier_learns_and_explains(spark):
     assert len(curve) == 20 and curve[min(curve)] > curve[max(curve)]
 
 
+def test_partial_dependence_equals_scoring_every_row_at_every_value(spark):
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "d"]
+    data = [(*map(float, rng.normal(size=2).round(2)), float(rng.integers(0, 4)) if i % 9 else None) for i in range(500)]
+    frame = spark.createDataFrame([(*r, int(r[0] * r[1] > 0.2 or r[2] == 3)) for r in data], "a double, b double, d double, is_anomaly int")
+    model = feedback.AnomalyClassifier(input_columns=names).fit(frame)
+    for name, size in (("a", 17), ("d", 50)):
+        curve = {r["feature_value"]: r["partial_dependence"] for r in model.partial_dependence(frame, name, size).collect()}
+        grid = spark.createDataFrame([(g,) for g in curve], "g double")
+        swept = model.predict(frame.drop(name).crossJoin(grid).withColumn(name, F.col("g")))
+        want = dict(swept.groupBy("g").agg(F.avg(vector_to_array("probability")[1])).collect())
+        assert len(curve) == (17 if name == "a" else 4) and curve == pytest.approx(want, abs=1e-12)
+
+
 def test_tables_are_named_read_and_replaced_with_their_schema(spark, tmp_path):
     assert tables.table_name("cleansing", "GB", "bronze", "cat", "_V1", "_cmd", "dq_") == "cat.dq_bronze.tbl_cleansing_gb_v1_cmd"
     with pytest.raises(ValueError):
