@@ -76,8 +76,12 @@ def score_sql(source: str) -> str:
     plain = ratio.format(n=common_sql("ka", "kb"), x="length(ka)", y="length(kb)")
     ordered = ratio.format(n=common_sql("sa", "sb"), x="length(sa)", y="length(sb)")
     shared = "greatest({}, {})".format(*[ratio.format(n="length(s0)", x="length(s0)", y=f"length({s})") for s in ("sa", "sb")])
-    return f"""SELECT l, r, floor(greatest({plain}, 0.95e0 * {ordered}, CASE WHEN s0 = '' THEN 0e0 ELSE 0.95e0 * {shared} END) + 0.5e0) AS score
-    FROM (SELECT *, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb, array_to_string(list_intersect(ta, tb), ' ') AS s0
+    own = ratio.format(n=common_sql("la", "lb"), x="length(la)", y="length(lb)")
+    first = "list_sort(list_intersect(ta, tb))"
+    rest = "list_filter({}, lambda w: NOT list_contains({}, w))"
+    return f"""SELECT l, r, floor(greatest({plain}, 0.95e0 * {ordered}, CASE WHEN s0 = '' THEN 0e0 ELSE 0.95e0 * greatest({shared}, {own}) END) + 0.5e0) AS score
+    FROM (SELECT *, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb, array_to_string({first}, ' ') AS s0,
+                 array_to_string(list_concat({first}, {rest.format("ta", "tb")}), ' ') AS la, array_to_string(list_concat({first}, {rest.format("tb", "ta")}), ' ') AS lb
           FROM (SELECT *, {words_sql('ka')} AS ta, {words_sql('kb')} AS tb FROM {source}))
     WHERE greatest(length(ka), length(kb)) < 1.5e0 * least(length(ka), length(kb))"""
 

@@ -62,14 +62,14 @@ def best_window_ratio(a: str, b: str) -> int:
 
 
 def set_ratio(a: list[str], b: list[str], measure=ratio) -> int:
-    """Shared words against each side's shared-plus-own words; 0 without a shared word."""
+    """Best of shared words against each side's shared-plus-own words, and of those two; 0 without a shared word."""
     shared = sorted(set(a) & set(b))
     if not shared:
         return 0
     base = " ".join(shared)
     left = " ".join(shared + sorted(set(a) - set(b)))
     right = " ".join(shared + sorted(set(b) - set(a)))
-    return max(measure(base, left), measure(base, right))
+    return max(measure(base, left), measure(base, right), measure(left, right))
 
 
 def composite(a: str | None, b: str | None) -> float:

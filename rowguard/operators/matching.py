@@ -268,6 +268,38 @@ def _word_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
     return _either_way(left, right, meet)
 
 
+def _overlap_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
+    """Pairs with words in common whose texts, shared words first and own words after, reach ``rate``.
+
+    No own word of one side is a word of the other, so each is touched by an edit, and an edit touches two
+    words at most: a side has at most twice as many own words as there are edits. All other words are
+    shared, so if both sides order their words by rarity, a shared word is among the first of both, one
+    more than the own words there can be. Only those are filed, so common words meet on short texts alone.
+    """
+    words = left.select("key", "words").unionByName(right.select("key", "words")).dropDuplicates(["key"])
+    rarity = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+
+    def filed(df: DataFrame) -> DataFrame:
+        single = lookup_join(df.select("key", F.explode("words").alias("word")), rarity, "word", "inner")
+        ranked = single.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("uses", "word"))).alias("ranked"))
+        # The other text is at most (2 - rate) / rate times as long.
+        edits = F.floor(F.length("sorted_text") * F.lit(2 * (1 - rate) / rate) + 1e-9).cast("int")
+        first = F.slice("ranked", F.lit(1), 2 * edits + 1)
+        return df.join(ranked, "key").select("key", "size", "words", "sorted_text", F.explode(F.transform(first, lambda r: r["word"])).alias("word"))
+
+    other = filed(right).select("word", *[F.col(x).alias(f"other_{x}") for x in ("key", "size", "words", "sorted_text")])
+    lengths = F.length("sorted_text") + F.length("other_sorted_text")
+    possible = 2 * F.least(F.length("sorted_text"), F.length("other_sorted_text")) >= rate * lengths - 1e-9
+    met = salted_join(filed(left), other, ["word"], "inner").filter((F.col("key") != F.col("other_key")) & possible)
+    met = met.filter(F.greatest("size", "other_size") < 1.5 * F.least("size", "other_size"))
+    shared = F.array_intersect("words", "other_words")
+    texts = [F.array_join(F.concat(shared, F.array_except(a, b)), " ") for a, b in (("words", "other_words"), ("other_words", "words"))]
+    edits = F.floor(lengths * (1 - rate) + 1e-9).cast("int")
+    near = met.select("key", F.col("other_key").alias("other"), texts[0].alias("a"), texts[1].alias("b"), edits.alias("edits"))
+    # The edit distance never exceeds the insertions and deletions.
+    return near.filter(F.expr("levenshtein(a, b, edits) >= 0")).select("key", "other").distinct()
+
+
 def _partial_pairs(keys: DataFrame, others: DataFrame, text: str, rate: float, low: float, high: float) -> DataFrame:
     """Pairs of lengths ``low`` to ``high`` to one whose shorter text may be like a window of the longer one.
 
@@ -329,6 +361,7 @@ def candidate_keys(left: DataFrame, right: DataFrame, threshold: float, best_onl
             found.unionByName(_short_pairs(left, right, "sorted_text", word, best_only))
             .unionByName(_long_pairs(left, right, "sorted_text", word))
             .unionByName(_word_pairs(left, right, word))
+            .unionByName(_overlap_pairs(left, right, word))
         )
     for scale, low, high in PARTIAL_SCALES:
         for text, share in (("key", scale), ("sorted_text", 0.95 * scale)):
@@ -378,24 +411,28 @@ def fuzzy_join(left: DataFrame, right: DataFrame, condition_map: dict[str, list[
     """
     if not any(condition_map.values()):
         raise ValueError("the condition map names no column pair")
+    given: list[tuple[str, str, DataFrame]] = []
     joined: DataFrame | None = None
-    for a, bs in condition_map.items():
-        for b in bs:
-            values_a, keys_a = _keys(left, a)
-            values_b, keys_b = _keys(right, b)
-            pairs = candidate_keys(keys_a, keys_b, rate)
-            same = keys_a.select("key").join(keys_b.select("key"), "key").select("key", F.col("key").alias("other"))
-            scored = pairs.withColumn("score", composite_score("key", "other")).filter(F.col("score") >= rate)
-            hits = scored.select("key", "other").unionByName(same)
-            words = hits.join(values_a.select("key", F.col("value").alias("_a")), "key").join(
-                values_b.select(F.col("key").alias("other"), F.col("value").alias("_b")), "other"
-            )
-            rows = left.join(words.select("_a", "_b"), left[a] == F.col("_a")).join(right, F.col("_b") == right[b])
-            earlier = [(x, y) for x, ys in condition_map.items() for y in ys]
-            earlier = earlier[: earlier.index((a, b))]
-            rows = rows.drop("_a", "_b")
-            for x, y in earlier:
-                # A row pair that an earlier column pair already gave is not given again.
-                rows = rows.filter(composite_score(x, y) < rate)
-            joined = rows if joined is None else joined.unionByName(rows)
+    for a, b in [(a, b) for a, bs in condition_map.items() for b in bs]:
+        matched = _matched_values(left, a, right, b, rate)
+        rows = lookup_join(lookup_join(left.withColumn("_a", F.col(a)), matched, "_a", "inner").drop("_a"), right.withColumn("_b", F.col(b)), "_b", "inner").drop("_b")
+        for x, y, earlier in given:
+            # A row pair that an earlier column pair already gave is not given again: its match table says so.
+            known = earlier.select(F.col("_a").alias(x), F.col("_b").alias(y), F.lit(True).alias("_given"))
+            rows = lookup_join(rows, known, [x, y], "left").filter(F.col("_given").isNull()).drop("_given")
+        given.append((a, b, matched))
+        rows = rows.select(*left.columns, *right.columns)
+        joined = rows if joined is None else joined.unionByName(rows)
     return joined
+
+
+def _matched_values(left: DataFrame, a: str, right: DataFrame, b: str, rate: float) -> DataFrame:
+    """``_a, _b``: the pairs of values of two columns that score at least ``rate``, each once."""
+    values_a, keys_a = _keys(left, a)
+    values_b, keys_b = _keys(right, b)
+    pairs = candidate_keys(keys_a, keys_b, rate)
+    same = keys_a.select("key").join(keys_b.select("key"), "key").select("key", F.col("key").alias("other"))
+    scored = pairs.withColumn("score", composite_score("key", "other")).filter(F.col("score") >= rate)
+    hits = scored.select("key", "other").unionByName(same)
+    found = hits.join(values_a.select("key", F.col("value").alias("_a")), "key").join(values_b.select(F.col("key").alias("other"), F.col("value").alias("_b")), "other")
+    return cut_lineage(found.select("_a", "_b"))

@@ -55,6 +55,7 @@ def dictionary(seed):
         parts = name.split()
         rng.shuffle(parts)
         values.add(" ".join(parts).upper())
+        values.add(noisy(rng, " ".join(parts)))
         values.add(name.replace(" ", "-"))
         values.add(name + " " + rng.choice("abc"))
     values |= {f"store number {i:05d}" for i in range(60)} | {"", "?", "a", "ab"}
@@ -140,6 +141,26 @@ def test_fuzzy_join_equals_all_pairs(spark):
         matching.fuzzy_join(a, b, {}, 92)
 
 
+def test_row_pairs_of_overlapping_column_pairs_come_once(spark):
+    rng = random.Random(11)
+    names = sorted(v for v in dictionary(6) if norm(v))[:60]
+    left = [(i, rng.choice([*names, None]), rng.choice([*names, None])) for i in range(60)]
+    right = [(i, rng.choice([*names, None]), rng.choice(names)) for i in range(60)]
+    a, b = spark.createDataFrame(left, "id int, city string, other string"), spark.createDataFrame(right, "rid int, name string, alias string")
+    joined = matching.fuzzy_join(a, b, {"city": ["name", "alias"], "other": ["alias"]}, 92)
+    got = sorted((r["id"], r["rid"]) for r in joined.collect())
+    score = lambda x, y: composite(norm(x), norm(y)) if x and y else 0.0
+    ways = [[score(x[1], y[1]) >= 92, score(x[1], y[2]) >= 92, score(x[2], y[2]) >= 92] for x in left for y in right]
+    want = sorted((x[0], y[0]) for (x, y), hit in zip([(x, y) for x in left for y in right], ways) if any(hit))
+    assert got == want and sum(sum(hit) > 1 for hit in ways) > 3
+    assert "ArrowEvalPython" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_words_first_and_own_words_after():
+    assert composite("giovanni rotondo santa", "santo giovanni rotondo") == 90.0
+    assert composite("alpha beta gamma", "zeta alpha beta") == composite("zeta alpha beta", "alpha beta gamma")
+
+
 def test_scores_of_known_strings():
     assert composite("new york", "new yrk") == 93.0
     assert composite("new york", "york new") == 95.0
