@@ -152,6 +152,47 @@ def test_elbow():
     assert elbow([2, 3, 4], [5, 5, 5]) == 2
 
 
+def plain_lloyd(points, weights, centres, rounds):
+    centres = np.array(centres, dtype=float)
+    for k in range(rounds + 1):
+        away = ((points[:, None] - centres[None]) ** 2).sum(-1)
+        near, cost = away.argmin(1), float((away.min(1) * weights).sum())
+        moved = centres.copy()
+        for j in set(near.tolist()):
+            moved[j] = np.average(points[near == j], axis=0, weights=weights[near == j])
+        if k == rounds or np.abs(moved - centres).max() <= clusters.TOLERANCE:
+            return centres, cost, k + 1
+        centres = moved
+
+
+@pytest.mark.parametrize("rounds", [2, 20])
+def test_models_settled_together_equal_those_settled_alone(spark, rounds):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal((10.0 * i, 3.0 * i), 1.5, (80, 2)) for i in range(4)])
+    weights = rng.integers(1, 5, len(points)).astype(float)
+    frame = spark.createDataFrame([(float(a), float(b), float(w)) for (a, b), w in zip(points, weights)], "a double, b double, _weight double").repartition(3)
+    candidates, held = clusters.candidate_centres(frame, ["a", "b"], 6)
+    again, _ = clusters.candidate_centres(frame.repartition(5), ["a", "b"], 6)
+    assert candidates.tolist() == again.tolist() and held.sum() == weights.sum() and len({tuple(x) for x in candidates.tolist()}) == 25
+    starts = clusters.starting_centres(candidates, held, [2, 3, 4, 5, 6])
+    centres, costs, passes = clusters.settle(frame, ["a", "b"], starts, rounds)
+    alone = {k: plain_lloyd(points, weights, own, rounds) for k, own in starts.items()}
+    assert passes == max(n for _, _, n in alone.values())
+    for k, (own, cost, n) in alone.items():
+        if n == passes:
+            assert np.allclose(centres[k], own) and costs[k] == pytest.approx(cost)
+        assert costs[k] <= cost * (1 + 1e-9)
+    assert costs[4] < 0.2 * costs[2]
+
+
+def test_fewer_places_than_clusters(spark):
+    frame = spark.createDataFrame([(i, "x", float(i % 3), 0.0) for i in range(9)], SCHEMA).withColumn(c.STANDARD, F.col(c.CITY))
+    job = PlaceClusters()
+    assert job.kmeans(frame).select("cluster").distinct().count() == job.k and sorted(job.costs) == [2, 3] and job.costs[3] == 0.0
+    assert {r["cluster"] for r in PlaceClusters().kmeans(frame.filter("lat__cmd = 1")).collect()} <= {0, 1}
+    assert {r["cluster"] for r in PlaceClusters().kmeans(frame.withColumn("lat__cmd", F.lit(None).cast("double"))).collect()} == {99}
+
+
 def test_clusters_find_separate_places_and_keep_rows_without_coordinates(spark):
     rng = random.Random(2)
     rows = [(i, f"c{i % 3}", 10.0 * (i % 3) + rng.random() / 10, rng.random() / 10) for i in range(600)]
