@@ -69,11 +69,17 @@ def fit_coder(sample: np.ndarray, k: int = NEIGHBOURS, seed: int = 3) -> Coder:
     return coder._replace(radius=radius)
 
 
+#: What a block's row holds, packed.
+PACKED = {"ids": np.int64, "rows": np.int64, "unnamed": np.bool_, "vectors": np.float64, "codes": np.uint8}
+
+
 class Block:
     """Vectors of one block with the postings of their substrings."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, rows: np.ndarray | None = None, unnamed: np.ndarray | None = None):
         self.ids, self.vectors, self.codes = ids, vectors, codes
+        self.rows = np.arange(len(ids)) if rows is None else rows
+        self.unnamed = np.zeros(len(ids), bool) if unnamed is None else unnamed
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
         self.edges = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
 
@@ -90,30 +96,31 @@ class Block:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
     def nearest(self, query: int, vector: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the k nearest but row ``query``; ties to the smaller id, no id last."""
         most = 8 * len(code)
         while True:
-            rows = self.within(code, min(radius, most))
-            rows = rows[self.ids[rows] != query]
-            if len(rows) >= k or radius >= most:
+            near = self.within(code, min(radius, most))
+            near = near[self.rows[near] != query]
+            if len(near) >= k or radius >= most:
                 break
             radius += 4
-        away = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
-        best = np.lexsort((self.ids[rows], away))[:k]
-        return self.ids[rows][best], away[best]
+        away = np.sqrt(((self.vectors[near] - vector) ** 2).sum(1))
+        best = np.lexsort((self.rows[near], self.ids[near], self.unnamed[near], away))[:k]
+        return near[best], away[best]
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: rows with an id and a finite vector that is not all zero, of the table's usual length.
+    """``id, v, row``: rows with a finite vector that is not all zero, of the table's usual length.
 
     The usual length is the most frequent one (of equals the longer); distances between vectors of
-    different lengths are not defined. Rows that repeat an id count once, with the smallest vector.
+    different lengths are not defined. Rows of no id, and all rows of a repeated one, take part; ``row`` tells
+    them apart and has to be written before it is used.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = rows.filter(F.col("id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
+    rows = rows.filter((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
     usual = rows.groupBy(F.size("v").alias("n")).count().agg(F.max_by("n", F.struct("count", "n")))
-    one = rows.filter(F.size("v") == usual.scalar())
-    return one.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.filter(F.size("v") == usual.scalar()).withColumn("row", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -124,53 +131,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows found for each query row, itself left out.
 
-    ``is_query`` is a condition on column ``id``. Ties go to the smaller id. An empty table, or one of a
-    single vector, gives no rows.
+    ``is_query`` is a condition on column ``id``. Ties go to the smaller id, a null one last. Every row of a repeated
+    id is a candidate for the others, and a query of its own if ``is_query`` holds; then its ranks are given
+    once for each. An empty table, or one of a single vector, gives no rows.
     """
     rows = cut_lineage(usable(table, id_col, vector_col))
     # Bounded by SAMPLE rows; the only data that reaches the driver.
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    sample = rows.orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).select("v").toArrow()
     coder = fit_coder(_matrix(sample.column("v")), k) if sample.num_rows else Coder(np.zeros(1), np.zeros((1, 1)), 0)
 
     def build(key: tuple, part: pa.Table) -> pa.Table:
         vectors = _matrix(part.column("v"))
-        ids = part.column("id").to_numpy()
-        return pa.table({"block": [key[0].as_py()], "size": [len(ids)], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "codes": [coder.codes(vectors).tobytes()]})
-
-    layout = "block long, size long, ids binary, vectors binary, codes binary"
+        ids = part.column("id").combine_chunks()
+        fields = {
+            "ids": ids.fill_null(np.iinfo(np.int64).max).to_numpy(),
+            "rows": part.column("row").to_numpy(),
+            "unnamed": ids.is_null().to_numpy(zero_copy_only=False),
+            "vectors": vectors,
+            "codes": coder.codes(vectors),
+        }
+        return pa.table({"block": [key[0].as_py()], "size": [len(ids)], **{name: [x.tobytes()] for name, x in fields.items()}})
+
+    layout = "block long, size long, " + ", ".join(f"{name} binary" for name in PACKED)
 
     def blocks_of(some: DataFrame, size: int) -> tuple[DataFrame, int]:
         n = max(1, -(-some.count() // size))
-        return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).applyInArrow(build, layout), n
+        return some.groupBy(F.pmod(F.xxhash64("row"), F.lit(n)).alias("block")).applyInArrow(build, layout), n
 
     index, n_blocks = blocks_of(rows, BLOCK)
     queries, _ = blocks_of(rows.filter(is_query), QUERY_BLOCK)
     index, queries = cut_lineage(index), cut_lineage(queries)
     visits = queries.select(
-        *[F.col(c).alias("q_" + c) for c in ("size", "ids", "vectors", "codes")],
+        *[F.col(c).alias("q_" + c) for c in ("size", *PACKED)],
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
     )
 
     def search(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        out_q, out_id, out_far = [], [], []
+        found = []
         for i in range(held.num_rows):
-            ids, vectors, codes = _unpacked(held, "", i)
-            block = Block(ids, vectors, codes)
+            held_in = _unpacked(held, "", i)
+            block = Block(held_in["ids"], held_in["vectors"], held_in["codes"], held_in["rows"], held_in["unnamed"])
             for j in range(asked.num_rows):
-                for q, vector, code in zip(*_unpacked(asked, "q_", j)):
-                    near, far = block.nearest(q, vector, code, coder.radius, k)
-                    out_q.append(np.full(len(near), q))
-                    out_id.append(near)
-                    out_far.append(far)
-        joined = [np.concatenate([np.zeros(0, t), *x]) for x, t in ((out_q, np.int64), (out_id, np.int64), (out_far, np.float64))]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), joined)))
-
-    found = visits.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+                own = _unpacked(asked, "q_", j)
+                for name, row, vector, code in zip(own["ids"], own["rows"], own["vectors"], own["codes"]):
+                    near, far = block.nearest(row, vector, code, coder.radius, k)
+                    found.append((np.full(len(near), row), np.full(len(near), name), block.ids[near], block.unnamed[near], block.rows[near], far))
+        kinds = (np.int64, np.int64, np.int64, bool, np.int64, np.float64)
+        query_row, query_id, vec_id, unnamed, row, score = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip(kinds, zip(*found) if found else [()] * len(kinds)))
+        ids = pa.array(vec_id, mask=unnamed.astype(bool))
+        return pa.table({"query_row": query_row, "query_id": query_id, "vec_id": ids, "row": row, "score": score})
+
+    shape = "query_row long, query_id long, vec_id long, row long, score double"
+    found = visits.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(search, shape)
+    order = Window.partitionBy("query_row").orderBy("score", F.asc_nulls_last("vec_id"), "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _unpacked(table: pa.Table, prefix: str, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(table: pa.Table, prefix: str, i: int) -> dict[str, np.ndarray]:
     n = table.column(prefix + "size")[i].as_py()
-    raw = [table.column(prefix + c)[i].as_py() for c in ("ids", "vectors", "codes")]
-    return np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1]).reshape(n, -1), np.frombuffer(raw[2], np.uint8).reshape(n, -1)
+    out = {name: np.frombuffer(table.column(prefix + name)[i].as_py(), kind) for name, kind in PACKED.items()}
+    return out | {name: out[name].reshape(n, -1) for name in ("vectors", "codes")}

@@ -220,17 +220,29 @@ def test_nearest_neighbours_recall_and_odd_rows(spark):
     odd = [(5000, None, "x"), (5100, [], "x"), (5200, [0.0] * 24, "x"), (5300, [float("nan")] * 24, "x"), (5400, [None] * 24, "x"), (5500, [1.0, 2.0], "x"), (None, vectors[1], "x"), (0, vectors[0], "x")]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, block string")
     found = hashing_index.nearest(table, F.col("id") % 100 == 0).collect()
-    matrix = np.array([r[1] for r in rows])
+    # Rows of no id and both rows of a repeated one take part; the other odd rows do not.
+    named = [(r[0], r[1]) for r in rows] + [(None, vectors[1]), (0, vectors[0])]
+    matrix = np.array([v for _, v in named])
+    ids = [i for i, _ in named]
     hits = 0
     for q in range(0, 1500, 100):
-        own = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
-        assert [r for r, _, _ in own] == list(range(1, 11)) and q not in [v for _, v, _ in own]
+        own = [(r.rank, r.vec_id, r.score) for r in found if r.query_id == q]
+        twice = 2 if q == 0 else 1
+        assert sorted(r for r, _, _ in own) == sorted([*range(1, 11)] * twice)
         far = np.sqrt(((matrix - matrix[q]) ** 2).sum(1))
         far[q] = np.inf
-        assert [s for _, _, s in own] == pytest.approx([far[v] for _, v, _ in own], rel=1e-12)
-        assert [(s, v) for _, v, s in own] == sorted((s, v) for _, v, s in own)
-        hits += len({v for _, v, _ in own} & set(np.lexsort((np.arange(1500), far))[:10].tolist()))
-    assert hits >= 0.9 * 150 and len(found) == 150
+        order = sorted(range(len(ids)), key=lambda i: (far[i], ids[i] is None, ids[i] or 0))[:10]
+        if twice == 1:
+            own.sort()
+            assert q not in [v for _, v, _ in own]
+            assert all(s == pytest.approx(min(far[i] for i in range(len(ids)) if ids[i] == v), rel=1e-12) for _, v, s in own)
+            assert [(s, v is None, v or 0) for _, v, s in own] == sorted((s, v is None, v or 0) for _, v, s in own)
+        else:
+            # Each of the two rows finds the other first.
+            assert [(v, s) for r, v, s in own if r == 1] == [(0, 0.0)] * 2
+        hits += len({v for _, v, _ in own} & {ids[i] for i in order})
+    assert hits >= 0.9 * 150 and len(found) == 160
+    assert [(r.vec_id, r.score) for r in hashing_index.nearest(table.filter("vec_id = 1 or vec_id is null or vec_id = 9"), F.col("id") == 1).collect()][0] == (None, 0.0)
     assert hashing_index.nearest(table.limit(0), F.col("id") % 100 == 0).count() == 0
-    few = hashing_index.nearest(table.filter("vec_id < 4"), F.col("id") == 0).collect()
-    assert len(few) == 3
+    few = hashing_index.nearest(table.filter("vec_id < 4"), F.col("id") == 1).collect()
+    assert sorted(r.vec_id for r in few) == [0, 0, 2, 3]
