@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowguard.llm.tables import restored, shielded
+from rowguard.llm.tables import restored, shielded, text_digest
 from rowguard.operators.joins import lookup_join
 from rowguard.session import cut_lineage
 
@@ -76,9 +76,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     return current.drop(*[f"_t_{c}" for c in targets])
 
 
-def draw(id_col: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) fixed by id and seed, equal on every run and engine."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def draw(id_col: Column, text_col: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) fixed by id, text and seed, equal on every run and engine; rows of one id draw by their texts."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), text_digest(text_col)))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
@@ -132,7 +132,7 @@ def rated_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", share: float | None = SHARE) -> DataFrame:
-    """The sampled rows of ``docs``, some ``share`` of their tokens, with their columns; a null id draws as an empty one would."""
+    """The sampled rows of ``docs``, some ``share`` of their tokens, with their columns; a null id draws as an empty one would, each text for itself."""
     _, at = shielded(docs)
     rated = rated_documents(docs, text_col, source_col, lang_col, share)
-    return restored(rated.filter(draw(F.col(at[id_col])) < F.round("probability", 9)), docs)
+    return restored(rated.filter(draw(F.col(at[id_col]), F.col(at[text_col])) < F.round("probability", 9)), docs)

@@ -37,7 +37,7 @@ def mixing_ipf(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"),
         F.round("probability", 6).alias("probability"),
-        (mixing.draw(F.col("_in_0")) < probability).alias("sampled"),
+        (mixing.draw(F.col("_in_0"), F.col("_in_1")) < probability).alias("sampled"),
     )
 
 
@@ -47,7 +47,7 @@ WITH RECURSIVE docs AS (
          coalesce(text, '') AS body
   FROM documents
 ), topics AS (
-  SELECT doc_id, source, lang, n_tokens,
+  SELECT doc_id, source, lang, n_tokens, sha256(body) AS digest,
          CASE WHEN contains(body, 'icense') THEN 'legal' WHEN contains(body, ' | ') THEN 'table'
               WHEN contains(body, '$$$') OR contains(body, '###') THEN 'noise'
               WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic
@@ -72,7 +72,7 @@ WITH RECURSIVE docs AS (
   SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM raked WHERE k = 40
 )
 SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(p, 6) AS probability,
-       ('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < round(p, 9) AS sampled
+       ('0x' || substr(md5('mix:' || doc_id::VARCHAR || ':' || t.digest), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < round(p, 9) AS sampled
 FROM topics t JOIN rates r
   ON t.source IS NOT DISTINCT FROM r.source AND t.lang IS NOT DISTINCT FROM r.lang AND t.topic = r.topic
 """

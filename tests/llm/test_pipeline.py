@@ -47,7 +47,7 @@ def test_every_stage_works_on_all_its_predecessor_kept(spark, awkward, tmp_path)
     assert held[3] == sorted({order[t] for t in tops}, key=str) and len(held[3]) < len(held[2])
 
     rated = mixing.rated_documents(outs[3])
-    drawn = rated.filter(mixing.draw(rated["_in_0"]) < rated["probability"]).count()
+    drawn = rated.filter(mixing.draw(rated["_in_0"], rated["_in_1"]) < rated["probability"]).count()
     assert len(held[4]) == drawn and set(held[4]) <= set(held[3])
 
     checked(outs[5].withColumnRenamed("doc_id", "id").collect(), held[4], 1024)

@@ -154,6 +154,14 @@ def test_mixing_of_awkward_rows(spark, awkward, nothing):
     assert mixing.mixed(nothing).count() == 0
 
 
+def test_rows_of_no_id_are_drawn_one_by_one(spark):
+    rng = random.Random(21)
+    docs = documents(spark, [(None, prose(rng, 20)) for _ in range(200)])
+    for share in (0.25, 0.5):
+        kept = mixing.mixed(docs, share=share)
+        assert abs(kept.count() - 200 * share) < 35 and kept.select("text").distinct().count() == kept.count()
+
+
 def test_a_sample_follows_its_targets(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(20, 200)), rng.choice(["en", "fr"]), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
