@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,8 +11,42 @@ from rowguard import config as c
 from rowguard.operators.joins import lookup_join
 
 
+LOOK = 256  # words looked at first; each further look takes four times as many
+_marks = np.zeros(0x110000, np.uint64)
+
+
 def distances_to(word: str, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Edit distance of one word to every row of a padded letter table."""
+    """Edit distance of one word to every row of a padded letter table.
+
+    A column of the table of distances is two words of bits per row, where it rises and where it falls (Myers, 1999);
+    words beyond 64 letters take the columns as numbers.
+    """
+    m = len(word)
+    if not m:
+        return sizes.astype(np.int64)
+    if m > 64:
+        return _long_distances(word, letters, sizes)
+    for i, ch in enumerate(word):
+        _marks[ord(ch)] |= np.uint64(1 << i)
+    one, top = np.uint64(1), np.uint64(m - 1)
+    rises, falls = np.full(len(letters), np.uint64(2**64 - 1)), np.zeros(len(letters), np.uint64)
+    last = np.full(len(letters), m)
+    out = last.copy()
+    for j in range(letters.shape[1]):
+        same = _marks[letters[:, j]]
+        down = same | falls
+        along = (((same & rises) + rises) ^ rises) | same
+        more, less = falls | ~(along | rises), rises & along
+        last = last + ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+        more, less = (more << one) | one, less << one
+        rises, falls = less | ~(down | more), more & down
+        np.copyto(out, last, where=sizes > j)
+    for ch in word:
+        _marks[ord(ch)] = 0
+    return out
+
+
+def _long_distances(word: str, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     width = letters.shape[1]
     row = np.repeat(np.arange(width + 1)[None, :], len(letters), axis=0)
     steps = np.arange(width + 1)
@@ -28,38 +61,44 @@ def distances_to(word: str, letters: np.ndarray, sizes: np.ndarray) -> np.ndarra
 def walk(words: list[str]) -> list[str]:
     """From the smallest word on, always to the farthest unused word; ties to the smallest.
 
-    No word is farther than the longer of the two lengths, so words are tried from the longest down
-    and those too short to beat the best one found are not compared.
+    No word is farther than the longer of the two lengths, so words are tried from the longest down; those too
+    short to beat the best one found are not compared, nor larger ones that could at best be as far.
     """
     words = sorted(words)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    lengths = sorted(by_length, reverse=True)
-    places = {n: np.array(by_length[n]) for n in lengths}
-    letters = {n: np.array([[ord(ch) for ch in words[i]] for i in by_length[n]], dtype=np.int64).reshape(len(by_length[n]), n) for n in lengths}
-    free = np.ones(len(words), dtype=bool)
+    sizes = np.array([len(w) for w in words])
+    place = np.lexsort((np.arange(len(words)), -sizes))  # longest first, then smallest
+    letters = np.zeros((len(words), max(1, sizes.max(initial=0))), np.int64)
+    for row, i in enumerate(place.tolist()):
+        letters[row, : sizes[i]] = [ord(ch) for ch in words[i]]
+    unused = place != 0
     order = [0]
-    free[0] = False
     for _ in range(len(words) - 1):
+        open_ = np.flatnonzero(unused)
+        if len(open_) * 2 < len(place):
+            place, letters, unused = place[open_], letters[open_], unused[open_]
+            open_ = np.arange(len(open_))
         here = words[order[-1]]
         best, at = -1, 0
-        for n in lengths:
-            if max(n, len(here)) < best:
+        a, look = 0, LOOK
+        while a < len(open_):
+            bound = max(int(sizes[place[open_[a]]]), len(here))
+            if bound < best:
                 break
-            open_ = np.flatnonzero(free[places[n]])
-            if len(open_) * 2 < len(places[n]):
-                places[n], letters[n] = places[n][open_], letters[n][open_]
-                open_ = np.arange(len(open_))
-            if not len(open_):
-                continue
-            far = distances_to(here, letters[n][open_], np.full(len(open_), n))
-            k = int(np.argmax(far))
-            found = int(places[n][open_[k]])
-            if far[k] > best or (far[k] == best and found < at):
-                best, at = int(far[k]), found
+            part = open_[a : a + look]
+            a, look = a + look, look * 4
+            if bound == best:
+                # As far at most, so only a smaller word counts.
+                part = part[place[part] < at]
+                if not len(part):
+                    continue
+            own = sizes[place[part]]
+            far = distances_to(here, letters[part, : max(1, own[0])], own)
+            top = int(far.max())
+            found = int(place[part[far == top]].min())
+            if top > best or (top == best and found < at):
+                best, at = top, found
         order.append(at)
-        free[at] = False
+        unused[place == at] = False
     return [words[i] for i in order]
 
 

@@ -259,3 +259,23 @@ def test_a_cluster_of_any_size_is_walked_by_one_rule():
             rest = order[i + 1 :]
             far = [plain_distance(order[i], w) for w in rest]
             assert far[0] == max(far) and rest[0] == min(w for w, d in zip(rest, far) if d == far[0])
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcé", "abcdefghijklmnopqrstuvwxyz😀"])
+def test_distances_and_walk_equal_the_plain_ones(alphabet):
+    rng = random.Random(len(alphabet))
+    for trial in range(40):
+        lengths = [0, 1, 12, 63, 64, 65, 80] if trial % 8 == 0 else [0, 1, 3, 6, 9]
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.choice(lengths))) for _ in range(20)]
+        sizes = np.array([len(w) for w in words])
+        letters = np.zeros((20, sizes.max()), np.int64)
+        for i, w in enumerate(words):
+            letters[i, : len(w)] = [ord(ch) for ch in w]
+        asked = rng.choice(words)
+        assert encoding.distances_to(asked, letters, sizes).tolist() == [plain_distance(asked, w) for w in words]
+        order = encoding.walk(sorted(set(words)))
+        left = set(words) - {order[0]}
+        assert order[0] == min(words) and len(order) == len(set(words))
+        for here, following in zip(order, order[1:]):
+            assert following == min(left, key=lambda w: (-plain_distance(here, w), w))
+            left.remove(following)
