@@ -198,6 +198,42 @@ def test_components_of_chains_and_random_graphs(spark):
     assert components.numbered_components(none).count() == 0
 
 
+def test_tasks_contract_their_edges_before_the_rounds(spark, monkeypatch):
+    """A long chain: fewer rounds and fewer edges to begin with, the same components, whatever a task may hold."""
+    order = list(range(60))
+    random.Random(5).shuffle(order)
+    links = list(zip(order, order[1:])) + [(1000 + k, 1000) for k in range(1, 30)] + [(2001, 2000), (2001, 2001), (2001, None)]
+    want = {**dict.fromkeys(order, 0), **dict.fromkeys(range(1000, 1030), 1000), 2000: 2000, 2001: 2000}
+    frame = spark.createDataFrame(links, "left long, right long").repartition(5)
+    rounds, sizes = [], []
+    star, cut = components._small_star, components.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        sizes[-1].append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "_small_star", lambda *args: rounds.append(len(sizes)) or star(*args))
+    monkeypatch.setattr(components, "cut_lineage", watched)
+    contracted = components._contracted
+    for piece, way in ((1 << 20, contracted), (16, contracted), (1 << 20, lambda df: df)):
+        monkeypatch.setattr(components, "PIECE_EDGES", piece)
+        monkeypatch.setattr(components, "_contracted", way)
+        sizes.append([])
+        assert {r["value"]: r["component"] for r in components.components(frame).collect()} == want
+    taken = [rounds.count(k) for k in (1, 2, 3)]
+    assert taken[0] == 1 and taken[0] <= taken[1] <= taken[2] and taken[0] < taken[2]
+    assert sizes[0][0] == 59 + 29 + 1 and sum(sizes[0]) < sum(sizes[2])
+
+
+def test_forest_links_to_the_smallest():
+    import pyarrow as pa
+
+    a, b = components.forest(pa.array(["d", "é", "b", "z"]), pa.array(["c", "z", "d", "é"]))
+    assert dict(zip(a.to_pylist(), b.to_pylist())) == {"c": "b", "d": "b", "é": "z"}
+    assert [len(x) for x in components.forest(pa.array([], pa.int64()), pa.array([], pa.int64()))] == [0, 0]
+
+
 def test_ties_and_unreadable_winners_are_left_to_a_person(spark):
     records = [("aa",), ("ab",)] + [("b?",)] * 3 + [("bb",)] + [("cc",)] * 2 + [("cd",)]
     records = spark.createDataFrame([(i, v[0]) for i, v in enumerate(records)], "id__cmd int, city__cmd string")
