@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowguard.llm.tables import only_rows, text_digest
+from rowguard.llm.tables import kept_id, only_rows, text_digest
 from rowguard.llm.words import slices, words
 from rowguard.operators.components import components
 from rowguard.session import cut_lineage
@@ -79,6 +79,8 @@ def _runs(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """``id, fp``: the fingerprint of every row as a signed long; null text is empty, its fingerprint 0.
 
+    Whole-number ids are longs, others keep their type.
+
     With ``digests`` also ``digest``, the SHA-256 of the text.
     """
     more = ["digest"] if digests else []
@@ -90,8 +92,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps), *[part.column(c) for c in more]], names=["id", "fp", *more])
 
     digest = [text_digest(F.col(text_col)).alias("digest")] if digests else []
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"), *digest)
-    return rows.mapInArrow(each, "id long, fp long" + (", digest string" if digests else ""))
+    own, kind = kept_id(docs, id_col)
+    rows = docs.select(own, F.col(text_col).cast("string").alias("body"), *digest)
+    return rows.mapInArrow(each, f"id {kind.simpleString()}, fp long" + (", digest string" if digests else ""))
 
 
 def _bucket_bits(count: int, per_bucket: int) -> list[int]:

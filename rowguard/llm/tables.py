@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, LongType
 
 
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -22,6 +23,13 @@ def _named(key: Column) -> Column:
     return F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key.cast("string")))
 
 
+def kept_id(docs: DataFrame, id_col: str) -> tuple[Column, DataType]:
+    """The id and its type: whole numbers become long, anything else stays what it is."""
+    kind = docs.schema[id_col].dataType
+    kind = LongType() if isinstance(kind, IntegralType) else kind
+    return F.col(id_col).cast(kind).alias("id"), kind
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text; null counts as empty."""
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowguard.llm.elias_fano import Trie, quantise, restore
+from rowguard.llm.tables import kept_id
 from rowguard.llm.words import mix, slices, word_hashes, words
 from rowguard.session import cut_lineage
 
@@ -61,7 +62,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_CHUNK = "chunk long, ids binary, missing binary, held binary, lengths binary, stream binary, end long, words binary, counts binary"
+_CHUNK = "chunk long, ids binary, held binary, lengths binary, stream binary, end long, words binary, counts binary"
 
 
 def _by_count(counts: np.ndarray) -> np.ndarray:
@@ -73,6 +74,14 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], kinds[type(v)]) for v in columns.values()], names=list(columns))
 
 
+def _stream(rows: pa.RecordBatch) -> bytes:
+    """The rows with their types, as one value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as written:
+        written.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -93,12 +102,10 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Da
                 # Places by falling count take fewer bytes; the order follows from the counts.
                 ranked = np.empty(len(different), np.int64)
                 ranked[_by_count(counts)] = np.arange(len(different))
-                ids = part.column("id")
                 yield _batch(
                     {
                         "chunk": number,
-                        "ids": ids.fill_null(0).to_numpy().tobytes(),
-                        "missing": ids.is_null().to_numpy(zero_copy_only=False).tobytes(),
+                        "ids": _stream(part.select(["id"])),
                         "held": held.tobytes(),
                         "lengths": packed(n),
                         "stream": packed(ranked[stream]),
@@ -109,7 +116,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Da
                 )
                 number += 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"), training.alias("training"))
+    rows = docs.select(kept_id(docs, id_col)[0], F.col(text_col).cast("string").alias("body"), training.alias("training"))
     return rows.mapInArrow(each, _CHUNK)
 
 
@@ -154,7 +161,7 @@ def _vocabulary(chunks: DataFrame, shards: int) -> DataFrame:
 
 
 _MESSAGE = ["contexts", "words", "occurrences", "documents", "context_counts", "word_counts"]
-_SENT = "shard long, chunk long, trained long, own boolean, " + ", ".join(f"{c} binary" for c in _MESSAGE) + ", ids binary, missing binary, held binary, lengths binary, known binary, base_score binary, direct binary"
+_SENT = "shard long, chunk long, trained long, own boolean, " + ", ".join(f"{c} binary" for c in _MESSAGE) + ", ids binary, held binary, lengths binary, known binary, base_score binary, direct binary"
 
 
 def _floor(size: int, tokens: int) -> float:
@@ -212,7 +219,7 @@ def _pairs(chunks: DataFrame, vocabulary: DataFrame, floor: float, prior: float,
         common = {"chunk": row["chunk"], "trained": int((~held).sum())}
         known_here = {"known": packed(known), "base_score": base_score.tobytes(), "direct": direct.tobytes()}
         # What the chunk knows passes through a shard's task too, so that nothing is written in between.
-        add(shard=row["chunk"] % shards, own=True, **common, **known_here, **{c: row[c] for c in ("ids", "missing", "held", "lengths")})
+        add(shard=row["chunk"] % shards, own=True, **common, **known_here, **{c: row[c] for c in ("ids", "held", "lengths")})
         for s in range(shards):
             some = put[cuts[s] : cuts[s + 1]]
             if len(some):
@@ -226,7 +233,7 @@ def _pairs(chunks: DataFrame, vocabulary: DataFrame, floor: float, prior: float,
     return chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, _SENT)
 
 
-_OWN = ["ids", "missing", "held", "lengths", "known", "base_score", "direct"]
+_OWN = ["ids", "held", "lengths", "known", "base_score", "direct"]
 _SCORED = "kind int, shard long, chunk long, trie binary, documents binary, sums binary, " + ", ".join(f"{c} binary" for c in _OWN)
 
 
@@ -285,9 +292,10 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     Scores: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Model: ``shard, trie``, to
     be read with ``elias_fano.Trie.open``. Null texts are empty: one end token. A null id is a row like any
-    other, a null ``training`` means held out. Without training rows every token has the unknown word's
+    other, a null ``training`` means held out; ids that are not whole numbers keep their type. Without training rows every token has the unknown word's
     probability, which is then 1. An empty table gives no rows.
     """
+    id_type = kept_id(docs, id_col)[1]
     chunks = cut_lineage(_chunks(docs, id_col, text_col, F.coalesce(training, F.lit(False))))
     shards = max(LEAST_SHARDS, -(-chunks.count() // CHUNKS_PER_SHARD))
     vocabulary = cut_lineage(_vocabulary(chunks, shards))
@@ -302,7 +310,7 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         order = np.argsort(found.column("shard").to_numpy()) if found.num_rows else []
         for i in np.asarray(order).tolist():
             score[unpacked(found.column("documents")[i].as_py())] += np.frombuffer(found.column("sums")[i].as_py())
-        ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["missing"], bool))
+        ids = pa.ipc.open_stream(row["ids"]).read_all().column("id")
         return pa.table(
             {
                 "id": ids,
@@ -317,6 +325,6 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     own = scored.filter("kind = 2").select("chunk", *_OWN)
     sums = scored.filter("kind = 0").select("chunk", "shard", "documents", "sums")
-    layout = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    layout = f"id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = own.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(total, layout)
     return out, scored.filter("kind = 1").select("shard", "trie")

@@ -112,6 +112,13 @@ def test_near_groups_of_awkward_rows(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == len(set(tops))
 
 
+def test_text_ids_stay_text(spark):
+    rows = [("b", "one two three four"), ("a", "one two three four"), ("10", None), ("9", " ")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {(r.id, r.component_id) for r in simhash.near_groups(docs).collect()} == {("b", "a"), ("a", "a"), ("10", "10"), ("9", "10")}
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {"a", "10"}
+
+
 def test_rows_of_null_and_repeated_ids_stay_by_their_text(spark):
     rng = random.Random(5)
     texts = [prose(rng, 60) for _ in range(8)]

@@ -96,6 +96,15 @@ def test_scores_are_those_of_the_definition(spark, awkward, nothing):
     assert {(r.n_known, r.score) for r in untrained.collect()} == {(0, 0.0)}
 
 
+def test_colliding_words_and_text_ids_are_scored_apart(spark):
+    sign = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    mirror = sign.translate(str.maketrans("ab", "ba"))
+    docs = documents(spark, [(1, sign), (2, mirror), (3, f"{sign} {mirror}")])
+    named = docs.withColumn("doc_id", F.when(F.col("doc_id") < 3, F.concat(F.lit("n"), F.col("doc_id"))))
+    scored, _ = trie_scores.trie_scores(named, F.col("doc_id") == "n1")
+    assert {(r.id, r.n_tokens, r.n_known) for r in scored.collect()} == {("n1", 2, 2), ("n2", 2, 1), (None, 3, 2)}
+
+
 def test_hot_contexts_are_spread_without_changing_scores(spark, monkeypatch):
     rng = random.Random(4)
     docs = documents(spark, [(i, prose(rng, 40)) for i in range(30)])
