@@ -42,7 +42,8 @@ def salted_join(records: DataFrame, dictionary: DataFrame, keys: Sequence[str],
     spread = F.pmod(F.xxhash64(*records.columns), places).cast("int")
     left = marked(records).withColumn("_salt", spread).drop("_places")
     right = marked(dictionary).withColumn("_salt", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    # Sizes of exploded rows are guessed far too low, so Spark could broadcast what belongs in a shuffle.
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def row_bytes(df: DataFrame) -> Column:

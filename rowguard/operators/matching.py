@@ -67,7 +67,8 @@ def edit_neighbours(values: DataFrame, column: str, distance: int = 1, group: st
     marks = base.filter(F.length("v") <= DELETION_LENGTH).select(*keys, "v", F.explode(every).alias("mark"))
     left = marks.select(*keys, "mark", F.col("v").alias("left"))
     right = marks.select(*keys, "mark", F.col("v").alias("right"))
-    short = left.join(right, [*keys, "mark"]).filter(close).select(*keys, "left", "right")
+    # Exploded signatures are taken for as small as their values, so Spark would broadcast them by itself.
+    short = left.join(right.hint("merge"), [*keys, "mark"]).filter(close).select(*keys, "left", "right")
     # Longer strings: of distance + 1 segments one stays whole, at most ``distance`` places away.
     long = base.filter(F.length("v") > DELETION_LENGTH - distance)
     stock = _cut_up(long, F.length("v"), distance).select(*keys, "n", "no", F.col("v").alias("a"), F.col("v").substr(F.col("start") + 1, F.col("width")).alias("mark"))
@@ -167,7 +168,7 @@ def _short_pairs(left: DataFrame, right: DataFrame, text: str, rate: float, best
     stock = stock.select(
         "mark", F.col("key").alias("other"), F.col("size").alias("other_size"), F.col("text_size").alias("other_text_size")
     )
-    met = probe.join(stock, "mark").filter((F.col("key") != F.col("other")) & _sizes_allow(rate))
+    met = probe.join(stock.hint("merge"), "mark").filter((F.col("key") != F.col("other")) & _sizes_allow(rate))
     return met.select("key", "other").distinct()
 
 

@@ -246,3 +246,10 @@ def test_ties_and_unreadable_winners_are_left_to_a_person(spark):
     assert changes == {"aa": None, "ab": None, "b?": None, "bb": None, "cc": 0, "cd": 1}
     named = {r["city__cmd"]: r["standardized_city"] for r in proposals.standardise(records, stacked).collect()}
     assert named == {"aa": "aa *", "ab": "aa *", "b?": "b? *", "bb": "b? *", "cc": "cc", "cd": "cc"}
+
+
+def test_exploded_signatures_are_never_broadcast(spark):
+    names = spark.createDataFrame([(f"Customer#{i:09d}" + "x" * (i % 2 * 12),) for i in range(40)], "name string")
+    plan = matching.edit_neighbours(names, "name", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [mark#" in plan and "SortMergeJoin [n#" in plan
+    assert "BroadcastHashJoin [mark#" not in plan and "BroadcastHashJoin [n#" not in plan
