@@ -1,10 +1,15 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trigrams of a bounded sample of trusted documents are counted in shards; discounts, continuation counts and
-back-off weights come from aggregates of those counts, and every probability from joins of the count tables
-on their contexts. The model has a fixed bound (``MOST_DOCS`` x ``MOST_CHARS``), so each task holds it in
-key-sorted shards and joins the n-grams of whole documents to it where they lie: no text or token is
-shuffled. A document passes if its perplexity is at most its language's quantile over all documents.
+1. Trigrams of all trusted documents are counted by shuffles; discounts, continuation counts and back-off
+   weights come from aggregates of those counts, and every probability from joins of the count tables on
+   their contexts. The model is a table of keys (64-bit hashes of words, pairs and trigrams).
+2. Documents are cut into chunks, written as different words and places among them. A chunk asks shards of
+   the keys for its different words, pairs and trigrams; a shard holds its part of the model, joins all chunks'
+   keys to it and answers each chunk, which adds up its documents.
+
+No count, key or probability passes through the driver or a broadcast, and nothing is left out: a task holds
+one chunk or one shard, whose sizes do not depend on the input. A document passes if its perplexity is at
+most its language's quantile over all documents.
 """
 
 from __future__ import annotations
@@ -15,37 +20,46 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowguard.llm.trie_scores import _batch, _ranges, _stream, packed, unpacked
 from rowguard.llm.words import mix, slices, word_hashes, words
+from rowguard.operators.joins import lookup_join
 from rowguard.session import cut_lineage
 
-MOST_DOCS = 3000
-MOST_CHARS = 20_000
+CHUNK_BYTES = 8 << 20
+LEAST_SHARDS = 32
+CHUNKS_PER_SHARD = 4
 KEEP = 0.85
 START, END = np.uint64(1), np.uint64(2)
 _TURNS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, each text two starts, its words and one end; words and end per text."""
+    found = words(texts)
+    n = np.diff(found.first) + 1
+    ends = np.cumsum(n + 2)
+    line = np.full(ends[-1] if len(ends) else 0, START, np.uint64)
+    line[_ranges(ends - n, n - 1)] = word_hashes(found)
+    line[ends - 1] = END
+    return line, n
+
+
+def _grams(line: np.ndarray, n: np.ndarray) -> np.ndarray:
+    at = _ranges(np.cumsum(n + 2) - n - 2, n)
+    return np.stack([line[at], line[at + 1], line[at + 2]])
+
+
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Three columns of word hashes, one row per token with two words before it, and tokens per text.
 
     A text is its words and one end; two starts stand before it.
     """
-    found = words(texts)
-    n = np.diff(found.first)
-    size = n + 3
-    places = np.concatenate([[0], np.cumsum(size)])
-    line = np.full(places[-1], START, np.uint64)
-    ends = np.cumsum(n)
-    at = np.repeat(places[:-1] + 2 - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    line[at] = word_hashes(found)
-    line[places[1:] - 1] = END
-    begin = np.ones(len(line), bool)
-    begin[places[1:] - 1] = begin[places[1:] - 2] = False
-    at = np.flatnonzero(begin)
-    return np.stack([line[at], line[at + 1], line[at + 2]]), n + 1
+    line, n = _lines(texts)
+    return _grams(line, n), n
 
 
 def keys(*parts: np.ndarray) -> np.ndarray:
@@ -66,22 +80,19 @@ class Level(NamedTuple):
 
 
 class Model(NamedTuple):
-    tri: Level  # log probabilities
-    bi: Level
-    uni: Level
-    tri_weight: Level  # log back-off weights by context
-    bi_weight: Level
+    values: Level  # log probabilities of words, pairs and trigrams
+    weights: Level  # log back-off weights by context
     unknown: float
 
     def token_scores(self, grams: np.ndarray) -> np.ndarray:
         """Natural log probability of every row's last word after the two before it."""
         u, v, w = grams
         one, back = np.unique(w, return_inverse=True)
-        single = np.nan_to_num(self.uni.find(one), nan=self.unknown)[back]
-        pair = self.bi.find(keys(v, w))
-        pair = np.where(np.isnan(pair), np.nan_to_num(self.bi_weight.find(v), nan=0.0) + single, pair)
-        full = self.tri.find(keys(u, v, w))
-        return np.where(np.isnan(full), np.nan_to_num(self.tri_weight.find(keys(u, v)), nan=0.0) + pair, full)
+        single = np.nan_to_num(self.values.find(keys(one)), nan=self.unknown)[back]
+        pair = self.values.find(keys(v, w))
+        pair = np.where(np.isnan(pair), np.nan_to_num(self.weights.find(keys(v)), nan=0.0) + single, pair)
+        full = self.values.find(keys(u, v, w))
+        return np.where(np.isnan(full), np.nan_to_num(self.weights.find(keys(u, v)), nan=0.0) + pair, full)
 
 
 def _discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
@@ -97,8 +108,12 @@ def _discount(count: Column, by: tuple[float, float, float]) -> Column:
     return F.when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
 
 
-def fit(trusted: DataFrame, text_col: str = "text") -> Model:
-    """The model of all texts in ``trusted``, which the caller bounds; none at all give a uniform model."""
+def entries(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, float]:
+    """The model of all texts in ``trusted`` as a table, and the log probability of an unknown word.
+
+    Table: ``key`` of a word, pair or trigram, ``x`` its log probability or, where ``weight`` holds, its log
+    back-off weight as a context. No texts at all give a uniform model.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,39 +140,131 @@ def fit(trusted: DataFrame, text_col: str = "text") -> Model:
     w3 = context(tri, ["u", "v"], d3)
     p3 = tri.join(w3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
 
-    def level(table: DataFrame, by: list[str], value: str) -> Level:
-        held = table.select(*by, F.log(value).cast("float").alias("x")).toArrow()
-        parts = [held.column(c).to_numpy().view(np.uint64) for c in by]
-        key = keys(*parts) if len(by) > 1 else parts[0]
-        order = np.argsort(key)
-        return Level(key[order], held.column("x").to_numpy()[order])
+    def keyed(table: DataFrame, by: list[str], value: str, weight: bool) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = keys(*[batch.column(c).to_numpy().view(np.uint64) for c in by])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("x")], names=["key", "x"])
+
+        held = table.select(*by, F.log(value).cast("float").alias("x")).mapInArrow(each, "key long, x float")
+        return held.withColumn("weight", F.lit(weight))
+
+    parts = [(p3, ["u", "v", "w"], "p3", False), (p2, ["v", "w"], "p2", False), (p1, ["w"], "p1", False), (w3, ["u", "v"], "weight", True), (w2, ["v"], "weight", True)]
+    return reduce(DataFrame.unionByName, [keyed(*part) for part in parts]), float(np.log(floor))
 
-    return Model(level(p3, ["u", "v", "w"], "p3"), level(p2, ["v", "w"], "p2"), level(p1, ["w"], "p1"), level(w3, ["u", "v"], "weight"), level(w2, ["v"], "weight"), float(np.log(floor)))
 
+def _levels(key: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[Level, Level]:
+    order = np.argsort(key)
+    key, x, weight = key[order], x[order], weight[order]
+    return Level(key[~weight], x[~weight]), Level(key[weight], x[weight])
+
+
+def fit(trusted: DataFrame, text_col: str = "text") -> Model:
+    """The whole model in memory, for few texts; ``judged`` leaves it in shards."""
+    table, unknown = entries(trusted, text_col)
+    held = table.toArrow()
+    key, x, weight = (held.column(c).to_numpy() for c in ("key", "x", "weight"))
+    return Model(*_levels(key.view(np.uint64), x, weight.astype(bool)), unknown)
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_DOCS) -> DataFrame:
-    """At most ``most`` documents of up to ``MOST_CHARS`` characters that every label calls good."""
+
+def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """All documents that every label calls good; rows of one id and text count once."""
     good = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("good"))
-    picked = good.filter("good = 1").orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias(text_col))
-    return rows.filter(F.length(text_col) <= MOST_CHARS).join(F.broadcast(picked), "id").dropDuplicates(["id"])
-
+    return lookup_join(rows, good.filter("good = 1").select("id"), "id", "inner").dropDuplicates(["id", text_col])
 
-def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``id, lang, n_tokens, perplexity`` for every row; a null text is empty: one end token."""
-    context = docs.sparkSession.sparkContext.broadcast(model)
 
+def _chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = context.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "body"):
-                grams, n = trigrams(part.column("body"))
-                sums = np.add.reduceat(held.token_scores(grams), np.cumsum(n) - n)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(n), pa.array(np.exp(-sums / n))], names=["id", "lang", "n_tokens", "perplexity"])
+            for part in slices(batch, "body", CHUNK_BYTES):
+                line, n = _lines(part.column("body"))
+                different, stream, counts = np.unique(line, return_inverse=True, return_counts=True)
+                # Places by falling count take fewer bytes.
+                order = np.argsort(-counts, kind="stable")
+                ranked = np.empty(len(order), np.int64)
+                ranked[order] = np.arange(len(order))
+                yield _batch({"chunk": number, "ids": _stream(part.select(["id", "lang"])), "lengths": packed(n), "stream": packed(ranked[stream]), "words": different[order].tobytes()})
+                number += 1
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(each, f"id {kind}, lang string, n_tokens long, perplexity double")
+    return rows.mapInArrow(each, "chunk long, ids binary, lengths binary, stream binary, words binary")
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's trigrams, tokens per text and different keys in order: words, pairs and trigrams, as values or contexts."""
+    n = unpacked(row["lengths"])
+    different = np.frombuffer(row["words"], np.uint64)
+    line = different[unpacked(row["stream"])]
+    grams = _grams(line, n)
+    asked = [keys(different), keys(line[:-1], line[1:]), keys(*grams)]
+    return grams, n, np.unique(np.concatenate(asked))
+
+
+def _edges(asked: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's keys begin and end."""
+    step = -(-(1 << 64) // shards)
+    inner = np.searchsorted(asked, np.array([min(s * step, (1 << 64) - 1) for s in range(1, shards)], np.uint64))
+    return np.concatenate([[0], inner, [len(asked)]])
+
+
+def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """Per chunk and shard the log probabilities and weights of the keys asked for, NaN where the model has none."""
+    step = -(-(1 << 64) // shards)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = (batch.column("key").to_numpy().view(np.uint64) // np.uint64(step)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", *batch.schema.names])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked = _read(row)[2]
+                edges = _edges(asked, shards)
+                for s in np.flatnonzero(np.diff(edges)).tolist():
+                    own = asked[edges[s] : edges[s + 1]]
+                    yield _batch({"shard": s, "chunk": row["chunk"], "asked": packed(np.diff(own, prepend=np.uint64(0)))})
+
+    def answer(key: tuple, held: pa.Table, sent: pa.Table) -> pa.Table:
+        if held.num_rows:
+            levels = _levels(held.column("key").to_numpy().view(np.uint64), held.column("x").to_numpy(), held.column("weight").to_numpy().astype(bool))
+        else:
+            levels = [Level(np.zeros(0, np.uint64), np.zeros(0, np.float32))] * 2
+        found = []
+        for message in sent.column("asked"):
+            asked = np.cumsum(unpacked(message.as_py())).view(np.uint64)
+            found.append([packed(level.find(asked).astype(np.float32).view(np.uint32)) for level in levels])
+        columns = [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "chunk": pa.array(sent.column("chunk").to_pylist(), pa.int64()), "values": columns[0], "weights": columns[1]})
+
+    placed = model.mapInArrow(place, "shard long, key long, x float, weight boolean")
+    messages = chunks.select("chunk", "lengths", "stream", "words").mapInArrow(ask, "shard long, chunk long, asked binary")
+    return placed.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(answer, "shard long, chunk long, values binary, weights binary")
+
+
+def perplexities(docs: DataFrame, model: DataFrame, unknown: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``id, lang, n_tokens, perplexity`` for every row under a model of ``entries``; a null text is empty: one end token."""
+    chunks = cut_lineage(_chunks(docs, id_col, text_col, lang_col))
+    shards = max(LEAST_SHARDS, -(-chunks.count() // CHUNKS_PER_SHARD))
+
+    def score(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        row = {c: chunk.column(c)[0].as_py() for c in chunk.column_names}
+        grams, n, asked = _read(row)
+        replies = replies.sort_by("shard")
+        levels = []
+        for c in ("values", "weights"):
+            x = np.concatenate([unpacked(r.as_py()).astype(np.uint32).view(np.float32) for r in replies.column(c)])
+            known = ~np.isnan(x)
+            levels.append(Level(asked[known], x[known]))
+        sums = np.add.reduceat(Model(*levels, unknown).token_scores(grams), np.cumsum(n) - n)
+        ids = pa.ipc.open_stream(row["ids"]).read_all()
+        return pa.table({"id": ids.column("id"), "lang": ids.column("lang"), "n_tokens": n, "perplexity": np.exp(-sums / n)})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    answers = _answers(chunks, model, shards)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_tokens long, perplexity double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: float = KEEP) -> DataFrame:
@@ -166,8 +273,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``threshold`` is the ``keep`` quantile of the perplexities of all documents of the language (exact to
     1/10,000 of their ranks); null is a language like any other.
     """
-    model = fit(trusted_sample(docs, labels, id_col, text_col), text_col)
-    scored = cut_lineage(perplexities(docs, model, id_col, text_col, lang_col))
+    model, unknown = entries(trusted_texts(docs, labels, id_col, text_col), text_col)
+    scored = cut_lineage(perplexities(docs, model, unknown, id_col, text_col, lang_col))
     cuts = scored.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(keep), F.lit(10_000)).alias("threshold"))
     joined = scored.join(cuts, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     return joined.withColumn("kept", F.col("perplexity") <= F.col("threshold"))

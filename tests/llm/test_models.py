@@ -175,6 +175,20 @@ def test_quality_keeps_each_languages_best(spark, awkward, nothing):
     assert kneser_ney.judged(nothing, labels).count() == 0
 
 
+def test_quality_counts_all_trusted_text_whatever_its_number_and_length(spark):
+    rng = random.Random(8)
+    trusted = [prose(rng, 4) for _ in range(3100)] + ["word " + prose(rng, 5000)]
+    docs = documents(spark, [*enumerate(trusted), (5000, "word of reed new"), (5001, None)])
+    labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
+    got = {r.id: r.perplexity for r in kneser_ney.judged(docs, labels).collect()}
+    p, _ = plain_kneser_ney(trusted)
+    assert len(got) == len(trusted) + 2
+    for i, text in [*list(enumerate(trusted))[:20], (5000, "word of reed new"), (5001, None)]:
+        x = [b"<", b"<", *tokens(text)]
+        logs = [math.log(p(*g)) for g in zip(x, x[1:], x[2:])]
+        assert got[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-5)
+
+
 def insults(rng, n):
     return prose(rng, n) + " " + rng.choice(["grumblef", "snorkwit"]) + rng.choice(["er", "ing", "ish", "o"]) + " " + prose(rng, n)
 
