@@ -122,7 +122,7 @@ def pseudonyms_feistel(spark: SparkSession, folder: str) -> DataFrame:
 
 def scores_trie(spark: SparkSession, folder: str) -> DataFrame:
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
-    scored, _ = trie_scores.trie_scores(_read(spark, folder, "documents"), training)
+    scored, _ = trie_scores.trie_scores(_read(spark, folder, "documents"), training, order=3)
     return scored.withColumnRenamed("id", "doc_id")
 
 

@@ -1,25 +1,26 @@
-"""Language-model scores from a sharded Elias-Fano n-gram trie that grows with the corpus.
+"""Language-model scores from sharded Elias-Fano n-gram tries that grow with the corpus.
 
-The model is a bigram model with Dirichlet smoothing, p(w | h) = (c(hw) + M p0(w)) / (c(h) + M), where p0
-is the smoothed unigram distribution; it sums to one for every context. A text's start counts as the
-context of its first word, its end as a word.
+The model has n-grams of any ``order`` with Dirichlet smoothing, p(w | h) = (c(hw) + M p(w | h')) / (c(h) + M),
+where h' is the context without its first word and the last level is the smoothed unigram distribution; it
+sums to one for every context. A text's start counts as the context of its first word, its end as a word.
 
 1. Texts are tokenized where they lie and written as chunks: different words (64-bit hashes), the text as
    places in that list, training counts.
 2. Words meet by shards of their hash: total counts and dense ids go back to the chunks.
-3. Chunks score what the unigrams decide (base score, known tokens, pairs with an unknown word) and send
-   their other different pairs, with counts and the documents they occur in, to shards of the context.
-   A context with more than ``SPLIT`` occurrences is spread over shards by its words, so none is hot.
-4. A shard adds up the counts, builds its trie, scores its pairs from the trie and sends sums back per
-   document. Tries and sums are one written table: ``model`` reads the tries.
+3. Level by level, chunks score what the level below decides (n-grams of which a part is unknown) and send
+   their other different n-grams, the context named by its place in the trie of the level below, to shards of
+   the context. A context with more than ``SPLIT`` occurrences is spread over shards by its words.
+4. A shard adds up the counts and builds its trie. It looks the chunks' n-grams up in the trie: places, counts
+   and probabilities go back to the chunks; of the highest level, sums per document do. ``model`` reads the tries.
 
-No word, pair or model passes through the driver: it sees three numbers and one size per shard. A task
+No word, n-gram or model passes through the driver: it sees three numbers and one size per shard. A task
 holds one chunk or one shard, whose sizes do not depend on the input; their number does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +161,9 @@ def _vocabulary(chunks: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(meet, "shard long, chunk long, size long, tokens long, total binary, place binary")
 
 
-_MESSAGE = ["contexts", "words", "occurrences", "documents", "context_counts", "word_counts"]
+_MESSAGE = ["contexts", "words", "occurrences", "documents", "context_counts", "lower"]
 _SENT = "shard long, chunk long, trained long, own boolean, " + ", ".join(f"{c} binary" for c in _MESSAGE) + ", ids binary, held binary, lengths binary, known binary, base_score binary, direct binary"
+_NONE = packed(np.zeros(0, np.int64))
 
 
 def _floor(size: int, tokens: int) -> float:
@@ -169,76 +171,115 @@ def _floor(size: int, tokens: int) -> float:
     return float(np.log10(tokens + 0.5 * (size + 1)))
 
 
-def _pairs(chunks: DataFrame, vocabulary: DataFrame, floor: float, prior: float, shards: int) -> DataFrame:
-    """Messages of the chunks to the shards of the contexts, and what chunks know by themselves (``own``)."""
+def _messages(chunks: DataFrame, replies: DataFrame, floor: float, prior: float, shards: int, level: int, last: bool) -> DataFrame:
+    """Messages of the chunks to the shards of the contexts, and, at the last level, what chunks know by themselves (``own``)."""
 
     def work(key: tuple, held_chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = {c: held_chunk.column(c)[0].as_py() for c in held_chunk.column_names}
         replies = replies.sort_by("shard")
-        total = np.concatenate([unpacked(x.as_py()) for x in replies.column("total")])
-        # Words are named by place in their shard, then shard: frequent words have small names.
-        name = np.concatenate([(unpacked(p.as_py()) - 1) * shards + s.as_py() for s, p in zip(replies.column("shard"), replies.column("place"))])
+
+        def replied(k: int) -> tuple[np.ndarray, ...]:
+            """Counts, names and codes. Named by place in their shard, then shard: frequent words have small names."""
+            own = replies.filter(pa.compute.equal(replies.column("level"), k))
+            counts = [unpacked(x.as_py()) for x in own.column("counts")]
+            names = [(unpacked(p.as_py()) - 1) * shards + s.as_py() for s, p in zip(own.column("shard"), own.column("place"))]
+            codes = [unpacked(x.as_py()) for x in own.column("codes") if x.is_valid]
+            return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, names, codes))
+
+        def by_name(name: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+            """New numbers in order of the names, so that sorted n-grams are in order of names too."""
+            order = np.argsort(name, kind="stable")
+            relabel = np.empty(len(name), np.int64)
+            relabel[order] = np.arange(len(name))
+            return relabel, name[order], *[x[order] for x in others]
+
         held = np.frombuffer(row["held"], bool)
+        trained = int((~held).sum())
         n = unpacked(row["lengths"])
         doc = np.repeat(np.arange(len(n)), n)
         edges = np.cumsum(n) - n
-        # Words of the chunk in order of their names, so that sorted pairs are in order of names too.
-        by_name = np.argsort(name, kind="stable")
-        relabel = np.empty(len(name), np.int64)
-        relabel[by_name] = np.arange(len(name))
-        stream = relabel[_by_count(unpacked(row["counts"]))][unpacked(row["stream"])]
-        total, name = total[by_name], name[by_name]
+        within = np.arange(len(doc)) - np.repeat(edges, n)
+        total, name, _ = replied(1)
+        relabel, word_name, total = by_name(name, total)
+        words = relabel[_by_count(unpacked(row["counts"]))][unpacked(row["stream"])]
         base = np.log10(total + 0.5) - floor
-        base_score = np.add.reduceat(base[stream], edges)
-        known = np.add.reduceat((total > 0)[stream].astype(np.int64), edges)
-        pair = np.empty(len(stream), np.int64)
-        pair[0], pair[1:] = relabel[row["end"]], stream[:-1]
-        pair = pair * len(total) + stream
-        order = np.argsort(pair)
-        pair = pair[order]
-        first = np.flatnonzero(np.diff(pair, prepend=-1))
-        runs = np.diff(np.append(first, len(pair)))
-        h, w = np.divmod(pair[first], len(total))
-        both = (total[h] > 0) & (total[w] > 0)
-        # A pair with an unknown word is in no trie: its score follows from the unigrams.
-        alone = ~both
-        back = np.repeat(np.log10(prior / (total[h[alone]] + prior)) + base[w[alone]], runs[alone])
-        direct = np.bincount(doc[order[_ranges(first[alone], runs[alone])]], back, len(n))
-        first, runs, h, w = first[both], runs[both], h[both], w[both]
-        parts = total[h] // SPLIT + 1
-        spread = mix(name[w].astype(np.uint64)) % parts.astype(np.uint64)
-        shard = (mix(name[h].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
-        put = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-        cuts = np.searchsorted(shard[put], np.arange(shards + 1))
+        base_score = np.add.reduceat(base[words], edges)
+        known = np.add.reduceat((total > 0)[words].astype(np.int64), edges)
+        # Per token its n-gram of the level reached, per n-gram its name, count and log probability.
+        gram, name, seen, log_p = words, word_name, total, base
+        token_log_p = base[words]
+        for k in range(2, level + 1):
+            before = np.empty_like(gram)
+            before[0], before[1:] = relabel[row["end"]], gram[:-1]
+            # The first words of a text have fewer words, or only its start, before them.
+            live = np.flatnonzero(within >= k - 2)
+            pair = before[live] * len(total) + words[live]
+            order = np.argsort(pair)
+            pair, order = pair[order], live[order]
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            runs = np.diff(np.append(first, len(pair)))
+            h, w = np.divmod(pair[first], len(total))
+            lower = gram[order[first]]
+            # An n-gram with an unknown part is in no trie: its score follows from the level below.
+            both = (seen[h] > 0) & (seen[lower] > 0)
+            away = np.log10(prior / (seen[h] + prior)) + log_p[lower]
+            sent = np.flatnonzero(both)
+            spread = mix(word_name[w[sent]].astype(np.uint64)) % (seen[h[sent]] // SPLIT + 1).astype(np.uint64)
+            shard = (mix(name[h[sent]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
+            put = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+            cuts = np.searchsorted(shard[put], np.arange(shards + 1))
+            sent = sent[put]
+            if k == level:
+                break
+            counts, places, codes = replied(k)
+            found = counts > 0
+            count_k, name_k, log_k = np.zeros(len(first), np.int64), np.full(len(first), -1), away
+            count_k[sent], name_k[sent] = counts, places
+            log_k[sent[found]] = restore(codes[found])
+            token_log_p[order] = np.repeat(log_k, runs)
+            gram = np.zeros(len(words), np.int64)
+            gram[order] = np.repeat(np.arange(len(first)), runs)
+            moved, name, seen, log_p = by_name(name_k, count_k, log_k)
+            gram = moved[gram] if len(first) else gram
         out = {c: [] for c in [x.split()[0] for x in _SENT.split(", ")]}
 
         def add(**values) -> None:
             for c in out:
                 out[c].append(values.get(c))
 
-        common = {"chunk": row["chunk"], "trained": int((~held).sum())}
-        known_here = {"known": packed(known), "base_score": base_score.tobytes(), "direct": direct.tobytes()}
-        # What the chunk knows passes through a shard's task too, so that nothing is written in between.
-        add(shard=row["chunk"] % shards, own=True, **common, **known_here, **{c: row[c] for c in ("ids", "held", "lengths")})
+        common = {"chunk": row["chunk"], "trained": trained}
+        if last:
+            alone = np.flatnonzero(~both)
+            short = np.flatnonzero(within < level - 2)
+            direct = np.bincount(doc[order[_ranges(first[alone], runs[alone])]], np.repeat(away[alone], runs[alone]), len(n))
+            direct = direct + np.bincount(doc[short], token_log_p[short], len(n))
+            known_here = {"known": packed(known), "base_score": base_score.tobytes(), "direct": direct.tobytes()}
+            # What the chunk knows passes through a shard's task too, so that nothing is written in between.
+            add(shard=row["chunk"] % shards, own=True, **common, **known_here, **{c: row[c] for c in ("ids", "held", "lengths")})
+        inside = np.concatenate([[0], np.cumsum(doc[order] < trained)])
         for s in range(shards):
-            some = put[cuts[s] : cuts[s + 1]]
+            some = sent[cuts[s] : cuts[s + 1]]
             if len(some):
-                where = doc[order[_ranges(first[some], runs[some])]]
-                parts_out = (np.diff(name[h[some]], prepend=0), name[w[some]], runs[some], where, total[h[some]], total[w[some]])
-                add(shard=s, own=False, **common, **{c: packed(v) for c, v in zip(_MESSAGE, parts_out)})
+                where = packed(doc[order[_ranges(first[some], runs[some])]]) if last else _NONE
+                often = runs[some] if last else inside[first[some] + runs[some]] - inside[first[some]]
+                below = total[w[some]] if level == 2 else quantise(log_p[lower[some]]).astype(np.int64)
+                parts_out = [packed(v) for v in (np.diff(name[h[some]], prepend=0), word_name[w[some]], often)]
+                add(shard=s, own=False, **common, **dict(zip(_MESSAGE, [*parts_out, where, packed(seen[h[some]]), packed(below)])))
         kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
         return pa.table({c: pa.array(out[c], kinds[k]) for c, k in (x.split() for x in _SENT.split(", "))})
 
-    answers = vocabulary.filter("chunk >= 0").select("chunk", "shard", "total", "place")
-    return chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, _SENT)
+    return chunks.drop("words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(work, _SENT)
 
 
 _OWN = ["ids", "held", "lengths", "known", "base_score", "direct"]
-_SCORED = "kind int, shard long, chunk long, trie binary, documents binary, sums binary, " + ", ".join(f"{c} binary" for c in _OWN)
+_FOUND = ["documents", "sums", "counts", "place", "codes"]
+_SCORED = "kind int, shard long, chunk long, trie binary, " + ", ".join(f"{c} binary" for c in _FOUND) + ", " + ", ".join(f"{c} binary" for c in _OWN)
 
 
-def _shards(sent: DataFrame, floor: float, prior: float) -> DataFrame:
-    """Kind 0: sums of a shard for a chunk (places of documents, log10 sums). Kind 1: tries. Kind 2: ``own`` rows."""
+def _shards(sent: DataFrame, floor: float, prior: float, level: int, last: bool) -> DataFrame:
+    """Kind 0: a shard's answer to a chunk, at the last level sums (places of documents, log10 sums), before it
+    counts, places + 1 and codes of the n-grams sent (0 if unknown). Kind 1: tries. Kind 2: ``own`` rows.
+    """
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -249,37 +290,49 @@ def _shards(sent: DataFrame, floor: float, prior: float) -> DataFrame:
             contexts, *rest = (unpacked(table.column(c)[i].as_py()) for c in _MESSAGE)
             return np.cumsum(contexts), *rest
 
+        def below(lower: np.ndarray) -> np.ndarray:
+            """log10 probability by the level below."""
+            return np.log10(lower + 0.5) - floor if level == 2 else restore(lower)
+
         seen = [np.zeros((5, 0), np.int64)]
         for i in range(table.num_rows):
-            contexts, names, runs, docs, context_counts, word_counts = message(i)
-            ends = np.cumsum(runs)
-            inside = np.concatenate([[0], np.cumsum(docs < table.column("trained")[i].as_py())])
-            count = inside[ends] - inside[ends - runs]
+            contexts, names, runs, docs, context_counts, lower = message(i)
+            count = runs
+            if last:
+                ends = np.cumsum(runs)
+                inside = np.concatenate([[0], np.cumsum(docs < table.column("trained")[i].as_py())])
+                count = inside[ends] - inside[ends - runs]
             there = count > 0
-            seen.append(np.stack([contexts, names, count, context_counts, word_counts])[:, there])
+            seen.append(np.stack([contexts, names, count, context_counts, lower])[:, there])
         joined = np.concatenate(seen, axis=1)
         del seen
         order = np.lexsort((joined[1], joined[0]))
         new = np.flatnonzero((np.diff(joined[0][order], prepend=-1) != 0) | (np.diff(joined[1][order], prepend=-1) != 0))
         count = np.add.reduceat(joined[2][order], new) if len(new) else new
-        contexts, names, _, context_counts, word_counts = joined[:, order[new]]
+        contexts, names, _, context_counts, lower = joined[:, order[new]]
         del joined, order
-        unigram = 10 ** (np.log10(word_counts + 0.5) - floor)
-        codes = quantise(np.log10((count + prior * unigram) / (context_counts + prior)))
+        codes = quantise(np.log10((count + prior * 10 ** below(lower)) / (context_counts + prior)))
         blob = Trie.build(contexts, names, codes)
         trie = Trie.open(blob)
-        rows = [(1, shard, -1, blob, None, None)]
+        rows = [(1, shard, -1, blob, *[None] * len(_FOUND))]
         for i in range(table.num_rows):
-            contexts, names, runs, docs, context_counts, word_counts = message(i)
+            contexts, names, runs, docs, context_counts, lower = message(i)
             at = trie.find(contexts, names)
-            score = np.log10(prior / (context_counts + prior)) + np.log10(word_counts + 0.5) - floor
-            score[at >= 0] = restore(trie.codes[at[at >= 0]])
-            by_doc = np.bincount(docs, np.repeat(score, runs))
-            place = np.flatnonzero(by_doc)
-            rows.append((0, shard, table.column("chunk")[i].as_py(), None, packed(place), by_doc[place].tobytes()))
+            there = at >= 0
+            chunk = table.column("chunk")[i].as_py()
+            if last:
+                score = np.log10(prior / (context_counts + prior)) + below(lower)
+                score[there] = restore(trie.codes[at[there]])
+                by_doc = np.bincount(docs, np.repeat(score, runs))
+                place = np.flatnonzero(by_doc)
+                rows.append((0, shard, chunk, None, packed(place), by_doc[place].tobytes(), None, None, None))
+            else:
+                known = [np.zeros(len(at), np.int64) for _ in range(2)]
+                known[0][there], known[1][there] = count[at[there]], trie.codes[at[there]]
+                rows.append((0, shard, chunk, None, None, None, packed(known[0]), packed(at + 1), packed(known[1])))
         rows = [(*r, *[None] * len(_OWN)) for r in rows]
         for r in own.to_pylist():
-            rows.append((2, shard, r["chunk"], None, None, None, *[r[c] for c in _OWN]))
+            rows.append((2, shard, r["chunk"], None, *[None] * len(_FOUND), *[r[c] for c in _OWN]))
         kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
         fields = [x.split() for x in _SCORED.split(", ")]
         return pa.table({c: pa.array([r[i] for r in rows], kinds[k]) for i, (c, k) in enumerate(fields)})
@@ -287,22 +340,31 @@ def _shards(sent: DataFrame, floor: float, prior: float) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(meet, _SCORED)
 
 
-def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
+def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, order: int = 2) -> tuple[DataFrame, DataFrame]:
     """Scores of all rows of ``docs`` and the model learnt from those where ``training`` holds.
 
-    Scores: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Model: ``shard, trie``, to
-    be read with ``elias_fano.Trie.open``. Null texts are empty: one end token. A null id is a row like any
+    Scores: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Model: ``level, shard, trie``
+    (level 2: pairs, up to ``order``), to be read with ``elias_fano.Trie.open``. Null texts are empty: one end token. A null id is a row like any
     other, a null ``training`` means held out; ids that are not whole numbers keep their type. Without training rows every token has the unknown word's
     probability, which is then 1. An empty table gives no rows.
     """
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     id_type = kept_id(docs, id_col)[1]
     chunks = cut_lineage(_chunks(docs, id_col, text_col, F.coalesce(training, F.lit(False))))
-    shards = max(LEAST_SHARDS, -(-chunks.count() // CHUNKS_PER_SHARD))
+    shards = max(LEAST_SHARDS, -(-chunks.count() // max(1, CHUNKS_PER_SHARD >> 2 * (order - 2))))
     vocabulary = cut_lineage(_vocabulary(chunks, shards))
     sizes = {r["shard"]: (r["size"], r["tokens"]) for r in vocabulary.filter("chunk < 0").select("shard", "size", "tokens").collect()}
     tokens = sum(n for _, n in sizes.values())
     floor = _floor(sum(n for n, _ in sizes.values()), tokens)
-    scored = cut_lineage(_shards(_pairs(chunks, vocabulary, floor, prior, shards), floor, prior))
+    answers = ["chunk", "shard", "counts", "place"]
+    replies = vocabulary.filter("chunk >= 0").withColumnRenamed("total", "counts").select(F.lit(1).alias("level"), *answers, F.lit(None).cast("binary").alias("codes"))
+    tries = []
+    for level in range(2, order + 1):
+        last = level == order
+        scored = cut_lineage(_shards(_messages(chunks, replies, floor, prior, shards, level, last), floor, prior, level, last))
+        tries.append(scored.filter("kind = 1").select(F.lit(level).alias("level"), "shard", "trie"))
+        replies = replies.unionByName(scored.filter("kind = 0").select(F.lit(level).alias("level"), *answers, "codes"))
 
     def total(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
         row = {c: own.column(c)[0].as_py() for c in own.column_names}
@@ -327,4 +389,4 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     sums = scored.filter("kind = 0").select("chunk", "shard", "documents", "sums")
     layout = f"id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = own.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(total, layout)
-    return out, scored.filter("kind = 1").select("shard", "trie")
+    return out, reduce(DataFrame.unionByName, tries)

@@ -96,6 +96,44 @@ def test_scores_are_those_of_the_definition(spark, awkward, nothing):
     assert {(r.n_known, r.score) for r in untrained.collect()} == {(0, 0.0)}
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_scores_of_higher_orders_are_those_of_the_definition(spark, awkward, monkeypatch, order):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(0, 60), ("the", "of", "reed", "stone")) + rng.choice(["", " new"])) for i in range(100, 160)]
+    docs = documents(spark, rows).unionByName(awkward)
+    monkeypatch.setattr(trie_scores, "SPLIT", 40)
+    scored, model = trie_scores.trie_scores(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1, order=order)
+    texts = [(r.doc_id, tokens(r.text), (r.doc_id or 0) % 5 == 1) for r in docs.collect()]
+    counts, contexts = collections.Counter(), collections.Counter()
+    for _, x, held in texts:
+        if not held:
+            line = [END, *x]
+            for k in range(1, order + 1):
+                # A text's start is a context, not a word.
+                found = [tuple(line[i : i + k]) for i in range(k == 1, len(line) - k + 1)]
+                counts.update(found)
+                contexts.update(g[:-1] for g in found)
+    total, known = contexts[()], sum(len(g) == 1 for g in counts)
+    prior = trie_scores.PRIOR
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 0.5) / (total + 0.5 * (known + 1))
+        return (counts[gram] + prior * p(gram[1:])) / (contexts[gram[:-1]] + prior)
+
+    want = {}
+    for i, x, _ in texts:
+        line = [END, *x]
+        want[i, len(x)] = sum(math.log10(p(tuple(line[max(0, j + 1 - order) : j + 1]))) for j in range(1, len(line)))
+    got = scored.collect()
+    assert len(got) == len(texts)
+    assert all(abs(r.score - want[r.id, r.n_tokens]) < 6e-4 * r.n_tokens for r in got)
+    sizes = collections.Counter()
+    for r in model.collect():
+        sizes[r.level] += len(Trie.open(r.trie).codes)
+    assert sizes == {k: sum(len(g) == k for g in counts) for k in range(2, order + 1)}
+
+
 def test_colliding_words_and_text_ids_are_scored_apart(spark):
     sign = "".join("ab"[k.bit_count() & 1] for k in range(1024))
     mirror = sign.translate(str.maketrans("ab", "ba"))
