@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowguard.functions.text import composite, jaro_winkler
 from rowguard.operators import components, matching, proposals
+from rowguard.operators.joins import salted_join
 
 THRESHOLD = 92
 
@@ -253,3 +254,11 @@ def test_exploded_signatures_are_never_broadcast(spark):
     plan = matching.edit_neighbours(names, "name", 1)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [mark#" in plan and "SortMergeJoin [n#" in plan
     assert "BroadcastHashJoin [mark#" not in plan and "BroadcastHashJoin [n#" not in plan
+
+
+def test_salted_joins_shuffle_both_sides(spark):
+    edges = spark.createDataFrame([(f"n{i}", "n0") for i in range(1, 30)], "a string, b string")
+    least = edges.select("a", F.col("b").alias("m"))
+    joined = salted_join(edges, least, ["a"], "inner")
+    assert "SortMergeJoin [a#" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 29
