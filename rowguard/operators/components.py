@@ -79,7 +79,8 @@ def _contracted(pairs: DataFrame) -> DataFrame:
 
 
 def _by_node(edges: DataFrame, least: DataFrame, hot: bool) -> DataFrame:
-    return salted_join(edges, least, ["a"], "inner") if hot else edges.join(least, "a")
+    # A row per node is no small table, whatever Spark takes it for.
+    return salted_join(edges, least, ["a"], "inner") if hot else edges.join(least.hint("merge"), "a")
 
 
 def _large_star(edges: DataFrame, hot: bool = False) -> DataFrame:

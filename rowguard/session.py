@@ -8,6 +8,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark's setting to remove shuffle files at the end of a query; before 4.1 it is not known and does nothing.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
@@ -30,6 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there; survives lost executors."""
+    """Write ``df`` to the shared folder and go on from there; survives lost executors.
+
+    What was shuffled to make it goes at once, not when the driver happens to collect its garbage.
+    """
+    conf = df.sparkSession.conf
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        # A query takes the setting when it is made, so it is made here.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from rowguard.functions.text import composite, jaro_winkler
 from rowguard.operators import components, matching, proposals
 from rowguard.operators.joins import salted_join
+from rowguard.session import cut_lineage
 
 THRESHOLD = 92
 
@@ -262,3 +264,25 @@ def test_salted_joins_shuffle_both_sides(spark):
     joined = salted_join(edges, least, ["a"], "inner")
     assert "SortMergeJoin [a#" in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 29
+
+
+def test_joins_of_the_rounds_broadcast_no_table_of_nodes(spark):
+    edges, least = spark.createDataFrame([("b", "a")], "a string, b string"), spark.createDataFrame([("b", "a")], "a string, m string")
+    plan = components._by_node(edges, least, False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_what_a_written_step_shuffled_is_removed(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    before, held = shuffled(), []
+    for k in range(3):
+        held.append(spark.range(1000).groupBy(F.col("id") % (k + 7)).count())
+        held.append(cut_lineage(held[-1]))
+    deadline = time.time() + 20
+    while shuffled() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert [held[i].count() for i in (1, 3, 5)] == [7, 8, 9]
