@@ -344,7 +344,7 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """Scores of all rows of ``docs`` and the model learnt from those where ``training`` holds.
 
     Scores: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Model: ``level, shard, trie``
-    (level 2: pairs, up to ``order``), to be read with ``elias_fano.Trie.open``. Null texts are empty: one end token. A null id is a row like any
+    (level 2: pairs, up to ``order``, which is only worked out when it is read), to be read with ``elias_fano.Trie.open``. Null texts are empty: one end token. A null id is a row like any
     other, a null ``training`` means held out; ids that are not whole numbers keep their type. Without training rows every token has the unknown word's
     probability, which is then 1. An empty table gives no rows.
     """
@@ -362,8 +362,10 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     tries = []
     for level in range(2, order + 1):
         last = level == order
-        scored = cut_lineage(_shards(_messages(chunks, replies, floor, prior, shards, level, last), floor, prior, level, last))
-        tries.append(scored.filter("kind = 1").select(F.lit(level).alias("level"), "shard", "trie"))
+        met = _shards(_messages(chunks, replies, floor, prior, shards, level, last), floor, prior, level, last)
+        # Nothing here reads the last level's tries again, so they are made anew for whoever asks for the model.
+        scored = cut_lineage(met.filter("kind <> 1") if last else met)
+        tries.append((met if last else scored).filter("kind = 1").select(F.lit(level).alias("level"), "shard", "trie"))
         replies = replies.unionByName(scored.filter("kind = 0").select(F.lit(level).alias("level"), *answers, "codes"))
 
     def total(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:

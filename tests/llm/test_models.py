@@ -96,6 +96,17 @@ def test_scores_are_those_of_the_definition(spark, awkward, nothing):
     assert {(r.n_known, r.score) for r in untrained.collect()} == {(0, 0.0)}
 
 
+def test_tries_of_the_last_level_are_written_only_for_who_reads_them(spark, monkeypatch):
+    written, cut = [], trie_scores.cut_lineage
+    monkeypatch.setattr(trie_scores, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(5)
+    docs = documents(spark, [(i, prose(rng, 30)) for i in range(40)])
+    scored, model = trie_scores.trie_scores(docs, F.lit(True), order=3)
+    assert scored.count() == 40
+    assert [w.filter("kind = 1").count() > 0 for w in written if "kind" in w.columns] == [True, False]
+    assert {r.level for r in model.filter("trie is not null").collect()} == {2, 3}
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_scores_of_higher_orders_are_those_of_the_definition(spark, awkward, monkeypatch, order):
     rng = random.Random(12)
