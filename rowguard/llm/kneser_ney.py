@@ -108,10 +108,10 @@ def _discount(count: Column, by: tuple[float, float, float]) -> Column:
     return F.when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
 
 
-def entries(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, float]:
-    """The model of all texts in ``trusted`` as a table, and the log probability of an unknown word.
+def entries(trusted: DataFrame, text_col: str = "text") -> tuple[list[DataFrame], float]:
+    """The model of all texts in ``trusted`` as tables, and the log probability of an unknown word.
 
-    Table: ``key`` of a word, pair or trigram, ``x`` its log probability or, where ``weight`` holds, its log
+    Tables: ``key`` of a word, pair or trigram, ``x`` its log probability or, where ``weight`` holds, its log
     back-off weight as a context. No texts at all give a uniform model.
     """
 
@@ -150,7 +150,7 @@ def entries(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, floa
         return held.withColumn("weight", F.lit(weight))
 
     parts = [(p3, ["u", "v", "w"], "p3", False), (p2, ["v", "w"], "p2", False), (p1, ["w"], "p1", False), (w3, ["u", "v"], "weight", True), (w2, ["v"], "weight", True)]
-    return reduce(DataFrame.unionByName, [keyed(*part) for part in parts]), float(np.log(floor))
+    return [keyed(*part) for part in parts], float(np.log(floor))
 
 
 def _levels(key: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[Level, Level]:
@@ -161,8 +161,8 @@ def _levels(key: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[Level,
 
 def fit(trusted: DataFrame, text_col: str = "text") -> Model:
     """The whole model in memory, for few texts; ``judged`` leaves it in shards."""
-    table, unknown = entries(trusted, text_col)
-    held = table.toArrow()
+    tables, unknown = entries(trusted, text_col)
+    held = reduce(DataFrame.unionByName, tables).toArrow()
     key, x, weight = (held.column(c).to_numpy() for c in ("key", "x", "weight"))
     return Model(*_levels(key.view(np.uint64), x, weight.astype(bool)), unknown)
 
@@ -209,8 +209,11 @@ def _edges(asked: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], inner, [len(asked)]])
 
 
-def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """Per chunk and shard the log probabilities and weights of the keys asked for, NaN where the model has none."""
+def _in_shards(table: DataFrame, shards: int) -> DataFrame:
+    """Part of a model's table, a row per shard: its keys in order as differences, their values beside them.
+
+    Written once as bytes, which take a third of what rows do.
+    """
     step = -(-(1 << 64) // shards)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +221,19 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
             shard = (batch.column("key").to_numpy().view(np.uint64) // np.uint64(step)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", *batch.schema.names])
 
+    def pack(key: tuple, held: pa.Table) -> pa.Table:
+        found = held.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(found)
+        x = held.column("x").to_numpy()[order].astype(np.float32).tobytes()
+        return pa.Table.from_batches([_batch({"shard": key[0].as_py(), "keys": packed(np.diff(found[order], prepend=np.uint64(0))), "x": x}).add_column(1, "weight", pa.array([key[1].as_py()]))])
+
+    rows = table.select("key", "x", "weight").mapInArrow(place, "shard long, key long, x float, weight boolean")
+    return cut_lineage(rows.groupBy("shard", "weight").applyInArrow(pack, "shard long, weight boolean, keys binary, x binary"))
+
+
+def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """Per chunk and shard the log probabilities and weights of the keys asked for, NaN where the model has none."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -228,10 +244,10 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                     yield _batch({"shard": s, "chunk": row["chunk"], "asked": packed(np.diff(own, prepend=np.uint64(0)))})
 
     def answer(key: tuple, held: pa.Table, sent: pa.Table) -> pa.Table:
-        if held.num_rows:
-            levels = _levels(held.column("key").to_numpy().view(np.uint64), held.column("x").to_numpy(), held.column("weight").to_numpy().astype(bool))
-        else:
-            levels = [Level(np.zeros(0, np.uint64), np.zeros(0, np.float32))] * 2
+        rows = held.select(["keys", "x", "weight"]).to_pylist()
+        parts = [(np.cumsum(unpacked(r["keys"])).view(np.uint64), np.frombuffer(r["x"], np.float32), r["weight"]) for r in rows]
+        key_, x, weight = (np.concatenate(c) for c in zip((np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, bool)), *[(k, x, np.full(len(k), w)) for k, x, w in parts]))
+        levels = _levels(key_, x, weight)
         found = []
         for message in sent.column("asked"):
             asked = np.cumsum(unpacked(message.as_py())).view(np.uint64)
@@ -239,12 +255,11 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
         columns = [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
         return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "chunk": pa.array(sent.column("chunk").to_pylist(), pa.int64()), "values": columns[0], "weights": columns[1]})
 
-    placed = model.mapInArrow(place, "shard long, key long, x float, weight boolean")
     messages = chunks.select("chunk", "lengths", "stream", "words").mapInArrow(ask, "shard long, chunk long, asked binary")
-    return placed.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(answer, "shard long, chunk long, values binary, weights binary")
+    return model.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(answer, "shard long, chunk long, values binary, weights binary")
 
 
-def perplexities(docs: DataFrame, model: DataFrame, unknown: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, model: list[DataFrame], unknown: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id, lang, n_tokens, perplexity`` for every row under a model of ``entries``; a null text is empty: one end token."""
     chunks = cut_lineage(_chunks(docs, id_col, text_col, lang_col))
     shards = max(LEAST_SHARDS, -(-chunks.count() // CHUNKS_PER_SHARD))
@@ -263,7 +278,9 @@ def perplexities(docs: DataFrame, model: DataFrame, unknown: float, id_col: str
         return pa.table({"id": ids.column("id"), "lang": ids.column("lang"), "n_tokens": n, "perplexity": np.exp(-sums / n)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    answers = _answers(chunks, model, shards)
+    # Table by table, so that what one has shuffled is gone before the next one starts.
+    kept = [_in_shards(table, shards) for table in model]
+    answers = _answers(chunks, reduce(DataFrame.unionByName, kept), shards)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_tokens long, perplexity double")
 
 

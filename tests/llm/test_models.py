@@ -238,6 +238,17 @@ def test_quality_counts_all_trusted_text_whatever_its_number_and_length(spark):
         assert got[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-5)
 
 
+def test_the_quality_model_is_written_as_a_row_per_shard(spark, monkeypatch):
+    written, cut = [], kneser_ney.cut_lineage
+    monkeypatch.setattr(kneser_ney, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(13)
+    docs = documents(spark, [(i, prose(rng, 50)) for i in range(30)])
+    assert kneser_ney.judged(docs, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")).count() == 30
+    kept = [w for w in written if "keys" in w.columns]
+    assert len(kept) == 5 and all(w.groupBy("shard").count().filter("count > 1").isEmpty() for w in kept)
+    assert sum(len(r.x) // 4 for w in kept for r in w.collect()) > 500
+
+
 def insults(rng, n):
     return prose(rng, n) + " " + rng.choice(["grumblef", "snorkwit"]) + rng.choice(["er", "ing", "ish", "o"]) + " " + prose(rng, n)
 
