@@ -37,6 +37,7 @@ PART_BOXES = 64
 LEAF = 8
 FAN = 8
 QUERIES = 4096
+MOST_PAIRS = 1 << 18  # queries and boxes, or sites, held beside one another; about 70 MB
 SLACK_M = 0.02  # keeps rounding out of bounds; the test of a pair is exact
 
 
@@ -146,6 +147,10 @@ class Tree:
         inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
         return np.repeat(query, size), np.repeat(first, size) + inner
 
+    def _crowded(self, k: int, node: np.ndarray, queries: int) -> bool:
+        """Opening the boxes makes too many pairs, and there are queries to go without."""
+        return queries > 1 and (self.levels[k].starts[node + 1] - self.levels[k].starts[node]).sum() > MOST_PAIRS
+
     def _top(self, count: int) -> tuple[np.ndarray, np.ndarray]:
         nodes = len(self.levels[-1].low)
         return np.repeat(np.arange(count), nodes), np.tile(np.arange(nodes), count)
@@ -161,6 +166,9 @@ class Tree:
             query, node = query[near], node[near]
             whole = _most(points[query], level.low[node], level.high[node]) <= _chord(radius - SLACK_M)
             np.add.at(total, query[whole], level.n[node[whole]])
+            if self._crowded(k, node[~whole], len(lat)):
+                half = len(lat) // 2
+                return np.concatenate([self.inside(lat[part], long[part], radius) for part in (slice(half), slice(half, None))])
             query, node = self._opened(k, query[~whole], node[~whole])
         close = haversine_between(lat[query], long[query], self.lat[node], self.long[node]) <= radius
         np.add.at(total, query[close], self.n[node[close]])
@@ -179,6 +187,10 @@ class Tree:
             sure = _most(points[query], level.low[node], level.high[node])
             several = level.sites[node] > 1
             np.minimum.at(bound, query[several], sure[several] + _chord(2 * SLACK_M))
+            if self._crowded(k, node, len(lat)):
+                half = len(lat) // 2
+                parts = [self.nearest(lat[part], long[part], reach[part], None if skip is None else skip[part]) for part in (slice(half), slice(half, None))]
+                return tuple(np.concatenate(x) for x in zip(*parts))
             query, node = self._opened(k, query, node)
         if skip is not None:
             other = node != skip[query]

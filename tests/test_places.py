@@ -44,6 +44,22 @@ def scattered(seed):
     return [(i, f"city {i % 7}", y, x) for i, (y, x) in enumerate(rows, start=1)]
 
 
+def test_a_crowded_part_opens_few_pairs_at_a_time(monkeypatch):
+    """Same answers, however many pairs of queries and boxes may be held."""
+    rng = np.random.default_rng(4)
+    lat, long = np.sort(rng.uniform(45, 45.05, 900)), rng.uniform(9, 9.05, 900)
+    tree = neighbours.Tree(lat, long, rng.integers(1, 4, 900), rng.permutation(900))
+    reach, skip = np.full(900, 65536.0), np.arange(900)
+    inside, (place, metres) = tree.inside(lat, long, 1000.0), tree.nearest(lat, long, reach, skip)
+    opened, plain = [], neighbours.Tree._opened
+    monkeypatch.setattr(neighbours.Tree, "_opened", lambda self, *args: opened.append(plain(self, *args)) or opened[-1])
+    monkeypatch.setattr(neighbours, "MOST_PAIRS", 2000)
+    assert (tree.inside(lat, long, 1000.0) == inside).all()
+    got = tree.nearest(lat, long, reach, skip)
+    assert (got[0] == place).all() and (got[1] == metres).all()
+    assert max(len(query) for query, _ in opened) <= 2000
+
+
 def check_neighbours(spark, rows, radius, reach):
     frame = spark.createDataFrame(rows, SCHEMA)
     got = {r["id__cmd"]: r for r in neighbours.neighbours(frame, radius, reach).collect()}
