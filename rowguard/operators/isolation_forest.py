@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -208,16 +208,16 @@ class IsolationForest:
         packed = {grp: trees_of(part) for grp, part in forest.toPandas().groupby("grp")}
         shared = df.sparkSession.sparkContext.broadcast(packed)
 
+        # Of one batch at a time, not of an iterator: then Spark runs the scores of a row in one Python worker, not in one each.
         @F.pandas_udf("double")
-        def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        def score(grp: pd.Series, *columns: pd.Series) -> pd.Series:
             forests = shared.value
-            for grp, *columns in batches:
-                points = np.column_stack([col.to_numpy(dtype="float64", na_value=np.nan) for col in columns])
-                out = np.full(len(points), np.nan)
-                for name in grp.unique():
-                    mine = (grp == name).to_numpy()
-                    out[mine] = usable_scores(forests.get(name), points[mine])
-                yield pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)
+            points = np.column_stack([col.to_numpy(dtype="float64", na_value=np.nan) for col in columns])
+            out = np.full(len(points), np.nan)
+            for name in grp.unique():
+                mine = (grp == name).to_numpy()
+                out[mine] = usable_scores(forests.get(name), points[mine])
+            return pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)
 
         features = [F.col(x).cast("double") for x in self.input_cols]
         scored = self._with_group(df)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rowguard import config as c
 from rowguard.operators import feedback, flags, joins, metrics, ranking, relations
 from rowguard.operators.isolation_forest import IsolationForest, prepare
+from rowguard.plans import scoring
 from rowguard.sources import tables
 
 
@@ -281,3 +282,13 @@ def test_tables_are_named_read_and_replaced_with_their_schema(spark, tmp_path):
     assert tables.read_table(spark, "tbl_replace_test").columns == ["a", "b"]
     assert tables.read_table(spark, "tbl_replace_test", ["b"]).collect()[0]["b"] == 1
     spark.sql("DROP TABLE tbl_replace_test")
+
+
+def test_the_scores_of_a_row_share_a_python_worker(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(y), float(x), i % 5 + 1, i % 3) for i, (y, x) in enumerate(rng.normal(size=(60, 2)))]
+    scored = scoring.scores(spark.createDataFrame([(*r, r[-1]) for r in rows], f"{c.ID} long, {c.LAT} double, {c.LONG} double, {c.CODE} int, {c.CLUSTER} int, {c.COMMON_CLUSTER} int"), n_trees=3)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "score(" in plan
+    got = scored.collect()
+    assert len(got) == 60 and all(-1 <= r[k] < 0 for r in got for k in (c.SCORE_COORDS, c.SCORE_CITY, c.SCORE_CITY_CLUSTER))
