@@ -7,11 +7,12 @@ sums to one for every context. A text's start counts as the context of its first
 1. Texts are tokenized where they lie and written as chunks: different words (64-bit hashes), the text as
    places in that list, training counts.
 2. Words meet by shards of their hash: total counts and dense ids go back to the chunks.
-3. Level by level, chunks score what the level below decides (n-grams of which a part is unknown) and send
-   their other different n-grams, the context named by its place in the trie of the level below, to shards of
-   the context. A context with more than ``SPLIT`` occurrences is spread over shards by its words.
-4. A shard adds up the counts and builds its trie. It looks the chunks' n-grams up in the trie: places, counts
-   and probabilities go back to the chunks; of the highest level, sums per document do. ``model`` reads the tries.
+3. Level by level, chunks send their different n-grams (but those of which a part is unknown, which the level
+   below decides), the context named by its place in the trie of the level below, to shards of the context. A
+   context with more than ``SPLIT`` occurrences is spread over shards by its words.
+4. A shard adds up the counts and builds its trie. It looks the chunks' n-grams up in the trie: counts and, before
+   the highest level, places go back to the chunks, which have the counts of contexts and the probabilities of the
+   level below, and so those of the level, rounded as the tries keep them. ``model`` reads the tries.
 
 No word, n-gram or model passes through the driver: it sees three numbers and one size per shard. A task
 holds one chunk or one shard, whose sizes do not depend on the input; their number does.
@@ -161,8 +162,8 @@ def _vocabulary(chunks: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(meet, "shard long, chunk long, size long, tokens long, total binary, place binary")
 
 
-_MESSAGE = ["contexts", "words", "occurrences", "documents", "context_counts", "lower"]
-_SENT = "shard long, chunk long, trained long, own boolean, " + ", ".join(f"{c} binary" for c in _MESSAGE) + ", ids binary, held binary, lengths binary, known binary, base_score binary, direct binary"
+_MESSAGE = ["contexts", "words", "counts", "context_counts", "lower"]
+_SENT = "shard long, chunk long, " + ", ".join(f"{c} binary" for c in _MESSAGE)
 _NONE = packed(np.zeros(0, np.int64))
 
 
@@ -171,168 +172,161 @@ def _floor(size: int, tokens: int) -> float:
     return float(np.log10(tokens + 0.5 * (size + 1)))
 
 
-def _messages(chunks: DataFrame, replies: DataFrame, floor: float, prior: float, shards: int, level: int, last: bool) -> DataFrame:
-    """Messages of the chunks to the shards of the contexts, and, at the last level, what chunks know by themselves (``own``)."""
+def _code(count: np.ndarray, below: np.ndarray, context_count: np.ndarray, prior: float) -> np.ndarray:
+    """What a trie keeps of an n-gram's probability, ``below`` being its log10 by the level below."""
+    return quantise(np.log10((count + prior * 10**below) / (context_count + prior)))
 
-    def work(key: tuple, held_chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        row = {c: held_chunk.column(c)[0].as_py() for c in held_chunk.column_names}
-        replies = replies.sort_by("shard")
-
-        def replied(k: int) -> tuple[np.ndarray, ...]:
-            """Counts, names and codes. Named by place in their shard, then shard: frequent words have small names."""
-            own = replies.filter(pa.compute.equal(replies.column("level"), k))
-            counts = [unpacked(x.as_py()) for x in own.column("counts")]
-            names = [(unpacked(p.as_py()) - 1) * shards + s.as_py() for s, p in zip(own.column("shard"), own.column("place"))]
-            codes = [unpacked(x.as_py()) for x in own.column("codes") if x.is_valid]
-            return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, names, codes))
-
-        def by_name(name: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
-            """New numbers in order of the names, so that sorted n-grams are in order of names too."""
-            order = np.argsort(name, kind="stable")
-            relabel = np.empty(len(name), np.int64)
-            relabel[order] = np.arange(len(name))
-            return relabel, name[order], *[x[order] for x in others]
 
+class _Chunk:
+    """A chunk with the replies it has: n-grams of its tokens, level by level."""
+
+    def __init__(self, row: dict, replies: pa.Table, shards: int, floor: float):
+        self.row, self.replies, self.shards = row, replies.sort_by("shard"), shards
         held = np.frombuffer(row["held"], bool)
-        trained = int((~held).sum())
-        n = unpacked(row["lengths"])
-        doc = np.repeat(np.arange(len(n)), n)
-        edges = np.cumsum(n) - n
-        within = np.arange(len(doc)) - np.repeat(edges, n)
-        total, name, _ = replied(1)
-        relabel, word_name, total = by_name(name, total)
-        words = relabel[_by_count(unpacked(row["counts"]))][unpacked(row["stream"])]
-        base = np.log10(total + 0.5) - floor
-        base_score = np.add.reduceat(base[words], edges)
-        known = np.add.reduceat((total > 0)[words].astype(np.int64), edges)
+        self.trained = int((~held).sum())
+        self.n = unpacked(row["lengths"])
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.edges = np.cumsum(self.n) - self.n
+        self.within = np.arange(len(self.doc)) - np.repeat(self.edges, self.n)
+        total, name = self._replied(1)
+        self.relabel, self.word_name, self.total = self._by_name(name, total)
+        self.words = self.relabel[_by_count(unpacked(row["counts"]))][unpacked(row["stream"])]
+        self.base = np.log10(self.total + 0.5) - floor
         # Per token its n-gram of the level reached, per n-gram its name, count and log probability.
-        gram, name, seen, log_p = words, word_name, total, base
-        token_log_p = base[words]
-        for k in range(2, level + 1):
-            before = np.empty_like(gram)
-            before[0], before[1:] = relabel[row["end"]], gram[:-1]
-            # The first words of a text have fewer words, or only its start, before them.
-            live = np.flatnonzero(within >= k - 2)
-            pair = before[live] * len(total) + words[live]
-            order = np.argsort(pair)
-            pair, order = pair[order], live[order]
-            first = np.flatnonzero(np.diff(pair, prepend=-1))
-            runs = np.diff(np.append(first, len(pair)))
-            h, w = np.divmod(pair[first], len(total))
-            lower = gram[order[first]]
-            # An n-gram with an unknown part is in no trie: its score follows from the level below.
-            both = (seen[h] > 0) & (seen[lower] > 0)
-            away = np.log10(prior / (seen[h] + prior)) + log_p[lower]
-            sent = np.flatnonzero(both)
-            spread = mix(word_name[w[sent]].astype(np.uint64)) % (seen[h[sent]] // SPLIT + 1).astype(np.uint64)
-            shard = (mix(name[h[sent]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
-            put = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-            cuts = np.searchsorted(shard[put], np.arange(shards + 1))
-            sent = sent[put]
-            if k == level:
-                break
-            counts, places, codes = replied(k)
-            found = counts > 0
-            count_k, name_k, log_k = np.zeros(len(first), np.int64), np.full(len(first), -1), away
-            count_k[sent], name_k[sent] = counts, places
-            log_k[sent[found]] = restore(codes[found])
-            token_log_p[order] = np.repeat(log_k, runs)
-            gram = np.zeros(len(words), np.int64)
-            gram[order] = np.repeat(np.arange(len(first)), runs)
-            moved, name, seen, log_p = by_name(name_k, count_k, log_k)
-            gram = moved[gram] if len(first) else gram
-        out = {c: [] for c in [x.split()[0] for x in _SENT.split(", ")]}
-
-        def add(**values) -> None:
-            for c in out:
-                out[c].append(values.get(c))
-
-        common = {"chunk": row["chunk"], "trained": trained}
+        self.gram, self.name, self.seen, self.log_p = self.words, self.word_name, self.total, self.base
+        self.token_log_p = self.base[self.words]
+
+    def _replied(self, k: int) -> tuple[np.ndarray, ...]:
+        """Counts and names. Named by place in their shard, then shard: frequent words have small names."""
+        own = self.replies.filter(pa.compute.equal(self.replies.column("level"), k))
+        counts = [unpacked(x.as_py()) for x in own.column("counts")]
+        names = [(unpacked(p.as_py()) - 1) * self.shards + s.as_py() for s, p in zip(own.column("shard"), own.column("place")) if p.is_valid]
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, names))
+
+    @staticmethod
+    def _by_name(name: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New numbers in order of the names, so that sorted n-grams are in order of names too."""
+        order = np.argsort(name, kind="stable")
+        relabel = np.empty(len(name), np.int64)
+        relabel[order] = np.arange(len(name))
+        return relabel, name[order], *[x[order] for x in others]
+
+    def meet(self, k: int) -> None:
+        """The different n-grams of level ``k``: context ``h``, word ``w``, n-gram below, tokens, and where they are sent."""
+        before = np.empty_like(self.gram)
+        before[0], before[1:] = self.relabel[self.row["end"]], self.gram[:-1]
+        # The first words of a text have fewer words, or only its start, before them.
+        live = np.flatnonzero(self.within >= k - 2)
+        pair = before[live] * len(self.total) + self.words[live]
+        order = np.argsort(pair)
+        pair, self.order = pair[order], live[order]
+        self.first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.runs = np.diff(np.append(self.first, len(pair)))
+        self.h, self.w = h, w = np.divmod(pair[self.first], len(self.total))
+        self.lower = self.gram[self.order[self.first]]
+        # An n-gram with an unknown part is in no trie: its score follows from the level below.
+        sent = np.flatnonzero((self.seen[h] > 0) & (self.seen[self.lower] > 0))
+        self.places = self.seen[h[sent]] // SPLIT + 1
+        spread = mix(self.word_name[w[sent]].astype(np.uint64)) % self.places.astype(np.uint64)
+        shard = (mix(self.name[h[sent]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(self.shards)).astype(np.int64)
+        put = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
+        self.cuts = np.searchsorted(shard[put], np.arange(self.shards + 1))
+        self.sent, self.places = sent[put], self.places[put]
+
+    def score(self, k: int, prior: float, last: bool) -> None:
+        """Take the replies of level ``k``: its n-grams have probabilities, and names for the next level unless it is the last."""
+        counts, places = self._replied(k)
+        h, lower = self.h, self.lower
+        log_k = np.log10(prior / (self.seen[h] + prior)) + self.log_p[lower]
+        found = counts > 0
+        there = self.sent[found]
+        log_k[there] = restore(_code(counts[found], self.log_p[lower[there]], self.seen[h[there]], prior))
+        self.token_log_p[self.order] = np.repeat(log_k, self.runs)
         if last:
-            alone = np.flatnonzero(~both)
-            short = np.flatnonzero(within < level - 2)
-            direct = np.bincount(doc[order[_ranges(first[alone], runs[alone])]], np.repeat(away[alone], runs[alone]), len(n))
-            direct = direct + np.bincount(doc[short], token_log_p[short], len(n))
-            known_here = {"known": packed(known), "base_score": base_score.tobytes(), "direct": direct.tobytes()}
-            # What the chunk knows passes through a shard's task too, so that nothing is written in between.
-            add(shard=row["chunk"] % shards, own=True, **common, **known_here, **{c: row[c] for c in ("ids", "held", "lengths")})
-        inside = np.concatenate([[0], np.cumsum(doc[order] < trained)])
-        for s in range(shards):
-            some = sent[cuts[s] : cuts[s + 1]]
-            if len(some):
-                where = packed(doc[order[_ranges(first[some], runs[some])]]) if last else _NONE
-                often = runs[some] if last else inside[first[some] + runs[some]] - inside[first[some]]
-                below = total[w[some]] if level == 2 else quantise(log_p[lower[some]]).astype(np.int64)
-                parts_out = [packed(v) for v in (np.diff(name[h[some]], prepend=0), word_name[w[some]], often)]
-                add(shard=s, own=False, **common, **dict(zip(_MESSAGE, [*parts_out, where, packed(seen[h[some]]), packed(below)])))
-        kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-        return pa.table({c: pa.array(out[c], kinds[k]) for c, k in (x.split() for x in _SENT.split(", "))})
-
-    return chunks.drop("words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(work, _SENT)
-
-
-_OWN = ["ids", "held", "lengths", "known", "base_score", "direct"]
-_FOUND = ["documents", "sums", "counts", "place", "codes"]
-_SCORED = "kind int, shard long, chunk long, trie binary, " + ", ".join(f"{c} binary" for c in _FOUND) + ", " + ", ".join(f"{c} binary" for c in _OWN)
-
-
-def _shards(sent: DataFrame, floor: float, prior: float, level: int, last: bool) -> DataFrame:
-    """Kind 0: a shard's answer to a chunk, at the last level sums (places of documents, log10 sums), before it
-    counts, places + 1 and codes of the n-grams sent (0 if unknown). Kind 1: tries. Kind 2: ``own`` rows.
+            return
+        count_k, name_k = np.zeros(len(self.first), np.int64), np.full(len(self.first), -1)
+        count_k[self.sent], name_k[self.sent] = counts, places
+        gram = np.zeros(len(self.words), np.int64)
+        gram[self.order] = np.repeat(np.arange(len(self.first)), self.runs)
+        moved, self.name, self.seen, self.log_p = self._by_name(name_k, count_k, log_k)
+        self.gram = moved[gram] if len(self.first) else gram
+
+
+def _row(table: pa.Table) -> dict:
+    return {c: table.column(c)[0].as_py() for c in table.column_names}
+
+
+def _messages(chunks: DataFrame, replies: DataFrame, floor: float, prior: float, shards: int, level: int, model: bool) -> DataFrame:
+    """Messages of the chunks to the shards of the contexts; only a ``model`` needs more than n-grams and counts.
+
+    Only contexts that are spread over shards are sent with their count: others have all their words in one.
+    """
+
+    def work(key: tuple, held_chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        c = _Chunk(_row(held_chunk), replies, shards, floor)
+        for k in range(2, level):
+            c.meet(k)
+            c.score(k, prior, False)
+        c.meet(level)
+        inside = np.concatenate([[0], np.cumsum(c.doc[c.order] < c.trained)])
+        rows = []
+        for s in np.flatnonzero(np.diff(c.cuts)).tolist():
+            some = c.sent[c.cuts[s] : c.cuts[s + 1]]
+            h, w, lower = c.h[some], c.w[some], c.lower[some]
+            often = inside[c.first[some] + c.runs[some]] - inside[c.first[some]]
+            parts = [np.diff(c.name[h], prepend=0), c.word_name[w], often]
+            if model:
+                below = c.total[w] if level == 2 else quantise(c.log_p[lower]).astype(np.int64)
+                parts += [np.where(c.places[c.cuts[s] : c.cuts[s + 1]] > 1, c.seen[h], 0), below]
+            rows.append((s, c.row["chunk"], *map(packed, parts), *[_NONE] * (len(_MESSAGE) - len(parts))))
+        kinds = {"long": pa.int64(), "binary": pa.binary()}
+        return pa.table({c: pa.array([r[i] for r in rows], kinds[k]) for i, (c, k) in enumerate(x.split() for x in _SENT.split(", "))})
+
+    return chunks.drop("words", "ids").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(work, _SENT)
+
+
+_SCORED = "kind int, shard long, chunk long, trie binary, counts binary, place binary"
+
+
+def _shards(sent: DataFrame, floor: float, prior: float, level: int, last: bool, model: bool) -> DataFrame:
+    """Kind 0: a shard's answer to a chunk: counts of the n-grams sent (0 if unknown) and, before the last level,
+    places + 1 in the trie. Kind 1: tries, their codes filled in for a ``model``.
     """
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        own = table.filter(table.column("own"))
-        table = table.filter(pa.compute.invert(table.column("own")))
-
-        def message(i: int) -> tuple[np.ndarray, ...]:
-            contexts, *rest = (unpacked(table.column(c)[i].as_py()) for c in _MESSAGE)
-            return np.cumsum(contexts), *rest
 
-        def below(lower: np.ndarray) -> np.ndarray:
-            """log10 probability by the level below."""
-            return np.log10(lower + 0.5) - floor if level == 2 else restore(lower)
+        def message(i: int, columns: list[str]) -> list[np.ndarray]:
+            contexts, *rest = (unpacked(table.column(c)[i].as_py()) for c in columns)
+            return [np.cumsum(contexts), *rest]
 
-        seen = [np.zeros((5, 0), np.int64)]
+        used = _MESSAGE if model else _MESSAGE[:3]
+        seen = [np.zeros((len(used), 0), np.int64)]
         for i in range(table.num_rows):
-            contexts, names, runs, docs, context_counts, lower = message(i)
-            count = runs
-            if last:
-                ends = np.cumsum(runs)
-                inside = np.concatenate([[0], np.cumsum(docs < table.column("trained")[i].as_py())])
-                count = inside[ends] - inside[ends - runs]
-            there = count > 0
-            seen.append(np.stack([contexts, names, count, context_counts, lower])[:, there])
+            parts = np.stack(message(i, used))
+            seen.append(parts[:, parts[2] > 0])
         joined = np.concatenate(seen, axis=1)
         del seen
         order = np.lexsort((joined[1], joined[0]))
         new = np.flatnonzero((np.diff(joined[0][order], prepend=-1) != 0) | (np.diff(joined[1][order], prepend=-1) != 0))
         count = np.add.reduceat(joined[2][order], new) if len(new) else new
-        contexts, names, _, context_counts, lower = joined[:, order[new]]
+        contexts, names, _, *more = joined[:, order[new]]
         del joined, order
-        codes = quantise(np.log10((count + prior * 10 ** below(lower)) / (context_counts + prior)))
+        codes = np.zeros(len(count), np.uint16)
+        if model and len(count):
+            context_counts, lower = more
+            first = np.flatnonzero(np.diff(contexts, prepend=-1))
+            whole = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(count))))
+            below = np.log10(lower + 0.5) - floor if level == 2 else restore(lower)
+            codes = _code(count, below, np.where(context_counts > 0, context_counts, whole), prior)
         blob = Trie.build(contexts, names, codes)
         trie = Trie.open(blob)
-        rows = [(1, shard, -1, blob, *[None] * len(_FOUND))]
+        rows = [(1, shard, -1, blob if model else None, None, None)]
         for i in range(table.num_rows):
-            contexts, names, runs, docs, context_counts, lower = message(i)
-            at = trie.find(contexts, names)
-            there = at >= 0
-            chunk = table.column("chunk")[i].as_py()
-            if last:
-                score = np.log10(prior / (context_counts + prior)) + below(lower)
-                score[there] = restore(trie.codes[at[there]])
-                by_doc = np.bincount(docs, np.repeat(score, runs))
-                place = np.flatnonzero(by_doc)
-                rows.append((0, shard, chunk, None, packed(place), by_doc[place].tobytes(), None, None, None))
-            else:
-                known = [np.zeros(len(at), np.int64) for _ in range(2)]
-                known[0][there], known[1][there] = count[at[there]], trie.codes[at[there]]
-                rows.append((0, shard, chunk, None, None, None, packed(known[0]), packed(at + 1), packed(known[1])))
-        rows = [(*r, *[None] * len(_OWN)) for r in rows]
-        for r in own.to_pylist():
-            rows.append((2, shard, r["chunk"], None, *[None] * len(_FOUND), *[r[c] for c in _OWN]))
+            at = trie.find(*message(i, _MESSAGE[:2]))
+            known = np.zeros(len(at), np.int64)
+            known[at >= 0] = count[at[at >= 0]]
+            rows.append((0, shard, table.column("chunk")[i].as_py(), None, packed(known), None if last else packed(at + 1)))
         kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
         fields = [x.split() for x in _SCORED.split(", ")]
         return pa.table({c: pa.array([r[i] for r in rows], kinds[k]) for i, (c, k) in enumerate(fields)})
@@ -358,37 +352,38 @@ def trie_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     tokens = sum(n for _, n in sizes.values())
     floor = _floor(sum(n for n, _ in sizes.values()), tokens)
     answers = ["chunk", "shard", "counts", "place"]
-    replies = vocabulary.filter("chunk >= 0").withColumnRenamed("total", "counts").select(F.lit(1).alias("level"), *answers, F.lit(None).cast("binary").alias("codes"))
+    replies = vocabulary.filter("chunk >= 0").withColumnRenamed("total", "counts").select(F.lit(1).alias("level"), *answers)
     tries = []
     for level in range(2, order + 1):
         last = level == order
-        met = _shards(_messages(chunks, replies, floor, prior, shards, level, last), floor, prior, level, last)
-        # Nothing here reads the last level's tries again, so they are made anew for whoever asks for the model.
-        scored = cut_lineage(met.filter("kind <> 1") if last else met)
-        tries.append((met if last else scored).filter("kind = 1").select(F.lit(level).alias("level"), "shard", "trie"))
-        replies = replies.unionByName(scored.filter("kind = 0").select(F.lit(level).alias("level"), *answers, "codes"))
-
-    def total(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
-        row = {c: own.column(c)[0].as_py() for c in own.column_names}
-        score = np.frombuffer(row["direct"]).copy()
-        order = np.argsort(found.column("shard").to_numpy()) if found.num_rows else []
-        for i in np.asarray(order).tolist():
-            score[unpacked(found.column("documents")[i].as_py())] += np.frombuffer(found.column("sums")[i].as_py())
-        ids = pa.ipc.open_stream(row["ids"]).read_all().column("id")
+
+        def met(model: bool) -> DataFrame:
+            return _shards(_messages(chunks, replies, floor, prior, shards, level, model), floor, prior, level, last, model)
+
+        # Nothing here reads the last level's tries again, so they are made anew, with all they need, for whoever asks for the model.
+        scored = cut_lineage(met(False).filter("kind <> 1") if last else met(True))
+        tries.append((met(True) if last else scored).filter("kind = 1").select(F.lit(level).alias("level"), "shard", "trie"))
+        replies = replies.unionByName(scored.filter("kind = 0").select(F.lit(level).alias("level"), *answers))
+
+    def total(key: tuple, held_chunk: pa.Table, found: pa.Table) -> pa.Table:
+        c = _Chunk(_row(held_chunk), found, shards, floor)
+        base_score = np.add.reduceat(c.token_log_p, c.edges)
+        for k in range(2, order + 1):
+            c.meet(k)
+            c.score(k, prior, k == order)
+        ids = pa.ipc.open_stream(c.row["ids"]).read_all().column("id")
         return pa.table(
             {
                 "id": ids,
-                "held_out": pa.array(np.frombuffer(row["held"], bool)),
-                "n_tokens": unpacked(row["lengths"]),
-                "n_known": unpacked(row["known"]),
+                "held_out": pa.array(np.frombuffer(c.row["held"], bool)),
+                "n_tokens": c.n,
+                "n_known": np.add.reduceat((c.total > 0)[c.words].astype(np.int64), c.edges),
                 "train_tokens": np.full(len(ids), tokens),
-                "base_score": np.frombuffer(row["base_score"]),
-                "score": score,
+                "base_score": base_score,
+                "score": np.add.reduceat(c.token_log_p, c.edges),
             }
         )
 
-    own = scored.filter("kind = 2").select("chunk", *_OWN)
-    sums = scored.filter("kind = 0").select("chunk", "shard", "documents", "sums")
     layout = f"id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = own.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(total, layout)
+    out = chunks.drop("words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(total, layout)
     return out, reduce(DataFrame.unionByName, tries)

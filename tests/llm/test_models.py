@@ -107,6 +107,24 @@ def test_tries_of_the_last_level_are_written_only_for_who_reads_them(spark, monk
     assert {r.level for r in model.filter("trie is not null").collect()} == {2, 3}
 
 
+def test_what_the_last_level_exchanges_is_counts_alone(spark, monkeypatch):
+    written, sent, cut, messages = [], [], trie_scores.cut_lineage, trie_scores._messages
+    monkeypatch.setattr(trie_scores, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(trie_scores, "_messages", lambda *a: sent.append(messages(*a)) or sent[-1])
+    rng = random.Random(15)
+    docs = documents(spark, [(i, prose(rng, 30)) for i in range(300)])
+    scored, _ = trie_scores.trie_scores(docs, F.lit(True), order=3)
+    tokens_ = sum(r.n_tokens for r in scored.collect())
+
+    def size(df):
+        columns = [f.name for f in df.schema.fields if f.dataType.typeName() == "binary"]
+        return df.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns))).first()[0]
+
+    answers = [w for w in written if "kind" in w.columns][-1].filter("kind = 0")
+    # Names of contexts and words, counts, and fixed bytes of some ten values in each of 32 messages.
+    assert size(answers) < tokens_ and size(sent[1]) < 7 * tokens_ + 32 * 10 * 20
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_scores_of_higher_orders_are_those_of_the_definition(spark, awkward, monkeypatch, order):
     rng = random.Random(12)
