@@ -1,9 +1,10 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-1. Trigrams of all trusted documents are counted by shuffles; discounts, continuation counts and back-off
-   weights come from aggregates of those counts, and every probability from joins of the count tables on
-   their contexts. The model is a table of keys (64-bit hashes of words, pairs and trigrams).
-2. Documents are cut into chunks, written as different words and places among them. A chunk asks shards of
+1. Trigrams of all trusted documents are counted by shuffles and written in blobs; discounts, continuation counts
+   and back-off weights come from aggregates of those counts, and every probability from joins of the count tables
+   on their contexts, for a part of the middle words after the other. The model is a table of keys (64-bit hashes of
+   words, pairs and trigrams).
+2. Documents are scored a share at a time. They are cut into chunks, written as different words and places among them. A chunk asks shards of
    the keys for its different words, pairs and trigrams; a shard holds its part of the model, joins all chunks'
    keys to it and answers each chunk, which adds up its documents.
 
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from rowguard.llm.trie_scores import _batch, _ranges, _stream, packed, unpacked
 from rowguard.llm.words import mix, slices, word_hashes, words
 from rowguard.operators.joins import lookup_join
-from rowguard.session import cut_lineage
+from rowguard.session import cut_lineage, release
 
 CHUNK_BYTES = 8 << 20
 LEAST_SHARDS = 32
 CHUNKS_PER_SHARD = 4
+FIT_WAVES, WAVES = 4, 8
+PACKED_ROWS = 1 << 20
 KEEP = 0.85
 START, END = np.uint64(1), np.uint64(2)
 _TURNS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -108,11 +111,61 @@ def _discount(count: Column, by: tuple[float, float, float]) -> Column:
     return F.when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
 
 
-def entries(trusted: DataFrame, text_col: str = "text") -> tuple[list[DataFrame], float]:
+def _written(table: DataFrame) -> DataFrame:
+    """``table`` (columns of word hashes, then a count), written in blobs: each its different words, and rows as places among them."""
+    *by, c = table.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def blob() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            hashes = np.concatenate([rows.column(x).to_numpy().view(np.uint64) for x in by])
+            different, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            ranked = np.empty(len(order), np.int64)
+            ranked[order] = np.arange(len(order))
+            return _batch({"words": packed(np.diff(different, prepend=np.uint64(0))), "often": packed(counts), "rows": packed(ranked[place]), "counts": packed(rows.column(c).to_numpy())})
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield blob()
+                held, n = [], 0
+        if n:
+            yield blob()
+
+    return cut_lineage(table.mapInArrow(pack, "words binary, often binary, rows binary, counts binary"))
+
+
+def _rows(written: DataFrame, by: list[str], wave: int = 0, waves: int = 1) -> DataFrame:
+    """The rows of ``_written`` again, of a wave those whose ``v`` belongs to it."""
+    columns = [*by, "c"]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                different = np.cumsum(unpacked(row["words"])).view(np.uint64)
+                found = different[np.argsort(-unpacked(row["often"]), kind="stable")][unpacked(row["rows"])].reshape(len(by), -1)
+                counts = unpacked(row["counts"])
+                if waves > 1:
+                    own = np.flatnonzero(mix(found[by.index("v")]) % np.uint64(waves) == np.uint64(wave))
+                    found, counts = found[:, own], counts[own]
+                for a in range(0, len(counts), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)) for x in found] + [pa.array(counts[part])], names=columns)
+
+    return written.mapInArrow(unpack, ", ".join(f"{x} long" for x in columns))
+
+
+def entries(trusted: DataFrame, text_col: str = "text", waves: int = 1) -> tuple[Iterator[list[DataFrame]], float]:
     """The model of all texts in ``trusted`` as tables, and the log probability of an unknown word.
 
     Tables: ``key`` of a word, pair or trigram, ``x`` its log probability or, where ``weight`` holds, its log
-    back-off weight as a context. No texts at all give a uniform model.
+    back-off weight as a context. No texts at all give a uniform model. They come wave by wave, each with
+    the trigrams whose middle word belongs to it (and words in the first), so that only a wave's joins are on disk
+    at a time; a wave's tables are to be read before the next ones are taken.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,23 +175,19 @@ def entries(trusted: DataFrame, text_col: str = "text") -> tuple[list[DataFrame]
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in grams], names=["u", "v", "w"])
 
     rows = trusted.select(F.col(text_col).cast("string").alias("body"))
-    tri = cut_lineage(rows.mapInArrow(count, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
-    bi = cut_lineage(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")))
-    uni = cut_lineage(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")))
+    counted = F.count(F.lit(1)).alias("c")
+    tri = _written(rows.mapInArrow(count, "u long, v long, w long").groupBy("u", "v", "w").agg(counted))
+    bi = _written(_rows(tri, ["u", "v", "w"]).groupBy("v", "w").agg(counted))
+    uni = cut_lineage(_rows(bi, ["v", "w"]).groupBy("w").agg(counted))
 
     def context(table: DataFrame, by: list[str], d: tuple[float, float, float]) -> DataFrame:
         return table.groupBy(*by).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("left")).withColumn("weight", F.col("left") / F.col("total"))
 
-    d3, d2, d1 = _discounts(tri, "c"), _discounts(bi, "c"), _discounts(uni, "c")
+    d3, d2, d1 = _discounts(_rows(tri, ["u", "v", "w"]), "c"), _discounts(_rows(bi, ["v", "w"]), "c"), _discounts(uni, "c")
     whole = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(_discount(F.col("c"), d1)), F.lit(0.0)), F.count(F.lit(1))).first()
     total, left, vocabulary = whole[0] or 1, whole[1], whole[2]
     floor = (left / total if whole[0] else 1.0) / (vocabulary + 1)
     p1 = uni.select("w", ((F.col("c") - _discount(F.col("c"), d1)) / total + floor).alias("p1"))
-    w2 = context(bi, ["v"], d2)
-    p2 = bi.join(w2, "v").join(p1, "w").select("v", "w", ((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") + F.col("weight") * F.col("p1")).alias("p2"))
-    p2 = cut_lineage(p2)
-    w3 = context(tri, ["u", "v"], d3)
-    p3 = tri.join(w3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
 
     def keyed(table: DataFrame, by: list[str], value: str, weight: bool) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +198,24 @@ def entries(trusted: DataFrame, text_col: str = "text") -> tuple[list[DataFrame]
         held = table.select(*by, F.log(value).cast("float").alias("x")).mapInArrow(each, "key long, x float")
         return held.withColumn("weight", F.lit(weight))
 
-    parts = [(p3, ["u", "v", "w"], "p3", False), (p2, ["v", "w"], "p2", False), (p1, ["w"], "p1", False), (w3, ["u", "v"], "weight", True), (w2, ["v"], "weight", True)]
-    return [keyed(*part) for part in parts], float(np.log(floor))
+    def tables() -> Iterator[list[DataFrame]]:
+        for wave in range(waves):
+            own_tri, own_bi = _rows(tri, ["u", "v", "w"], wave, waves), _rows(bi, ["v", "w"], wave, waves)
+            w2 = context(own_bi, ["v"], d2)
+            p2 = own_bi.join(w2, "v").join(p1, "w").select("v", "w", ((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") + F.col("weight") * F.col("p1")).alias("p2"))
+            p2 = cut_lineage(p2)
+            w3 = context(own_tri, ["u", "v"], d3)
+            p3 = own_tri.join(w3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
+            parts = [(p3, ["u", "v", "w"], "p3", False), (p2, ["v", "w"], "p2", False), (p1, ["w"], "p1", False), (w3, ["u", "v"], "weight", True), (w2, ["v"], "weight", True)]
+            yield [keyed(*part) for part in parts if not wave or part[0] is not p1]
+            release(p2)
+        release(tri, bi, uni)
+
+    return tables(), float(np.log(floor))
 
 
 def _levels(key: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[Level, Level]:
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")  # merges what is in order already
     key, x, weight = key[order], x[order], weight[order]
     return Level(key[~weight], x[~weight]), Level(key[weight], x[weight])
 
@@ -162,7 +223,7 @@ def _levels(key: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[Level,
 def fit(trusted: DataFrame, text_col: str = "text") -> Model:
     """The whole model in memory, for few texts; ``judged`` leaves it in shards."""
     tables, unknown = entries(trusted, text_col)
-    held = reduce(DataFrame.unionByName, tables).toArrow()
+    held = reduce(DataFrame.unionByName, next(tables)).toArrow()
     key, x, weight = (held.column(c).to_numpy() for c in ("key", "x", "weight"))
     return Model(*_levels(key.view(np.uint64), x, weight.astype(bool)), unknown)
 
@@ -259,10 +320,13 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     return model.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(answer, "shard long, chunk long, values binary, weights binary")
 
 
-def perplexities(docs: DataFrame, model: list[DataFrame], unknown: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``id, lang, n_tokens, perplexity`` for every row under a model of ``entries``; a null text is empty: one end token."""
-    chunks = cut_lineage(_chunks(docs, id_col, text_col, lang_col))
-    shards = max(LEAST_SHARDS, -(-chunks.count() // CHUNKS_PER_SHARD))
+def perplexities(
+    docs: DataFrame, model: DataFrame, unknown: float, shards: int, waves: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """``id, lang, n_tokens, perplexity`` for every row under a model ``_in_shards``; a null text is empty: one end token.
+
+    Documents are scored wave by wave (by hash of their text), so that only a wave's keys and answers are on disk at a time.
+    """
 
     def score(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = {c: chunk.column(c)[0].as_py() for c in chunk.column_names}
@@ -277,11 +341,15 @@ def perplexities(docs: DataFrame, model: list[DataFrame], unknown: float, id_col
         ids = pa.ipc.open_stream(row["ids"]).read_all()
         return pa.table({"id": ids.column("id"), "lang": ids.column("lang"), "n_tokens": n, "perplexity": np.exp(-sums / n)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    # Table by table, so that what one has shuffled is gone before the next one starts.
-    kept = [_in_shards(table, shards) for table in model]
-    answers = _answers(chunks, reduce(DataFrame.unionByName, kept), shards)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_tokens long, perplexity double")
+    layout = f"id {docs.schema[id_col].dataType.simpleString()}, lang string, n_tokens long, perplexity double"
+    out = []
+    for wave in range(waves):
+        own = docs.filter(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(waves)) == wave) if waves > 1 else docs
+        chunks = cut_lineage(_chunks(own, id_col, text_col, lang_col))
+        answers = _answers(chunks, model, shards)
+        out.append(cut_lineage(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, layout)))
+        release(chunks)
+    return reduce(DataFrame.unionByName, out)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: float = KEEP) -> DataFrame:
@@ -290,8 +358,13 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``threshold`` is the ``keep`` quantile of the perplexities of all documents of the language (exact to
     1/10,000 of their ranks); null is a language like any other.
     """
-    model, unknown = entries(trusted_texts(docs, labels, id_col, text_col), text_col)
-    scored = cut_lineage(perplexities(docs, model, unknown, id_col, text_col, lang_col))
+    # A share of the input at a time is on disk beside the model; no wave has less than a chunk of text.
+    chunks = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0] // CHUNK_BYTES + 1
+    waves, shards = min(FIT_WAVES, chunks), max(LEAST_SHARDS, -(-chunks // CHUNKS_PER_SHARD))
+    tables, unknown = entries(trusted_texts(docs, labels, id_col, text_col), text_col, waves)
+    # Table by table, so that what one has shuffled is gone before the next one starts.
+    model = [_in_shards(table, shards) for wave in tables for table in wave]
+    scored = perplexities(docs, reduce(DataFrame.unionByName, model), unknown, shards, min(WAVES, chunks), id_col, text_col, lang_col)
     cuts = scored.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(keep), F.lit(10_000)).alias("threshold"))
     joined = scored.join(cuts, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     return joined.withColumn("kept", F.col("perplexity") <= F.col("threshold"))

@@ -267,6 +267,37 @@ def test_the_quality_model_is_written_as_a_row_per_shard(spark, monkeypatch):
     assert sum(len(r.x) // 4 for w in kept for r in w.collect()) > 500
 
 
+def test_quality_in_waves_is_that_of_the_definition_and_leaves_no_counts_behind(spark, monkeypatch):
+    from rowguard import session
+
+    monkeypatch.setattr(kneser_ney, "CHUNK_BYTES", 1500)
+    monkeypatch.setattr(kneser_ney, "PACKED_ROWS", 300)
+    written, cut = [], kneser_ney.cut_lineage
+    monkeypatch.setattr(kneser_ney, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "all new", "all new"]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.id: r.perplexity for r in kneser_ney.judged(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")).collect()}
+    p, _ = plain_kneser_ney(texts[:50])
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        x = [b"<", b"<", *tokens(text)]
+        logs = [math.log(p(*g)) for g in zip(x, x[1:], x[2:])]
+        assert got[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-5)
+    folder = session.shared_folder(spark)
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def kept(df):
+        path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+        return there.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+    counts = [w for w in written if w.columns in (["words", "often", "rows", "counts"], ["w", "c"], ["v", "w", "p2"])]
+    chunks = [w for w in written if "stream" in w.columns]
+    assert len(counts) == 3 + kneser_ney.FIT_WAVES and len(chunks) == kneser_ney.WAVES
+    assert not any(kept(w) for w in [*counts, *chunks])
+    assert all(kept(w) for w in written if "keys" in w.columns)
+
+
 def insults(rng, n):
     return prose(rng, n) + " " + rng.choice(["grumblef", "snorkwit"]) + rng.choice(["er", "ing", "ish", "o"]) + " " + prose(rng, n)
 
