@@ -4,7 +4,8 @@ A sequence keeps the low bits of its rising values in a packed array and the hig
 the context ids of its n-grams, a pointer per context to the range of its successors (monotone, so itself
 Elias-Fano), the successor words of all contexts as one rising sequence (each word counted from where the
 range before ended), and a quantised log probability per successor. ``Trie.open`` needs a buffer only: a
-mapped file, an Arrow value or bytes; nothing is decoded.
+mapped file, an Arrow value or bytes; nothing is decoded but by look-ups of as many values as a sequence has,
+which read it once from end to end.
 """
 
 from __future__ import annotations
@@ -63,9 +64,9 @@ class Sequence:
         universe = int(values[-1]) + 1 if n else 1
         width = max(0, int(universe // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
-        high = np.zeros((n + (universe >> width) + 1) // 64 + 1, np.uint64)
-        at = (values >> _U(width)).astype(np.int64) + np.arange(n)
-        np.bitwise_or.at(high, at >> 6, _U(1) << (at & 63).astype(np.uint64))
+        bits = np.zeros(((n + (universe >> width) + 1) // 64 + 1) * 64, bool)
+        bits[(values >> _U(width)).astype(np.int64) + np.arange(n)] = True
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
         low = np.zeros(n * width // 64 + 2, np.uint64)
         if width and n:
             rest = values & _U((1 << width) - 1)
@@ -89,6 +90,11 @@ class Sequence:
         place = word * 64 + _select_in_word(self.high[word], at - before)
         return ((place - at) << self.width) | _bits_at(self.low, at * self.width, self.width).astype(np.int64)
 
+    def _values(self) -> np.ndarray:
+        place = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        at = np.arange(self.size)
+        return ((place - at) << self.width) | _bits_at(self.low, at * self.width, self.width).astype(np.int64)
+
     def _bucket_start(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have high bits under ``bucket``."""
         rank = np.maximum(bucket - 1, 0)
@@ -99,6 +105,10 @@ class Sequence:
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, -1 where it is not there (first place of equal ones)."""
+        if self.size and len(values) >= self.size:
+            held = self._values()
+            at = np.searchsorted(held, values)
+            return np.where(held[np.minimum(at, self.size - 1)] == values, at, -1)
         out = np.full(len(values), -1, np.int64)
         top = self.zeros[-1] if len(self.zeros) else 0
         open_ = np.flatnonzero((values >= 0) & ((values >> self.width) < top))

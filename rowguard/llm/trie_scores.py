@@ -59,6 +59,33 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def _in_order(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows of non-negative ``parts`` in order: where they stand, where each different one begins, and the different ones.
+
+    Parts and places are sorted as one number where they fit one, which is several times as fast as by places.
+    """
+    n = len(parts[0])
+    widths = [int(x.max(initial=0)).bit_length() for x in parts]
+    place = max(n - 1, 0).bit_length()
+    if sum(widths) + place > 63:
+        order = np.lexsort(parts[::-1])
+        first = np.flatnonzero(reduce(np.logical_or, [np.diff(x[order], prepend=-1) != 0 for x in parts]))
+        return order, first, [x[order[first]] for x in parts]
+    joined = np.zeros(n, np.int64)
+    for x, width in zip([*parts, np.arange(n)], [*widths, place]):
+        joined <<= width
+        joined |= x
+    joined.sort()
+    order = joined & ((1 << place) - 1)
+    joined >>= place
+    first = np.flatnonzero(np.diff(joined, prepend=-1))
+    left, different = joined[first], []
+    for width in widths[::-1]:
+        different.insert(0, left & ((1 << width) - 1))
+        left >>= width
+    return order, first, different
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
@@ -68,7 +95,7 @@ _CHUNK = "chunk long, ids binary, held binary, lengths binary, stream binary, en
 
 
 def _by_count(counts: np.ndarray) -> np.ndarray:
-    return np.argsort(-counts, kind="stable")
+    return _in_order(counts.max(initial=0) - counts)[0]
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -206,7 +233,7 @@ class _Chunk:
     @staticmethod
     def _by_name(name: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
         """New numbers in order of the names, so that sorted n-grams are in order of names too."""
-        order = np.argsort(name, kind="stable")
+        order = _in_order(name + 1)[0]
         relabel = np.empty(len(name), np.int64)
         relabel[order] = np.arange(len(name))
         return relabel, name[order], *[x[order] for x in others]
@@ -217,27 +244,32 @@ class _Chunk:
         before[0], before[1:] = self.relabel[self.row["end"]], self.gram[:-1]
         # The first words of a text have fewer words, or only its start, before them.
         live = np.flatnonzero(self.within >= k - 2)
-        pair = before[live] * len(self.total) + self.words[live]
-        order = np.argsort(pair)
-        pair, self.order = pair[order], live[order]
-        self.first = np.flatnonzero(np.diff(pair, prepend=-1))
-        self.runs = np.diff(np.append(self.first, len(pair)))
-        self.h, self.w = h, w = np.divmod(pair[self.first], len(self.total))
-        self.lower = self.gram[self.order[self.first]]
+        order, self.first, (self.h, self.w) = _in_order(before[live], self.words[live])
+        self.order = live[order]
+        self.runs = np.diff(np.append(self.first, len(order)))
+        h, w, self.lower = self.h, self.w, self.gram[self.order[self.first]]
         # An n-gram with an unknown part is in no trie: its score follows from the level below.
-        sent = np.flatnonzero((self.seen[h] > 0) & (self.seen[self.lower] > 0))
-        self.places = self.seen[h[sent]] // SPLIT + 1
-        spread = mix(self.word_name[w[sent]].astype(np.uint64)) % self.places.astype(np.uint64)
-        shard = (mix(self.name[h[sent]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(self.shards)).astype(np.int64)
-        put = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
-        self.cuts = np.searchsorted(shard[put], np.arange(self.shards + 1))
+        known = self.seen > 0
+        sent = np.flatnonzero(known[h] & known[self.lower])
+        context = h[sent]
+        places = self.seen // SPLIT + 1
+        shard = mix(self.name.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.shards)
+        shard = shard.astype(np.uint16 if self.shards < 1 << 16 else np.int64)[context]
+        self.places = places[context]
+        hot = np.flatnonzero(self.places > 1)
+        if len(hot):
+            spread = mix(self.word_name[w[sent[hot]]].astype(np.uint64)) % self.places[hot].astype(np.uint64)
+            name = self.name[context[hot]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            shard[hot] = mix(name + spread) % np.uint64(self.shards)
+        put = np.argsort(shard, kind="stable")
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=self.shards))])
         self.sent, self.places = sent[put], self.places[put]
 
     def score(self, k: int, prior: float, last: bool) -> None:
         """Take the replies of level ``k``: its n-grams have probabilities, and names for the next level unless it is the last."""
         counts, places = self._replied(k)
         h, lower = self.h, self.lower
-        log_k = np.log10(prior / (self.seen[h] + prior)) + self.log_p[lower]
+        log_k = np.log10(prior / (self.seen + prior))[h] + self.log_p[lower]
         found = counts > 0
         there = self.sent[found]
         log_k[there] = restore(_code(counts[found], self.log_p[lower[there]], self.seen[h[there]], prior))
@@ -301,17 +333,19 @@ def _shards(sent: DataFrame, floor: float, prior: float, level: int, last: bool,
             return [np.cumsum(contexts), *rest]
 
         used = _MESSAGE if model else _MESSAGE[:3]
-        seen = [np.zeros((len(used), 0), np.int64)]
-        for i in range(table.num_rows):
-            parts = np.stack(message(i, used))
-            seen.append(parts[:, parts[2] > 0])
-        joined = np.concatenate(seen, axis=1)
-        del seen
-        order = np.lexsort((joined[1], joined[0]))
-        new = np.flatnonzero((np.diff(joined[0][order], prepend=-1) != 0) | (np.diff(joined[1][order], prepend=-1) != 0))
-        count = np.add.reduceat(joined[2][order], new) if len(new) else new
-        contexts, names, _, *more = joined[:, order[new]]
+        messages = [message(i, used) for i in range(table.num_rows)]
+        ends = np.cumsum([len(m[0]) for m in messages])
+        joined = [np.concatenate(column) for column in zip(*messages)]
+        del messages
+        # Of all n-grams sent each different one is looked up once; the trie holds those that were counted.
+        order, first, asked = _in_order(*joined[:2])
+        often = np.add.reduceat(joined[2][order], first) if len(first) else first
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        counted = np.flatnonzero(often)
+        more = [x[order[first[counted]]] for x in joined[3:]]
         del joined, order
+        contexts, names, count = asked[0][counted], asked[1][counted], often[counted]
         codes = np.zeros(len(count), np.uint16)
         if model and len(count):
             context_counts, lower = more
@@ -322,11 +356,11 @@ def _shards(sent: DataFrame, floor: float, prior: float, level: int, last: bool,
         blob = Trie.build(contexts, names, codes)
         trie = Trie.open(blob)
         rows = [(1, shard, -1, blob if model else None, None, None)]
-        for i in range(table.num_rows):
-            at = trie.find(*message(i, _MESSAGE[:2]))
-            known = np.zeros(len(at), np.int64)
-            known[at >= 0] = count[at[at >= 0]]
-            rows.append((0, shard, table.column("chunk")[i].as_py(), None, packed(known), None if last else packed(at + 1)))
+        at = trie.find(*asked)
+        known = np.zeros(len(at), np.int64)
+        known[at >= 0] = count[at[at >= 0]]
+        for chunk, mine in zip(table.column("chunk").to_pylist(), np.split(of, ends[:-1])):
+            rows.append((0, shard, chunk, None, packed(known[mine]), None if last else packed(at[mine] + 1)))
         kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
         fields = [x.split() for x in _SCORED.split(", ")]
         return pa.table({c: pa.array([r[i] for r in rows], kinds[k]) for i, (c, k) in enumerate(fields)})

@@ -125,6 +125,48 @@ def test_what_the_last_level_exchanges_is_counts_alone(spark, monkeypatch):
     assert size(answers) < tokens_ and size(sent[1]) < 7 * tokens_ + 32 * 10 * 20
 
 
+class Grouped:
+    """Stands for messages by shard and keeps what a task would do with a shard."""
+
+    def groupBy(self, key):
+        return self
+
+    def applyInArrow(self, work, layout):
+        return work
+
+
+def test_a_shard_looks_up_each_different_ngram_once(monkeypatch):
+    asked, find = [], Trie.find
+    monkeypatch.setattr(Trie, "find", lambda trie, contexts, words: asked.append(len(contexts)) or find(trie, contexts, words))
+    rng = np.random.default_rng(16)
+    every = np.unique(rng.integers(0, 60, (900, 2)), axis=0)
+    sent, total = [], collections.Counter()
+    for chunk in range(12):
+        own = every[np.sort(rng.choice(len(every), 500, replace=False))]
+        counts = rng.integers(0, 4, 500) if chunk % 4 else np.zeros(500, np.int64)
+        total.update({tuple(g): c for g, c in zip(own.tolist(), counts.tolist())})
+        sent.append((own, {"shard": 3, "chunk": chunk, "contexts": trie_scores.packed(np.diff(own[:, 0], prepend=0)), "words": trie_scores.packed(own[:, 1]), "counts": trie_scores.packed(counts)}))
+    rows = pa.Table.from_pylist([m for _, m in sent])
+    got = trie_scores._shards(Grouped(), 0.0, 300.0, 3, True, False)((pa.scalar(3),), rows).to_pylist()
+    assert sum(asked) == len({tuple(g) for own, _ in sent for g in own.tolist()})
+    answers = {r["chunk"]: trie_scores.unpacked(r["counts"]).tolist() for r in got if r["kind"] == 0}
+    assert answers == {m["chunk"]: [total[tuple(g)] for g in own.tolist()] for own, m in sent}
+
+
+@pytest.mark.parametrize("top", [1, 50, 1 << 40])
+def test_rows_are_in_order_however_wide_their_parts(top):
+    rng = np.random.default_rng(17)
+    for n in (0, 1, 700):
+        parts = [rng.integers(0, top, n), rng.integers(0, 30, n)]
+        order, first, different = trie_scores._in_order(*parts)
+        assert order.tolist() == np.lexsort(parts[::-1]).tolist()
+        want = sorted(set(zip(*[x.tolist() for x in parts])))
+        assert list(zip(*[x.tolist() for x in different])) == want
+        assert [tuple(x[order[i]] for x in parts) for i in first] == want
+    wide = [rng.integers(0, 1 << 50, 40).repeat(2), rng.integers(0, 1 << 50, 80)]
+    assert trie_scores._in_order(*wide)[0].tolist() == np.lexsort(wide[::-1]).tolist()
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_scores_of_higher_orders_are_those_of_the_definition(spark, awkward, monkeypatch, order):
     rng = random.Random(12)
