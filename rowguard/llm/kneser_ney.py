@@ -1,31 +1,32 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-1. Trigrams of all trusted documents are counted by shuffles and written in blobs; discounts, continuation counts
-   and back-off weights come from aggregates of those counts, and every probability from joins of the count tables
-   on their contexts, for a part of the middle words after the other. The model is a table of keys (64-bit hashes of
-   words, pairs and trigrams).
+1. Trusted texts are written once as places in lists of their different words. For a part of the middle words after
+   the other, their trigrams go to shards of their last two words, which count them and write them in blobs. Pairs
+   (how many words stand before them), words (how many before them) and contexts (how many n-grams of count 1, 2
+   and more they have) are counted from these. The model is a table of keys (64-bit hashes of words, pairs and trigrams)
+   and counts, discounts are a few numbers; it is written where its shard is, so reading it moves nothing.
 2. Documents are scored a share at a time. They are cut into chunks, written as different words and places among them. A chunk asks shards of
-   the keys for its different words, pairs and trigrams; a shard holds its part of the model, joins all chunks'
-   keys to it and answers each chunk, which adds up its documents.
+   the keys for its different words, pairs and trigrams; a shard holds its part of the model and answers each
+   chunk with counts, of which the chunk works out probabilities and adds up its documents.
 
-No count, key or probability passes through the driver or a broadcast, and nothing is left out: a task holds
+No n-gram or count passes through the driver or a broadcast, and nothing is left out: a task holds
 one chunk or one shard, whose sizes do not depend on the input. A document passes if its perplexity is at
 most its language's quantile over all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowguard.llm.trie_scores import _batch, _ranges, _stream, packed, unpacked
+from rowguard.llm.trie_scores import _batch, _in_order, _ranges, _stream, packed, unpacked
 from rowguard.llm.words import mix, slices, word_hashes, words
 from rowguard.operators.joins import lookup_join
 from rowguard.session import cut_lineage, release
@@ -37,6 +38,8 @@ FIT_WAVES, WAVES = 4, 8
 PACKED_ROWS = 1 << 20
 KEEP = 0.85
 START, END = np.uint64(1), np.uint64(2)
+ADAPTIVE = "spark.sql.adaptive.enabled"
+PAIR_BITS = np.uint64(((1 << 16) - 1) << 48)
 _TURNS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -65,167 +68,347 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _grams(line, n), n
 
 
-def keys(*parts: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each row of word hashes."""
+def _key(*parts: np.ndarray) -> np.ndarray:
     return mix(reduce(lambda h, x: mix(h * _TURNS[0] + x), parts[1:], parts[0] * _TURNS[1] + _TURNS[2] * np.uint64(len(parts))))
 
 
-class Level(NamedTuple):
-    keys: np.ndarray
-    values: np.ndarray
+def keys(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each row of word hashes; a trigram's begins as that of its last two words, so both are in one shard."""
+    key = _key(*parts)
+    return key if len(parts) < 3 else (_key(*parts[1:]) & PAIR_BITS) | (key & ~PAIR_BITS)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each different value begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
+def _power_of_two(n: int) -> int:
+    """The least one that is not below ``n``, up to what a trigram's key has of its pair's."""
+    return min(1 << (n - 1).bit_length(), 1 << 16)
+
+
+def _edges(asked: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's keys begin and end."""
+    step = (1 << 64) // shards
+    inner = np.searchsorted(asked, np.array([s * step for s in range(1, shards)], np.uint64))
+    return np.concatenate([[0], inner, [len(asked)]])
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Value per key; NaN for keys that are not there."""
-        if not len(self.keys):
-            return np.full(len(wanted), np.nan)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.values[at], np.nan)
+
+def _find(parts: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, columns: int) -> np.ndarray:
+    """``columns`` of each key wanted, from whichever of the ``parts`` (keys in order, columns) has it, or zeros."""
+    out = np.zeros((columns, len(wanted)), np.int64)
+    for held, x in parts:
+        if len(held):
+            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            hit = np.flatnonzero(held[at] == wanted)
+            out[:, hit] = x[:, at[hit]]
+    return out
+
+
+class Rates(NamedTuple):
+    """What probabilities need besides counts: discounts of words, pairs and trigrams, all pairs, an unknown word's share."""
+
+    discounts: tuple[tuple[float, float, float], ...]
+    total: int
+    floor: float
+
+    def _off(self, level: int, count: np.ndarray) -> np.ndarray:
+        return np.array([0.0, *self.discounts[level - 1]])[np.minimum(count, 3)]
+
+    def words(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities and their logarithms."""
+        p = (count - self._off(1, count)) / self.total + self.floor
+        return p, np.where(count > 0, np.log(p).astype(np.float32), np.log(self.floor))
+
+    def contexts(self, level: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, back-off weights and their logarithms for contexts of n-grams of the level, whose counts ``seen`` sums up."""
+        one, two, more, rest = seen
+        total = one + 2 * two + 3 * more + rest
+        left = sum(n * d for n, d in zip((one, two, more), self.discounts[level - 1]))
+        weight = np.where(total > 0, left / np.maximum(total, 1), 1.0)
+        return total, weight, np.log(weight).astype(np.float32)
+
+    def above(self, level: int, count: np.ndarray, context: tuple[np.ndarray, ...], p: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``words``, for n-grams of the level with their contexts and what the level below has for them."""
+        total, weight, log_weight = context
+        p = (count - self._off(level, count)) / np.maximum(total, 1) + weight * p
+        return p, np.where(count > 0, np.log(p).astype(np.float32), log_weight + log_p)
 
 
 class Model(NamedTuple):
-    values: Level  # log probabilities of words, pairs and trigrams
-    weights: Level  # log back-off weights by context
-    unknown: float
+    parts: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]  # by level, counts of n-grams or of contexts
+    rates: Rates
 
     def token_scores(self, grams: np.ndarray) -> np.ndarray:
         """Natural log probability of every row's last word after the two before it."""
         u, v, w = grams
-        one, back = np.unique(w, return_inverse=True)
-        single = np.nan_to_num(self.values.find(keys(one)), nan=self.unknown)[back]
-        pair = self.values.find(keys(v, w))
-        pair = np.where(np.isnan(pair), np.nan_to_num(self.weights.find(keys(v)), nan=0.0) + single, pair)
-        full = self.values.find(keys(u, v, w))
-        return np.where(np.isnan(full), np.nan_to_num(self.weights.find(keys(u, v)), nan=0.0) + pair, full)
+        found = self.rates.words(_find(self.parts.get((1, False), []), keys(w), 1)[0])
+        for level, context, gram in ((2, (v,), (v, w)), (3, (u, v), (u, v, w))):
+            seen = self.rates.contexts(level, _find(self.parts.get((level - 1, True), []), keys(*context), 4))
+            found = self.rates.above(level, _find(self.parts.get((level, False), []), keys(*gram), 1)[0], seen, *found)
+        return found[1]
 
 
-def _discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
-    """Chen and Goodman's discounts of counts 1, 2 and 3 or more, within 0 and the count."""
-    seen = counts.agg(*[F.coalesce(F.sum((F.col(column) == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+def _discounts(seen: tuple[int, int, int, int]) -> tuple[float, float, float]:
+    """Chen and Goodman's discounts of counts 1, 2 and 3 or more, within 0 and the count; ``seen``: how many n-grams have counts 1 to 4."""
     n1, n2, n3, n4 = seen
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     raw = [k - (k + 1) * y * b / a if a else y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))
 
 
-def _discount(count: Column, by: tuple[float, float, float]) -> Column:
-    return F.when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
+_BLOB = "words binary, often binary, rows binary, counts binary"
+_TABLE = "shard long, level int, weight boolean, keys binary, x binary"
+
+
+def _blob(names: np.ndarray, place: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows as places among ``names`` (different, in order), of which those that occur are kept, the most frequent first."""
+    often = np.bincount(place.ravel(), minlength=len(names))
+    used = np.flatnonzero(often)
+    ranked = np.empty(len(names), np.int64)
+    ranked[used[np.argsort(-often[used], kind="stable")]] = np.arange(len(used))
+    return _batch({"words": packed(np.diff(names[used], prepend=np.uint64(0))), "often": packed(often[used]), "rows": packed(ranked[place].ravel()), "counts": packed(counts)})
 
 
-def _written(table: DataFrame) -> DataFrame:
-    """``table`` (columns of word hashes, then a count), written in blobs: each its different words, and rows as places among them."""
-    *by, c = table.columns
+def _opened(row: dict, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, rows as places among them, and counts of a ``_blob``."""
+    order = np.argsort(-unpacked(row["often"]), kind="stable")
+    return np.cumsum(unpacked(row["words"])).view(np.uint64)[order], unpacked(row["rows"]).reshape(columns, -1), unpacked(row["counts"])
+
+
+def _each(table: DataFrame, make: Callable[..., Iterator[pa.RecordBatch]], layout: str, columns: int) -> DataFrame:
+    """``make`` of every blob of a table."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from make(*_opened(row, columns))
+
+    return table.mapInArrow(each, layout)
+
+
+def _texts(trusted: DataFrame, text_col: str) -> DataFrame:
+    """Texts in blobs: all their words in a row, with two starts and an end each, and how many words and end each has."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def blob() -> pa.RecordBatch:
+            line, n = (np.concatenate(x) for x in zip(*held))
+            names, place = np.unique(line, return_inverse=True)
+            return _blob(names, place, n)
+
+        for batch in batches:
+            for part in slices(batch, "body"):
+                held.append(_lines(part.column("body")))
+                if sum(len(line) for line, _ in held) >= PACKED_ROWS:
+                    yield blob()
+                    held = []
+        if held:
+            yield blob()
+
+    return trusted.select(F.col(text_col).cast("string").alias("body")).mapInArrow(pack, _BLOB)
+
+
+def _counted(texts: DataFrame, shards: int, wave: int, waves: int) -> DataFrame:
+    """Counts of the trigrams whose middle word belongs to the wave, a blob per shard, in order of their keys."""
+
+    def send(names: np.ndarray, line: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        line = line[0]
+        at = _ranges(np.cumsum(n + 2) - n - 2, n)
+        if waves > 1:
+            at = at[(mix(names) % np.uint64(waves) == np.uint64(wave))[line[at + 1]]]
+        if not len(at):
+            return
+        key = keys(*[names[line[at + i]] for i in range(3)])
+        order = np.argsort(key)
+        first = _starts(key[order])
+        counts = np.diff(np.append(first, len(order)))
+        at, key = at[order[first]], key[order[first]]
+        cuts = _edges(key, shards)
+        shard = np.repeat(np.arange(shards), np.diff(cuts))
+        # Every shard gets a list of its own words.
+        order, first, (of, word) = _in_order(np.tile(shard, 3), np.concatenate([line[at + i] for i in range(3)]))
+        words_cuts = np.searchsorted(of, np.arange(shards + 1))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(first)) - words_cuts[of], np.diff(np.append(first, len(order))))
+        place = place.reshape(3, -1)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[s], cuts[s + 1])
+            yield _batch({"shard": s, "words": names[word[words_cuts[s] : words_cuts[s + 1]]].tobytes(), "rows": packed(place[:, own].ravel()), "counts": packed(counts[own])})
+
+    def meet(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")]
+        names, back = np.unique(np.concatenate(lists), return_inverse=True)
+        begin = np.cumsum([0, *map(len, lists)])
+        place = np.concatenate([back[unpacked(x.as_py()).reshape(3, -1) + b] for x, b in zip(table.column("rows"), begin)], axis=1)
+        counts = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
+        key = keys(*names[place])
+        order = np.argsort(key)
+        first = _starts(key[order])
+        return pa.Table.from_batches([_blob(names, place[:, order[first]], np.add.reduceat(counts[order], first))])
+
+    return _each(texts, send, "shard long, words binary, rows binary, counts binary", 1).groupBy("shard").applyInArrow(meet, _BLOB)
+
+
+def _pairs(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs that end the trigrams, in order, their places and how many trigrams each ends."""
+    key = keys(names[rows[1]], names[rows[2]])
+    order = np.argsort(key)
+    first = _starts(key[order])
+    return key[order[first]], rows[1:, order[first]], np.diff(np.append(first, len(order)))
+
+
+def _seen(counts: np.ndarray) -> np.ndarray:
+    """Per row: whether the count is 1, 2, or more, and by how much it is over 3."""
+    return np.stack([counts == 1, counts == 2, counts >= 3, np.maximum(counts - 3, 0)]).astype(np.int64)
+
+
+def _summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    first = _starts(key[order])
+    return key[order[first]], np.add.reduceat(x[:, order], first, axis=1) if len(first) else x
+
+
+def _sent(key: np.ndarray, x: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Keys in order and their columns, a message to each shard."""
+    cuts = _edges(key, shards)
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[s], cuts[s + 1])
+        yield _batch({"shard": s, "keys": packed(np.diff(key[own], prepend=np.uint64(0))), "x": packed(x[:, own].ravel())})
+
+
+_MESSAGE = "shard long, keys binary, x binary"
+
+
+def _column(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    held = np.cumsum(unpacked(row["keys"])).view(np.uint64)
+    return held, unpacked(row["x"]).reshape(-1, len(held))
+
+
+def _row(shard: int, level: int, weight: bool, key: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    values = [shard, level, weight, packed(np.diff(key, prepend=np.uint64(0))), packed(x.ravel())]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "level", "weight", "keys", "x"])
+
+
+def _met(messages: DataFrame, level: int, weight: bool) -> DataFrame:
+    """Part of a model's table, a row per shard: the sums of what was sent for each key."""
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        held, x = zip(*map(_column, table.to_pylist()))
+        return pa.Table.from_batches([_row(key[0].as_py(), level, weight, *_summed(np.concatenate(held), np.concatenate(x, axis=1)))])
+
+    return messages.groupBy("shard").applyInArrow(meet, _TABLE)
+
+
+def _in_shards(table: DataFrame, shards: int) -> DataFrame:
+    """Part of a model's table, each shard's row written where the shard is, so that what asks for it comes to it.
+
+    Adaptive execution would forget how the rows are dealt, so it is off for this step.
+    """
+    conf = table.sparkSession.conf
+    before = conf.get(ADAPTIVE)
+    conf.set(ADAPTIVE, "false")
+    try:
+        return cut_lineage(table.repartition(shards, "shard"))
+    finally:
+        conf.set(ADAPTIVE, before)
+
+
+def entries(trusted: DataFrame, text_col: str = "text", shards: int = LEAST_SHARDS, waves: int = 1) -> tuple[list[DataFrame], Rates]:
+    """The model of all texts in ``trusted`` as tables ``_in_shards``, and what turns its counts into probabilities.
+
+    Tables: ``level``, ``keys`` in order as differences, ``x``: the count of each n-gram (of different words before it
+    but for trigrams) or, where ``weight`` holds, of each as a context what its n-grams are ``_seen`` as. No texts
+    at all give a uniform model. ``shards`` is a power of two. Trigrams are counted wave by wave, each with
+    those whose middle word belongs to it, so that only a wave's messages are on disk at a time.
+    """
+    texts = cut_lineage(_texts(trusted, text_col))
+    tri = [cut_lineage(_counted(texts, shards, wave, waves)) for wave in range(waves)]
+    release(texts)
+    every = reduce(DataFrame.unionByName, tri)
+    shift = np.uint64(65 - shards.bit_length())
+
+    def pair_blob(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, place, before = _pairs(names, rows)
+        order = np.argsort(names)
+        at = np.empty(len(names), np.int64)
+        at[order] = np.arange(len(names))
+        yield _blob(names[order], at[place], before)
+
+    def word_rows(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        before = np.bincount(rows[1], minlength=len(names))
+        used = np.flatnonzero(before)
+        for a in range(0, len(used), 1 << 16):
+            part = used[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(before[part])], names=["w", "n"])
+
+    def of_counts(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _batch({f"n{k}": int((counts == k).sum()) for k in (1, 2, 3, 4)})
+
+    bi = cut_lineage(_each(every, pair_blob, _BLOB, 3))
+    uni = cut_lineage(_each(bi, word_rows, "w long, n long", 2).groupBy("w").agg(F.sum("n").alias("c")))
+    four = [F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]
+    layout = ", ".join(f"n{k} long" for k in (1, 2, 3, 4))
+    total, vocabulary, *seen = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), *[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
+    discounts = (_discounts(tuple(seen)), *[_discounts(tuple(_each(t, of_counts, layout, n).agg(*four).first())) for t, n in ((bi, 2), (every, 3))])
+    left = sum(n * d for n, d in zip((*seen[:2], vocabulary - sum(seen[:2])), discounts[0]))
+    rates = Rates(discounts, total or 1, (left / total if total else 1.0) / (vocabulary + 1))
+
+    def words_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            hashes = np.concatenate([rows.column(x).to_numpy().view(np.uint64) for x in by])
-            different, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
-            ranked = np.empty(len(order), np.int64)
-            ranked[order] = np.arange(len(order))
-            return _batch({"words": packed(np.diff(different, prepend=np.uint64(0))), "often": packed(counts), "rows": packed(ranked[place]), "counts": packed(rows.column(c).to_numpy())})
+            return _sent(*_summed(keys(rows.column("w").to_numpy().view(np.uint64)), rows.column("c").to_numpy()[None]), shards)
 
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
             if n >= PACKED_ROWS:
-                yield blob()
+                yield from sent()
                 held, n = [], 0
         if n:
-            yield blob()
+            yield from sent()
 
-    return cut_lineage(table.mapInArrow(pack, "words binary, often binary, rows binary, counts binary"))
+    def word_contexts(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from _sent(*_summed(keys(names)[rows[0]], _seen(counts)), shards)
 
+    def pair_contexts(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from _sent(*_summed(keys(names[rows[0]], names[rows[1]]), _seen(counts)), shards)
 
-def _rows(written: DataFrame, by: list[str], wave: int = 0, waves: int = 1) -> DataFrame:
-    """The rows of ``_written`` again, of a wave those whose ``v`` belongs to it."""
-    columns = [*by, "c"]
+    def trigram_row(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = keys(*names[rows])
+        yield _row(int(key[0] >> shift), 3, False, key, counts)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                different = np.cumsum(unpacked(row["words"])).view(np.uint64)
-                found = different[np.argsort(-unpacked(row["often"]), kind="stable")][unpacked(row["rows"])].reshape(len(by), -1)
-                counts = unpacked(row["counts"])
-                if waves > 1:
-                    own = np.flatnonzero(mix(found[by.index("v")]) % np.uint64(waves) == np.uint64(wave))
-                    found, counts = found[:, own], counts[own]
-                for a in range(0, len(counts), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)) for x in found] + [pa.array(counts[part])], names=columns)
-
-    return written.mapInArrow(unpack, ", ".join(f"{x} long" for x in columns))
-
-
-def entries(trusted: DataFrame, text_col: str = "text", waves: int = 1) -> tuple[Iterator[list[DataFrame]], float]:
-    """The model of all texts in ``trusted`` as tables, and the log probability of an unknown word.
-
-    Tables: ``key`` of a word, pair or trigram, ``x`` its log probability or, where ``weight`` holds, its log
-    back-off weight as a context. No texts at all give a uniform model. They come wave by wave, each with
-    the trigrams whose middle word belongs to it (and words in the first), so that only a wave's joins are on disk
-    at a time; a wave's tables are to be read before the next ones are taken.
-    """
+    def pair_row(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, _, before = _pairs(names, rows)
+        yield _row(int(key[0] >> shift), 2, False, key, before)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "body"):
-                grams, _ = trigrams(part.column("body"))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in grams], names=["u", "v", "w"])
-
-    rows = trusted.select(F.col(text_col).cast("string").alias("body"))
-    counted = F.count(F.lit(1)).alias("c")
-    tri = _written(rows.mapInArrow(count, "u long, v long, w long").groupBy("u", "v", "w").agg(counted))
-    bi = _written(_rows(tri, ["u", "v", "w"]).groupBy("v", "w").agg(counted))
-    uni = cut_lineage(_rows(bi, ["v", "w"]).groupBy("w").agg(counted))
-
-    def context(table: DataFrame, by: list[str], d: tuple[float, float, float]) -> DataFrame:
-        return table.groupBy(*by).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("left")).withColumn("weight", F.col("left") / F.col("total"))
-
-    d3, d2, d1 = _discounts(_rows(tri, ["u", "v", "w"]), "c"), _discounts(_rows(bi, ["v", "w"]), "c"), _discounts(uni, "c")
-    whole = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(_discount(F.col("c"), d1)), F.lit(0.0)), F.count(F.lit(1))).first()
-    total, left, vocabulary = whole[0] or 1, whole[1], whole[2]
-    floor = (left / total if whole[0] else 1.0) / (vocabulary + 1)
-    p1 = uni.select("w", ((F.col("c") - _discount(F.col("c"), d1)) / total + floor).alias("p1"))
-
-    def keyed(table: DataFrame, by: list[str], value: str, weight: bool) -> DataFrame:
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = keys(*[batch.column(c).to_numpy().view(np.uint64) for c in by])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("x")], names=["key", "x"])
-
-        held = table.select(*by, F.log(value).cast("float").alias("x")).mapInArrow(each, "key long, x float")
-        return held.withColumn("weight", F.lit(weight))
-
-    def tables() -> Iterator[list[DataFrame]]:
-        for wave in range(waves):
-            own_tri, own_bi = _rows(tri, ["u", "v", "w"], wave, waves), _rows(bi, ["v", "w"], wave, waves)
-            w2 = context(own_bi, ["v"], d2)
-            p2 = own_bi.join(w2, "v").join(p1, "w").select("v", "w", ((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") + F.col("weight") * F.col("p1")).alias("p2"))
-            p2 = cut_lineage(p2)
-            w3 = context(own_tri, ["u", "v"], d3)
-            p3 = own_tri.join(w3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
-            parts = [(p3, ["u", "v", "w"], "p3", False), (p2, ["v", "w"], "p2", False), (p1, ["w"], "p1", False), (w3, ["u", "v"], "weight", True), (w2, ["v"], "weight", True)]
-            yield [keyed(*part) for part in parts if not wave or part[0] is not p1]
-            release(p2)
-        release(tri, bi, uni)
-
-    return tables(), float(np.log(floor))
-
-
-def _levels(key: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple[Level, Level]:
-    order = np.argsort(key, kind="stable")  # merges what is in order already
-    key, x, weight = key[order], x[order], weight[order]
-    return Level(key[~weight], x[~weight]), Level(key[weight], x[weight])
+    tables = [_in_shards(_met(uni.mapInArrow(words_sent, _MESSAGE), 1, False), shards)]
+    release(uni)
+    tables.append(_in_shards(_met(_each(bi, word_contexts, _MESSAGE, 2), 1, True), shards))
+    release(bi)
+    for own in tri:
+        for table in (_each(own, trigram_row, _TABLE, 3), _each(own, pair_row, _TABLE, 3), _met(_each(own, pair_contexts, _MESSAGE, 3), 2, True)):
+            tables.append(_in_shards(table, shards))
+        release(own)
+    return tables, rates
+
+
+def _parts(rows: list[dict]) -> dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]:
+    out: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for row in rows:
+        out.setdefault((row["level"], row["weight"]), []).append(_column(row))
+    return out
 
 
 def fit(trusted: DataFrame, text_col: str = "text") -> Model:
     """The whole model in memory, for few texts; ``judged`` leaves it in shards."""
-    tables, unknown = entries(trusted, text_col)
-    held = reduce(DataFrame.unionByName, next(tables)).toArrow()
-    key, x, weight = (held.column(c).to_numpy() for c in ("key", "x", "weight"))
-    return Model(*_levels(key.view(np.uint64), x, weight.astype(bool)), unknown)
+    tables, rates = entries(trusted, text_col)
+    return Model(_parts(reduce(DataFrame.unionByName, tables).toArrow().to_pylist()), rates)
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -253,93 +436,88 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     return rows.mapInArrow(each, "chunk long, ids binary, lengths binary, stream binary, words binary")
 
 
-def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's trigrams, tokens per text and different keys in order: words, pairs and trigrams, as values or contexts."""
-    n = unpacked(row["lengths"])
-    different = np.frombuffer(row["words"], np.uint64)
-    line = different[unpacked(row["stream"])]
-    grams = _grams(line, n)
-    asked = [keys(different), keys(line[:-1], line[1:]), keys(*grams)]
-    return grams, n, np.unique(np.concatenate(asked))
-
-
-def _edges(asked: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin and end."""
-    step = -(-(1 << 64) // shards)
-    inner = np.searchsorted(asked, np.array([min(s * step, (1 << 64) - 1) for s in range(1, shards)], np.uint64))
-    return np.concatenate([[0], inner, [len(asked)]])
+def _numbered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number per row that equal rows share; by number, where it first occurs and its two values."""
+    order, first, (x, y) = _in_order(x, y)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return of, order[first], x, y
 
 
-def _in_shards(table: DataFrame, shards: int) -> DataFrame:
-    """Part of a model's table, a row per shard: its keys in order as differences, their values beside them.
+class _Chunk:
+    """A chunk's different words, pairs and trigrams."""
 
-    Written once as bytes, which take a third of what rows do.
-    """
-    step = -(-(1 << 64) // shards)
+    def __init__(self, row: dict):
+        self.n = unpacked(row["lengths"])
+        names = np.frombuffer(row["words"], np.uint64)
+        line = unpacked(row["stream"])
+        at = _ranges(np.cumsum(self.n + 2) - self.n - 2, self.n)
+        pair, _, self.a, self.b = _numbered(line[:-1], line[1:])
+        self.gram, first, self.context, last = _numbered(pair[at], line[at + 2])
+        self.lower = pair[at[first] + 1]
+        a, b = names[self.a], names[self.b]
+        self.keys = [keys(names), keys(a, b), keys(a[self.context], b[self.context], names[last])]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = (batch.column("key").to_numpy().view(np.uint64) // np.uint64(step)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", *batch.schema.names])
+    def scores(self, counts: list[np.ndarray], contexts: list[np.ndarray], rates: Rates) -> np.ndarray:
+        """Log probability of each text, given the counts of each level and what words and pairs are contexts of, by order of keys."""
+        for x, key in zip((*counts, *contexts), (*self.keys, *self.keys)):
+            x[..., np.argsort(key)] = x.copy()
+        p, log_p = rates.words(counts[0])
+        context = [x[self.a] for x in rates.contexts(2, contexts[0])]
+        p, log_p = rates.above(2, counts[1], context, p[self.b], log_p[self.b])
+        context = [x[self.context] for x in rates.contexts(3, contexts[1])]
+        _, log_p = rates.above(3, counts[2], context, p[self.lower], log_p[self.lower])
+        return np.add.reduceat(log_p[self.gram], np.cumsum(self.n) - self.n)
 
-    def pack(key: tuple, held: pa.Table) -> pa.Table:
-        found = held.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(found)
-        x = held.column("x").to_numpy()[order].astype(np.float32).tobytes()
-        return pa.Table.from_batches([_batch({"shard": key[0].as_py(), "keys": packed(np.diff(found[order], prepend=np.uint64(0))), "x": x}).add_column(1, "weight", pa.array([key[1].as_py()]))])
 
-    rows = table.select("key", "x", "weight").mapInArrow(place, "shard long, key long, x float, weight boolean")
-    return cut_lineage(rows.groupBy("shard", "weight").applyInArrow(pack, "shard long, weight boolean, keys binary, x binary"))
+_ASKED = ["words", "pairs", "trigrams"]
+_FOUND = [*_ASKED, "word_contexts", "pair_contexts"]
 
 
 def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """Per chunk and shard the log probabilities and weights of the keys asked for, NaN where the model has none."""
+    """Per chunk and shard the counts of the keys asked for and of their contexts, zeros where the model has none."""
+    layout = "shard long, chunk long, " + ", ".join(f"{c} binary" for c in _FOUND)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                asked = _read(row)[2]
-                edges = _edges(asked, shards)
-                for s in np.flatnonzero(np.diff(edges)).tolist():
-                    own = asked[edges[s] : edges[s + 1]]
-                    yield _batch({"shard": s, "chunk": row["chunk"], "asked": packed(np.diff(own, prepend=np.uint64(0)))})
+                asked = [np.sort(key) for key in _Chunk(row).keys]
+                edges = np.stack([_edges(key, shards) for key in asked])
+                for s in np.flatnonzero(np.diff(edges).any(axis=0)).tolist():
+                    own = [packed(np.diff(key[e[s] : e[s + 1]], prepend=np.uint64(0))) for key, e in zip(asked, edges)]
+                    yield _batch({"shard": s, "chunk": row["chunk"], **dict(zip(_ASKED, own))})
 
     def answer(key: tuple, held: pa.Table, sent: pa.Table) -> pa.Table:
-        rows = held.select(["keys", "x", "weight"]).to_pylist()
-        parts = [(np.cumsum(unpacked(r["keys"])).view(np.uint64), np.frombuffer(r["x"], np.float32), r["weight"]) for r in rows]
-        key_, x, weight = (np.concatenate(c) for c in zip((np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, bool)), *[(k, x, np.full(len(k), w)) for k, x, w in parts]))
-        levels = _levels(key_, x, weight)
+        parts = _parts(held.select(["level", "weight", "keys", "x"]).to_pylist())
         found = []
-        for message in sent.column("asked"):
-            asked = np.cumsum(unpacked(message.as_py())).view(np.uint64)
-            found.append([packed(level.find(asked).astype(np.float32).view(np.uint32)) for level in levels])
-        columns = [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "chunk": pa.array(sent.column("chunk").to_pylist(), pa.int64()), "values": columns[0], "weights": columns[1]})
+        for message in sent.select(_ASKED).to_pylist():
+            asked = [np.cumsum(unpacked(message[c])).view(np.uint64) for c in _ASKED]
+            counts = [_find(parts.get((level, False), []), own, 1) for level, own in enumerate(asked, 1)]
+            contexts = [_find(parts.get((level, True), []), own, 4) for level, own in enumerate(asked[:2], 1)]
+            found.append([packed(x.ravel()) for x in (*counts, *contexts)])
+        columns = [pa.array([f[i] for f in found], pa.binary()) for i in range(len(_FOUND))]
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "chunk": pa.array(sent.column("chunk").to_pylist(), pa.int64()), **dict(zip(_FOUND, columns))})
 
-    messages = chunks.select("chunk", "lengths", "stream", "words").mapInArrow(ask, "shard long, chunk long, asked binary")
-    return model.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(answer, "shard long, chunk long, values binary, weights binary")
+    messages = chunks.select("chunk", "lengths", "stream", "words").mapInArrow(ask, "shard long, chunk long, words binary, pairs binary, trigrams binary")
+    return model.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(answer, layout)
 
 
 def perplexities(
-    docs: DataFrame, model: DataFrame, unknown: float, shards: int, waves: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, model: DataFrame, rates: Rates, shards: int, waves: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """``id, lang, n_tokens, perplexity`` for every row under a model ``_in_shards``; a null text is empty: one end token.
 
     Documents are scored wave by wave (by hash of their text), so that only a wave's keys and answers are on disk at a time.
     """
 
-    def score(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        row = {c: chunk.column(c)[0].as_py() for c in chunk.column_names}
-        grams, n, asked = _read(row)
+    def score(key: tuple, held: pa.Table, replies: pa.Table) -> pa.Table:
+        row = {c: held.column(c)[0].as_py() for c in held.column_names}
+        chunk = _Chunk(row)
         replies = replies.sort_by("shard")
-        levels = []
-        for c in ("values", "weights"):
-            x = np.concatenate([unpacked(r.as_py()).astype(np.uint32).view(np.float32) for r in replies.column(c)])
-            known = ~np.isnan(x)
-            levels.append(Level(asked[known], x[known]))
-        sums = np.add.reduceat(Model(*levels, unknown).token_scores(grams), np.cumsum(n) - n)
+        found = [np.concatenate([unpacked(r.as_py()).reshape(n, -1) for r in replies.column(c)], axis=1) for c, n in zip(_FOUND, (1, 1, 1, 4, 4))]
+        sums = chunk.scores([x[0] for x in found[:3]], found[3:], rates)
         ids = pa.ipc.open_stream(row["ids"]).read_all()
-        return pa.table({"id": ids.column("id"), "lang": ids.column("lang"), "n_tokens": n, "perplexity": np.exp(-sums / n)})
+        return pa.table({"id": ids.column("id"), "lang": ids.column("lang"), "n_tokens": chunk.n, "perplexity": np.exp(-sums / chunk.n)})
 
     layout = f"id {docs.schema[id_col].dataType.simpleString()}, lang string, n_tokens long, perplexity double"
     out = []
@@ -360,11 +538,9 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     # A share of the input at a time is on disk beside the model; no wave has less than a chunk of text.
     chunks = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0] // CHUNK_BYTES + 1
-    waves, shards = min(FIT_WAVES, chunks), max(LEAST_SHARDS, -(-chunks // CHUNKS_PER_SHARD))
-    tables, unknown = entries(trusted_texts(docs, labels, id_col, text_col), text_col, waves)
-    # Table by table, so that what one has shuffled is gone before the next one starts.
-    model = [_in_shards(table, shards) for wave in tables for table in wave]
-    scored = perplexities(docs, reduce(DataFrame.unionByName, model), unknown, shards, min(WAVES, chunks), id_col, text_col, lang_col)
+    waves, shards = min(FIT_WAVES, chunks), _power_of_two(max(LEAST_SHARDS, -(-chunks // CHUNKS_PER_SHARD)))
+    tables, rates = entries(trusted_texts(docs, labels, id_col, text_col), text_col, shards, waves)
+    scored = perplexities(docs, reduce(DataFrame.unionByName, tables), rates, shards, min(WAVES, chunks), id_col, text_col, lang_col)
     cuts = scored.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(keep), F.lit(10_000)).alias("threshold"))
     joined = scored.join(cuts, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     return joined.withColumn("kept", F.col("perplexity") <= F.col("threshold"))
