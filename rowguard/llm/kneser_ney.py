@@ -33,13 +33,14 @@ from rowguard.session import cut_lineage, release
 
 CHUNK_BYTES = 8 << 20
 LEAST_SHARDS = 32
-CHUNKS_PER_SHARD = 4
+CHUNKS_PER_SHARD = 8
 FIT_WAVES, WAVES = 4, 8
 PACKED_ROWS = 1 << 20
 KEEP = 0.85
 START, END = np.uint64(1), np.uint64(2)
 ADAPTIVE = "spark.sql.adaptive.enabled"
 PAIR_BITS = np.uint64(((1 << 16) - 1) << 48)
+WAVE_BITS = (FIT_WAVES - 1).bit_length()
 _TURNS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -72,10 +73,24 @@ def _key(*parts: np.ndarray) -> np.ndarray:
     return mix(reduce(lambda h, x: mix(h * _TURNS[0] + x), parts[1:], parts[0] * _TURNS[1] + _TURNS[2] * np.uint64(len(parts))))
 
 
-def keys(*parts: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each row of word hashes; a trigram's begins as that of its last two words, so both are in one shard."""
+def _class(words: np.ndarray) -> np.ndarray:
+    """One of ``FIT_WAVES`` for each middle word."""
+    return mix(words) >> np.uint64(64 - WAVE_BITS)
+
+
+def keys(shards: int, *parts: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each row of word hashes.
+
+    A trigram's begins as that of its last two words, so both are in one shard. Below the bits that name the shard
+    come those of the first of the two, so what the waves write of a shard, one after the other, is in order.
+    """
     key = _key(*parts)
-    return key if len(parts) < 3 else (_key(*parts[1:]) & PAIR_BITS) | (key & ~PAIR_BITS)
+    if len(parts) == 1:
+        return key
+    if len(parts) == 3:
+        return keys(shards, *parts[1:]) & PAIR_BITS | key & ~PAIR_BITS
+    at = np.uint64(65 - shards.bit_length() - WAVE_BITS)
+    return key & ~(np.uint64(FIT_WAVES - 1) << at) | _class(parts[0]) << at
 
 
 def _starts(ordered: np.ndarray) -> np.ndarray:
@@ -84,8 +99,8 @@ def _starts(ordered: np.ndarray) -> np.ndarray:
 
 
 def _power_of_two(n: int) -> int:
-    """The least one that is not below ``n``, up to what a trigram's key has of its pair's."""
-    return min(1 << (n - 1).bit_length(), 1 << 16)
+    """The least one that is not below ``n``, up to what a trigram's key has of its pair's besides the wave."""
+    return 1 << min((n - 1).bit_length(), 16 - WAVE_BITS)
 
 
 def _edges(asked: np.ndarray, shards: int) -> np.ndarray:
@@ -95,15 +110,33 @@ def _edges(asked: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], inner, [len(asked)]])
 
 
-def _find(parts: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, columns: int) -> np.ndarray:
-    """``columns`` of each key wanted, from whichever of the ``parts`` (keys in order, columns) has it, or zeros."""
-    out = np.zeros((columns, len(wanted)), np.int64)
-    for held, x in parts:
-        if len(held):
-            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
-            hit = np.flatnonzero(held[at] == wanted)
-            out[:, hit] = x[:, at[hit]]
-    return out
+def _find(part: tuple[np.ndarray, np.ndarray] | None, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys wanted are there, and their columns."""
+    if part is None or not len(part[0]):
+        return np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+    held, x = part
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    hit = np.flatnonzero(held[at] == wanted)
+    return hit, x[:, at[hit]]
+
+
+def _counts(parts: dict, level: int, wanted: np.ndarray) -> list[np.ndarray]:
+    """Counts of the n-grams wanted, of how many n-grams each is the context, and for more than one what those are ``_seen`` as."""
+    count, total = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    hit, x = _find(parts.get((level, False)), wanted)
+    count[hit] = x[0]
+    if level == 3:
+        return [count]
+    if level == 2:
+        # Contexts that occur once are not in the table of contexts; the pair itself tells of them.
+        total[hit] = x[1] == 1
+    hit, seen = _find(parts.get((level, True)), wanted)
+    total[hit] = _total(seen)
+    return [count, total, seen[:, total[hit] > 1]]
+
+
+def _total(seen: np.ndarray) -> np.ndarray:
+    return seen[0] + 2 * seen[1] + 3 * seen[2] + seen[3]
 
 
 class Rates(NamedTuple):
@@ -121,33 +154,40 @@ class Rates(NamedTuple):
         p = (count - self._off(1, count)) / self.total + self.floor
         return p, np.where(count > 0, np.log(p).astype(np.float32), np.log(self.floor))
 
-    def contexts(self, level: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts, back-off weights and their logarithms for contexts of n-grams of the level, whose counts ``seen`` sums up."""
-        one, two, more, rest = seen
-        total = one + 2 * two + 3 * more + rest
-        left = sum(n * d for n, d in zip((one, two, more), self.discounts[level - 1]))
-        weight = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-        return total, weight, np.log(weight).astype(np.float32)
+    def contexts(self, level: int, total: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, back-off weights and their logarithms for contexts of n-grams of the level; ``seen`` has those of more than one."""
+        by = self.discounts[level - 1]
+        weight = np.array([1.0, by[0]])[np.minimum(total, 1)]
+        log_weight = np.log(np.array([1.0, by[0]])).astype(np.float32)[np.minimum(total, 1)]
+        more = np.flatnonzero(total > 1)
+        weight[more] = sum(n * d for n, d in zip(seen, by)) / total[more]
+        log_weight[more] = np.log(weight[more])
+        return total, weight, log_weight
 
     def above(self, level: int, count: np.ndarray, context: tuple[np.ndarray, ...], p: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``words``, for n-grams of the level with their contexts and what the level below has for them."""
         total, weight, log_weight = context
-        p = (count - self._off(level, count)) / np.maximum(total, 1) + weight * p
-        return p, np.where(count > 0, np.log(p).astype(np.float32), log_weight + log_p)
+        p, log_p = weight * p, log_weight + log_p
+        hit = np.flatnonzero(count)
+        own = count[hit]
+        p[hit] += (own - self._off(level, own)) / total[hit]
+        log_p[hit] = np.log(p[hit]).astype(np.float32)
+        return p, log_p
 
 
 class Model(NamedTuple):
-    parts: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]  # by level, counts of n-grams or of contexts
+    parts: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]  # by level, counts of n-grams or of contexts
     rates: Rates
+    shards: int
 
     def token_scores(self, grams: np.ndarray) -> np.ndarray:
         """Natural log probability of every row's last word after the two before it."""
         u, v, w = grams
-        found = self.rates.words(_find(self.parts.get((1, False), []), keys(w), 1)[0])
-        for level, context, gram in ((2, (v,), (v, w)), (3, (u, v), (u, v, w))):
-            seen = self.rates.contexts(level, _find(self.parts.get((level - 1, True), []), keys(*context), 4))
-            found = self.rates.above(level, _find(self.parts.get((level, False), []), keys(*gram), 1)[0], seen, *found)
-        return found[1]
+        (count, *_), (two, *own), (pair, *_), (_, *above), (three,) = (
+            _counts(self.parts, len(x), keys(self.shards, *x)) for x in ((w,), (v,), (v, w), (u, v), (u, v, w))
+        )
+        found = self.rates.above(2, pair, self.rates.contexts(2, *own), *self.rates.words(count))
+        return self.rates.above(3, three, self.rates.contexts(3, *above), *found)[1]
 
 
 def _discounts(seen: tuple[int, int, int, int]) -> tuple[float, float, float]:
@@ -218,10 +258,10 @@ def _counted(texts: DataFrame, shards: int, wave: int, waves: int) -> DataFrame:
         line = line[0]
         at = _ranges(np.cumsum(n + 2) - n - 2, n)
         if waves > 1:
-            at = at[(mix(names) % np.uint64(waves) == np.uint64(wave))[line[at + 1]]]
+            at = at[(_class(names) * np.uint64(waves) // np.uint64(FIT_WAVES) == np.uint64(wave))[line[at + 1]]]
         if not len(at):
             return
-        key = keys(*[names[line[at + i]] for i in range(3)])
+        key = keys(shards, *[names[line[at + i]] for i in range(3)])
         order = np.argsort(key)
         first = _starts(key[order])
         counts = np.diff(np.append(first, len(order)))
@@ -244,7 +284,7 @@ def _counted(texts: DataFrame, shards: int, wave: int, waves: int) -> DataFrame:
         begin = np.cumsum([0, *map(len, lists)])
         place = np.concatenate([back[unpacked(x.as_py()).reshape(3, -1) + b] for x, b in zip(table.column("rows"), begin)], axis=1)
         counts = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
-        key = keys(*names[place])
+        key = keys(shards, *names[place])
         order = np.argsort(key)
         first = _starts(key[order])
         return pa.Table.from_batches([_blob(names, place[:, order[first]], np.add.reduceat(counts[order], first))])
@@ -252,12 +292,12 @@ def _counted(texts: DataFrame, shards: int, wave: int, waves: int) -> DataFrame:
     return _each(texts, send, "shard long, words binary, rows binary, counts binary", 1).groupBy("shard").applyInArrow(meet, _BLOB)
 
 
-def _pairs(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the pairs that end the trigrams, in order, their places and how many trigrams each ends."""
-    key = keys(names[rows[1]], names[rows[2]])
+def _pairs(names: np.ndarray, rows: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs that end the trigrams, in order, their places, where each begins, and the order of trigrams."""
+    key = keys(shards, names[rows[1]], names[rows[2]])
     order = np.argsort(key)
     first = _starts(key[order])
-    return key[order[first]], rows[1:, order[first]], np.diff(np.append(first, len(order)))
+    return key[order[first]], rows[1:, order[first]], first, order
 
 
 def _seen(counts: np.ndarray) -> np.ndarray:
@@ -284,7 +324,8 @@ _MESSAGE = "shard long, keys binary, x binary"
 
 def _column(row: dict) -> tuple[np.ndarray, np.ndarray]:
     held = np.cumsum(unpacked(row["keys"])).view(np.uint64)
-    return held, unpacked(row["x"]).reshape(-1, len(held))
+    x = unpacked(row["x"])
+    return held, x.reshape(len(x) // max(1, len(held)), len(held))
 
 
 def _row(shard: int, level: int, weight: bool, key: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -293,12 +334,18 @@ def _row(shard: int, level: int, weight: bool, key: np.ndarray, x: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "level", "weight", "keys", "x"])
 
 
-def _met(messages: DataFrame, level: int, weight: bool) -> DataFrame:
+def _met(messages: DataFrame, level: int, weight: bool, shards: int) -> DataFrame:
     """Part of a model's table, a row per shard: the sums of what was sent for each key."""
+    only = keys(shards, np.array([START]), np.array([START]))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         held, x = zip(*map(_column, table.to_pylist()))
-        return pa.Table.from_batches([_row(key[0].as_py(), level, weight, *_summed(np.concatenate(held), np.concatenate(x, axis=1)))])
+        held, x = _summed(np.concatenate(held), np.concatenate(x, axis=1))
+        if level == 2:
+            # A context that occurs once is told by its pair, which occurs once too, but for the one no text has before it.
+            kept = np.flatnonzero((_total(x) > 1) | (held == only))
+            held, x = held[kept], x[:, kept]
+        return pa.Table.from_batches([_row(key[0].as_py(), level, weight, held, x)])
 
     return messages.groupBy("shard").applyInArrow(meet, _TABLE)
 
@@ -331,29 +378,36 @@ def entries(trusted: DataFrame, text_col: str = "text", shards: int = LEAST_SHAR
     every = reduce(DataFrame.unionByName, tri)
     shift = np.uint64(65 - shards.bit_length())
 
-    def pair_blob(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, place, before = _pairs(names, rows)
+    def word_blob(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Per word how many of the pairs end in it, and of those that begin with it how many have counts 1 to 4, more, and by how much over 3."""
+        _, (v, w), first, _ = _pairs(names, rows, shards)
+        before = np.diff(np.append(first, rows.shape[1]))
+        over = np.where(before > 4, before - 3, 0)
+        columns = [np.bincount(w, minlength=len(names))] + [np.bincount(v, x, len(names)).astype(np.int64) for x in (*[before == k for k in (1, 2, 3, 4)], over > 0, over)]
         order = np.argsort(names)
-        at = np.empty(len(names), np.int64)
-        at[order] = np.arange(len(names))
-        yield _blob(names[order], at[place], before)
+        columns = np.stack(columns)[:, order]
+        used = np.flatnonzero(columns.any(axis=0))
+        yield _blob(names[order], used[None], columns[:, used].ravel())
 
     def word_rows(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        before = np.bincount(rows[1], minlength=len(names))
+        before = counts.reshape(7, -1)[0]
         used = np.flatnonzero(before)
         for a in range(0, len(used), 1 << 16):
             part = used[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(before[part])], names=["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows[0][part]].view(np.int64)), pa.array(before[part])], names=["w", "n"])
+
+    def of_pairs(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _batch({f"n{k}": int(x.sum()) for k, x in enumerate(counts.reshape(7, -1)[1:5], 1)})
 
-    def of_counts(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of_trigrams(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _batch({f"n{k}": int((counts == k).sum()) for k in (1, 2, 3, 4)})
 
-    bi = cut_lineage(_each(every, pair_blob, _BLOB, 3))
-    uni = cut_lineage(_each(bi, word_rows, "w long, n long", 2).groupBy("w").agg(F.sum("n").alias("c")))
+    bi = cut_lineage(_each(every, word_blob, _BLOB, 3))
+    uni = cut_lineage(_each(bi, word_rows, "w long, n long", 1).groupBy("w").agg(F.sum("n").alias("c")))
     four = [F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]
     layout = ", ".join(f"n{k} long" for k in (1, 2, 3, 4))
     total, vocabulary, *seen = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), *[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
-    discounts = (_discounts(tuple(seen)), *[_discounts(tuple(_each(t, of_counts, layout, n).agg(*four).first())) for t, n in ((bi, 2), (every, 3))])
+    discounts = (_discounts(tuple(seen)), *[_discounts(tuple(_each(t, of, layout, n).agg(*four).first())) for t, of, n in ((bi, of_pairs, 1), (every, of_trigrams, 3))])
     left = sum(n * d for n, d in zip((*seen[:2], vocabulary - sum(seen[:2])), discounts[0]))
     rates = Rates(discounts, total or 1, (left / total if total else 1.0) / (vocabulary + 1))
 
@@ -362,7 +416,7 @@ def entries(trusted: DataFrame, text_col: str = "text", shards: int = LEAST_SHAR
 
         def sent() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            return _sent(*_summed(keys(rows.column("w").to_numpy().view(np.uint64)), rows.column("c").to_numpy()[None]), shards)
+            return _sent(*_summed(keys(shards, rows.column("w").to_numpy().view(np.uint64)), rows.column("c").to_numpy()[None]), shards)
 
         for batch in batches:
             held.append(batch)
@@ -374,41 +428,54 @@ def entries(trusted: DataFrame, text_col: str = "text", shards: int = LEAST_SHAR
             yield from sent()
 
     def word_contexts(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from _sent(*_summed(keys(names)[rows[0]], _seen(counts)), shards)
+        _, one, two, three, four, more, over = counts.reshape(7, -1)
+        seen = np.stack([one, two, three + four + more, four + over])
+        used = np.flatnonzero(seen.any(axis=0))
+        yield from _sent(*_summed(keys(shards, names[rows[0][used]]), seen[:, used]), shards)
 
     def pair_contexts(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from _sent(*_summed(keys(names[rows[0]], names[rows[1]]), _seen(counts)), shards)
+        yield from _sent(*_summed(keys(shards, names[rows[0]], names[rows[1]]), _seen(counts)), shards)
 
     def trigram_row(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key = keys(*names[rows])
+        key = keys(shards, *names[rows])
         yield _row(int(key[0] >> shift), 3, False, key, counts)
 
     def pair_row(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, _, before = _pairs(names, rows)
-        yield _row(int(key[0] >> shift), 2, False, key, before)
+        key, _, first, order = _pairs(names, rows, shards)
+        x = np.stack([np.diff(np.append(first, len(order))), np.add.reduceat(counts[order], first)])
+        yield _row(int(key[0] >> shift), 2, False, key, x)
 
-    tables = [_in_shards(_met(uni.mapInArrow(words_sent, _MESSAGE), 1, False), shards)]
+    tables = [_in_shards(_met(uni.mapInArrow(words_sent, _MESSAGE), 1, False, shards), shards)]
     release(uni)
-    tables.append(_in_shards(_met(_each(bi, word_contexts, _MESSAGE, 2), 1, True), shards))
+    tables.append(_in_shards(_met(_each(bi, word_contexts, _MESSAGE, 1), 1, True, shards), shards))
     release(bi)
     for own in tri:
-        for table in (_each(own, trigram_row, _TABLE, 3), _each(own, pair_row, _TABLE, 3), _met(_each(own, pair_contexts, _MESSAGE, 3), 2, True)):
+        for table in (_each(own, trigram_row, _TABLE, 3), _each(own, pair_row, _TABLE, 3), _met(_each(own, pair_contexts, _MESSAGE, 3), 2, True, shards)):
             tables.append(_in_shards(table, shards))
         release(own)
     return tables, rates
 
 
-def _parts(rows: list[dict]) -> dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]:
-    out: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+def _parts(rows: list[dict]) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """Keys in order and their columns, of each level's n-grams and contexts."""
+    parts: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
     for row in rows:
-        out.setdefault((row["level"], row["weight"]), []).append(_column(row))
+        parts.setdefault((row["level"], row["weight"]), []).append(_column(row))
+    out = {}
+    for level, held in parts.items():
+        held = [x for x in held if len(x[0])]
+        key, x = (np.concatenate([h[i] for h in sorted(held, key=lambda h: h[0][0])], axis=-1) for i in (0, 1)) if held else (np.zeros(0, np.uint64), np.zeros((4, 0), np.int64))
+        if (key[1:] < key[:-1]).any():
+            order = np.argsort(key, kind="stable")  # merges what is in order already
+            key, x = key[order], x[:, order]
+        out[level] = key, x
     return out
 
 
 def fit(trusted: DataFrame, text_col: str = "text") -> Model:
     """The whole model in memory, for few texts; ``judged`` leaves it in shards."""
     tables, rates = entries(trusted, text_col)
-    return Model(_parts(reduce(DataFrame.unionByName, tables).toArrow().to_pylist()), rates)
+    return Model(_parts(reduce(DataFrame.unionByName, tables).toArrow().to_pylist()), rates, LEAST_SHARDS)
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -447,7 +514,7 @@ def _numbered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 class _Chunk:
     """A chunk's different words, pairs and trigrams."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, shards: int):
         self.n = unpacked(row["lengths"])
         names = np.frombuffer(row["words"], np.uint64)
         line = unpacked(row["stream"])
@@ -456,22 +523,29 @@ class _Chunk:
         self.gram, first, self.context, last = _numbered(pair[at], line[at + 2])
         self.lower = pair[at[first] + 1]
         a, b = names[self.a], names[self.b]
-        self.keys = [keys(names), keys(a, b), keys(a[self.context], b[self.context], names[last])]
-
-    def scores(self, counts: list[np.ndarray], contexts: list[np.ndarray], rates: Rates) -> np.ndarray:
-        """Log probability of each text, given the counts of each level and what words and pairs are contexts of, by order of keys."""
-        for x, key in zip((*counts, *contexts), (*self.keys, *self.keys)):
-            x[..., np.argsort(key)] = x.copy()
-        p, log_p = rates.words(counts[0])
-        context = [x[self.a] for x in rates.contexts(2, contexts[0])]
-        p, log_p = rates.above(2, counts[1], context, p[self.b], log_p[self.b])
-        context = [x[self.context] for x in rates.contexts(3, contexts[1])]
-        _, log_p = rates.above(3, counts[2], context, p[self.lower], log_p[self.lower])
+        pairs = keys(shards, a, b)
+        self.keys = [keys(shards, names), pairs, pairs[self.lower] & PAIR_BITS | _key(a[self.context], b[self.context], names[last]) & ~PAIR_BITS]
+
+    def scores(self, found: list[list[np.ndarray]], rates: Rates) -> np.ndarray:
+        """Log probability of each text, given ``_counts`` of each level by order of keys."""
+        orders = [np.argsort(key) for key in self.keys]
+
+        def placed(order: np.ndarray, x: np.ndarray) -> np.ndarray:
+            out = np.empty_like(x)
+            out[order] = x
+            return out
+
+        words, pairs, grams = (placed(order, x[0]) for order, x in zip(orders, found))
+        context, above = ([placed(order, x) for x in rates.contexts(level, *own)] for level, order, (_, *own) in zip((2, 3), orders, found))
+        p, log_p = rates.words(words)
+        p, log_p = rates.above(2, pairs, [x[self.a] for x in context], p[self.b], log_p[self.b])
+        _, log_p = rates.above(3, grams, [x[self.context] for x in above], p[self.lower], log_p[self.lower])
         return np.add.reduceat(log_p[self.gram], np.cumsum(self.n) - self.n)
 
 
 _ASKED = ["words", "pairs", "trigrams"]
-_FOUND = [*_ASKED, "word_contexts", "pair_contexts"]
+# Counts of each level, of words and pairs as contexts besides, and 4 columns for those of more than one n-gram.
+_FOUND = {"words": 1, "word_totals": 1, "word_contexts": 4, "pairs": 1, "pair_totals": 1, "pair_contexts": 4, "trigrams": 1}
 
 
 def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
@@ -481,7 +555,7 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                asked = [np.sort(key) for key in _Chunk(row).keys]
+                asked = [np.sort(key) for key in _Chunk(row, shards).keys]
                 edges = np.stack([_edges(key, shards) for key in asked])
                 for s in np.flatnonzero(np.diff(edges).any(axis=0)).tolist():
                     own = [packed(np.diff(key[e[s] : e[s + 1]], prepend=np.uint64(0))) for key, e in zip(asked, edges)]
@@ -492,9 +566,7 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
         found = []
         for message in sent.select(_ASKED).to_pylist():
             asked = [np.cumsum(unpacked(message[c])).view(np.uint64) for c in _ASKED]
-            counts = [_find(parts.get((level, False), []), own, 1) for level, own in enumerate(asked, 1)]
-            contexts = [_find(parts.get((level, True), []), own, 4) for level, own in enumerate(asked[:2], 1)]
-            found.append([packed(x.ravel()) for x in (*counts, *contexts)])
+            found.append([packed(x.ravel()) for level, own in enumerate(asked, 1) for x in _counts(parts, level, own)])
         columns = [pa.array([f[i] for f in found], pa.binary()) for i in range(len(_FOUND))]
         return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "chunk": pa.array(sent.column("chunk").to_pylist(), pa.int64()), **dict(zip(_FOUND, columns))})
 
@@ -512,10 +584,11 @@ def perplexities(
 
     def score(key: tuple, held: pa.Table, replies: pa.Table) -> pa.Table:
         row = {c: held.column(c)[0].as_py() for c in held.column_names}
-        chunk = _Chunk(row)
+        chunk = _Chunk(row, shards)
         replies = replies.sort_by("shard")
-        found = [np.concatenate([unpacked(r.as_py()).reshape(n, -1) for r in replies.column(c)], axis=1) for c, n in zip(_FOUND, (1, 1, 1, 4, 4))]
-        sums = chunk.scores([x[0] for x in found[:3]], found[3:], rates)
+        found = [np.concatenate([unpacked(r.as_py()).reshape(n, -1) for r in replies.column(c)], axis=1) for c, n in _FOUND.items()]
+        found = [x if n > 1 else x[0] for x, n in zip(found, _FOUND.values())]
+        sums = chunk.scores([found[:3], found[3:6], found[6:]], rates)
         ids = pa.ipc.open_stream(row["ids"]).read_all()
         return pa.table({"id": ids.column("id"), "lang": ids.column("lang"), "n_tokens": chunk.n, "perplexity": np.exp(-sums / chunk.n)})
 

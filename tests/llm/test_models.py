@@ -340,6 +340,34 @@ def test_quality_in_waves_is_that_of_the_definition_and_leaves_no_counts_behind(
     assert all(kept(w) for w in written if "keys" in w.columns)
 
 
+def test_asking_the_quality_model_moves_the_questions_alone(spark, monkeypatch):
+    plans, answers = [], kneser_ney._answers
+
+    def held(*given):
+        found = answers(*given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(kneser_ney, "_answers", held)
+    monkeypatch.setattr(kneser_ney, "CHUNK_BYTES", 1500)
+    rng = random.Random(15)
+    docs = documents(spark, [(i, prose(rng, 40)) for i in range(60)])
+    assert kneser_ney.judged(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).count() == 60
+    assert plans and all(plan.count("Exchange hashpartitioning") == 1 for plan in plans)
+
+
+@pytest.mark.parametrize("trusted", [["one two one two three"], ["one"], [""], ["a b a b", "a b c", "a b a b"]])
+def test_contexts_that_occur_once_have_their_weight(spark, trusted):
+    model = kneser_ney.fit(documents(spark, list(enumerate(trusted))))
+    p, _ = plain_kneser_ney(trusted)
+    texts = [*trusted, "one two two", "two three", "b a c", "new"]
+    grams, n = kneser_ney.trigrams(pa.array(texts, pa.string()))
+    got = np.add.reduceat(model.token_scores(grams), np.cumsum(n) - n)
+    for text, score in zip(texts, got):
+        x = [b"<", b"<", *tokens(text)]
+        assert score == pytest.approx(sum(math.log(p(*g)) for g in zip(x, x[1:], x[2:])), rel=1e-5)
+
+
 def insults(rng, n):
     return prose(rng, n) + " " + rng.choice(["grumblef", "snorkwit"]) + rng.choice(["er", "ing", "ish", "o"]) + " " + prose(rng, n)
 
