@@ -34,7 +34,7 @@ from rowguard.session import cut_lineage, release
 CHUNK_BYTES = 8 << 20
 LEAST_SHARDS = 32
 CHUNKS_PER_SHARD = 8
-FIT_WAVES, WAVES = 4, 8
+FIT_WAVES, WAVES = 4, 9
 PACKED_ROWS = 1 << 20
 KEEP = 0.85
 START, END = np.uint64(1), np.uint64(2)
@@ -120,19 +120,26 @@ def _find(part: tuple[np.ndarray, np.ndarray] | None, wanted: np.ndarray) -> tup
     return hit, x[:, at[hit]]
 
 
-def _counts(parts: dict, level: int, wanted: np.ndarray) -> list[np.ndarray]:
+def _counts(parts: dict, level: int, wanted: np.ndarray, shards: int) -> list[np.ndarray]:
     """Counts of the n-grams wanted, of how many n-grams each is the context, and for more than one what those are ``_seen`` as."""
     count, total = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
     hit, x = _find(parts.get((level, False)), wanted)
     count[hit] = x[0]
     if level == 3:
         return [count]
+    asked = np.arange(len(wanted))
     if level == 2:
-        # Contexts that occur once are not in the table of contexts; the pair itself tells of them.
+        # A pair tells of itself as a context that occurs once; others, and the one no text has before it, are in the table of contexts.
         total[hit] = x[1] == 1
-    hit, seen = _find(parts.get((level, True)), wanted)
-    total[hit] = _total(seen)
-    return [count, total, seen[:, total[hit] > 1]]
+        asked = np.flatnonzero((count > 0) & (total == 0) | (wanted == _first_context(shards)))
+    hit, seen = _find(parts.get((level, True)), wanted[asked])
+    total[asked[hit]] = _total(seen)
+    return [count, total, seen[:, _total(seen) > 1]]
+
+
+def _first_context(shards: int) -> np.ndarray:
+    """Key of the two starts before a text."""
+    return keys(shards, np.array([START]), np.array([START]))
 
 
 def _total(seen: np.ndarray) -> np.ndarray:
@@ -184,7 +191,7 @@ class Model(NamedTuple):
         """Natural log probability of every row's last word after the two before it."""
         u, v, w = grams
         (count, *_), (two, *own), (pair, *_), (_, *above), (three,) = (
-            _counts(self.parts, len(x), keys(self.shards, *x)) for x in ((w,), (v,), (v, w), (u, v), (u, v, w))
+            _counts(self.parts, len(x), keys(self.shards, *x), self.shards) for x in ((w,), (v,), (v, w), (u, v), (u, v, w))
         )
         found = self.rates.above(2, pair, self.rates.contexts(2, *own), *self.rates.words(count))
         return self.rates.above(3, three, self.rates.contexts(3, *above), *found)[1]
@@ -336,7 +343,7 @@ def _row(shard: int, level: int, weight: bool, key: np.ndarray, x: np.ndarray) -
 
 def _met(messages: DataFrame, level: int, weight: bool, shards: int) -> DataFrame:
     """Part of a model's table, a row per shard: the sums of what was sent for each key."""
-    only = keys(shards, np.array([START]), np.array([START]))
+    only = _first_context(shards)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         held, x = zip(*map(_column, table.to_pylist()))
@@ -396,18 +403,28 @@ def entries(trusted: DataFrame, text_col: str = "text", shards: int = LEAST_SHAR
             part = used[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(names[rows[0][part]].view(np.int64)), pa.array(before[part])], names=["w", "n"])
 
-    def of_pairs(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield _batch({f"n{k}": int(x.sum()) for k, x in enumerate(counts.reshape(7, -1)[1:5], 1)})
+    def of_pairs(counts: np.ndarray) -> list[int]:
+        return counts.reshape(7, -1)[1:5].sum(axis=1).tolist()
+
+    def of_trigrams(counts: np.ndarray) -> list[int]:
+        return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+    def four(table: DataFrame, of: Callable[[np.ndarray], list[int]]) -> tuple[int, ...]:
+        """How many n-grams have counts 1 to 4, by the counts of each blob."""
+        names = ["n1", "n2", "n3", "n4"]
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for counts in batch.column("counts"):
+                    yield _batch(dict(zip(names, of(unpacked(counts.as_py())))))
 
-    def of_trigrams(names: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield _batch({f"n{k}": int((counts == k).sum()) for k in (1, 2, 3, 4)})
+        found = table.select("counts").mapInArrow(each, ", ".join(f"{n} long" for n in names))
+        return tuple(found.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first())
 
     bi = cut_lineage(_each(every, word_blob, _BLOB, 3))
     uni = cut_lineage(_each(bi, word_rows, "w long, n long", 1).groupBy("w").agg(F.sum("n").alias("c")))
-    four = [F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]
-    layout = ", ".join(f"n{k} long" for k in (1, 2, 3, 4))
     total, vocabulary, *seen = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), *[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
-    discounts = (_discounts(tuple(seen)), *[_discounts(tuple(_each(t, of, layout, n).agg(*four).first())) for t, of, n in ((bi, of_pairs, 1), (every, of_trigrams, 3))])
+    discounts = (_discounts(tuple(seen)), _discounts(four(bi, of_pairs)), _discounts(four(every, of_trigrams)))
     left = sum(n * d for n, d in zip((*seen[:2], vocabulary - sum(seen[:2])), discounts[0]))
     rates = Rates(discounts, total or 1, (left / total if total else 1.0) / (vocabulary + 1))
 
@@ -566,7 +583,7 @@ def _answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
         found = []
         for message in sent.select(_ASKED).to_pylist():
             asked = [np.cumsum(unpacked(message[c])).view(np.uint64) for c in _ASKED]
-            found.append([packed(x.ravel()) for level, own in enumerate(asked, 1) for x in _counts(parts, level, own)])
+            found.append([packed(x.ravel()) for level, own in enumerate(asked, 1) for x in _counts(parts, level, own, shards)])
         columns = [pa.array([f[i] for f in found], pa.binary()) for i in range(len(_FOUND))]
         return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "chunk": pa.array(sent.column("chunk").to_pylist(), pa.int64()), **dict(zip(_FOUND, columns))})
 
