@@ -159,7 +159,7 @@ class Rates(NamedTuple):
     def words(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities and their logarithms."""
         p = (count - self._off(1, count)) / self.total + self.floor
-        return p, np.where(count > 0, np.log(p).astype(np.float32), np.log(self.floor))
+        return p, np.where(count > 0, np.log(p), np.log(self.floor)).astype(np.float32)
 
     def contexts(self, level: int, total: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts, back-off weights and their logarithms for contexts of n-grams of the level; ``seen`` has those of more than one."""
